@@ -113,18 +113,12 @@ def compare_packets(
 
 
 def pair_streams(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pair streams by position, ordinary tracks first and covers after them.
-
-    Stream lists are short (one row per track of a file), so numbering them
-    with a plain window is bounded by the container format.
-    """
-    from pyspark.sql import Window
+    """Pair streams by position, ordinary tracks first and covers after them."""
 
     def ranked(df: DataFrame, side: str) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(F.col("is_cover").cast("int"), "stream_index")
-        return df.select(
-            *keys, F.row_number().over(order).alias("position"),
-            F.col("stream_index").alias(f"{side}_index"), F.col("codec").alias(f"{side}_codec"),
+        slim = df.select(*keys, F.col("is_cover").cast("int").alias("_cover"), "stream_index", "codec")
+        return ordered.number_rows(slim, keys, ["_cover", "stream_index"], "position").select(
+            *keys, "position", F.col("stream_index").alias(f"{side}_index"), F.col("codec").alias(f"{side}_codec")
         )
 
     pairs = ranked(before, "source").join(ranked(after, "output"), [*keys, "position"], "full_outer")
