@@ -347,11 +347,11 @@ def counter_rates(samples: DataFrame, keys: Sequence[str], keep: int = 20) -> Da
     )
 
 
-def allocation_target(original: Column, rates: Column, peak: Column, per_core: Column) -> Column:
-    """Cores worth keeping: enough for the peak rate, never above the original,
-    unchanged before three rates are known."""
-    wanted = F.ceil(peak / per_core).cast("long")
-    return F.when(rates < 3, original).otherwise(F.least(original, F.greatest(F.lit(1), wanted)))
+def allocation_target(original: Column, rates: Column, peak: Column) -> Column:
+    """Cores to keep: at most two released, room for 1.2 times the peak use plus
+    a half, 1..16; unchanged before three rates are known."""
+    needed = F.ceil(peak * 1.2 + 0.5).cast("long")
+    return F.when(rates < 3, original).otherwise(F.least(F.lit(16), F.greatest(F.lit(1), original - 2, needed)))
 
 
 def track_spans(packets: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesleuth.plans import comparison, timelines  # noqa: F401
+from framesleuth.plans import comparison, selection, timelines  # noqa: F401
 from framesleuth.plans.registry import ORACLES, QUERIES
 
 

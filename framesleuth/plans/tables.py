@@ -103,3 +103,115 @@ def frames(p: DataFrame) -> DataFrame:
         F.lit(0).alias("interlaced"), F.lit(0).alias("repeat_pict"), F.lit(0).alias("top_field_first"),
         F.array(mastering).alias("side"),
     )
+
+
+# Trials --------------------------------------------------------------------
+# A report is a supplier, a reference scene a line number, and five settings are
+# tried; stronger settings save more and score lower.
+
+ENCODERS = {1: ("hevc", "hevc_nvenc", "p7"), 2: ("av1", "av1_nvenc", "p6"), 3: ("hevc", "hevc_nvenc", "p6"), 4: ("av1", "av1_nvenc", "p5"), 5: ("h264", "h264_nvenc", "p6")}
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    line = table(spark, folder, "lineitem").where(F.col("l_linenumber") <= 3)
+    return line.groupBy(
+        F.col("l_suppkey").alias("report"), F.col("l_linenumber").cast("long").alias("reference"),
+        cents(F.col("l_discount")).alias("d"), cents(F.col("l_tax")).alias("t"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("l_extendedprice"))).alias("s"))
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    return once(spark, folder, "lines", lambda: _lines(spark, folder))
+
+
+def _tried(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)).cast("array<long>"))).withColumn("trial", F.concat(F.lit("t"), F.col("k").cast("string")))
+
+
+def frame_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Frame scores in hundredths; ``weight`` counts equal frames."""
+    score = 10000 - 25 * F.col("k") * F.col("d") - 10 * F.col("t")
+    return _tried(lines(spark, folder)).select("report", "trial", "k", "reference", score.alias("score"), F.col("n").alias("weight"))
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    return lines(spark, folder).groupBy("report").agg(F.sum("s").alias("sampled")).select(
+        "report", F.concat(F.lit("src"), F.col("report").cast("string")).alias("source_id"), (F.col("sampled") * 20).alias("source_bytes"),
+        F.lit(3600).cast("long").alias("duration_s"), F.lit(60).cast("long").alias("comparison_s"),
+        F.when(F.col("report") % 29 == 0, "dv").otherwise("sdr").alias("color_mode"), F.lit(False).alias("whole_source"),
+    )
+
+
+def references(spark: SparkSession, folder: str) -> DataFrame:
+    return lines(spark, folder).groupBy("report", "reference").agg(F.sum("s").alias("bytes")).withColumn("window_s", F.lit(60).cast("long"))
+
+
+def trials(spark: SparkSession, folder: str) -> DataFrame:
+    t = _tried(lines(spark, folder).select("report").distinct())
+    pick = lambda i: F.element_at(F.array(*[F.lit(ENCODERS[k][i]) for k in range(1, 6)]), F.col("k").cast("int"))
+    return t.select(
+        "report", "trial", F.concat(F.lit("src"), F.col("report").cast("string")).alias("source_id"), pick(0).alias("codec"), pick(1).alias("encoder"),
+        F.create_map(F.lit("preset"), pick(2)).alias("settings"), (~((F.col("report") % 17 == 0) & (F.col("k") == 1))).alias("runtime_supported"),
+        (~((F.col("report") % 19 == 0) & (F.col("k") == 2))).alias("playback_compatible"), F.lit(None).cast("boolean").alias("preservable"),
+        ((F.col("report") % 31 == 0) & (F.col("k") == 1)).alias("dominated"), F.lit(True).alias("early_bound"),
+        ((F.col("report") % 37 == 0) & (F.col("k") == 5)).alias("speed_rejected"), F.lit(False).alias("size_rejected"), F.lit(True).alias("quality_early_screen"),
+        F.col("k"),
+    )
+
+
+def samples(spark: SparkSession, folder: str) -> DataFrame:
+    """One measured scene per (report, trial, reference), scored by pooling."""
+    from framesleuth.operators import trials as operators
+
+    def build() -> DataFrame:
+        saved = F.call_function("div", F.col("s") * F.col("k") * F.col("d"), F.lit(100))
+        sized = _tried(lines(spark, folder)).groupBy("report", "trial", "k", "reference").agg(F.sum(F.col("s") - saved).alias("bytes"))
+        pooled = operators.pool_scores(frame_scores(spark, folder), ["report", "trial", "reference"], F.lit(9400), F.lit(9000))
+        rows = sized.join(pooled, ["report", "trial", "reference"])
+        r, k, ref = F.col("report"), F.col("k"), F.col("reference")
+        rows = rows.where(~((r % 11 == 0) & (k == 4) & (ref == 3)))
+        quality = F.struct(F.col("mean"), F.col("p5"), F.col("frames"), F.col("passed"))
+        met = operators.meets_policy(F.col("passed"), F.col("mean"), F.col("p5"), F.col("frames"), F.lit(9400), F.lit(9000))
+        return rows.select(
+            "report", "trial", "reference", "bytes", F.lit(True).alias("encode_completed"),
+            F.when((r % 23 == 0) & (k == 3) & (ref == 2), "encoder stopped").alias("error"), quality.alias("quality"), met.alias("policy_met"),
+            F.col("passed").alias("quality_pass"), F.lit(True).alias("preservation_pass"), (~((r % 13 == 0) & (k == 2) & (ref == 1))).alias("decode_pass"),
+            F.lit("vmaf").alias("quality_method"), F.when(r % 2 == 0, "hdr-common-render-v1").otherwise("sdr").alias("domain"),
+            F.when((r % 41 == 0) & (k == 2), 400).otherwise(4000 - 500 * k + 10 * ref).cast("long").alias("execution_ms"),
+        )
+
+    return once(spark, folder, "samples", build)
+
+
+TRIAL_SQL = """base AS (
+  SELECT l_suppkey AS report, CAST(l_linenumber AS BIGINT) AS reference, CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS t,
+    count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, 4),
+ks AS (SELECT CAST(k AS BIGINT) AS k, 't' || CAST(k AS VARCHAR) AS trial FROM (VALUES (1), (2), (3), (4), (5)) v(k)),
+scored AS (SELECT report, trial, k, reference, 10000 - 25 * k * d - 10 * t AS score, CAST(sum(n) AS BIGINT) AS n FROM base, ks GROUP BY 1, 2, 3, 4, 5),
+cumulated AS (SELECT *, sum(n) OVER (PARTITION BY report, trial, reference ORDER BY score) AS cum, sum(n) OVER (PARTITION BY report, trial, reference) AS total FROM scored),
+pooled AS (SELECT report, trial, k, reference, CAST(max(total) AS BIGINT) AS frames, CAST(sum(n * score) AS BIGINT) AS score_sum,
+  min(score) FILTER (WHERE cum >= greatest(1, (total + 19) // 20)) AS p5 FROM cumulated GROUP BY 1, 2, 3, 4),
+ref AS (SELECT report, reference, CAST(sum(s) AS BIGINT) AS bytes, 60 AS window_s FROM base GROUP BY 1, 2),
+rep AS (SELECT report, CAST(sum(s) * 20 AS BIGINT) AS source_bytes, 3600 AS duration_s, 60 AS comparison_s, CASE WHEN report % 29 = 0 THEN 'dv' ELSE 'sdr' END AS color_mode FROM base GROUP BY 1),
+sized AS (SELECT report, trial, k, reference, CAST(sum(s - s * k * d // 100) AS BIGINT) AS bytes FROM base, ks GROUP BY 1, 2, 3, 4),
+trial AS (SELECT report, trial, k, CASE k WHEN 1 THEN 'hevc' WHEN 2 THEN 'av1' WHEN 3 THEN 'hevc' WHEN 4 THEN 'av1' ELSE 'h264' END AS codec,
+  CASE k WHEN 1 THEN 'hevc_nvenc' WHEN 2 THEN 'av1_nvenc' WHEN 3 THEN 'hevc_nvenc' WHEN 4 THEN 'av1_nvenc' ELSE 'h264_nvenc' END AS encoder,
+  CASE k WHEN 1 THEN 'p7' WHEN 4 THEN 'p5' ELSE 'p6' END AS preset,
+  NOT (report % 17 = 0 AND k = 1) AS runtime_supported, NOT (report % 19 = 0 AND k = 2) AS playback_compatible, report % 31 = 0 AND k = 1 AS dominated, report % 37 = 0 AND k = 5 AS speed_rejected
+  FROM (SELECT DISTINCT report FROM base), ks),
+smp AS (SELECT z.report, z.trial, z.k, z.reference, z.bytes, frames, score_sum // frames AS mean, p5, score_sum >= 9400 * frames AND p5 >= 9000 AS passed,
+  z.report % 23 = 0 AND z.k = 3 AND z.reference = 2 AS error, NOT (z.report % 13 = 0 AND z.k = 2 AND z.reference = 1) AS decode_pass,
+  CASE WHEN z.report % 41 = 0 AND z.k = 2 THEN 400 ELSE 4000 - 500 * z.k + 10 * z.reference END AS ms
+  FROM sized z JOIN pooled p ON p.report = z.report AND p.trial = z.trial AND p.reference = z.reference WHERE NOT (z.report % 11 = 0 AND z.k = 4 AND z.reference = 3)),
+rt AS (SELECT report, count(*) AS refs, CAST(sum(bytes) AS BIGINT) AS reference_bytes FROM ref GROUP BY 1),
+fact AS (SELECT trial.*, refs, reference_bytes, count(smp.reference) AS samples, CAST(sum(bytes) AS BIGINT) AS output_bytes, coalesce(bool_or(error), false) AS errors,
+  coalesce(bool_or(NOT passed), false) AS quality_failed, coalesce(bool_or(NOT decode_pass), false) AS decode_failed, coalesce(bool_or(NOT passed AND decode_pass), false) AS measured,
+  CAST(sum(ms) AS BIGINT) AS ms, min(ms) AS low_ms, min(p5) AS min_p5
+  FROM trial JOIN rt USING (report) LEFT JOIN smp ON smp.report = trial.report AND smp.trial = trial.trial GROUP BY ALL),
+assessed AS (SELECT *, CASE
+    WHEN dominated AND samples = refs AND runtime_supported AND playback_compatible THEN 'dominated_unmeasured'
+    WHEN runtime_supported AND playback_compatible AND refs >= 3 AND samples > 0 AND NOT errors AND output_bytes * 10000 > reference_bytes * 9000 THEN 'size_screened'
+    WHEN speed_rejected AND runtime_supported AND playback_compatible AND samples > 0 AND NOT errors THEN 'speed_screened'
+    WHEN runtime_supported AND playback_compatible AND NOT errors AND measured THEN 'quality_rejected'
+    WHEN NOT runtime_supported OR NOT playback_compatible OR samples <> refs OR errors OR quality_failed OR decode_failed THEN 'inconclusive'
+    WHEN output_bytes * 10000 > reference_bytes * 9000 THEN 'insufficient_savings' ELSE 'eligible' END AS assessment FROM fact)"""
