@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framesleuth.functions.rational import ratio
+from framesleuth.functions.rational import let, ratio
 
 # The ten mastering-display fields in payload order.
 MASTERING_FIELDS = (
@@ -20,24 +20,28 @@ def side_names(side: Column) -> Column:
     return F.transform(F.coalesce(side, F.array()), lambda m: F.coalesce(F.element_at(m, F.lit(SIDE_TYPE)), F.lit("")))
 
 
-def _lowest_terms(text: Column) -> Column:
-    """``n/d`` in lowest terms for an exact fraction; other text unchanged.
-
-    The greatest common divisor is Euclid's remainder chain, folded a fixed 45
-    times: enough for any pair below 2^31.
-    """
-    r = ratio(text)
-    start = F.struct(F.abs(r["num"]).cast("long").alias("a"), r["den"].cast("long").alias("b"))
+def gcd(a: Column, b: Column, steps: int = 45) -> Column:
+    """Greatest common divisor by Euclid's remainder chain, a fixed number of
+    steps: 45 suffice below 2^31, 90 below 2^62."""
+    start = F.struct(F.abs(a).cast("long").alias("a"), b.cast("long").alias("b"))
 
     def step(pair: Column, _: Column) -> Column:
         return F.when(pair["b"] == 0, pair).otherwise(
             F.struct(pair["b"].alias("a"), (pair["a"] % F.nullif(pair["b"], F.lit(0))).alias("b"))
         )
 
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(45)), start, step)["a"]
-    num, den = r["num"].cast("long"), r["den"].cast("long")
-    divide = lambda x: F.call_function("div", x, F.nullif(gcd, F.lit(0))).cast("string")
-    return F.when(r.isNotNull(), F.concat(divide(num), F.lit("/"), divide(den))).otherwise(text)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["a"]
+
+
+def lowest_terms(text: Column) -> Column:
+    """``n/d`` in lowest terms for an exact fraction; other text unchanged."""
+
+    def reduce(x: Column) -> Column:
+        divide = lambda v: F.call_function("div", v.cast("long"), F.nullif(x["g"], F.lit(0))).cast("string")
+        return F.concat(divide(x["r"]["num"]), F.lit("/"), divide(x["r"]["den"]))
+
+    with_gcd = lambda r: F.struct(r.alias("r"), gcd(r["num"], r["den"]).alias("g"))
+    return F.coalesce(let(ratio(text), lambda r: F.when(r.isNotNull(), let(with_gcd(r), reduce))), text)
 
 
 def canonical_side_data(side: Column) -> Column:
@@ -47,25 +51,36 @@ def canonical_side_data(side: Column) -> Column:
         mastering = F.element_at(entry, F.lit(SIDE_TYPE)) == MASTERING
         exact = F.when(
             mastering,
-            F.transform_values(entry, lambda k, v: F.when(k.isin(*MASTERING_FIELDS), _lowest_terms(v)).otherwise(v)),
+            F.transform_values(entry, lambda k, v: F.when(k.isin(*MASTERING_FIELDS), lowest_terms(v)).otherwise(v)),
         ).otherwise(entry)
         return F.array_sort(F.map_entries(exact))
 
     return F.transform(F.coalesce(side, F.array()), one)
 
 
+def same_side_data(left: Column, right: Column) -> Column:
+    """Equal side data; the exact form is worked out only where the texts differ."""
+    plain = lambda s: F.transform(F.coalesce(s, F.array()), lambda m: F.map_entries(m))
+    return (plain(left) == plain(right)) | canonical_side_data(left).eqNullSafe(canonical_side_data(right))
+
+
 def quantise_for_av1(entry: Column) -> Column:
     """Mastering values at AV1 precision, as ``n/scale`` with n rounded half up."""
 
     def value(key: Column, text: Column) -> Column:
         scale = F.when(key == "max_luminance", 256).when(key == "min_luminance", 16384).otherwise(65536)
-        r = ratio(text)
-        n = F.call_function("div", 2 * r["num"] * scale + r["den"], 2 * r["den"])
+        n = let(ratio(text), lambda r: F.call_function("div", 2 * r["num"] * scale + r["den"], 2 * r["den"]))
         return F.when(key == SIDE_TYPE, text).otherwise(F.concat(n.cast("string"), F.lit("/"), scale.cast("string")))
 
     return F.when(F.element_at(entry, F.lit(SIDE_TYPE)) == MASTERING, F.transform_values(entry, value)).otherwise(entry)
 
 
+def _packed(value: Column, scale: int, digits: int, limit: int) -> Column:
+    """Hex of value * scale when that is a whole number inside [0, limit)."""
+    scaled = let(value, lambda r: F.when((r["num"] * scale) % r["den"] == 0, F.call_function("div", r["num"] * scale, r["den"])))
+    return let(scaled, lambda n: F.when((n >= 0) & (n < limit), F.lpad(F.lower(F.hex(n.cast("long"))), digits, "0")))
+
+
 def mastering_payload(side: Column) -> Column:
     """Big-endian hex of the ten scaled mastering values.
 
@@ -77,11 +92,9 @@ def mastering_payload(side: Column) -> Column:
     parts = []
     for position, key in enumerate(MASTERING_FIELDS):
         scale, digits, limit = (50_000, 4, 2**16) if position < 8 else (10_000, 8, 2**32)
-        r = ratio(F.element_at(entry, F.lit(key)))
-        whole = (r["num"] * scale) % r["den"] == 0
-        n = F.call_function("div", r["num"] * scale, r["den"])
-        parts.append(F.when(whole & (n >= 0) & (n < limit), F.lpad(F.lower(F.hex(n.cast("long"))), digits, "0")))
-    text = F.when(F.forall(F.array(*parts), lambda p: p.isNotNull()), F.concat(*parts))
+
+        parts.append(_packed(ratio(F.element_at(entry, F.lit(key))), scale, digits, limit))
+    text = F.concat(*parts)
     return F.when(F.size(rows) == 0, None).when(F.size(rows) > 1, "ambiguous").otherwise(F.coalesce(text, F.lit("inexact")))
 
 
@@ -93,7 +106,7 @@ def picture_signature() -> Column:
     """
     sar = F.col("sar")
     undeclared = sar.isNull() | sar.isin("", "N/A", "0:1")
-    aspect = F.when(undeclared, "").when(ratio(sar)["num"] > 0, _lowest_terms(sar))
+    aspect = F.when(undeclared, "").when(sar == "1:1", "1/1").when(ratio(sar)["num"] > 0, lowest_terms(sar))
     colors = [
         F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
         for c in ("color_range", "color_space", "color_transfer", "color_primaries", "chroma_location")
@@ -179,8 +192,9 @@ def family_key(options: Column, seconds: Column, video: Column) -> Column:
 
 def numeric_equal(left: Column, right: Column) -> Column:
     """Equal text or equal exact number."""
-    a, b = ratio(left), ratio(right)
-    same = a["num"].cast("decimal(19,0)") * b["den"].cast("decimal(19,0)") == b["num"].cast("decimal(19,0)") * a["den"].cast("decimal(19,0)")
+    wide = lambda v: v.cast("decimal(19,0)")
+    pair = F.struct(ratio(left).alias("a"), ratio(right).alias("b"))
+    same = let(pair, lambda x: wide(x["a"]["num"]) * wide(x["b"]["den"]) == wide(x["b"]["num"]) * wide(x["a"]["den"]))
     return left.eqNullSafe(right) | F.coalesce(same, F.lit(False))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Spellings that mean "no aspect ratio declared".
 UNKNOWN_RATIO = ("", "N/A", "unknown", "unspecified", "0:1", "0/1")
 
+_RATIO = r"^\s*(-?\d{1,18})\s*(?:[:/]\s*(\d{1,18})\s*)?$"
 TOLERANCE_US = 2000  # decoded and copied timelines: 1/500 s
 MICROSECOND = 1
 
@@ -68,13 +69,20 @@ def packet_ticks(raw_ticks: Column, base_num: Column, base_den: Column, stamp_us
     return F.when(serialized_witness(value, base_num, base_den, stamp_us), value)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once and written once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ratio(text: Column) -> Column:
     """Parse ``a:b``, ``c/d`` or ``n`` to an exact rational; NULL if it is none of these."""
-    parts = F.split(F.regexp_replace(text, "/", ":"), ":")
-    num = parts.getItem(0).try_cast("decimal(38,0)")
-    den = F.when(F.size(parts) == 1, F.lit(1).cast("decimal(38,0)")).otherwise(F.get(parts, F.lit(1)).try_cast("decimal(38,0)"))
-    well_formed = text.rlike(r"^\s*-?\d{1,18}\s*([:/]\s*\d{1,18}\s*)?$") & (den > 0)
-    return F.when(well_formed, F.struct(num.alias("num"), den.alias("den")))
+
+    def parse(t: Column) -> Column:
+        num = F.regexp_extract(t, _RATIO, 1).try_cast("decimal(38,0)")
+        den = F.coalesce(F.nullif(F.regexp_extract(t, _RATIO, 2), F.lit("")), F.lit("1")).try_cast("decimal(38,0)")
+        return F.when(num.isNotNull() & (den > 0), F.struct(num.alias("num"), den.alias("den")))
+
+    return let(text, parse)
 
 
 def _product(a: Column, b: Column) -> Column:
@@ -87,8 +95,8 @@ def ratios_equal(a: Column, b: Column) -> Column:
 
 def equivalent_ratio(left: Column, right: Column) -> Column:
     """Same text, or the same positive rational under either spelling."""
-    a, b = ratio(left), ratio(right)
-    same = (a["num"] > 0) & (b["num"] > 0) & ratios_equal(a, b)
+    pair = F.struct(ratio(left).alias("a"), ratio(right).alias("b"))
+    same = let(pair, lambda x: (x["a"]["num"] > 0) & (x["b"]["num"] > 0) & ratios_equal(x["a"], x["b"]))
     return left.eqNullSafe(right) | F.coalesce(same, F.lit(False))
 
 
@@ -103,32 +111,38 @@ def effective_pixel_aspect(sar: Column, dar: Column, width: Column, height: Colu
     With a display ratio the pixel ratio is dar*height/width, and a declared
     SAR has to agree with it.  With neither, pixels are square.
     """
-    declared, display = ratio(known_ratio(sar)), ratio(known_ratio(dar))
-    bad = (known_ratio(sar).isNotNull() & ~F.coalesce(declared["num"] > 0, F.lit(False))) | (
-        known_ratio(dar).isNotNull() & ~F.coalesce(display["num"] > 0, F.lit(False))
+    inputs = F.struct(
+        known_ratio(sar).alias("s"), known_ratio(dar).alias("d"), ratio(known_ratio(sar)).alias("sr"), ratio(known_ratio(dar)).alias("dr"),
+        width.cast("long").alias("w"), height.cast("long").alias("h"),
     )
-    inferred = F.struct(
-        _product(display["num"], height).alias("num"), _product(display["den"], width).alias("den")
-    )
-    square = F.struct(F.lit(1).cast("decimal(38,0)").alias("num"), F.lit(1).cast("decimal(38,0)").alias("den"))
-    has_size = F.coalesce((width > 0) & (height > 0), F.lit(False))
-    return F.when(bad, None).when(
-        display.isNotNull(),
-        F.when(has_size & (declared.isNull() | ratios_equal(declared, inferred)), inferred),
-    ).otherwise(F.coalesce(declared, square))
+
+    def resolve(x: Column) -> Column:
+        declared, display = x["sr"], x["dr"]
+        bad = (x["s"].isNotNull() & ~F.coalesce(declared["num"] > 0, F.lit(False))) | (x["d"].isNotNull() & ~F.coalesce(display["num"] > 0, F.lit(False)))
+        inferred = F.struct(_product(display["num"], x["h"]).alias("num"), _product(display["den"], x["w"]).alias("den"))
+        square = F.struct(F.lit(1).cast("decimal(38,0)").alias("num"), F.lit(1).cast("decimal(38,0)").alias("den"))
+        has_size = F.coalesce((x["w"] > 0) & (x["h"] > 0), F.lit(False))
+        return F.when(bad, None).when(
+            display.isNotNull(), F.when(has_size & (declared.isNull() | ratios_equal(declared, inferred)), inferred)
+        ).otherwise(F.coalesce(declared, square))
+
+    return let(inputs, resolve)
 
 
 def compatible_measured_rate(left: Column, right: Column, frames: Column) -> Column:
     """Average rates equal, or within 1e-6 with at most 2 ms drift over all frames."""
-    a, b = ratio(left), ratio(right)
-    an, ad, bn, bd = (c.cast("decimal(12,0)") for c in (a["num"], a["den"], b["num"], b["den"]))
-    cross_l, cross_r = (an * bd).cast("decimal(24,0)"), (bn * ad).cast("decimal(24,0)")
-    gap = F.abs(cross_l - cross_r)
-    close = gap.cast("decimal(30,0)") * F.lit(1_000_000).cast("decimal(7,0)") <= F.greatest(cross_l, cross_r)
-    # |1/a - 1/b| = gap / (an*bn)
-    drift = gap.cast("decimal(24,0)") * (frames * 500).cast("decimal(13,0)") <= (an * bn).cast("decimal(24,0)")
-    near = (frames >= 2) & (an > 0) & (bn > 0) & close & drift
-    return equivalent_ratio(left, right) | F.coalesce(near, F.lit(False))
+
+    def near(x: Column) -> Column:
+        an, ad, bn, bd = (x[i][j].cast("decimal(12,0)") for i in ("a", "b") for j in ("num", "den"))
+        cross_l, cross_r = (an * bd).cast("decimal(24,0)"), (bn * ad).cast("decimal(24,0)")
+        gap = F.abs(cross_l - cross_r)
+        close = gap.cast("decimal(30,0)") * F.lit(1_000_000).cast("decimal(7,0)") <= F.greatest(cross_l, cross_r)
+        # |1/a - 1/b| = gap / (an*bn)
+        drift = gap.cast("decimal(24,0)") * (frames * 500).cast("decimal(13,0)") <= (an * bn).cast("decimal(24,0)")
+        return (frames >= 2) & (an > 0) & (bn > 0) & close & drift
+
+    pair = F.struct(ratio(left).alias("a"), ratio(right).alias("b"))
+    return equivalent_ratio(left, right) | F.coalesce(let(pair, near), F.lit(False))
 
 
 def differs(left: Column, right: Column, tolerance: int | Column = 0) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesleuth.functions.checks import first_failure, holds, verdicts
-from framesleuth.functions.metadata import canonical_side_data, picture_signature, side_names
+from framesleuth.functions.metadata import picture_signature, same_side_data, side_names
 from framesleuth.functions.rational import TOLERANCE_US, differs, equivalent_ratio, floor_div, ticks
 from framesleuth.operators import ordered
 
@@ -150,7 +150,7 @@ def compare_frames_sdr(reference: DataFrame, output: DataFrame, keys: Sequence[s
         checks.append((~holds(F.col(f"{side}_color_transfer").isin(*HDR_TRANSFERS)), "unexpected HDR transfer"))
         names = F.filter(side_names(F.col(f"{side}_side")), lambda n: ~n.isin("Mastering display metadata", "Content light level metadata"))
         checks.append((~F.exists(names, lambda n: n.rlike(SDR_FORBIDDEN_SIDE)), "unexpected side data"))
-    checks.append((canonical_side_data(F.col("a_side")).eqNullSafe(canonical_side_data(F.col("b_side"))), "static metadata changed"))
+    checks.append((same_side_data(F.col("a_side"), F.col("b_side")), "static metadata changed"))
     checks.append((F.col("a_rising"), "source timestamps do not increase"))
     checks.append((F.col("b_rising"), "output timestamps do not increase"))
     checks.append((F.abs(F.col("a_best_pts") - F.col("b_best_pts")) <= TOLERANCE_US, "frame timing changed"))
@@ -184,7 +184,7 @@ def compare_frames_hdr(source: DataFrame, output: DataFrame, keys: Sequence[str]
         checks.append((~F.exists(names, lambda n: n.rlike("(?i)dovi|dolby")), "layered HDR needs its own workflow"))
         if mode == "hdr10":
             checks.append((~F.exists(names, lambda n: n.rlike(r"(?i)dynamic|2094|hdr10\+")), "dynamic HDR in static HDR"))
-    checks.append((canonical_side_data(F.col("a_side")).eqNullSafe(canonical_side_data(F.col("b_side"))), "HDR metadata changed"))
+    checks.append((same_side_data(F.col("a_side"), F.col("b_side")), "HDR metadata changed"))
     rows = rows.withColumn("reason", first_failure(checks))
     names = side_names(F.col("a_side"))
     dynamic = holds(F.exists(names, lambda n: n.rlike(r"2094-40|HDR10\+")))

@@ -215,3 +215,52 @@ assessed AS (SELECT *, CASE
     WHEN runtime_supported AND playback_compatible AND NOT errors AND measured THEN 'quality_rejected'
     WHEN NOT runtime_supported OR NOT playback_compatible OR samples <> refs OR errors OR quality_failed OR decode_failed THEN 'inconclusive'
     WHEN output_bytes * 10000 > reference_bytes * 9000 THEN 'insufficient_savings' ELSE 'eligible' END AS assessment FROM fact)"""
+
+
+# Ledger --------------------------------------------------------------------
+
+STATES = ("pending", "running", "cancelled", "replaced", "awaiting-playback", "failed", "skipped", "kept-original")
+REASON_TEXTS = ("Unsupported input: codec", "measured quality below threshold", "no worthwhile savings", "publication conflict", "")
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Job ledger: one attempt per order, the customer is the video."""
+    o = table(spark, folder, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda values, index: F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    state, size, at = pick(STATES, k % 8), cents(F.col("o_totalprice")), micros(F.col("o_orderdate"))
+    path = lambda x: F.concat(F.lit("/lib/"), (x % 50).cast("string"), F.lit("/"), x.cast("string"), F.lit(".mkv"))
+    out = F.call_function("div", size * (50 + k % 40), F.lit(100))
+    published = F.when(k % 88 == 3, path(c + 1)).when(k % 8 == 3, F.concat(F.lit("/lib/new/"), c.cast("string"), F.lit(".mkv")))
+    return o.select(
+        k.alias("id"), k.alias("seq"), path(c).alias("source"), published.alias("published_path"), state.alias("state"), at.alias("created_us"),
+        F.when(k % 8 >= 2, at + 3_600_000_000 * (k % 7)).alias("finished_us"), F.when(k % 71 != 0, size).alias("size"), out.alias("output_bytes"),
+        F.when(k % 8 == 3, size - out).alias("saved_bytes"), F.when(k % 3 != 0, c % 20).alias("batch"), pick(REASON_TEXTS, k % 5).alias("reason"),
+        F.when(k % 6 == 0, "already_efficient_for_settings").alias("decision_code"), F.when(k % 10 == 7, "error").alias("outcome"),
+        (k % 13 == 0).alias("superseded"), at.alias("mtime"), F.lit("encode").alias("mode"), (k % 17 != 0).alias("publication_authorized"),
+    )
+
+
+ATTEMPT_SQL = """att AS (SELECT o_orderkey AS id, o_orderkey AS seq, '/lib/' || (o_custkey % 50) || '/' || o_custkey || '.mkv' AS source,
+  CASE WHEN o_orderkey % 88 = 3 THEN '/lib/' || ((o_custkey + 1) % 50) || '/' || (o_custkey + 1) || '.mkv' WHEN o_orderkey % 8 = 3 THEN '/lib/new/' || o_custkey || '.mkv' END AS published_path,
+  ['pending', 'running', 'cancelled', 'replaced', 'awaiting-playback', 'failed', 'skipped', 'kept-original'][o_orderkey % 8 + 1] AS state,
+  epoch_us(o_orderdate) AS created_us, CASE WHEN o_orderkey % 8 >= 2 THEN epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 7) END AS finished_us,
+  CASE WHEN o_orderkey % 71 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS size, CAST(round(o_totalprice * 100) AS BIGINT) * (50 + o_orderkey % 40) // 100 AS output_bytes,
+  CASE WHEN o_orderkey % 8 = 3 THEN CAST(round(o_totalprice * 100) AS BIGINT) - CAST(round(o_totalprice * 100) AS BIGINT) * (50 + o_orderkey % 40) // 100 END AS saved_bytes,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 20 END AS batch,
+  ['Unsupported input: codec', 'measured quality below threshold', 'no worthwhile savings', 'publication conflict', ''][o_orderkey % 5 + 1] AS reason,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'already_efficient_for_settings' END AS decision_code, CASE WHEN o_orderkey % 10 = 7 THEN 'error' END AS outcome,
+  o_orderkey % 13 = 0 AS superseded, o_orderkey % 17 <> 0 AS publication_authorized FROM orders)"""
+
+# Latest attempt per connected set of paths, walked edge by edge.  Needs WITH RECURSIVE.
+LATEST_SQL = """edge AS (SELECT DISTINCT source AS a, published_path AS b FROM pool WHERE published_path IS NOT NULL),
+link AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT a AS n, a AS r FROM link UNION SELECT reach.n, link.b FROM reach JOIN link ON link.a = reach.r),
+root AS (SELECT n, min(r) AS root FROM reach GROUP BY n),
+named AS (SELECT pool.*, coalesce(root, source) AS video FROM pool LEFT JOIN root ON n = source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY created_us DESC, coalesce(finished_us, 0) DESC, CAST(id AS VARCHAR) DESC) AS rn, count(*) OVER (PARTITION BY video) AS attempts FROM named),
+latest AS (SELECT * FROM ranked WHERE rn = 1)"""
+
+CATEGORY_SQL = """CASE WHEN state IN ('pending', 'running') THEN 'active' WHEN state = 'cancelled' THEN 'cancelled' WHEN state = 'replaced' THEN 'replaced' WHEN state = 'awaiting-playback' THEN 'copies'
+  WHEN state = 'failed' OR coalesce(outcome = 'error', false) THEN 'errors' WHEN state = 'skipped' AND reason IN ('Unsupported input: codec', 'publication conflict') THEN 'attention'
+  WHEN state = 'skipped' AND (coalesce(decision_code = 'already_efficient_for_settings', false) OR reason IN ('measured quality below threshold', 'no worthwhile savings')) THEN 'benefit' ELSE 'other' END"""
