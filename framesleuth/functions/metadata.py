@@ -175,7 +175,7 @@ def _top_level(schema: str) -> list[str]:
 
 def display_matrix(text: Column) -> Column:
     """Nine integer coefficients of a three-line matrix dump; NULL if malformed."""
-    lines = F.split(F.trim(text), r"\r?\n")
+    lines = F.split(F.btrim(text, F.lit(" \t\r\n")), r"\r?\n")
     cells = F.flatten(F.transform(lines, lambda row: F.split(F.trim(F.regexp_extract(row, r"^[^:]*:(.*)$", 1)), r"\s+")))
     numbers = F.transform(cells, lambda c: c.try_cast("int"))
     three = F.forall(lines, lambda row: row.rlike(r"^[^:]*:\s*-?\d+\s+-?\d+\s+-?\d+\s*$"))

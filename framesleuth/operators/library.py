@@ -246,7 +246,8 @@ def stream_changes(pairs: DataFrame, codec: str, frames: Column | None = None, v
         rate = compatible_measured_rate(a("frame_rate"), b("frame_rate"), frames if frames is not None else F.lit(0))
     checks.append((~primary | rate, "frame_rate"))
     matrix = lambda p: meta.display_matrix(F.col(f"{p}_matrix"))
-    checks.append((~primary | matrix("a").eqNullSafe(matrix("b")), "display_matrix"))
+    undeclared = F.col("a_matrix").isNull() & F.col("b_matrix").isNull()
+    checks.append((~primary | undeclared | (matrix("a") == matrix("b")), "display_matrix"))
     checks += [(primary | same(c), c) for c in COPIED_KEYS]
     before, after = meta.canonical_tags(a("tags")), meta.canonical_tags(b("tags"))
     checks.append((before.isNotNull() & after.isNotNull(), "conflicting tags"))

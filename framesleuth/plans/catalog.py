@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesleuth.plans import comparison, ledgers, libraries, selection, timelines  # noqa: F401
+from framesleuth.plans import comparison, ledgers, libraries, selection, telemetries, timelines  # noqa: F401
 from framesleuth.plans.registry import ORACLES, QUERIES
 
 
