@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framesleuth.operators import timeline
 from framesleuth.plans.registry import plain, query
-from framesleuth.plans.tables import ATTEMPT_SQL, PACKET_SQL, attempts, packets, table
+from framesleuth.plans.tables import ATTEMPT_SQL, FILE_SQL, attempts, file_packets, table
 from framesleuth.session import shared_dir
 from framesleuth.sources import sinks, text
 
@@ -35,10 +35,10 @@ def _group():
 
 @query(
     "evidence_text_roundtrip",
-    f"""WITH {PACKET_SQL} SELECT track, ordinal, pts - {ORIGIN} AS pts, coalesce(dur, -1) AS dur, size, flags, hash FROM packet WHERE event_id % 10 <> 3""",
+    f"""WITH {FILE_SQL} SELECT track, ordinal, pts - {ORIGIN} AS pts, coalesce(dur, -1) AS dur, size, flags, hash FROM packet WHERE event_id % 10 <> 3""",
 )
 def evidence_text_roundtrip(spark, folder):
-    p = packets(spark, folder).where(F.col("event_id") % 10 != 3).withColumn("pts", F.col("pts") - ORIGIN)
+    p = file_packets(spark, folder).where(F.col("event_id") % 10 != 3).withColumn("pts", F.col("pts") - ORIGIN)
     line = F.concat_ws(
         "|", F.concat(F.lit("stream_index="), F.col("track").cast("string")), F.concat(F.lit("pts_time="), _seconds(F.col("pts"))), F.lit("dts_time=N/A"),
         F.concat(F.lit("duration_time="), F.coalesce(_seconds(F.col("dur")), F.lit("N/A"))), F.concat(F.lit("size="), F.col("size").cast("string")),
@@ -57,17 +57,17 @@ def evidence_text_roundtrip(spark, folder):
 
     numbered = ordered.number_rows(typed, ["track"], ["pts"])
     # The oracle numbers before the filter, so recover the source position.
-    position = packets(spark, folder).select("track", (F.col("pts") - ORIGIN).alias("pts"), F.col("ordinal").alias("_o"))
+    position = file_packets(spark, folder).select("track", (F.col("pts") - ORIGIN).alias("pts"), F.col("ordinal").alias("_o"))
     return plain(numbered.join(position, ["track", "pts"]).select("track", F.col("_o").alias("ordinal"), "pts", "dur", "size", "flags", "hash"))
 
 
 @query(
     "evidence_packet_reader",
-    f"""WITH {PACKET_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ordinal) AS o FROM packet WHERE track % 10 = 0)
+    f"""WITH {FILE_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ordinal) AS o FROM packet WHERE track % 10 = 0)
     SELECT track, o AS ordinal, pts - {ORIGIN} AS pts, size, CASE WHEN event_id % 97 = 0 THEN '' ELSE hash END AS hash, CASE WHEN event_id % 97 = 0 THEN 'missing packet hash evidence' ELSE '' END AS reason FROM f""",
 )
 def evidence_packet_reader(spark, folder):
-    p = packets(spark, folder).where(F.col("track") % 10 == 0)
+    p = file_packets(spark, folder).where(F.col("track") % 10 == 0)
     hashed = F.when(F.col("event_id") % 97 != 0, F.concat(F.lit("|data_hash=SHA256:"), "hash")).otherwise("")
     line = F.concat(
         F.lit("packet|stream_index="), F.col("track").cast("string"), F.lit("|pts_time="), _seconds(F.col("pts") - ORIGIN), F.lit("|size=0|size="), F.col("size").cast("string"), hashed
@@ -79,10 +79,10 @@ def evidence_packet_reader(spark, folder):
 
 @query(
     "hash_listing",
-    f"""WITH {PACKET_SQL} SELECT track, ordinal, CAST(CASE WHEN ordinal > 20 THEN 48000 ELSE 1000 END AS BIGINT) AS tb_den, (pts - {ORIGIN}) // 1000 AS pts, size, CASE WHEN event_id % 59 = 0 THEN 'invalid decoded hash evidence' ELSE '' END AS reason FROM packet""",
+    f"""WITH {FILE_SQL} SELECT track, ordinal, CAST(CASE WHEN ordinal > 20 THEN 48000 ELSE 1000 END AS BIGINT) AS tb_den, (pts - {ORIGIN}) // 1000 AS pts, size, CASE WHEN event_id % 59 = 0 THEN 'invalid decoded hash evidence' ELSE '' END AS reason FROM packet""",
 )
 def hash_listing(spark, folder):
-    p = packets(spark, folder)
+    p = file_packets(spark, folder)
     tick = F.call_function("div", F.col("pts") - ORIGIN, F.lit(1000)).cast("string")
     digest = F.when(F.col("event_id") % 59 == 0, "short").otherwise(F.sha2("hash", 256))
     row = F.concat_ws(", ", F.lit("0"), tick, tick, F.lit("10"), F.col("size").cast("string"), digest)
@@ -97,10 +97,10 @@ def hash_listing(spark, folder):
 
 @query(
     "process_table",
-    f"""WITH {PACKET_SQL} SELECT track, event_id AS pid, event_id % 4 AS gpu, CASE WHEN event_id % 3 = 0 THEN -1 ELSE level % 101 END AS sm, CASE WHEN event_id % 43 = 0 THEN 'unrecognized process telemetry' ELSE '' END AS reason FROM packet WHERE event_id % 50 <> 0""",
+    f"""WITH {FILE_SQL} SELECT track, event_id AS pid, event_id % 4 AS gpu, CASE WHEN event_id % 3 = 0 THEN -1 ELSE level % 101 END AS sm, CASE WHEN event_id % 43 = 0 THEN 'unrecognized process telemetry' ELSE '' END AS reason FROM packet WHERE event_id % 50 <> 0""",
 )
 def process_table(spark, folder):
-    p, e = packets(spark, folder), F.col("event_id")
+    p, e = file_packets(spark, folder), F.col("event_id")
     sm = F.when(e % 3 == 0, "-").otherwise((F.col("level") % 101).cast("string"))
     enc = F.when(e % 43 == 0, "250").otherwise("5")
     row = F.concat_ws("   ", (e % 4).cast("string"), F.when(e % 50 == 0, "-").otherwise(e.cast("string")), F.lit("C"), sm, enc, F.lit("-"), F.lit("app"))
@@ -113,11 +113,11 @@ def process_table(spark, folder):
 
 @query(
     "cache_memory",
-    f"""WITH {PACKET_SQL}, g AS (SELECT track, max(level) AS a, min(level) AS b, max(size) AS c FROM packet GROUP BY track)
+    f"""WITH {FILE_SQL}, g AS (SELECT track, max(level) AS a, min(level) AS b, max(size) AS c FROM packet GROUP BY track)
     SELECT track, CASE WHEN track % 9 = 0 THEN -1 ELSE a END AS resident, CASE WHEN track % 9 = 0 THEN -1 ELSE least(greatest(0, a - b), 4 * c) END AS reclaimable, CASE WHEN track % 9 = 0 THEN 'incomplete cache telemetry' ELSE '' END AS reason FROM g""",
 )
 def cache_memory(spark, folder):
-    g = packets(spark, folder).groupBy("track").agg(F.max("level").alias("a"), F.min("level").alias("b"), F.max("size").alias("c"))
+    g = file_packets(spark, folder).groupBy("track").agg(F.max("level").alias("a"), F.min("level").alias("b"), F.max("size").alias("c"))
     line = lambda name, value: F.concat(F.lit(f"{name} 4 "), value.cast("string"))
     body = [line("size", F.col("a")), line("c_min", F.col("b"))] + [line(k, F.col("c")) for k in text.CACHE_KEYS[2:6]]
     body.append(F.when(F.col("track") % 9 == 0, "arc_need_free 9 0").otherwise("arc_need_free 3 0"))
@@ -128,7 +128,7 @@ def cache_memory(spark, folder):
 
 @query(
     "progress_log",
-    f"""WITH {PACKET_SQL}, l AS (SELECT track, max(ordinal) AS n FROM packet GROUP BY track)
+    f"""WITH {FILE_SQL}, l AS (SELECT track, max(ordinal) AS n FROM packet GROUP BY track)
     SELECT track, least(1000, n * 11) AS overall_tenths, CASE WHEN n >= 2 THEN 'Encoding' ELSE '' END AS label, CASE WHEN n >= 2 THEN (n // 2 * 2) % 100 ELSE -1 END AS percent, CASE WHEN n >= 2 THEN n // 2 * 2 * 3 ELSE -1 END AS elapsed, CASE WHEN n >= 2 THEN CAST(77 AS BIGINT) ELSE -1 END AS eta FROM l""",
 )
 def progress_log(spark, folder):
@@ -137,14 +137,14 @@ def progress_log(spark, folder):
     overall = F.format_string("PROGRESS=%d.%d", F.call_function("div", o * 11, F.lit(10)), o * 11 % 10)
     line = F.when(o % 2 == 0, F.concat_ws("\n", bar, overall)).otherwise(overall)
     path = _fresh(spark, "progress")
-    _write_lines(packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
+    _write_lines(file_packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
     rows = text.latest_progress(text.read_lines(spark, path))
     return plain(rows.select(_group(), F.round(F.col("overall") * 10).cast("long").alias("overall_tenths"), "label", F.col("percent").cast("long").alias("percent"), "elapsed", "eta"))
 
 
 @query(
     "decoder_diagnostics",
-    f"""WITH {PACKET_SQL}, g AS (SELECT track, count(*) AS n, CAST(count(*) FILTER (WHERE ordinal % 4 = 0) * 3 + count(*) FILTER (WHERE ordinal % 4 IN (1, 3)) AS BIGINT) AS issues, min(ordinal) FILTER (WHERE event_id % 331 = 0) AS fatal, min(ordinal) FILTER (WHERE event_id % 173 = 0 AND event_id % 331 <> 0) AS other FROM packet GROUP BY track),
+    f"""WITH {FILE_SQL}, g AS (SELECT track, count(*) AS n, CAST(count(*) FILTER (WHERE ordinal % 4 = 0) * 3 + count(*) FILTER (WHERE ordinal % 4 IN (1, 3)) AS BIGINT) AS issues, min(ordinal) FILTER (WHERE event_id % 331 = 0) AS fatal, min(ordinal) FILTER (WHERE event_id % 173 = 0 AND event_id % 331 <> 0) AS other FROM packet GROUP BY track),
     c AS (SELECT g.*, (SELECT CAST(count(*) FILTER (WHERE event_id % 331 <> 0 AND event_id % 173 <> 0 AND ordinal % 4 = 0) * 3 + count(*) FILTER (WHERE event_id % 331 <> 0 AND event_id % 173 <> 0 AND ordinal % 4 IN (1, 3)) AS BIGINT) FROM packet p WHERE p.track = g.track) AS seen FROM g)
     SELECT track, CASE WHEN fatal IS NULL AND other IS NULL THEN seen ELSE -1 END AS issues, CASE WHEN fatal IS NOT NULL THEN 'could not complete: Input/output error' WHEN other IS NOT NULL THEN 'unexplained: strange' ELSE '' END AS reason FROM c""",
 )
@@ -155,39 +155,39 @@ def decoder_diagnostics(spark, folder):
         .when(o % 4 == 2, "[aist#0:1/aac @ 0x55] [dec:aac @ 0x66] Error submitting packet to decoder: Invalid data found when processing input").otherwise("[aac @ 0x1f] decode error")
     )
     path = _fresh(spark, "decoder")
-    _write_lines(packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
+    _write_lines(file_packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
     return plain(text.audio_diagnostics(text.read_lines(spark, path), ["aac"]).select(_group(), "issues", "reason"))
 
 
 @query(
     "crc_diagnostics",
-    f"""WITH {PACKET_SQL}, k AS (SELECT track, ordinal, event_id % 3 < 2 AS crc, lag(event_id % 3 < 2, 1, false) OVER (PARTITION BY track ORDER BY ordinal) AS p FROM packet)
+    f"""WITH {FILE_SQL}, k AS (SELECT track, ordinal, event_id % 3 < 2 AS crc, lag(event_id % 3 < 2, 1, false) OVER (PARTITION BY track ORDER BY ordinal) AS p FROM packet)
     SELECT track, count(*) FILTER (WHERE crc) AS mismatches, CASE WHEN count(*) FILTER (WHERE NOT crc AND NOT p) > 0 THEN '[aist#0:1/ac3 @ 0x55] [dec:ac3 @ 0x66] Error submitting packet to decoder: Invalid data found when processing input' ELSE '' END AS unexplained FROM k GROUP BY track""",
 )
 def crc_diagnostics(spark, folder):
     wrapper = "[aist#0:1/ac3 @ 0x55] [dec:ac3 @ 0x66] Error submitting packet to decoder: Invalid data found when processing input"
     line = F.when(F.col("event_id") % 3 < 2, "[ac3 @ 0x1f] frame CRC mismatch").otherwise(wrapper)
     path = _fresh(spark, "crc")
-    _write_lines(packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
+    _write_lines(file_packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
     return plain(text.crc_diagnostics(text.read_lines(spark, path)).select(_group(), "mismatches", "unexplained"))
 
 
 @query(
     "terminal_reasons",
-    f"""WITH {PACKET_SQL}, m AS (SELECT track, max(ordinal) FILTER (WHERE event_id % 19 = 0) AS mark, max(ordinal) FILTER (WHERE event_id % 5 = 0 AND event_id % 19 <> 0) AS err FROM packet GROUP BY track)
+    f"""WITH {FILE_SQL}, m AS (SELECT track, max(ordinal) FILTER (WHERE event_id % 19 = 0) AS mark, max(ordinal) FILTER (WHERE event_id % 5 = 0 AND event_id % 19 <> 0) AS err FROM packet GROUP BY track)
     SELECT m.track, CASE WHEN err > mark THEN 'bad ' || event_id ELSE '' END AS reason FROM m LEFT JOIN packet p ON p.track = m.track AND p.ordinal = err""",
 )
 def terminal_reasons(spark, folder):
     e = F.col("event_id")
     line = F.when(e % 19 == 0, text.TRACE_MARK).when(e % 5 == 0, F.concat(F.lit("app.errors.ValueError: bad "), e.cast("string"))).otherwise("note")
     path = _fresh(spark, "failure")
-    _write_lines(packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
+    _write_lines(file_packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
     return plain(text.terminal_reasons(text.read_lines(spark, path)).select(_group(), "reason"))
 
 
 @query(
     "frame_json_reader",
-    f"""WITH {PACKET_SQL}, r AS (SELECT track, ordinal, CASE WHEN event_id % 71 = 0 THEN '' WHEN event_id % 2 = 0 THEN '{{"pts": ' || (pts - {ORIGIN}) || ', "side": [1, 2]}}' ELSE '{{"pts": ' || (pts - {ORIGIN}) || ', "side": 1}}' END AS record FROM packet)
+    f"""WITH {FILE_SQL}, r AS (SELECT track, ordinal, CASE WHEN event_id % 71 = 0 THEN '' WHEN event_id % 2 = 0 THEN '{{"pts": ' || (pts - {ORIGIN}) || ', "side": [1, 2]}}' ELSE '{{"pts": ' || (pts - {ORIGIN}) || ', "side": 1}}' END AS record FROM packet)
     SELECT track, ordinal, record, CASE WHEN track % 11 = 0 THEN 'truncated' ELSE '' END AS reason FROM r""",
 )
 def frame_json_reader(spark, folder):
@@ -197,7 +197,7 @@ def frame_json_reader(spark, folder):
     body = F.when(e % 71 == 0, '{"pts":').otherwise(body)
     line = F.concat(F.when(o == 1, '{"frames": [\n').otherwise(""), body, F.when(~last, ",").when(F.col("track") % 11 == 0, "").otherwise("\n]}"))
     path = _fresh(spark, "frames")
-    _write_lines(packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
+    _write_lines(file_packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
     lines = text.read_lines(spark, path)
     records = text.frame_records(lines).withColumn("ordinal", F.col("line_no") - 1)
     status = text.frame_file_status(lines).select("file", "reason")
@@ -206,7 +206,7 @@ def frame_json_reader(spark, folder):
 
 @query(
     "scene_coverage",
-    f"""WITH {PACKET_SQL}, s AS (SELECT track, ordinal - 1 + CASE WHEN event_id % 457 = 0 THEN 1 ELSE 0 END AS idx, ordinal FROM packet)
+    f"""WITH {FILE_SQL}, s AS (SELECT track, ordinal - 1 + CASE WHEN event_id % 457 = 0 THEN 1 ELSE 0 END AS idx, ordinal FROM packet)
     SELECT track, count(*) AS records, count(*) FILTER (WHERE idx <> ordinal - 1) AS misplaced, coalesce(min(ordinal) FILTER (WHERE idx <> ordinal - 1), -1) AS first_bad_ordinal, CASE WHEN count(*) FILTER (WHERE idx <> ordinal - 1) > 0 THEN 'coverage is missing, duplicated or reordered'
       WHEN count(*) < 60 THEN 'coverage incomplete' ELSE '' END AS reason FROM s GROUP BY track""",
 )
@@ -215,7 +215,7 @@ def scene_coverage(spark, folder):
     entry = F.format_string('{"SequenceFrameIndex": %d}%s', index, F.when(F.col("dur").isNull(), "").otherwise(","))
     line = F.concat(F.when(F.col("ordinal") == 1, '{"SceneInfo": [\n').otherwise(""), entry, F.when(F.col("dur").isNull(), "\n]}").otherwise(""))
     path = _fresh(spark, "scenes")
-    _write_lines(packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
+    _write_lines(file_packets(spark, folder).select("track", "ordinal", line.alias("value")), path)
     scenes = text.scene_records(spark, path).select(_group(), "ordinal", "frame_index")
     return plain(timeline.sequence_coverage(scenes, ["track"], "frame_index", F.lit(60)))
 
@@ -230,10 +230,10 @@ def json_ledger(spark, folder):
 
 @query(
     "status_documents",
-    f"""WITH {PACKET_SQL} SELECT track, max(event_id) AS last, count(*) AS n, false AS malformed FROM packet WHERE track % 10 = 1 GROUP BY track""",
+    f"""WITH {FILE_SQL} SELECT track, max(event_id) AS last, count(*) AS n, false AS malformed FROM packet WHERE track % 10 = 1 GROUP BY track""",
 )
 def status_documents(spark, folder):
-    g = packets(spark, folder).where(F.col("track") % 10 == 1).groupBy("track").agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    g = file_packets(spark, folder).where(F.col("track") % 10 == 1).groupBy("track").agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
     path = _fresh(spark, "status")
     doc = F.to_json(F.struct("last", "n"))
     _write_lines(g.select("track", F.lit(1).alias("ordinal"), doc.alias("value")), path)
@@ -243,11 +243,11 @@ def status_documents(spark, folder):
 
 @query(
     "split_tracks",
-    f"WITH {PACKET_SQL} SELECT track, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM packet WHERE track IN (1, 2, 3) GROUP BY track",
+    f"WITH {FILE_SQL} SELECT track, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM packet WHERE track IN (1, 2, 3) GROUP BY track",
 )
 def split_tracks(spark, folder):
     path = _fresh(spark, "tracks")
-    text.split_tracks(packets(spark, folder), path, [1, 2, 3])
+    text.split_tracks(file_packets(spark, folder), path, [1, 2, 3])
     back = spark.read.parquet(path).select(F.col("track").cast("long").alias("track"), "size")
     return plain(back.groupBy("track").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes")))
 
@@ -267,11 +267,11 @@ def csv_export(spark, folder):
 
 @query(
     "timestamp_list",
-    f"""WITH {PACKET_SQL}, p AS (SELECT track, pts - {ORIGIN} AS t, dur FROM packet WHERE track % 5 = 0), u AS (SELECT track, t FROM p UNION ALL SELECT track, t + 40000 FROM p WHERE dur IS NULL)
+    f"""WITH {FILE_SQL}, p AS (SELECT track, pts - {ORIGIN} AS t, dur FROM packet WHERE track % 5 = 0), u AS (SELECT track, t FROM p UNION ALL SELECT track, t + 40000 FROM p WHERE dur IS NULL)
     SELECT track, (t // 1000) || '.' || printf('%03d', t % 1000) || '000000' AS value FROM u""",
 )
 def timestamp_list(spark, folder):
-    p = packets(spark, folder).where(F.col("track") % 5 == 0).select("track", "ordinal", (F.col("pts") - ORIGIN).alias("pts"), F.coalesce("dur", F.lit(40000)).alias("dur"))
+    p = file_packets(spark, folder).where(F.col("track") % 5 == 0).select("track", "ordinal", (F.col("pts") - ORIGIN).alias("pts"), F.coalesce("dur", F.lit(40000)).alias("dur"))
     path = _fresh(spark, "timestamps")
     sinks.write_timestamps(p, ["track"], path, True)
     return plain(spark.read.text(path).select(F.col("track").cast("long").alias("track"), "value"))
@@ -295,12 +295,12 @@ def inventory_sink(spark, folder):
 
 @query(
     "inventory_scan",
-    f"""WITH {PACKET_SQL} SELECT track, count(*) * 2 AS bytes FROM packet WHERE track % 10 IN (1, 3, 4) AND track <> 3 GROUP BY track""",
+    f"""WITH {FILE_SQL} SELECT track, count(*) * 2 AS bytes FROM packet WHERE track % 10 IN (1, 3, 4) AND track <> 3 GROUP BY track""",
 )
 def inventory_scan(spark, folder):
     """Files written per track, found again by the recursive inventory: one track
     is an excluded root, and other extensions are passed over."""
-    p = packets(spark, folder).where(F.col("track") % 10 < 5).select("track", F.lit("x").alias("value"))
+    p = file_packets(spark, folder).where(F.col("track") % 10 < 5).select("track", F.lit("x").alias("value"))
     path = _fresh(spark, "media")
     p.where(F.col("track") % 10 != 2).repartition(8, "track").write.option("extension", "mkv").partitionBy("track").csv(path)
     p.where(F.col("track") % 10 == 2).repartition(8, "track").write.mode("append").option("extension", "txt").partitionBy("track").csv(path)
@@ -311,13 +311,13 @@ def inventory_scan(spark, folder):
 
 @query(
     "manifest_state",
-    f"""WITH {PACKET_SQL}, l AS (SELECT track, event_id % 40 AS f, arg_max(size, ordinal) AS size, arg_max(event_id, ordinal) AS m FROM packet GROUP BY 1, 2)
+    f"""WITH {FILE_SQL}, l AS (SELECT track, event_id % 40 AS f, arg_max(size, ordinal) AS size, arg_max(event_id, ordinal) AS m FROM packet GROUP BY 1, 2)
     SELECT CASE WHEN f = 39 THEN '../' ELSE '' END || 't' || track || '/f' || f AS path, CASE WHEN f = 39 THEN 'unsafe path' WHEN f % 5 = 0 THEN 'gone' WHEN m % 3 = 0 THEN 'changed; review' ELSE 'registered' END AS state FROM l""",
 )
 def manifest_state(spark, folder):
     f = F.col("event_id") % 40
     name = F.concat(F.when(f == 39, "../").otherwise(""), F.lit("t"), F.col("track").cast("string"), F.lit("/f"), f.cast("string"))
-    entries = packets(spark, folder).select(name.alias("path"), F.col("ordinal").alias("line_no"), "size", F.col("event_id").alias("mtime"))
+    entries = file_packets(spark, folder).select(name.alias("path"), F.col("ordinal").alias("line_no"), "size", F.col("event_id").alias("mtime"))
     newest = entries.groupBy("path").agg(F.max_by(F.struct("size", "mtime"), "line_no").alias("e"))
     files = newest.where(F.regexp_extract("path", r"f(\d+)$", 1).cast("int") % 5 != 0).select("path", "e.size", (F.col("e.mtime") + F.when(F.col("e.mtime") % 3 == 0, 1).otherwise(0)).alias("mtime"))
     return plain(text.manifest_state(entries, files))

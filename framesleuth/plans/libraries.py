@@ -168,7 +168,7 @@ def hdr_kind(spark, folder):
     "stream_changes",
     f"""WITH {INVENTORY_SQL} SELECT id, array_to_string(list_filter([CASE WHEN id % 41 = 0 THEN 'disposition' END, CASE WHEN prim AND id % 43 = 0 THEN 'width' END, CASE WHEN prim AND id % 47 = 0 THEN 'codec' END, CASE WHEN prim AND id % 53 = 0 THEN 'sar' END,
       CASE WHEN prim AND id % 59 = 0 THEN 'frame_rate' END, CASE WHEN prim AND id % 61 = 0 THEN 'display_matrix' END, CASE WHEN NOT prim AND id % 67 = 0 THEN 'channels' END, CASE WHEN id % 71 = 0 THEN 'conflicting tags' END,
-      CASE WHEN id % 73 = 0 AND id % 71 <> 0 THEN 'tag language' END, CASE WHEN id % 79 = 0 OR id % 71 = 0 THEN 'tag title' END], lambda x: x IS NOT NULL), ',') AS changed FROM (SELECT *, id % 2 = 0 AS prim FROM inv)""",
+      CASE WHEN id % 73 = 0 AND id % 71 <> 0 THEN 'tag language' END, CASE WHEN (id % 79 = 0 AND id % 73 <> 0) OR id % 71 = 0 THEN 'tag title' END], lambda x: x IS NOT NULL), ',') AS changed FROM (SELECT *, id % 2 = 0 AS prim FROM inv)""",
 )
 def stream_changes(spark, folder):
     rows = inventory(spark, folder)

@@ -33,11 +33,19 @@ def cents(value: Column) -> Column:
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
     """Packet evidence: one track per user, in time order."""
+    return _packets(spark, folder, "packets", F.col("user_id"))
 
+
+def file_packets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same packets in 40 larger groups, for evidence written as text files."""
+    return _packets(spark, folder, "file-packets", F.col("user_id") % 40)
+
+
+def _packets(spark: SparkSession, folder: str, label: str, track: Column) -> DataFrame:
     def build() -> DataFrame:
         e = table(spark, folder, "events")
         flat = e.select(
-            F.col("user_id").alias("track"), "event_id", F.col("event_id").alias("pos"), F.col("event_type").alias("kind"),
+            track.alias("track"), "event_id", F.col("event_id").alias("pos"), F.col("event_type").alias("kind"),
             micros(F.col("ts")).alias("pts"), F.length("props").cast("long").alias("size"), cents(F.col("value")).alias("level"),
             F.md5(F.concat_ws("|", "event_type", cents(F.col("value")).cast("string"), "props")).alias("hash"),
             F.when(F.col("event_type") == "purchase", "K__").when(F.col("event_type") == "error", "_D_").otherwise("___").alias("flags"),
@@ -48,7 +56,7 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
             "*", (F.col("following") - F.col("pts")).alias("dur"), (F.col("pts") - 40000 * (F.col("event_id") % 3)).alias("dts")
         ).drop("following")
 
-    return once(spark, folder, "packets", build)
+    return once(spark, folder, label, build)
 
 
 def damaged_packets(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +84,8 @@ PACKET_SQL = """packet AS (
     epoch_us(ts) - 40000 * (event_id % 3) AS dts
   FROM events WINDOW t AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
+FILE_SQL = PACKET_SQL.replace("user_id AS track", "user_id % 40 AS track").replace("PARTITION BY user_id", "PARTITION BY user_id % 40")
+
 COPY_SQL = PACKET_SQL + """,
 copied AS (
   SELECT track, event_id, pos, kind, size, level, flags,
