@@ -59,9 +59,20 @@ def canonical_side_data(side: Column) -> Column:
 
 
 def same_side_data(left: Column, right: Column) -> Column:
-    """Equal side data; the exact form is worked out only where the texts differ."""
-    plain = lambda s: F.transform(F.coalesce(s, F.array()), lambda m: F.map_entries(m))
-    return (plain(left) == plain(right)) | canonical_side_data(left).eqNullSafe(canonical_side_data(right))
+    """Equal side data in the same order; mastering values may be written as
+    different fractions of the same number."""
+
+    def same_value(key: Column, a: Column, b: Column, mastering: Column) -> Column:
+        return (a == b) | (mastering & key.isin(*MASTERING_FIELDS) & numeric_equal(a, b))
+
+    def same_entry(pair: Column) -> Column:
+        l, r = pair["l"], pair["r"]
+        mastering = F.element_at(l, F.lit(SIDE_TYPE)) == MASTERING
+        values = F.forall(F.map_entries(l), lambda e: F.coalesce(same_value(e["key"], e["value"], F.element_at(r, e["key"]), mastering), F.lit(False)))
+        return F.coalesce((F.size(l) == F.size(r)) & values, F.lit(False))
+
+    a, b = F.coalesce(left, F.array()), F.coalesce(right, F.array())
+    return (F.size(a) == F.size(b)) & F.forall(F.arrays_zip(a.alias("l"), b.alias("r")), same_entry)
 
 
 def quantise_for_av1(entry: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framesleuth.functions.checks import first_failure, verdicts
 from framesleuth.functions.rational import differs
 from framesleuth.operators import ordered
+from framesleuth.session import materialise
 
 # Two primes below 2^31: products of two residues fit a BIGINT.
 _PRIMES = (2147483647, 2147483629)
@@ -131,9 +132,10 @@ def find_slices(source: DataFrame, samples: DataFrame, keys: Sequence[str], expe
     """
     keys = list(keys)
     weighted = source.select(*keys, "ordinal", "hash", "pts", *[w.alias(f"_w{i}") for i, w in enumerate(_weights())])
-    prefix = ordered.scan(
+    # Read twice below (window starts and ends), so the prefix sums are written.
+    prefix = materialise(ordered.scan(
         weighted, keys, "ordinal", block_rows, _p0=ordered.running_sum(F.col("_w0")), _p1=ordered.running_sum(F.col("_w1"))
-    ).select(*keys, "ordinal", "hash", "pts", "_w0", "_w1", "_p0", "_p1")
+    ).select(*keys, "ordinal", "hash", "pts", "_w0", "_w1", "_p0", "_p1"), "prefix")
     heads = samples.select("sample_id", *keys, "ordinal", "hash", "pts", *[w.alias(f"_w{i}") for i, w in enumerate(_weights())])
     heads = heads.groupBy("sample_id", *keys).agg(
         F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("hash", "pts"), F.col("ordinal")).alias("_head"),

@@ -320,7 +320,9 @@ def owned_processes(processes: DataFrame, table: DataFrame, owner: int, namespac
     pid, parent, start_ticks.  Parent links are doubled every round, so a chain
     of n needs log2(n) joins and a cycle ends after log2(table size).
     """
-    current = materialise(table.select("pid", F.col("parent").alias("jump"), (F.col("pid") == owner).alias("hit"), F.lit(False).alias("lost")), "jumps")
+    # A link back to the process itself leads nowhere, so it ends the chain.
+    onward = lambda link: F.when(link == F.col("pid"), 0).otherwise(link)
+    current = materialise(table.select("pid", onward(F.col("parent")).alias("jump"), (F.col("pid") == owner).alias("hit"), F.lit(False).alias("lost")), "jumps")
     n = max(2, current.count())
     for _ in range(math.ceil(math.log2(n)) + 1):
         ahead = current.select(F.col("pid").alias("jump"), F.col("jump").alias("_next"), F.col("hit").alias("_hit"), F.col("lost").alias("_lost"), F.lit(True).alias("_known"))
@@ -332,7 +334,7 @@ def owned_processes(processes: DataFrame, table: DataFrame, owner: int, namespac
         found = F.col("hit") | holds(F.col("jump") == owner) | F.coalesce("_hit", F.lit(False))
         current = materialise(
             moved.select(
-                "pid", F.when(live & F.col("_known").isNotNull(), F.col("_next")).otherwise(0).alias("jump"), found.alias("hit"),
+                "pid", onward(F.when(live & F.col("_known").isNotNull(), F.col("_next")).otherwise(0)).alias("jump"), found.alias("hit"),
                 (~found & (F.col("lost") | (live & F.col("_known").isNull()) | F.coalesce("_lost", F.lit(False)))).alias("lost"),
             ), "jumps",
         )

@@ -479,8 +479,9 @@ def unit_inventory(units: DataFrame) -> DataFrame:
 
 
 def metadata_digest(records: DataFrame, keys: Sequence[str], document: Column, kind: Column, block_rows: int = 4096) -> DataFrame:
-    """Ordered digest of canonical metadata records plus the kinds that occur."""
+    """Ordered digest of canonical metadata records, beside each kind that occurs
+    (one row per kind)."""
     canonical = records.withColumn("_doc", document).withColumn("_kind", kind)
     prints = track_fingerprints(canonical, keys, ["_doc"], block_rows)
-    kinds = canonical.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("_kind")), ",").alias("kinds"))
+    kinds = canonical.groupBy(*keys, F.col("_kind").alias("kind")).agg(F.count(F.lit(1)).alias("records"))
     return prints.join(kinds, list(keys))

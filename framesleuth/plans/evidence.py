@@ -35,10 +35,10 @@ def _group():
 
 @query(
     "evidence_text_roundtrip",
-    f"""WITH {FILE_SQL} SELECT track, ordinal, pts - {ORIGIN} AS pts, coalesce(dur, -1) AS dur, size, flags, hash FROM packet WHERE event_id % 10 <> 3""",
+    f"""WITH {FILE_SQL} SELECT track, ordinal, pts - {ORIGIN} AS pts, coalesce(dur, -1) AS dur, size, flags, hash FROM packet""",
 )
 def evidence_text_roundtrip(spark, folder):
-    p = file_packets(spark, folder).where(F.col("event_id") % 10 != 3).withColumn("pts", F.col("pts") - ORIGIN)
+    p = file_packets(spark, folder).withColumn("pts", F.col("pts") - ORIGIN)
     line = F.concat_ws(
         "|", F.concat(F.lit("stream_index="), F.col("track").cast("string")), F.concat(F.lit("pts_time="), _seconds(F.col("pts"))), F.lit("dts_time=N/A"),
         F.concat(F.lit("duration_time="), F.coalesce(_seconds(F.col("dur")), F.lit("N/A"))), F.concat(F.lit("size="), F.col("size").cast("string")),
@@ -63,11 +63,11 @@ def evidence_text_roundtrip(spark, folder):
 
 @query(
     "evidence_packet_reader",
-    f"""WITH {FILE_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ordinal) AS o FROM packet WHERE track % 10 = 0)
+    f"""WITH {FILE_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ordinal) AS o FROM packet)
     SELECT track, o AS ordinal, pts - {ORIGIN} AS pts, size, CASE WHEN event_id % 97 = 0 THEN '' ELSE hash END AS hash, CASE WHEN event_id % 97 = 0 THEN 'missing packet hash evidence' ELSE '' END AS reason FROM f""",
 )
 def evidence_packet_reader(spark, folder):
-    p = file_packets(spark, folder).where(F.col("track") % 10 == 0)
+    p = file_packets(spark, folder)
     hashed = F.when(F.col("event_id") % 97 != 0, F.concat(F.lit("|data_hash=SHA256:"), "hash")).otherwise("")
     line = F.concat(
         F.lit("packet|stream_index="), F.col("track").cast("string"), F.lit("|pts_time="), _seconds(F.col("pts") - ORIGIN), F.lit("|size=0|size="), F.col("size").cast("string"), hashed
@@ -220,20 +220,20 @@ def scene_coverage(spark, folder):
     return plain(timeline.sequence_coverage(scenes, ["track"], "frame_index", F.lit(60)))
 
 
-@query("json_ledger", f"WITH {ATTEMPT_SQL} SELECT id, state, size FROM att WHERE size IS NOT NULL AND id % 4 = 0")
+@query("json_ledger", f"WITH {ATTEMPT_SQL} SELECT id, state, coalesce(size, -1) AS size FROM att")
 def json_ledger(spark, folder):
     path = _fresh(spark, "ledger")
-    attempts(spark, folder).where(F.col("size").isNotNull() & (F.col("id") % 4 == 0)).select("id", "state", "size").write.json(path)
+    attempts(spark, folder).select("id", "state", "size").write.json(path)
     rows = spark.read.schema("id long, state string, size long").json(path)
     return plain(rows)
 
 
 @query(
     "status_documents",
-    f"""WITH {FILE_SQL} SELECT track, max(event_id) AS last, count(*) AS n, false AS malformed FROM packet WHERE track % 10 = 1 GROUP BY track""",
+    f"""WITH {FILE_SQL} SELECT track, max(event_id) AS last, count(*) AS n, false AS malformed FROM packet GROUP BY track""",
 )
 def status_documents(spark, folder):
-    g = file_packets(spark, folder).where(F.col("track") % 10 == 1).groupBy("track").agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    g = file_packets(spark, folder).groupBy("track").agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
     path = _fresh(spark, "status")
     doc = F.to_json(F.struct("last", "n"))
     _write_lines(g.select("track", F.lit(1).alias("ordinal"), doc.alias("value")), path)
@@ -267,11 +267,11 @@ def csv_export(spark, folder):
 
 @query(
     "timestamp_list",
-    f"""WITH {FILE_SQL}, p AS (SELECT track, pts - {ORIGIN} AS t, dur FROM packet WHERE track % 5 = 0), u AS (SELECT track, t FROM p UNION ALL SELECT track, t + 40000 FROM p WHERE dur IS NULL)
+    f"""WITH {FILE_SQL}, p AS (SELECT track, pts - {ORIGIN} AS t, dur FROM packet), u AS (SELECT track, t FROM p UNION ALL SELECT track, t + 40000 FROM p WHERE dur IS NULL)
     SELECT track, (t // 1000) || '.' || printf('%03d', t % 1000) || '000000' AS value FROM u""",
 )
 def timestamp_list(spark, folder):
-    p = file_packets(spark, folder).where(F.col("track") % 5 == 0).select("track", "ordinal", (F.col("pts") - ORIGIN).alias("pts"), F.coalesce("dur", F.lit(40000)).alias("dur"))
+    p = file_packets(spark, folder).select("track", "ordinal", (F.col("pts") - ORIGIN).alias("pts"), F.coalesce("dur", F.lit(40000)).alias("dur"))
     path = _fresh(spark, "timestamps")
     sinks.write_timestamps(p, ["track"], path, True)
     return plain(spark.read.text(path).select(F.col("track").cast("long").alias("track"), "value"))
@@ -295,18 +295,18 @@ def inventory_sink(spark, folder):
 
 @query(
     "inventory_scan",
-    f"""WITH {FILE_SQL} SELECT track, count(*) * 2 AS bytes FROM packet WHERE track % 10 IN (1, 3, 4) AND track <> 3 GROUP BY track""",
+    f"""WITH {FILE_SQL} SELECT track, count(*) * 2 AS bytes FROM packet WHERE track % 10 <> 2 AND track <> 3 GROUP BY track""",
 )
 def inventory_scan(spark, folder):
     """Files written per track, found again by the recursive inventory: one track
     is an excluded root, and other extensions are passed over."""
-    p = file_packets(spark, folder).where(F.col("track") % 10 < 5).select("track", F.lit("x").alias("value"))
+    p = file_packets(spark, folder).select("track", F.lit("x").alias("value"))
     path = _fresh(spark, "media")
     p.where(F.col("track") % 10 != 2).repartition(8, "track").write.option("extension", "mkv").partitionBy("track").csv(path)
     p.where(F.col("track") % 10 == 2).repartition(8, "track").write.mode("append").option("extension", "txt").partitionBy("track").csv(path)
     found = text.media_inventory(spark, path, excluded=[f"{path}/track=3"])
     sized = found.select(F.regexp_extract("path", r"track=(\d+)/", 1).cast("long").alias("track"), F.col("size_bytes"))
-    return plain(sized.where(F.col("track") % 10 != 0).groupBy("track").agg(F.sum("size_bytes").alias("bytes")))
+    return plain(sized.groupBy("track").agg(F.sum("size_bytes").alias("bytes")))
 
 
 @query(

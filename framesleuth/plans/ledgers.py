@@ -55,11 +55,11 @@ def result_view_batch(spark, folder):
 
 @query(
     "state_counts",
-    f"""WITH {ATTEMPT_SQL} SELECT coalesce(state, '') AS state, coalesce(reason, '') AS reason, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM att WHERE reason <> ''
+    f"""WITH {ATTEMPT_SQL} SELECT coalesce(state, '') AS state, coalesce(reason, '') AS reason, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM att
     GROUP BY GROUPING SETS ((state), (reason), ())""",
 )
 def state_counts(spark, folder):
-    rows = attempts(spark, folder).where(F.col("reason") != "")
+    rows = attempts(spark, folder)
     return plain(op.state_counts(rows, ["state", "reason"], "size"), "state", "reason", "files", "bytes")
 
 

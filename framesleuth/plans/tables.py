@@ -123,7 +123,7 @@ ENCODERS = {1: ("hevc", "hevc_nvenc", "p7"), 2: ("av1", "av1_nvenc", "p6"), 3: (
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem").where(F.col("l_linenumber") <= 3)
+    line = table(spark, folder, "lineitem")
     return line.groupBy(
         F.col("l_suppkey").alias("report"), F.col("l_linenumber").cast("long").alias("reference"),
         cents(F.col("l_discount")).alias("d"), cents(F.col("l_tax")).alias("t"),
@@ -195,7 +195,7 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 
 TRIAL_SQL = """base AS (
   SELECT l_suppkey AS report, CAST(l_linenumber AS BIGINT) AS reference, CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS t,
-    count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, 4),
+    count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS s FROM lineitem GROUP BY 1, 2, 3, 4),
 ks AS (SELECT CAST(k AS BIGINT) AS k, 't' || CAST(k AS VARCHAR) AS trial FROM (VALUES (1), (2), (3), (4), (5)) v(k)),
 scored AS (SELECT report, trial, k, reference, 10000 - 25 * k * d - 10 * t AS score, CAST(sum(n) AS BIGINT) AS n FROM base, ks GROUP BY 1, 2, 3, 4, 5),
 cumulated AS (SELECT *, sum(n) OVER (PARTITION BY report, trial, reference ORDER BY score) AS cum, sum(n) OVER (PARTITION BY report, trial, reference) AS total FROM scored),

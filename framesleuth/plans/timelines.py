@@ -407,7 +407,7 @@ def unit_inventory(spark, folder):
     b AS (SELECT track, i // 16 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, count(*) AS n FROM r GROUP BY track, i // 16),
     c AS (SELECT track, i // 16 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, sum(n) AS n FROM b GROUP BY track, i // 16),
     e AS (SELECT track, i // 16 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, sum(n) AS n FROM c GROUP BY track, i // 16)
-    SELECT track, CAST(n AS BIGINT) AS packets, d AS fingerprint, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT kind AS k FROM r WHERE r.track = e.track)) AS kinds FROM e""",
+    SELECT e.track, CAST(e.n AS BIGINT) AS packets, e.d AS fingerprint, k.kind, k.records FROM e JOIN (SELECT track, kind, count(*) AS records FROM r GROUP BY 1, 2) k ON k.track = e.track""",
 )
 def metadata_digest(spark, folder):
     from framesleuth.functions.metadata import canonical_metadata
