@@ -79,24 +79,30 @@ def quiet_sessions(samples: DataFrame) -> DataFrame:
     return samples.withWatermark("ts", WATERMARK).groupBy("track", F.session_window("ts", WATERMARK).alias("s")).agg(F.count(F.lit(1)).alias("samples"))
 
 
-def run_once(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything available into parquet; the checkpoint makes it resumable."""
+def run_once(rows: DataFrame, path: str, checkpoint: str, wait_s: int | None = None) -> None:
+    """Process everything available into parquet; the checkpoint makes it resumable.
+
+    Jobs with processing-time state never run out of work, so they are stopped
+    after ``wait_s`` seconds instead.
+    """
     spark = rows.sparkSession
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, ROCKSDB)
     try:
         job = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        job.awaitTermination()
+        job.awaitTermination(wait_s) if wait_s else job.awaitTermination()
+        if wait_s:
+            job.stop()
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
-def drained(rows: DataFrame, schema: str, label: str) -> DataFrame:
+def drained(rows: DataFrame, schema: str, label: str, wait_s: int | None = None) -> DataFrame:
     """Run a job over all available input and return what it wrote."""
     spark = rows.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/framesleuth/{label}-{uuid.uuid4().hex}"
-    run_once(rows, f"{base}/rows", f"{base}/checkpoint")
+    run_once(rows, f"{base}/rows", f"{base}/checkpoint", wait_s)
     return spark.read.schema(schema).parquet(f"{base}/rows")
 
 

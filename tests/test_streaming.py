@@ -91,7 +91,7 @@ def test_confirmations_are_single_use(spark, tmp_path):
     rows = [(1, 1, "preview"), (1, 2, "confirm"), (1, 3, "confirm"), (2, 1, "confirm")]
     spark.createDataFrame(rows, "token long, ordinal long, action string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("token long, ordinal long, action string").parquet(str(tmp_path / "in"))
-    out = jobs.drained(jobs.confirmations(stream), processors.Confirmations.output, "t-conf").collect()
+    out = jobs.drained(jobs.confirmations(stream), processors.Confirmations.output, "t-conf", wait_s=20).collect()
     assert {(r.token, r.ordinal): r.accepted for r in out} == {(1, 2): True, (1, 3): False, (2, 1): False}
 
 
