@@ -16,7 +16,7 @@ from collections.abc import Iterable
 _DROPPED = re.compile(r"[^ \n\t\r]+")
 _KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space that only some engines take as such; texts holding it are encoded in one piece.
-_UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_UNUSUAL = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: Entries of the word cache of one worker, and the longest stretch kept in it.
 CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 64
