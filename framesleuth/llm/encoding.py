@@ -4,6 +4,8 @@ A byte-pair tokenizer treats stretches between white space independently, so a
 text is cut there, each distinct stretch is encoded once by the tokenizers
 library, and the ids of the stretches are put together.  The cut never changes
 the ids: stretches end only where the tokenizer itself must start a new word.
+Words of letters only are encoded many at a time, joined by the space (or line
+feed) that precedes them anyway, and their ids are told apart by their edges.
 """
 
 from __future__ import annotations
@@ -12,63 +14,120 @@ import os
 import re
 from collections.abc import Iterable
 
-#: White space that every tokenizer here takes as a word boundary.
 _DROPPED = re.compile(r"[^ \n\t\r]+")
 _KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space that only some engines take as such; texts holding it are encoded in one piece.
 _UNUSUAL = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-#: Entries of the word cache of one worker, and the longest stretch kept in it.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's cache; it starts anew beyond them.  Longer stretches are never kept.
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 64
+_TAIL = ".,;:!?|"
 
 
 class WordEncoder:
     """Encodes texts to bytes of little-endian unsigned ids.
 
-    ``spaces_kept``: the tokenizer keeps white space, joined to the next word.
-    ``width``: bytes per id, 2 or 4.
+    ``spaces_kept``: the tokenizer keeps white space, joined to the next word;
+    else it drops white space and marks the end of each word.  ``width``: bytes
+    per id, 2 or 4.
     """
 
     def __init__(self, path: str, spaces_kept: bool, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaces_kept, self.width = spaces_kept, width
+        self.kept, self.width, self.kind = spaces_kept, width, f"<u{width}"
         if self.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary do not fit into {width} bytes")
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if spaces_kept else token.endswith("</w>")
         self.cache: dict[str, bytes] = {}
+        self.tails = dict(zip(_TAIL, self._singly(list(_TAIL))))
+        self.feed = self._singly(["\n"])[0] if spaces_kept else b""
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _singly(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        kind = f"<u{self.width}"
-        return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str], before: str, at_once: int = 500) -> list[bytes]:
+        """Ids of words of letters, each with ``before`` in front."""
+        import numpy as np
+
+        out: list[bytes] = []
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([before + before.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            if before == "\n" and self.kept:
+                starts = np.flatnonzero(ids == int.from_bytes(self.feed, "little"))
+            else:
+                starts = np.flatnonzero(self.edge[ids])
+                starts = starts if self.kept else np.concatenate([[0], starts[:-1] + 1])
+            if len(starts) != len(group):
+                out += self._singly([before + w for w in group])
+                continue
+            held, ends = ids.tobytes(), [*(starts[1:] * self.width).tolist(), ids.nbytes]
+            out += [held[a:b] for a, b in zip((starts * self.width).tolist(), ends)]
+        return out
+
+    def _learn(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of stretches without white space, each with ``before`` in front."""
+        letters: dict[str, list[tuple[str, str]]] = {}
+        other = []
+        for w in words:
+            tail = w[-1] if w[-1] in _TAIL else ""
+            base = w[:-1] if tail else w
+            # A letter that becomes two in lower case may end in a mark, which joins what follows.
+            if base.isalpha() and len(base) <= CACHE_CHARS and len(base.lower()) == len(base):
+                letters.setdefault(base if self.kept or not base.isascii() else base.lower(), []).append((w, tail))
+            else:
+                other.append(w)
+        out = dict(zip(other, self._singly([before + w for w in other])))
+        for held, ids in zip(letters.values(), self._joined(list(letters), before)):
+            for w, tail in held:
+                out[w] = ids + self.tails[tail] if tail else ids
+        return out
+
+    def _plain(self, text: str) -> list[str] | None:
+        """The stretches, if all are set apart by one space or line feed; a line feed stays with the next one."""
+        words = text.split()
+        if not words or text.count(" ") + text.count("\n") != len(words) - 1 or sum(map(len, words)) + len(words) - 1 != len(text):
+            return None
+        return ("\n" + text.replace("\n", " \n")).split(" ") if self.kept else words
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
-        cache, out = self.cache, []
-        cut = (_KEPT if self.spaces_kept else _DROPPED).findall
-        held = [[t] if t and self.spaces_kept and _UNUSUAL.search(t) else cut(t or "") for t in texts]
-        wanted: set[str] = set()
+        texts = [t or "" for t in texts]
+        plain = [self._plain(t) for t in texts]
+        # In other texts the white space belongs to the stretch; a mark keeps those apart in the cache.
+        held = [p if p is not None else [t] if self.kept and _UNUSUAL.search(t) else (_KEPT if self.kept else _DROPPED).findall(t) for t, p in zip(texts, plain)]
+        if self.kept:
+            held = [words if p is not None else [" " + w for w in words] for words, p in zip(held, plain)]
+        new: set[str] = set()
         for words in held:
-            wanted.update(words)
-        wanted.difference_update(cache)
-        new = list(wanted)
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list(set().union(*held))
-        short = [w for w in new if len(w) <= CACHE_CHARS]
-        cache.update(zip(short, self._encode(short)))
-        long = [w for w in new if len(w) > CACHE_CHARS]
-        rare = dict(zip(long, self._encode(long)))
-        for words in held:
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([cache[w] if w in cache else rare[w] for w in words]))
-        return out
+            new.update(words)
+        known = self.cache
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        new.difference_update(known)
+        if self.kept:
+            learnt = self._learn([w for w in new if w[0] not in "\n "], " ")
+            learnt |= {"\n" + w: x for w, x in self._learn([w[1:] for w in new if w[0] == "\n" and len(w) > 1], "\n").items()}
+            raw = [w for w in new if w[0] == " "]
+            learnt |= zip(raw, self._singly([w[1:] for w in raw]))
+        else:
+            learnt = self._learn(list(new), " ")
+        rare = {w: x for w, x in learnt.items() if len(w) > CACHE_CHARS}
+        known.update(learnt)
+        out = [b"".join(map(known.__getitem__, words)) for words in held]
+        for w in rare:
+            del known[w]
+        # The line feed put before a plain text goes.
+        return [x[self.width :] if self.kept and p is not None else x for x, p in zip(out, plain)]
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
