@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesleuth.llm import packing, tokens  # noqa: F401
+from framesleuth.llm import minhash, packing, tokens  # noqa: F401
 from framesleuth.llm.registry import ORACLES, QUERIES
 
 
