@@ -14,6 +14,8 @@ import os
 import re
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame
+
 _DROPPED = re.compile(r"[^ \n\t\r]+")
 _KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space that only some engines take as such; texts holding it are encoded in one piece.
@@ -141,17 +143,39 @@ def encoder(path: str, spaces_kept: bool, width: int) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def slices(batch, bytes_at_once: int = 8_000_000):
-    """Cut an Arrow batch (its last column is text) by the size of the texts."""
+def slices(batch, bytes_at_once: int = 8_000_000, at: int = -1):
+    """Cut an Arrow batch by the size of the texts in the column ``at`` (the last)."""
     import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    texts = batch.column(batch.num_columns - 1 if at < 0 else at)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, before + bytes_at_once, "right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def with_scores(df: DataFrame, text: str, scores: dict[str, str], score) -> DataFrame:
+    """Add columns computed from a text column; all others pass through.
+
+    ``scores``: names and types of the new columns, which must not clash with
+    those of ``df``; ``score`` gives their arrays for an Arrow text column.
+    """
+    at = df.columns.index(text)
+    names = [*df.columns, *scores]
+
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for some in slices(batch, 2_000_000, at):
+                yield pa.RecordBatch.from_arrays([*some.columns, *map(pa.array, score(some.column(at)))], names)
+
+    kept = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+    added = ", ".join(f"{n} {k}" for n, k in scores.items())
+    return df.mapInArrow(task, f"{kept}, {added}")
