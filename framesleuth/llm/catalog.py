@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesleuth.llm import minhash, packing, quality, tokens  # noqa: F401
+from framesleuth.llm import minhash, packing, quality, tokens, toxicity  # noqa: F401
 from framesleuth.llm.registry import ORACLES, QUERIES
 
 

@@ -94,7 +94,7 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS):
     return raw, target
 
 
-def _cut(weights, labels) -> float | None:
+def best_cut(weights, labels) -> float | None:
     """Middle of the widest gap among the cuts with fewest wrong labels; None without both labels."""
     import numpy as np
 
@@ -178,7 +178,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     scored = with_scores(marked, "text", {"log_weight": "double"}, weigh).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
     scored, _ = scratch.write(scored, "weights")
     known = scored.where("label IS NOT NULL").select("log_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
-    cut = _cut(known["log_weight"], known["label"])
+    cut = best_cut(known["log_weight"], known["label"])
     if cut is None:
         return scored.drop("label").withColumn("kept", F.lit(True))
     least = kth_largest(scored, "sample_key", scored.where(F.col("log_weight") >= cut).count())

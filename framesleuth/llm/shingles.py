@@ -42,9 +42,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def word_hashes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_hashes(column, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of an Arrow string column: hash of each word, offsets of the rows in the
-    words, first and past-last byte of each word, and the bytes."""
+    words, first and past-last byte of each word, and the bytes.
+
+    ``letters``: words are runs of letters instead (bytes from 128 count as
+    such, and Latin capitals with accents as small ones).  ``prefixes``: the
+    first item holds one more row for each, the hash of the first so many bytes
+    of each word, or 0 for shorter ones.
+    """
     import pyarrow as pa
 
     column = column.cast(pa.string())
@@ -53,8 +63,13 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     offsets = offsets - offsets[0]
     if not len(data):
         none = np.zeros(0, "i8")
-        return np.zeros(0, "u8"), np.zeros(len(offsets), "i8"), none, none, data
+        return np.zeros((len(prefixes) + 1, 0) if prefixes else 0, "u8"), np.zeros(len(offsets), "i8"), none, none, data
     word = ~_SPACE[data]
+    if letters:
+        word = _LETTERS[data]
+        capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
+        data = data.copy()
+        data[capital] += 0x20
     first, last = word.copy(), word.copy()
     edge = offsets[(offsets > 0) & (offsets < len(data))]
     starts_row = np.zeros(len(data), bool)
@@ -64,8 +79,15 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(len(data) + 1, "u8")
     np.add.accumulate(_CODES[data] * _powers(_FACTOR, len(data)), out=total[1:])
-    hashes = (total[end] - total[begin]) * _powers(_INVERSE, len(data))[begin]
-    hashes = mix(hashes + (end - begin).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+    back, lengths = _powers(_INVERSE, len(data))[begin], end - begin
+
+    def hashed(n):
+        return mix((total[begin + n] - total[begin]) * back + n.astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+
+    hashes = hashed(lengths)
+    if prefixes:
+        cut = [np.where(lengths >= n, mix(hashed(np.minimum(lengths, n)) + np.uint64(n)), np.uint64(0)) for n in prefixes]
+        hashes = np.stack([hashes, *cut])
     return hashes, np.searchsorted(begin, offsets), begin, end, data
 
 
