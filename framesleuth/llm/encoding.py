@@ -20,8 +20,9 @@ _DROPPED = re.compile(r"[^ \n\t\r]+")
 _KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space that only some engines take as such; texts holding it are encoded in one piece.
 _UNUSUAL = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-#: Entries of a worker's cache; it starts anew beyond them.  Longer stretches are never kept.
-CACHE_ENTRIES = 600_000
+#: Entries of each of the two generations of a worker's cache.  A full generation becomes the
+#: old one, from which words still in use move on.  Longer stretches are never kept.
+CACHE_ENTRIES = 480_000
 CACHE_CHARS = 64
 _TAIL = ".,;:!?|"
 
@@ -48,6 +49,7 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if spaces_kept else token.endswith("</w>")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails = dict(zip(_TAIL, self._singly(list(_TAIL))))
         self.feed = self._singly(["\n"])[0] if spaces_kept else b""
 
@@ -79,16 +81,20 @@ class WordEncoder:
     def _learn(self, words: list[str], before: str) -> dict[str, bytes]:
         """Ids of stretches without white space, each with ``before`` in front."""
         letters: dict[str, list[tuple[str, str]]] = {}
-        other = []
+        other, out = [], {}
+        lead = "\n" if before == "\n" else ""
         for w in words:
             tail = w[-1] if w[-1] in _TAIL else ""
             base = w[:-1] if tail else w
             # A letter that becomes two in lower case may end in a mark, which joins what follows.
             if base.isalpha() and len(base) <= CACHE_CHARS and len(base.lower()) == len(base):
+                if tail and (ids := self.cache.get(lead + base)):
+                    out[w] = ids + self.tails[tail]
+                    continue
                 letters.setdefault(base if self.kept or not base.isascii() else base.lower(), []).append((w, tail))
             else:
                 other.append(w)
-        out = dict(zip(other, self._singly([before + w for w in other])))
+        out |= zip(other, self._singly([before + w for w in other]))
         for held, ids in zip(letters.values(), self._joined(list(letters), before)):
             for w, tail in held:
                 out[w] = ids + self.tails[tail] if tail else ids
@@ -112,10 +118,13 @@ class WordEncoder:
         new: set[str] = set()
         for words in held:
             new.update(words)
-        known = self.cache
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
+        if len(self.cache) > CACHE_ENTRIES:
+            self.old, self.cache = self.cache, {}
+        known, old = self.cache, self.old
         new.difference_update(known)
+        again = new.intersection(old)
+        known.update((w, old[w]) for w in again)
+        new -= again
         if self.kept:
             learnt = self._learn([w for w in new if w[0] not in "\n "], " ")
             learnt |= {"\n" + w: x for w, x in self._learn([w[1:] for w in new if w[0] == "\n" and len(w) > 1], "\n").items()}
@@ -143,7 +152,7 @@ def encoder(path: str, spaces_kept: bool, width: int) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def slices(batch, bytes_at_once: int = 8_000_000, at: int = -1):
+def slices(batch, bytes_at_once: int = 4_000_000, at: int = -1):
     """Cut an Arrow batch by the size of the texts in the column ``at`` (the last)."""
     import numpy as np
     import pyarrow.compute as pc
