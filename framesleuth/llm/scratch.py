@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,9 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
