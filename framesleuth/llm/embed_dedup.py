@@ -121,6 +121,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = SA
     Links are counted in blocks of a cell's members and visitors; a block gives
     counts and a star for each of its components, never pairs.
     """
+    with scratch.temporary(vectors.sparkSession):
+        return scratch.keep(_near_vectors(vectors, cosine, sample_rows), "groups")
+
+
+def _near_vectors(vectors: DataFrame, cosine: float, sample_rows: int) -> DataFrame:
     import numpy as np
 
     spark = vectors.sparkSession

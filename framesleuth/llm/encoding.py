@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _DROPPED = re.compile(r"[^ \n\t\r]+")
 _KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -152,14 +153,14 @@ def encoder(path: str, spaces_kept: bool, width: int) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def slices(batch, bytes_at_once: int = 4_000_000, at: int = -1):
-    """Cut an Arrow batch by the size of the texts in the column ``at`` (the last)."""
+def slices(batch, bytes_at_once: int = 4_000_000):
+    """Cut an Arrow batch by the size of the texts in its last column."""
     import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    texts = batch.column(batch.num_columns - 1 if at < 0 else at)
+    texts = batch.column(batch.num_columns - 1)
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
     start = 0
     while start < batch.num_rows:
@@ -170,21 +171,22 @@ def slices(batch, bytes_at_once: int = 4_000_000, at: int = -1):
 
 
 def with_scores(df: DataFrame, text: str, scores: dict[str, str], score) -> DataFrame:
-    """Add columns computed from a text column; all others pass through.
+    """Add columns computed from a text column, in place of columns of their names; all others pass through.
 
-    ``scores``: names and types of the new columns, which must not clash with
-    those of ``df``; ``score`` gives their arrays for an Arrow text column.
+    ``scores``: names and types of the new columns; ``score`` gives their arrays
+    for an Arrow text column.
     """
-    at = df.columns.index(text)
-    names = [*df.columns, *scores]
+    kept = [c for c in df.columns if c not in scores]
+    names = [*(f"c{k}" for k in range(len(kept))), *(f"s{k}" for k in range(len(scores)))]
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)), F.col(f"`{text}`").cast("string").alias("text"))
 
     def task(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for some in slices(batch, 2_000_000, at):
-                yield pa.RecordBatch.from_arrays([*some.columns, *map(pa.array, score(some.column(at)))], names)
+            for some in slices(batch, 2_000_000):
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *map(pa.array, score(some.column(some.num_columns - 1)))], names)
 
-    kept = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    added = ", ".join(f"{n} {k}" for n, k in scores.items())
-    return df.mapInArrow(task, f"{kept}, {added}")
+    kinds = [*(k for _, k in rows.dtypes[:-1]), *scores.values()]
+    out = rows.mapInArrow(task, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, [*kept, *scores])))

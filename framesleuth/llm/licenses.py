@@ -51,6 +51,11 @@ def find_notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     if in no unit.  Only units whose other words leave the threshold in reach
     are compared, which loses none.  Ties go to the first id.
     """
+    with scratch.temporary(files.sparkSession):
+        return scratch.keep(_find_notices(files, templates, threshold), "notices")
+
+
+def _find_notices(files: DataFrame, templates, threshold: float) -> DataFrame:
     spark = files.sparkSession
     given = spark.createDataFrame(list(templates), "license string, notice string").select("license", F.expr(_words("notice")).alias("words"))
     terms = given.select("license", F.explode("words").alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("c"))
@@ -100,8 +105,16 @@ def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
     its licence (the first path's, if it holds several).  Returns the columns of
     ``files (path, ...)`` with ``license`` and ``inherited_from`` (null if its
     own or none).  Directories are joined once each, and then salted, so the
-    files of a large directory are dealt to many tasks.
+    files of a large directory are dealt to many tasks.  Columns of ``files``
+    that have the names of new ones are replaced.
     """
+    added = ("license", "inherited_from")
+    rest = [c for c in files.columns if c not in ("path", *added)]
+    out = _inherit(files.select("path", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")), own)
+    return out.select("path", *(F.col("rest")[c].alias(c) for c in rest), *added)
+
+
+def _inherit(files: DataFrame, own: DataFrame) -> DataFrame:
     name = F.regexp_extract(F.lower("path"), r"([^/.]+)(\.[^/]*)?$", 1)
     given = own.where(name.isin(*FILE_NAMES)).withColumn("directory", F.expr(_parent("path"))).groupBy("directory").agg(F.min(F.struct("path", "license"))["license"].alias("given"))
     placed = files.join(own, "path", "left").withColumn("_dir", F.expr(_parent("path")))
@@ -123,12 +136,13 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     Adds ``own_license``, ``similarity`` (the file's best notice; the first line
     and id among equals), ``license`` and ``inherited_from``.  Rows that share a
     path are one file.  A null or empty text has no notice but inherits; a null
-    path has neither; an empty table gives no rows.
+    path has neither; an empty table gives no rows; columns with the names of
+    new ones are replaced.
     """
     notices = find_notices(files.where("path IS NOT NULL").select("path", F.col("text").cast("string").alias("text")), templates, threshold)
     best = notices.groupBy("path").agg(F.min(F.struct(-F.col("similarity"), "unit", "license")).alias("b"))
     own, _ = scratch.write(best.select("path", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("similarity")), "own")
-    placed = inherit(files.drop("text"), own.select("path", "license"))
+    placed = inherit(files.drop("text", "own_license", "similarity"), own.select("path", "license"))
     mine = own.select("path", F.col("license").alias("own_license"), "similarity")
     return placed.join(mine, "path", "left")
 

@@ -181,6 +181,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     Documents without words, null texts and null ids are linked with nothing
     and kept; repeated rows are linked as equal sets; an empty table gives no rows.
     """
+    with scratch.temporary(docs.sparkSession):
+        return scratch.keep(_near_duplicates(docs, percent, width, bands, rows), "groups")
+
+
+def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows: int) -> DataFrame:
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch, _ = scratch.write(sketches(held, width=width, bands=bands, rows=rows), "sketch")
     digest = ["n_shingles", "one", "two"]

@@ -128,6 +128,11 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES, rou
     with a gap more of them, to groups that are dealt anew and packed again; the
     result is taken if it has fewer bins.  An empty table gives no rows.
     """
+    with scratch.temporary(pieces.sparkSession):
+        return scratch.keep(_pack(pieces, capacity, group_pieces, rounds), "packing")
+
+
+def _pack(pieces: DataFrame, capacity: int, group_pieces: int, rounds: int) -> DataFrame:
     spark = pieces.sparkSession
     full = pieces.where(F.col("length") == capacity).select("piece_key", F.col("piece_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("piece_key", "length")
@@ -178,9 +183,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
     return pieces.join(pack(pieces.select("piece_key", "length"), capacity), "piece_key").drop("piece_key")
 
 
-def with_digest(packed: DataFrame, width: int = 2) -> DataFrame:
-    """Replace ``ids`` by the crc32 of the ids as 32-bit integers."""
-    names = [n for n in packed.columns if n != "ids"]
+def with_digest(packed: DataFrame, width: int = 2, ids_kept: bool = False) -> DataFrame:
+    """Replace ``ids`` by (or with ``ids_kept`` add) the crc32 of the ids as 32-bit integers."""
+    names = [n for n in packed.columns if n != "ids"] + ["ids"] * ids_kept
 
     def task(batches):
         import zlib
@@ -193,7 +198,7 @@ def with_digest(packed: DataFrame, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
     kinds = ", ".join(f"{n} {k}" for n, k in packed.select(*names).dtypes)
-    return packed.select(*names, "ids").mapInArrow(task, f"{kinds}, ids_crc32 bigint")
+    return packed.select(*names, F.col("ids").alias("digested")).mapInArrow(task, f"{kinds}, ids_crc32 bigint")
 
 
 @query("op9_best_fit_packing")

@@ -131,23 +131,17 @@ def kth_largest(df: DataFrame, column: str, k: int, at_once: int = 10_000) -> fl
                 break
             seen += bins.get(b, 0)
         # One step wider on either side, so rounding at the pivots cannot lose the value.
-        new_low, new_high = low + (b - 1) * step if b else low, min(high, low + (b + 2) * step)
+        new_low, new_high = max(low, low + (b - 1) * step), min(high, low + (b + 2) * step)
         if (new_low, new_high) == (low, high):
-            return low if len(bins) == 1 else values_at(inside, column, k - above)
-        low, high = max(low, new_low), new_high
+            # Few different values are left, each many times: walk down their counts.
+            for row in inside.groupBy(column).count().orderBy(F.desc(column)).toLocalIterator():
+                above += row["count"]
+                if above >= k:
+                    return row[column]
+        low, high = new_low, new_high
         above = df.where(value > high).count()
 
 
-def values_at(df: DataFrame, column: str, k: int) -> float:
-    """The k-th largest value where pivots cannot part the values further."""
-    counts = df.groupBy(column).count().orderBy(F.desc(column)).toLocalIterator()
-    for row in counts:
-        k -= row["count"]
-        if k <= 0:
-            return row[0]
-    raise ValueError("fewer values than k")
-
-
 def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
     """All columns of ``docs`` with ``log_weight``, ``sample_key`` and ``kept``.
 
@@ -159,30 +153,33 @@ def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     ``doc_id`` and ``seed`` alone, so runs agree and copies of a row stay together.
 
     A text without words, or null, has log weight 0.  Without labels of both
-    kinds all rows are kept.  An empty table gives no rows.  Names of new columns
-    must not occur in ``docs``.
+    kinds all rows are kept.  An empty table gives no rows.  Columns with the
+    names of new ones are replaced.  Texts are weighed twice, for the cut and for
+    the result, rather than written with their weights.
     """
     import numpy as np
 
     # At most sample_rows pairs of numbers are broadcast.
     sample = F.broadcast(labelled_sample(labels, "quality", sample_rows).withColumnRenamed("doc_id", "_id"))
-    marked = docs.join(sample, docs["doc_id"] == sample["_id"], "left").drop("_id")
-    raw, target = gram_counts(marked.select("label", F.col("text").cast("string").alias("text")), buckets)
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = held.join(sample, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    raw, target = gram_counts(marked.select("label", "text"), buckets)
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
 
     def weigh(column):
         where, found = form_grams(column, buckets)
         return [np.bincount(where, ratio[found], minlength=len(column)) if len(found) else np.zeros(len(column))]
 
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = with_scores(marked, "text", {"log_weight": "double"}, weigh).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    scored, _ = scratch.write(scored, "weights")
-    known = scored.where("label IS NOT NULL").select("log_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
-    cut = best_cut(known["log_weight"], known["label"])
-    if cut is None:
-        return scored.drop("label").withColumn("kept", F.lit(True))
-    least = kth_largest(scored, "sample_key", scored.where(F.col("log_weight") >= cut).count())
-    return scored.drop("label").withColumn("kept", F.col("sample_key") >= least)
+    def keyed(df):
+        uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return with_scores(df, "text", {"log_weight": "double"}, weigh).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
+
+    with scratch.temporary(docs.sparkSession):
+        weights, _ = scratch.write(keyed(marked).drop("text"), "weights")
+        known = weights.where("label IS NOT NULL").select("log_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
+        cut = best_cut(known["log_weight"], known["label"])
+        least = None if cut is None else kth_largest(weights, "sample_key", weights.where(F.col("log_weight") >= cut).count())
+    return keyed(docs).withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= least)
 
 
 @query("op6_importance_resampling")

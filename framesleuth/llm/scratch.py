@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +16,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/framesleuth/{label}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+_OPEN = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Drop the tables that ``write`` makes inside this block at its end; ``keep`` spares one."""
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *scopes.pop())
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that outlives the innermost ``temporary`` block, and return it as read back."""
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    return write(df, label, scopes[-2] if len(scopes) > 1 else [])[0]
+
+
+def write(df: DataFrame, label: str, scope: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` and return it as read back, with its path."""
     path = new_path(df.sparkSession, label)
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    if scope is not None:
+        scope.append(path)
+    elif scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

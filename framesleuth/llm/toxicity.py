@@ -178,7 +178,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
 
     categories = CATEGORIES if categories is None else categories
     sample = F.broadcast(labelled_sample(labels, "toxic", sample_rows).withColumnRenamed("doc_id", "_id"))
-    chosen = docs.join(sample, docs["doc_id"] == sample["_id"]).select("doc_id", "label", F.col("text").cast("string").alias("text"))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = held.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     rows, path = scratch.write(_feature_rows(chosen), "features")
     total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     names, toxic, other = [*categories, "toxic"], float(total.get(1, 0)), float(total.get(0, 0))
@@ -214,8 +215,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None =
     The threshold, unless given, is the cut of the out-of-fold probabilities
     with fewest wrong labels.  A null or empty text has no features and gets each model's base rate.
     Without labels of both kinds the probabilities are constant.  Repeated rows
-    score alike; an empty table gives no rows; names of new columns must not
-    occur in ``docs``.
+    score alike; an empty table gives no rows; columns with the names of new
+    ones are replaced.
     """
     chain = fit_chain(docs, labels, **fit)
     scored = with_scores(docs, "text", {f"p_{n}": "double" for n in chain.categories}, chain.score)
