@@ -30,16 +30,20 @@ FILE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 THRESHOLD = 0.85
 #: Copies of each directory's row, to which the files of a directory are dealt.
 SALTS = 32
-_SLOTS = 4096
 _SPLIT = r"[^\\p{L}\\p{N}]+"
+#: Stands for the unit itself among its words.
+_UNIT = "\x01"
 
 
 def _words(text: str) -> str:
     return f"filter(split(lower({text}), '{_SPLIT}'), w -> w <> '')"
 
 
-def _literal(values) -> str:
-    return "array(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
+def _units(files: DataFrame) -> DataFrame:
+    """Lines of every file, or the whole text of a licence file."""
+    name = F.regexp_extract(F.lower("path"), r"([^/.]+)(\.[^/]*)?$", 1)
+    whole = F.coalesce(name.isin(*FILE_NAMES), F.lit(False))
+    return files.where("text IS NOT NULL").select("path", F.posexplode(F.when(whole, F.array("text")).otherwise(F.split("text", "\n"))).alias("unit", "line"))
 
 
 def find_notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -60,32 +64,31 @@ def _find_notices(files: DataFrame, templates, threshold: float) -> DataFrame:
     given = spark.createDataFrame(list(templates), "license string, notice string").select("license", F.expr(_words("notice")).alias("words"))
     terms = given.select("license", F.explode("words").alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("c"))
     known = sorted(r["term"] for r in terms.select("term").distinct().collect())  # bounded by the templates
-    slots = {r[0] for r in spark.createDataFrame([(t,) for t in known], "t string").select(F.expr(f"pmod(xxhash64(t), {_SLOTS})")).collect()}
-    bitmap = "array(" + ", ".join("true" if k in slots else "false" for k in range(_SLOTS)) + ")"
-
-    name = F.regexp_extract(F.lower("path"), r"([^/.]+)(\.[^/]*)?$", 1)
-    whole = F.coalesce(name.isin(*FILE_NAMES), F.lit(False))
-    units = files.where("text IS NOT NULL").select("path", F.posexplode(F.when(whole, F.array("text")).otherwise(F.split("text", "\n"))).alias("unit", "line"))
-    worded = units.select("path", "unit", F.expr(_words("line")).alias("words")).where("size(words) > 0")
-    # A slot of the word's hash first: nearly all other words end there.
-    found = worded.select("path", "unit", "words", F.expr(f"filter(words, w -> get({bitmap}, CAST(pmod(xxhash64(w), {_SLOTS}) AS INT)) AND array_contains({_literal(known)}, w))").alias("hits"))
-    square = "aggregate(array_distinct({0}), 0L, (n, w) -> n + CAST(pow(size(filter({0}, v -> v = w)), 2) AS BIGINT))"
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in [*known, _UNIT]], "term string"))
+
+    units = _units(files).select("path", "unit", F.expr(f"split(lower(line), '{_SPLIT}')").alias("words"))
+    # The split leaves empty strings only at the ends.
+    number = F.expr("size(words) - CAST(words[0] = '' AS INT) - CAST(size(words) > 1 AND words[size(words) - 1] = '' AS INT)")
+    words = units.select("path", "unit", number.alias("length"), F.explode(F.concat("words", F.array(F.lit(_UNIT)))).alias("term")).where("length > 0")
+    # Nearly all words end at this join, before anything is shuffled.
+    found, _ = scratch.write(words.join(wanted, "term").groupBy("path", "unit", "length", "term").agg(F.count(F.lit(1)).alias("n")), "hits")
+    seen = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}  # one row for each known word
+    number, hits = seen.pop(_UNIT, 0), found.where(F.col("term") != _UNIT)
     reach = threshold * threshold / (1 - threshold * threshold)
-    # No weight exceeds that of other words, so this sum of squares bounds the cosine.
-    near = f"size(hits) > 0 AND {square.format('hits')} >= {reach} * (size(words) - size(hits))"
-    others = "filter(words, w -> NOT array_contains(hits, w))"
-    kept = found.select("path", "unit", F.array_distinct("hits").alias("terms"), F.expr(f"CASE WHEN {near} THEN hits END").alias("hits"), F.expr(f"CASE WHEN {near} THEN {square.format(others)} END").alias("rest"))
-    kept, _ = scratch.write(kept, "units")
-
-    number = kept.count()
-    seen = {r["term"]: r["count"] for r in kept.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # one row for each known word
+    # No weight exceeds that of other words, so these counts bound the cosine.
+    near = hits.groupBy("path", "unit").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), (F.first("length") - F.sum("n")).alias("others")).where(F.col("squares") >= reach * F.col("others"))
+    near, _ = scratch.write(near.select("path", "unit"), "near")
+    lines = _units(files.join(near.select("path").distinct(), "path")).join(near, ["path", "unit"]).select("path", "unit", F.explode(F.expr(_words("line"))).alias("word"))
+    other = lines.join(wanted, lines["word"] == wanted["term"], "left_anti").groupBy("path", "unit", "word").agg(F.count(F.lit(1)).alias("n")).groupBy("path", "unit").agg(F.sum(F.col("n") * F.col("n")).alias("rest"))
+    kept, _ = scratch.write(hits.join(near, ["path", "unit"]).join(other, ["path", "unit"], "left").select("path", "unit", "term", "n", F.coalesce("rest", F.lit(0)).alias("rest")), "units")
+
     weight = spark.createDataFrame([(t, math.log((1 + number) / (1 + seen.get(t, 0))) + 1) for t in known] or [("", 0.0)], "term string, idf double")
     unknown = math.log(1 + number) + 1
     weighed = terms.join(F.broadcast(weight), "term")
     norms = weighed.groupBy("license").agg(F.sqrt(F.sum(F.pow(F.col("c") * F.col("idf"), 2))).alias("norm"))
     vectors = weighed.join(F.broadcast(norms), "license").select("license", "term", (F.col("c") * F.col("idf") / F.col("norm")).alias("part"))
 
-    counts = kept.where("hits IS NOT NULL").select("path", "unit", "rest", F.explode("hits").alias("term")).groupBy("path", "unit", "rest", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(weight), "term")
+    counts = kept.join(F.broadcast(weight), "term")
     lengths = counts.groupBy("path", "unit").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2)) + F.max("rest") * unknown**2).alias("length"))
     dots = counts.join(F.broadcast(vectors), "term").groupBy("path", "unit", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("length"), 6)

@@ -9,8 +9,8 @@ from framesleuth.llm import scratch
 from framesleuth.llm.encoding import slices, with_scores
 from framesleuth.llm.registry import query, table
 
-BUCKETS = 1 << 14
-ORDERS = (1, 2, 3)
+BUCKETS = 1 << 12
+ORDERS = (1, 2)
 #: Labelled rows that set the sampled share, at most.
 SAMPLE_ROWS = 20_000
 
@@ -119,20 +119,17 @@ def kth_largest(df: DataFrame, column: str, k: int, at_once: int = 10_000) -> fl
     while True:
         inside = df.where((value >= low) & (value <= high))
         step = (high - low) / 64
-        if not step or low + step == low:
-            return low
-        bins = {r[0]: r[1] for r in inside.groupBy(F.least(F.floor((value - low) / step), F.lit(63)).alias("bin")).count().collect()}
-        if sum(bins.values()) <= at_once:
+        bins = {} if low + step == low else {r[0]: r[1] for r in inside.groupBy(F.least(F.floor((value - low) / step), F.lit(63)).alias("bin")).count().collect()}
+        if bins and sum(bins.values()) <= at_once:
             values = sorted((r[0] for r in inside.select(column).collect()), reverse=True)
             return values[k - above - 1]
-        seen = above
-        for b in range(63, -1, -1):
-            if seen + bins.get(b, 0) >= k:
-                break
+        seen, b = above, 64
+        while bins and seen < k:
+            b -= 1
             seen += bins.get(b, 0)
         # One step wider on either side, so rounding at the pivots cannot lose the value.
         new_low, new_high = max(low, low + (b - 1) * step), min(high, low + (b + 2) * step)
-        if (new_low, new_high) == (low, high):
+        if not bins or (new_low, new_high) == (low, high):
             # Few different values are left, each many times: walk down their counts.
             for row in inside.groupBy(column).count().orderBy(F.desc(column)).toLocalIterator():
                 above += row["count"]
@@ -177,7 +174,9 @@ def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     with scratch.temporary(docs.sparkSession):
         weights, _ = scratch.write(keyed(marked).drop("text"), "weights")
         known = weights.where("label IS NOT NULL").select("log_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
-        cut = best_cut(known["log_weight"], known["label"])
+        # Weights grow with length; the middle is taken where long texts do not dwarf short ones.
+        cut = best_cut(np.arcsinh(known["log_weight"]), known["label"])
+        cut = None if cut is None else float(np.sinh(cut))
         least = None if cut is None else kth_largest(weights, "sample_key", weights.where(F.col("log_weight") >= cut).count())
     return keyed(docs).withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= least)
 
