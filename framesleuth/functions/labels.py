@@ -134,9 +134,19 @@ def option_name(codec: Column, encoder: Column, settings: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key that orders digit runs (up to 20 digits) by value, case folded."""
-    padded = F.regexp_replace(F.lower(text), r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"\d*(\d{20})(?!\d)", "$1")
+    """Sort key that orders digit runs of any length by value, case folded.
+
+    A run is written as its length without leading zeros, in four digits, and
+    then those digits; a run of 10,000 digits or more has no key.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=.)", "")
+        length = F.when(F.length(digits) < 10_000, F.lpad(F.length(digits).cast("string"), 4, "0"))
+        return F.when(run.rlike(r"^\d"), F.concat(length, digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, key), "", None)
 
 
 def csv_cell(value: Column) -> Column:

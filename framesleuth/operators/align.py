@@ -16,7 +16,7 @@ from framesleuth.session import materialise
 # Two primes below 2^31: products of two residues fit a BIGINT.
 _PRIMES = (2147483647, 2147483629)
 _BASE = 1_000_003
-_DIGITS = 8  # ordinals below 2^32
+_DIGITS = 16  # any non-negative ordinal
 
 
 def plan_keyframes(
@@ -108,7 +108,7 @@ def _power(exponent: Column, prime: int) -> Column:
     for place in range(_DIGITS):
         step = pow(_BASE, 16**place, prime)
         table = F.expr("array(" + ",".join(f"{pow(step, i, prime)}L" for i in range(16)) + ")")
-        digit = F.shiftright(exponent, 4 * place).bitwiseAND(F.lit(15)).cast("int")
+        digit = F.shiftrightunsigned(exponent, 4 * place).bitwiseAND(F.lit(15)).cast("int")
         part = F.get(table, digit)
         result = part if result is None else (result * part) % prime
     return result

@@ -30,13 +30,14 @@ def history_key(path: Column) -> Column:
     return F.when(slashed.rlike(r"^[A-Za-z]:/"), F.lower(slashed)).otherwise(slashed)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Smallest name reachable from each node of an undirected graph.
 
     Alternating star contraction: every round points nodes at the smallest
     neighbour by a groupBy/min and an equi-join, so a hub is pre-aggregated
     rather than collected.  Each round's edges are written, cutting lineage; it
-    stops when a round changes nothing (the count of pairs and a hash sum).
+    stops when a round changes nothing (the count of pairs and a hash sum).  With
+    ``rounds`` it raises if so many were not enough.
     """
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -52,24 +53,30 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return moved.where(F.col("u") != F.col("v")).distinct()
 
     current = materialise(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    seen, mark, done = None, (), 0
+    while seen != mark:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
+        seen, done = mark, done + 1
         current = materialise(star(star(current, True), False), "edges")
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
+        mark = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     return current.groupBy("u").agg(F.min("v").alias("root"))
 
 
+def outcome_time(attempts: DataFrame) -> Column:
+    """When an attempt ended, else started, else was created; 0 if none is known."""
+    known = [F.when(F.col(c) > 0, F.col(c)) for c in ("finished_us", "started_us", "created_us") if c in attempts.columns]
+    return F.coalesce(*known, F.lit(0))
+
+
 def latest_attempts(attempts: DataFrame) -> DataFrame:
     """Newest attempt of each video; a published path is the same video as the
     source it came from.  Newest = created, then outcome time, then id."""
-    keyed = attempts.withColumn("_key", history_key(F.coalesce("source", F.col("id").cast("string"))))
+    keyed = attempts.withColumn("_key", history_key(F.coalesce(F.nullif("source", F.lit("")), F.col("id").cast("string"))))
     links = keyed.where(F.col("published_path").isNotNull()).select(F.col("_key").alias("u"), history_key(F.col("published_path")).alias("v"))
     roots = components(links).withColumnRenamed("u", "_key")
     grouped = keyed.join(roots, "_key", "left").withColumn("video", F.coalesce("root", "_key")).drop("root", "_key")
-    order = F.struct(F.coalesce("created_us", F.lit(0)), F.coalesce("finished_us", F.lit(0)), F.col("id").cast("string"))
+    order = F.struct(F.coalesce("created_us", F.lit(0)), outcome_time(attempts), F.col("id").cast("string"))
     fields = [c for c in grouped.columns if c != "video"]
     best = grouped.groupBy("video").agg(F.count(F.lit(1)).alias("attempts"), F.max_by(F.struct(*fields), order).alias("_a"))
     return best.select("video", "attempts", *[F.col(f"_a.{c}").alias(c) for c in fields])
@@ -122,9 +129,10 @@ def result_view(attempts: DataFrame, archived: DataFrame, *, show_archived: bool
 
 
 def result_group(state: Column) -> Column:
+    """Group of a result; a state not known to be settled needs attention."""
     return (
         F.when(state.isin(*ACTIVE), "active").when(state.isin("verified", "awaiting-playback", "playback-approved"), "ready").when(state == "replaced", "replaced")
-        .when(state.isin("kept-original", "skipped"), "kept").when(state.isin("failed", "interrupted", "cancelled"), "attention").otherwise("complete")
+        .when(state.isin("kept-original", "skipped"), "kept").when(state.isin("analyzed", "tested", "completed", "cancelled"), "complete").otherwise("attention")
     )
 
 
@@ -137,8 +145,13 @@ def state_counts(rows: DataFrame, columns: Sequence[str], size: str) -> DataFram
 
 
 def queue_size_totals(jobs: DataFrame) -> DataFrame:
-    """Known bytes and unknown counts for waiting, running and both together."""
-    queued = jobs.where(F.col("state").isin(*ACTIVE)).groupBy("id").agg(F.min_by(F.struct("state", "size"), "seq").alias("j")).select("j.state", "j.size")
+    """Known bytes and unknown counts for waiting, running and both together.
+
+    A repeated id counts once; jobs without one are jobs of their own.
+    """
+    active = jobs.where(F.col("state").isin(*ACTIVE))
+    named = active.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("state", "size"), "seq").alias("j")).select("j.state", "j.size")
+    queued = named.unionByName(active.where(F.col("id").isNull()).select("state", "size"))
     return queued.rollup("state").agg(
         F.count(F.lit(1)).alias("jobs"), F.coalesce(F.sum(F.when(F.col("size") >= 0, F.col("size"))), F.lit(0)).alias("bytes"),
         F.count_if(~holds(F.col("size") >= 0)).alias("unknown"),
@@ -266,9 +279,16 @@ def unseen_content(files: DataFrame, known: DataFrame, digest: str = "digest") -
 # Joins to telemetry, batches and directories -------------------------------
 
 def with_latest_telemetry(requests: DataFrame, telemetry: DataFrame) -> DataFrame:
-    """Each request beside the newest telemetry record whose directory names it."""
-    extracted = telemetry.withColumn("id", F.nullif(F.regexp_extract("directory", r"(?:^|/)request-([^/]+)(?:/|$)", 1), F.lit("")))
-    newest = extracted.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("phase", "percent", "updated"), F.struct("updated", "directory")).alias("t"))
+    """Each request beside the newest telemetry record whose directory names it.
+
+    Records of ``job-`` directories win over others; newest is by ``updated``,
+    or ``started`` where that is unknown.
+    """
+    slashed = F.replace("directory", F.lit("\\"), F.lit("/"))
+    extracted = telemetry.withColumn("id", F.nullif(F.regexp_extract(slashed, r"request-([^/]+)(?:/|$)", 1), F.lit("")))
+    times = [F.when(F.col(c) > 0, F.col(c)) for c in ("updated", "started") if c in telemetry.columns]
+    order = F.struct(slashed.rlike(r"/job-[^/]+$"), F.coalesce(*times, F.lit(0)), "directory")
+    newest = extracted.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("phase", "percent", "updated"), order).alias("t"))
     return requests.join(newest, "id", "left").select(*requests.columns, "t.phase", "t.percent", "t.updated")
 
 
@@ -460,15 +480,24 @@ def next_pending(jobs: DataFrame, order: str = "added") -> DataFrame:
     return waiting_order(jobs, order).limit(1)
 
 
+def result_keys(rows: DataFrame, mode: str = "newest") -> list[tuple[Column, bool]]:
+    """Keys of the result list, each with whether it descends: by mode, then newest first, name and id.
+
+    Unknown times come last in either direction; only a replaced result saved.
+    """
+    at = outcome_time(rows)
+    name = natural_key(F.regexp_extract(F.replace(F.coalesce("source", F.lit("Video")), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1))
+    ties = [(at, True), (name, False), (F.col("id").cast("string"), False)]
+    first = {"newest": [], "oldest": [(F.nullif(at, F.lit(0)), False)], "name": [(name, False)], "saved": [(F.when(F.col("state") == "replaced", F.col("saved_bytes")), True)]}
+    return [*first[mode], *ties]
+
+
+def result_order(rows: DataFrame, mode: str = "newest") -> list[Column]:
+    return [key.desc_nulls_last() if down else key.asc_nulls_last() for key, down in result_keys(rows, mode)]
+
+
 def sort_results(rows: DataFrame, mode: str = "newest") -> DataFrame:
-    """Result list order with its four-level ties."""
-    at = F.coalesce("finished_us", "created_us", F.lit(0))
-    recent = [at.desc(), F.coalesce("created_us", F.lit(0)).desc(), F.col("id").cast("string").desc()]
-    keys = {
-        "newest": recent, "oldest": [at.asc(), F.coalesce("created_us", F.lit(0)).asc(), F.col("id").cast("string").asc()],
-        "name": [natural_key(F.regexp_extract("source", r"([^/]*)$", 1)).asc(), *recent], "saved": [F.coalesce("saved_bytes", F.lit(-1)).desc(), *recent],
-    }
-    return rows.orderBy(*keys[mode])
+    return rows.orderBy(*result_order(rows, mode))
 
 
 def page(rows: DataFrame, order: Sequence[Column], offset: int, size: int = 100) -> DataFrame:

@@ -311,10 +311,14 @@ def disposable(path: Column) -> Column:
     return extension(path).isin(*GENERATED_MEDIA) | name.rlike(GENERATED_NAMES) | layered
 
 
-def cleanup_reason(path: Column, primary: Column, samples: bool = False) -> Column:
-    """Why a file beside the main video is nominated for review; NULL otherwise."""
+def cleanup_reason(path: Column, primary: Column, samples: bool = False, root: Column | None = None) -> Column:
+    """Why a file beside the main video is nominated for review; NULL otherwise.
+
+    Only folders below ``root`` can mark a sample, not the library's own place.
+    """
     suffix = extension(path)
-    in_folder = folder_of(path).rlike("(?i)(^|/)samples?(/|$)")
+    below = path if root is None else F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path)))
+    in_folder = F.coalesce(F.lower(below), F.lit("")).rlike("(^|/)samples?/")
     named = stem_of(path).rlike(r"(?i)(^|[._ -])sample$")
     sampled = F.lit(samples) & suffix.isin(*MEDIA_EXTENSIONS) & (in_folder | named)
     return F.when(path == primary, None).when(suffix == ".nfo", "metadata file; review").when(sampled, "explicit sample folder or name; review")

@@ -320,7 +320,15 @@ def prefix_by_time(frames: DataFrame, keys: Sequence[str], length: Column) -> Da
 
 
 def keep_latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """Last ``n`` rows of each key; Spark trims each task to n before shuffling."""
+    """Last ``n`` rows of each key; Spark trims each task to n before shuffling.
+
+    Above ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark does not trim,
+    so each key is cut to ``n`` in salted parts first.
+    """
+    if n > int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        parts = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(64)))
+        rows = salted.withColumn("_rn", F.row_number().over(parts)).where(F.col("_rn") <= n).drop("_rn", "_salt")
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") <= n).drop("_rn")
 
@@ -328,7 +336,7 @@ def keep_latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 def keep_newest_keys(rows: DataFrame, key: str, updated: str, n: int) -> DataFrame:
     """Rows of the ``n`` most recently updated keys (a retention limit)."""
     newest = rows.groupBy(key).agg(F.max(updated).alias("_u")).orderBy(F.desc("_u"), key).limit(n)
-    return rows.join(F.broadcast(newest.select(key)), key)
+    return rows.join(newest.select(key), key)
 
 
 def within_ttl(rows: DataFrame, updated: str, now: Column, ttl: int) -> DataFrame:
@@ -336,11 +344,16 @@ def within_ttl(rows: DataFrame, updated: str, now: Column, ttl: int) -> DataFram
 
 
 def counter_rates(samples: DataFrame, keys: Sequence[str], keep: int = 20) -> DataFrame:
-    """Rate between neighbouring counter readings; last ``keep`` rates, latest
-    and peak, per key.  Rates are counter units per second, floored."""
-    rows = ordered.scan(samples, keys, before=ordered.lag(F.struct("at_us", "counter")))
+    """Rate between counter readings; last ``keep`` rates, latest and peak, per key.
+
+    Rates are counter units per second.  A reading below one before it is
+    ignored, and the next is compared with the last that was not.
+    """
+    rows = ordered.scan(samples, keys, highest=ordered.running_max(F.col("counter"), inclusive=False))
+    rows = rows.withColumn("taken", F.coalesce(F.col("counter") >= F.col("highest"), F.col("counter").isNotNull()))
+    rows = ordered.scan(rows, keys, before=ordered.last_known(F.when(F.col("taken"), F.struct("at_us", "counter")), inclusive=False))
     spent, gained = F.col("at_us") - F.col("before.at_us"), F.col("counter") - F.col("before.counter")
-    rated = rows.where((spent > 0) & (gained >= 0)).withColumn("rate", F.call_function("div", gained * 1_000_000, spent))
+    rated = rows.where(F.col("taken") & (spent > 0)).withColumn("rate", gained * F.lit(1e6) / spent)
     kept = keep_latest(rated, keys, [F.desc("ordinal")], keep)
     return kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rates"), F.max_by("rate", "ordinal").alias("latest_rate"), F.max("rate").alias("peak_rate")
@@ -399,12 +412,18 @@ def track_fingerprints(packets: DataFrame, keys: Sequence[str], fields: Sequence
     """Count and order-sensitive SHA-256 of every track.
 
     A tree: rows are hashed in blocks of ``block_rows`` ordinals and the block
-    digests again in blocks, three levels deep, so no task ever holds more than
-    ``block_rows`` digests of one track.
+    digests again in blocks, three levels deep or until each track has one, so no
+    task ever holds more than ``block_rows`` digests of one track.
     """
+    if block_rows < 2:
+        raise ValueError("a block holds two rows at least")
     parts = [F.coalesce(F.col(f).cast("string"), F.lit("N/A")) for f in fields]
     level = packets.select(*keys, (F.col("ordinal") - 1).alias("_at"), F.sha2(F.concat_ws("|", *parts), 256).alias("_digest"), F.lit(1).cast("long").alias("_n"))
-    for _ in range(3):
+    # The levels that the longest track needs; three suffice up to block_rows ** 3 rows.
+    longest, levels = packets.agg(F.max("ordinal")).first()[0] or 0, 3
+    while block_rows**levels < longest:
+        levels += 1
+    for _ in range(levels):
         level = level.groupBy(*keys, F.expr(f"_at div {block_rows}").alias("_at")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_digest"))), lambda x: x["_digest"]), ""), 256).alias("_digest"),
             F.sum("_n").alias("_n"),

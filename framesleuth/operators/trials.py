@@ -442,26 +442,42 @@ def validation_order(references: DataFrame, trials: DataFrame, samples: DataFram
 STEPS = {"size": (28, 26, 27, 30, 29, 32), "quality": (20, 18, 22, 23, 24, 25), "mixed": (23, 22, 24, 25, 20, 18)}
 
 
+# Encoders that are refined; those of the first kind by constant quality.
+CQ_ENCODERS = ("hevc_nvenc", "av1_nvenc", "h264_nvenc")
+ONE_TRY_ENCODERS = ("hevc_amf", "av1_amf", "h264_amf", "hevc_qsv", "av1_qsv", "h264_qsv")
+
+
 def adaptive_candidates(trials: DataFrame, samples: DataFrame, limit: int = 8) -> DataFrame:
     """Next settings to try, interleaved fairly over encoders by score.
 
-    At most six steps exist per encoder, so the interleave is an ordering of a
-    short list per report; ``limit`` is the trial budget.
+    Constant-quality encoders get a list of steps; with a bounded output preset
+    (``output_preset`` other than original) they get the slow preset once, and
+    other encoders their transparent setting once, unless already tried.  At
+    most six steps exist per encoder, so the interleave is an ordering of a short
+    list per report; ``limit`` is the trial budget.
     """
-    usable = trials.where(F.col("runtime_supported") & F.col("playback_compatible"))
+    absent = {"output_preset": F.lit("original"), "error": F.lit(None).cast("string")}
+    trials = trials.withColumns({c: v for c, v in absent.items() if c not in trials.columns})
+    usable = trials.where(F.col("runtime_supported") & F.col("playback_compatible") & F.col("encoder").isin(*CQ_ENCODERS, *ONE_TRY_ENCODERS))
     score = encoder_scores(trials, samples).select("report", "encoder", "score")
     state = trials.join(
         samples.groupBy("report", "trial").agg(
             _flag(~F.col("quality.passed")).alias("failed"), F.min(holds(F.col("quality.passed")).cast("int")).alias("all_passed"), F.count("error").alias("errors")
         ), ["report", "trial"], "left",
     ).groupBy("report", "encoder").agg(
-        F.min((holds(F.col("size_rejected")) & (F.coalesce("errors", F.lit(0)) == 0)).cast("int")).alias("size_limited"),
+        F.min((holds(F.col("size_rejected")) & F.col("error").isNull() & (F.coalesce("errors", F.lit(0)) == 0)).cast("int")).alias("size_limited"),
+        _flag(F.element_at("settings", F.lit("quality")) == "transparent").alias("transparent"), _flag(F.element_at("settings", F.lit("nvenc_preset")) == "p7").alias("slowest"),
+        F.max(F.coalesce("output_preset", F.lit("original")) != "original").alias("bounded"),
         F.max(F.coalesce("failed", F.lit(0))).alias("failed"), F.max(F.coalesce("all_passed", F.lit(0))).alias("all_passed"),
     )
     listed = usable.select("report", "encoder").distinct().join(score, ["report", "encoder"]).join(state, ["report", "encoder"])
     steps = lambda name: F.array(*[F.lit(s) for s in STEPS[name]])
     order = F.when(F.col("size_limited") == 1, steps("size")).when((F.col("failed") == 1) & (F.col("all_passed") == 0), steps("quality")).otherwise(steps("mixed"))
-    rows = listed.select("report", "encoder", "score", F.posexplode(order).alias("turn", "step"))
+    none, once = F.array().cast("array<int>"), F.array(F.lit(None).cast("int"))
+    tried = (F.col("transparent") == 1) | (F.col("bounded") & (F.col("slowest") == 1) & F.col("encoder").isin(*CQ_ENCODERS))
+    by_steps = F.col("encoder").isin(*CQ_ENCODERS) & ~F.col("bounded")
+    order = F.when(by_steps, order).when(tried, none).otherwise(once)
+    rows = listed.select("report", "encoder", "score", F.when(by_steps, "balanced").otherwise("transparent").alias("quality"), F.posexplode(order).alias("turn", "step"))
     fair = Window.partitionBy("report").orderBy("turn", F.desc("score"), "encoder")
     return rows.withColumn("position", F.row_number().over(fair)).where(F.col("position") <= limit)
 
@@ -485,9 +501,10 @@ def trial_overview(samples: DataFrame, newest: int = 20) -> DataFrame:
 
     One row per scene rather than a list, so a trial may have any number.
     """
-    per = samples.groupBy("report", "trial").agg(F.count_if(holds(F.col("quality_pass"))).alias("passed"), F.count(F.lit(1)).alias("samples"))
+    every = F.col("quality_pass") & F.col("preservation_pass") & F.col("decode_pass")
+    per = samples.groupBy("report", "trial").agg(F.count_if(holds(every)).alias("passed"), F.count(F.lit(1)).alias("samples"))
     runs = samples.select("report").distinct().orderBy(F.desc("report")).limit(newest)
-    scenes = samples.join(F.broadcast(runs), "report").select("report", "trial", "reference", F.col("quality.mean").alias("mean"))
+    scenes = samples.join(runs, "report").select("report", "trial", "reference", F.col("quality.mean").alias("mean"))
     return scenes.join(per, ["report", "trial"])
 
 

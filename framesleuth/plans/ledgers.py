@@ -69,7 +69,24 @@ def state_counts(spark, folder):
     FROM att WHERE state IN ('pending', 'running') GROUP BY ROLLUP (state)""",
 )
 def queue_size_rollup(spark, folder):
-    return plain(op.queue_size_totals(attempts(spark, folder)))
+    """Some jobs have no id; others come twice."""
+    rows = attempts(spark, folder).withColumn("id", F.when(F.col("id") % 29 != 0, F.col("id")))
+    again = rows.where(F.col("id") % 5 == 0).withColumns({"seq": F.col("seq") + 1_000_000_000, "size": F.lit(1).cast("long")})
+    return plain(op.queue_size_totals(rows.unionByName(again)))
+
+
+@query(
+    "result_groups",
+    f"""WITH {ATTEMPT_SQL}, s AS (SELECT id, ['verified', 'playback-approved', 'analyzed', 'tested', 'completed', 'interrupted', 'stale', 'unknown', state][id % 9 + 1] AS state FROM att),
+    m AS (SELECT * FROM (VALUES ('replaced', 'replaced'), ('pending', 'active'), ('running', 'active'), ('verified', 'ready'), ('awaiting-playback', 'ready'), ('playback-approved', 'ready'), ('skipped', 'kept'),
+      ('kept-original', 'kept'), ('analyzed', 'complete'), ('tested', 'complete'), ('completed', 'complete'), ('cancelled', 'complete')) v(state, grp))
+    SELECT id, state, coalesce(grp, 'attention') AS result_group FROM s LEFT JOIN m USING (state)""",
+)
+def result_groups(spark, folder):
+    rows = attempts(spark, folder)
+    states = F.array(*[F.lit(s) for s in ("verified", "playback-approved", "analyzed", "tested", "completed", "interrupted", "stale", "unknown")], F.col("state"))
+    state = F.element_at(states, (F.col("id") % 9 + 1).cast("int"))
+    return plain(rows.select("id", state.alias("state"), op.result_group(state).alias("result_group")))
 
 
 @query(
@@ -172,16 +189,19 @@ def content_dedup(spark, folder):
 
 @query(
     "latest_telemetry",
-    """WITH t AS (SELECT user_id AS id, event_type AS phase, CAST(round(value * 100) AS BIGINT) AS percent, epoch_us(ts) AS updated FROM events WHERE user_id % 3 <> 0),
-    n AS (SELECT id, arg_max(phase, updated) AS phase, arg_max(percent, updated) AS percent, max(updated) AS updated FROM t GROUP BY id)
+    """WITH t AS (SELECT user_id AS id, event_type AS phase, CAST(round(value * 100) AS BIGINT) AS percent, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) END AS updated, epoch_us(ts) AS started,
+      event_id % 50 = 0 AS tracked FROM events WHERE user_id % 3 <> 0),
+    n AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY tracked DESC, coalesce(updated, started) DESC) = 1)
     SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(phase, '') AS phase, coalesce(percent, -1) AS percent, coalesce(updated, -1) AS updated FROM customer LEFT JOIN n ON n.id = c_custkey""",
 )
 def latest_telemetry(spark, folder):
+    """One record in fifty is of a job's own directory, and one in seven has its start only."""
     e = table(spark, folder, "events")
-    named = F.concat(F.lit("/runs/request-"), F.col("user_id").cast("string"), F.lit("/auto-1"))
+    place = F.when(F.col("event_id") % 50 == 0, F.lit("\\job-7")).otherwise("/auto-1")
+    named = F.concat(F.lit("/runs/request-"), F.col("user_id").cast("string"), place)
     t = e.select(
         F.when(F.col("user_id") % 3 != 0, named).otherwise("/runs/other").alias("directory"), F.col("event_type").alias("phase"),
-        tables.cents(F.col("value")).alias("percent"), micros(F.col("ts")).alias("updated"),
+        tables.cents(F.col("value")).alias("percent"), F.when(F.col("event_id") % 7 != 0, micros(F.col("ts"))).alias("updated"), micros(F.col("ts")).alias("started"),
     )
     return plain(op.with_latest_telemetry(table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("id")), t))
 
@@ -344,26 +364,52 @@ def queue_order(spark, folder):
     return plain(result)
 
 
+_MOMENT = "CASE WHEN id % 19 = 0 THEN 0 ELSE coalesce(finished_us, started_us, created_us) END"
+_RESULT_ORDERS = {
+    "newest": "moment DESC, n, CAST(id AS VARCHAR)", "oldest": "moment = 0, moment, n, CAST(id AS VARCHAR)", "name": "n, moment DESC, CAST(id AS VARCHAR)",
+    "saved": "CASE WHEN state = 'replaced' THEN saved END DESC NULLS LAST, moment DESC, n, CAST(id AS VARCHAR)",
+}
+
+
+def _result_rows(spark, folder):
+    """Some results without any time, and savings noted on results that were not replaced."""
+    rows = attempts(spark, folder)
+    for c in ("finished_us", "started_us", "created_us"):
+        rows = rows.withColumn(c, F.when(F.col("id") % 19 != 0, F.col(c)))
+    return rows.withColumn("saved_bytes", F.coalesce("saved_bytes", F.when(F.col("id") % 8 == 5, F.lit(10**15).cast("long"))))
+
+
+_RESULT_SQL = f"WITH {ATTEMPT_SQL}, s AS (SELECT id, state, CAST(regexp_extract(source, '([0-9]+).mkv$', 1) AS BIGINT) AS n, {_MOMENT} AS moment, coalesce(saved_bytes, CASE WHEN id % 8 = 5 THEN 1000000000000000 END) AS saved FROM att)"
+
+
 @query(
     "result_sort",
-    f"""WITH {ATTEMPT_SQL}, s AS (SELECT id, CAST(regexp_extract(source, '([0-9]+).mkv$', 1) AS BIGINT) AS n, coalesce(finished_us, created_us) AS moment, created_us FROM att),
-    o AS (SELECT id, row_number() OVER (ORDER BY n, moment DESC, created_us DESC, CAST(id AS VARCHAR) DESC) AS position FROM s) SELECT id, position, CASE WHEN (SELECT count(*) FROM o) > 150 THEN CAST(150 AS BIGINT) ELSE -1 END AS next_offset FROM o WHERE position > 50 AND position <= 150""",
+    _RESULT_SQL + ", o AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, id, row_number() OVER (ORDER BY {o}) AS position FROM s" for m, o in _RESULT_ORDERS.items()) + """)
+    SELECT mode, id, position, CASE WHEN (SELECT count(*) FROM s) > 150 THEN CAST(150 AS BIGINT) ELSE -1 END AS next_offset FROM o WHERE position > 50 AND position <= 150""",
 )
 def result_sort(spark, folder):
-    from framesleuth.functions.labels import natural_key
-
-    at = F.coalesce("finished_us", "created_us")
-    order = [natural_key(F.regexp_extract("source", r"([^/]*)$", 1)).asc(), at.desc(), F.col("created_us").desc(), F.col("id").cast("string").desc()]
-    return plain(op.page(attempts(spark, folder), order, 50, 100), "id", "position", "next_offset")
+    """One page of the result list in each of the four orders."""
+    rows, out = _result_rows(spark, folder), None
+    for mode in _RESULT_ORDERS:
+        one = op.page(rows, op.result_order(rows, mode), 50, 100).select(F.lit(mode).alias("mode"), "id", "position", "next_offset")
+        out = one if out is None else out.unionByName(one)
+    return plain(out)
 
 
 @query(
     "result_order",
-    f"WITH {ATTEMPT_SQL} SELECT id, coalesce(saved_bytes, -1) AS saved_bytes, coalesce(finished_us, created_us) AS at FROM att",
+    _RESULT_SQL + f", o AS (SELECT id, state, row_number() OVER (ORDER BY {_RESULT_ORDERS['saved']}) AS position FROM s) SELECT state, min(position) AS first_position, max(position) AS last_position, sum(position)::BIGINT AS position_sum FROM o GROUP BY state",
 )
 def result_order(spark, folder):
-    rows = op.sort_results(attempts(spark, folder), "saved")
-    return plain(rows.select("id", "saved_bytes", F.coalesce("finished_us", "created_us").alias("at")))
+    """Where each state stands in the list sorted by what was saved."""
+    from framesleuth.operators.ordered import number_rows
+
+    rows = _result_rows(spark, folder)
+    keys = op.result_keys(rows, "saved")
+    held = rows.withColumns({"list": F.lit(1), **{f"key{k}": key for k, (key, _) in enumerate(keys)}})
+    order = [F.col(f"key{k}").desc_nulls_last() if down else F.col(f"key{k}").asc_nulls_last() for k, (_, down) in enumerate(keys)]
+    placed = number_rows(held, ["list"], order, "position")
+    return plain(placed.groupBy("state").agg(F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.sum("position").alias("position_sum")))
 
 
 @query(

@@ -297,14 +297,14 @@ def window_check(spark, folder):
 @query(
     "nominated_files",
     """WITH n AS (SELECT p_partkey AS k, ['clip.mkv', 'a-frames.json', 'b-stream-3.txt', 'notes.txt', 'rpu.json', 'info.nfo', 'movie-sample.mp4', 'Sample/x.mp4', 'c-layers/metadata.json', 'metadata.json'][p_partkey % 10 + 1] AS name, p_partkey % 10 AS i FROM part)
-    SELECT '/w/' || k || '/' || name AS path, i IN (0, 1, 2, 4, 6, 7, 8) AS generated, CASE i WHEN 5 THEN 'metadata file; review' WHEN 6 THEN 'explicit sample folder or name; review' WHEN 7 THEN 'explicit sample folder or name; review' ELSE '' END AS reason FROM n""",
+    SELECT '/srv/samples/' || k || '/' || name AS path, i IN (0, 1, 2, 4, 6, 7, 8) AS generated, CASE i WHEN 5 THEN 'metadata file; review' WHEN 6 THEN 'explicit sample folder or name; review' WHEN 7 THEN 'explicit sample folder or name; review' ELSE '' END AS reason FROM n""",
 )
 def nominated_files(spark, folder):
     listed = ("clip.mkv", "a-frames.json", "b-stream-3.txt", "notes.txt", "rpu.json", "info.nfo", "movie-sample.mp4", "Sample/x.mp4", "c-layers/metadata.json", "metadata.json")
     name = F.element_at(F.array(*[F.lit(n) for n in listed]), (_part() % 10 + 1).cast("int"))
-    path = F.concat(F.lit("/w/"), _part().cast("string"), F.lit("/"), name)
+    path = F.concat(F.lit("/srv/samples/"), _part().cast("string"), F.lit("/"), name)
     rows = table(spark, folder, "part").select(path.alias("path"))
-    return plain(rows.select("path", op.disposable(F.col("path")).alias("generated"), op.cleanup_reason(F.col("path"), F.lit("/w/main.mkv"), True).alias("reason")))
+    return plain(rows.select("path", op.disposable(F.col("path")).alias("generated"), op.cleanup_reason(F.col("path"), F.lit("/srv/samples/main.mkv"), True, F.lit("/srv/samples")).alias("reason")))
 
 
 @query(

@@ -246,16 +246,28 @@ def validation_order(spark, folder):
 
 @query(
     "round_robin",
-    f"""WITH {TRIAL_SQL}, g AS (SELECT report, encoder, max(coalesce(min_p5, 0)) AS score, bool_or(quality_failed) AS failed, bool_or(samples > 0 AND NOT quality_failed) AS allp,
-        bool_or(runtime_supported AND playback_compatible) AS usable FROM fact GROUP BY 1, 2),
-    s AS (SELECT report, encoder, score, CASE WHEN failed AND NOT allp THEN [20, 18, 22, 23, 24, 25] ELSE [23, 22, 24, 25, 20, 18] END AS l FROM g WHERE usable),
-    u AS (SELECT report, encoder, score, i - 1 AS turn, l[i] AS step FROM s, (SELECT unnest(range(1, 7)) AS i)),
+    f"""WITH {TRIAL_SQL}, v AS (SELECT *, CASE WHEN report % 3 = 1 AND k = 5 THEN 'av1_qsv' WHEN report % 3 = 2 AND k = 5 THEN 'libx264' ELSE encoder END AS enc, report % 7 = 3 AS bounded,
+        CASE WHEN report % 6 = 1 AND k = 5 THEN 'transparent' ELSE 'balanced' END AS quality, CASE WHEN report % 14 = 3 THEN 'p7' ELSE preset END AS shown, report % 5 = 0 AS size_rejected, report % 10 = 0 AND k = 2 AS failed_trial FROM fact),
+    g AS (SELECT report, enc AS encoder, max(coalesce(min_p5, 0)) AS score, bool_or(quality_failed) AS failed, bool_or(samples > 0 AND NOT quality_failed) AS allp, bool_or(runtime_supported AND playback_compatible) AS usable,
+        bool_and(size_rejected AND NOT failed_trial AND NOT errors) AS size_limited, bool_or(quality = 'transparent') AS transparent, bool_or(shown = 'p7') AS slowest, bool_or(bounded) AS bounded FROM v GROUP BY 1, 2),
+    s AS (SELECT report, encoder, score, CASE WHEN encoder LIKE '%_nvenc' AND NOT bounded THEN 'balanced' ELSE 'transparent' END AS quality,
+        CASE WHEN encoder LIKE '%_nvenc' AND NOT bounded THEN CASE WHEN size_limited THEN [28, 26, 27, 30, 29, 32] WHEN failed AND NOT allp THEN [20, 18, 22, 23, 24, 25] ELSE [23, 22, 24, 25, 20, 18] END
+          WHEN encoder LIKE '%_nvenc' AND (slowest OR transparent) OR transparent THEN [] ELSE [-1] END AS l FROM g WHERE usable AND encoder <> 'libx264'),
+    u AS (SELECT report, encoder, score, quality, i - 1 AS turn, l[i] AS step FROM s, (SELECT unnest(range(1, 7)) AS i) WHERE i <= len(l)),
     r AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY turn, score DESC, encoder) AS position FROM u)
-    SELECT report, encoder, score, CAST(turn AS BIGINT) AS turn, CAST(step AS BIGINT) AS step, position FROM r WHERE position <= 8""",
+    SELECT report, encoder, score, quality, CAST(turn AS BIGINT) AS turn, CAST(step AS BIGINT) AS step, position FROM r WHERE position <= 8""",
 )
 def round_robin(spark, folder):
+    """Other vendors' encoders, bounded presets, size limits and failed trials among the trials."""
     _, _, trials, samples = _trial_inputs(spark, folder)
-    return plain(op.adaptive_candidates(trials, samples))
+    r, k = F.col("report"), F.col("k")
+    shown = F.when(r % 14 == 3, "p7").otherwise(F.element_at("settings", F.lit("preset")))
+    varied = trials.withColumns({
+        "encoder": F.when((r % 3 == 1) & (k == 5), "av1_qsv").when((r % 3 == 2) & (k == 5), "libx264").otherwise(F.col("encoder")),
+        "output_preset": F.when(r % 7 == 3, "smaller").otherwise("original"), "size_rejected": r % 5 == 0, "error": F.when((r % 10 == 0) & (k == 2), "stopped"),
+        "settings": F.create_map(F.lit("quality"), F.when((r % 6 == 1) & (k == 5), "transparent").otherwise("balanced"), F.lit("nvenc_preset"), shown),
+    })
+    return plain(op.adaptive_candidates(varied, samples))
 
 
 @query(
@@ -271,7 +283,7 @@ def faster_presets(spark, folder):
 
 @query(
     "trial_overview",
-    f"""WITH {TRIAL_SQL}, n AS (SELECT DISTINCT report FROM smp ORDER BY report DESC LIMIT 20), c AS (SELECT report, trial, count(*) FILTER (WHERE passed) AS passed, count(*) AS samples FROM smp GROUP BY 1, 2)
+    f"""WITH {TRIAL_SQL}, n AS (SELECT DISTINCT report FROM smp ORDER BY report DESC LIMIT 20), c AS (SELECT report, trial, count(*) FILTER (WHERE passed AND decode_pass) AS passed, count(*) AS samples FROM smp GROUP BY 1, 2)
     SELECT smp.report, smp.trial, reference, mean, c.passed, c.samples FROM smp JOIN n USING (report) JOIN c ON c.report = smp.report AND c.trial = smp.trial""",
 )
 def trial_overview(spark, folder):

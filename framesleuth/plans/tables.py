@@ -244,7 +244,7 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     published = F.when(k % 88 == 3, path(c + 1)).when(k % 8 == 3, F.concat(F.lit("/lib/new/"), c.cast("string"), F.lit(".mkv")))
     return o.select(
         k.alias("id"), k.alias("seq"), path(c).alias("source"), published.alias("published_path"), state.alias("state"), at.alias("created_us"),
-        F.when(k % 8 >= 2, at + 3_600_000_000 * (k % 7)).alias("finished_us"), F.when(k % 71 != 0, size).alias("size"), out.alias("output_bytes"),
+        F.when(k % 8 >= 2, at + 3_600_000_000 * (k % 7)).alias("finished_us"), F.when(k % 8 == 1, at + 60_000_000 * (k % 5)).alias("started_us"), F.when(k % 71 != 0, size).alias("size"), out.alias("output_bytes"),
         F.when(k % 8 == 3, size - out).alias("saved_bytes"), F.when(k % 3 != 0, c % 20).alias("batch"), pick(REASON_TEXTS, k % 5).alias("reason"),
         F.when(k % 6 == 0, "already_efficient_for_settings").alias("decision_code"), F.when(k % 10 == 7, "error").alias("outcome"),
         (k % 13 == 0).alias("superseded"), at.alias("mtime"), F.lit("encode").alias("mode"), (k % 17 != 0).alias("publication_authorized"),
@@ -254,7 +254,7 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 ATTEMPT_SQL = """att AS (SELECT o_orderkey AS id, o_orderkey AS seq, '/lib/' || (o_custkey % 50) || '/' || o_custkey || '.mkv' AS source,
   CASE WHEN o_orderkey % 88 = 3 THEN '/lib/' || ((o_custkey + 1) % 50) || '/' || (o_custkey + 1) || '.mkv' WHEN o_orderkey % 8 = 3 THEN '/lib/new/' || o_custkey || '.mkv' END AS published_path,
   ['pending', 'running', 'cancelled', 'replaced', 'awaiting-playback', 'failed', 'skipped', 'kept-original'][o_orderkey % 8 + 1] AS state,
-  epoch_us(o_orderdate) AS created_us, CASE WHEN o_orderkey % 8 >= 2 THEN epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 7) END AS finished_us,
+  epoch_us(o_orderdate) AS created_us, CASE WHEN o_orderkey % 8 >= 2 THEN epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 7) END AS finished_us, CASE WHEN o_orderkey % 8 = 1 THEN epoch_us(o_orderdate) + 60000000 * (o_orderkey % 5) END AS started_us,
   CASE WHEN o_orderkey % 71 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS size, CAST(round(o_totalprice * 100) AS BIGINT) * (50 + o_orderkey % 40) // 100 AS output_bytes,
   CASE WHEN o_orderkey % 8 = 3 THEN CAST(round(o_totalprice * 100) AS BIGINT) - CAST(round(o_totalprice * 100) AS BIGINT) * (50 + o_orderkey % 40) // 100 END AS saved_bytes,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 20 END AS batch,

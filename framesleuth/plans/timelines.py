@@ -258,17 +258,20 @@ def prefix_by_time(spark, folder):
 
 @query(
     "counter_rate",
-    f"""WITH {PACKET_SQL}, c AS (SELECT track, ordinal, pts, sum(level) OVER (PARTITION BY track ORDER BY ordinal) * 1000 AS counter FROM packet),
-    d AS (SELECT track, ordinal, pts - lag(pts) OVER t AS spent, CAST(counter - lag(counter) OVER t AS BIGINT) AS gained FROM c WINDOW t AS (PARTITION BY track ORDER BY ordinal)),
-    r AS (SELECT track, ordinal, gained * 1000000 // spent AS rate, row_number() OVER (PARTITION BY track ORDER BY ordinal DESC) AS rn FROM d WHERE spent > 0 AND gained >= 0),
+    f"""WITH {PACKET_SQL}, c AS (SELECT track, ordinal, pts, CAST(sum(level) OVER (PARTITION BY track ORDER BY ordinal) * 1000 - CASE WHEN ordinal % 97 = 0 THEN 90000 ELSE 0 END AS BIGINT) AS counter FROM packet),
+    h AS (SELECT *, coalesce(counter >= max(counter) OVER (PARTITION BY track ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS taken FROM c),
+    d AS (SELECT track, ordinal, pts - lag(pts) OVER t AS spent, counter - lag(counter) OVER t AS gained FROM h WHERE taken WINDOW t AS (PARTITION BY track ORDER BY ordinal)),
+    r AS (SELECT track, ordinal, gained * 1e6::DOUBLE / spent AS rate, row_number() OVER (PARTITION BY track ORDER BY ordinal DESC) AS rn FROM d WHERE spent > 0),
     g AS (SELECT track, count(*) AS rates, arg_max(rate, ordinal) AS latest_rate, max(rate) AS peak_rate FROM r WHERE rn <= 20 GROUP BY track)
-    SELECT *, CASE WHEN rates < 3 THEN 8 ELSE least(16, greatest(1, 6, CAST(ceil(peak_rate * 1.2 + 0.5) AS BIGINT))) END AS target FROM g""",
+    SELECT *, CASE WHEN rates < 3 THEN 8 ELSE least(16, greatest(1, 6, CAST(ceil(peak_rate * 1.2::DOUBLE + 0.5) AS BIGINT))) END AS target FROM g""",
 )
 def counter_rate(spark, folder):
+    """Every ninety-seventh reading falls back."""
     from framesleuth.operators import ordered
 
     p = ordered.scan(packets(spark, folder), KEYS, total=ordered.running_sum(F.col("level")))
-    rated = timeline.counter_rates(p.select("track", "ordinal", F.col("pts").alias("at_us"), (F.col("total") * 1000).alias("counter")), KEYS)
+    counter = F.col("total") * 1000 - F.when(F.col("ordinal") % 97 == 0, 90000).otherwise(0)
+    rated = timeline.counter_rates(p.select("track", "ordinal", F.col("pts").alias("at_us"), counter.alias("counter")), KEYS)
     return plain(rated.withColumn("target", timeline.allocation_target(F.lit(8), F.col("rates"), F.col("peak_rate"))))
 
 

@@ -112,7 +112,7 @@ def process_table(lines: DataFrame) -> DataFrame:
     for k, v in usage.items():
         bad = bad | (cell(k).isNotNull() & ~holds(v.between(0, 100)))
     return data.where(F.col("c").isNull() | cell("pid").isNotNull()).select(
-        "file", "line_no", cell("gpu").try_cast("int").alias("gpu"), cell("pid").try_cast("long").alias("pid"), F.substring(F.coalesce(cell("command"), F.lit("GPU application")), 1, 80).alias("name"),
+        "file", "line_no", cell("gpu").try_cast("int").alias("gpu"), cell("pid").try_cast("long").alias("pid"), F.coalesce(cell("command"), F.lit("GPU application")).alias("name"),
         *[v.alias(k) for k, v in usage.items()], F.when(bad, "unrecognized process telemetry").alias("reason"),
     )
 
@@ -227,7 +227,7 @@ def terminal_reasons(lines: DataFrame) -> DataFrame:
     facts = lines.groupBy("file").agg(
         F.max(F.when(F.col("line").contains(TRACE_MARK), F.col("line_no"))).alias("_mark"), F.max(F.when(error.isNotNull(), F.struct("line_no", error.alias("text")))).alias("_e")
     )
-    return facts.select("file", F.when(F.col("_e.line_no") > F.col("_mark"), F.substring("_e.text", 1, 4096)).alias("reason"))
+    return facts.select("file", F.when(F.col("_e.line_no") > F.col("_mark"), F.col("_e.text")).alias("reason"))
 
 
 def media_inventory(spark: SparkSession, root: str, excluded: Sequence[str] = (), markers: Sequence[str] = (".partial",)) -> DataFrame:

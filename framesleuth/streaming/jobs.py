@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +84,8 @@ def run_once(rows: DataFrame, path: str, checkpoint: str, wait_s: int | None = N
     """Process everything available into parquet; the checkpoint makes it resumable.
 
     Jobs with processing-time state never run out of work, so they are stopped
-    after ``wait_s`` seconds instead.
+    once all input is read and a later batch had none, and fail if that takes
+    more than ``wait_s`` seconds.
     """
     spark = rows.sparkSession
     setting = "spark.sql.streaming.stateStore.providerClass"
@@ -91,9 +93,17 @@ def run_once(rows: DataFrame, path: str, checkpoint: str, wait_s: int | None = N
     spark.conf.set(setting, ROCKSDB)
     try:
         job = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        job.awaitTermination(wait_s) if wait_s else job.awaitTermination()
-        if wait_s:
-            job.stop()
+        if not wait_s:
+            job.awaitTermination()
+            return
+        until, idle = time.time() + wait_s, False
+        while not (job.awaitTermination(1) or idle):
+            if time.time() > until:
+                job.stop()
+                raise RuntimeError(f"input was not read within {wait_s} s")
+            seen = job.recentProgress
+            idle = any(p["numInputRows"] for p in seen) and not seen[-1]["numInputRows"]
+        job.stop()
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 

@@ -202,7 +202,7 @@ class ProgressLines(_Single):
         out = []
         for row in _in_order(rows, "ordinal").itertuples():
             *lines, rest = re.split(r"\r?\n", pending + row.chunk)
-            pending = rest[-4096:]
+            pending = rest
             for line in lines:
                 match = re.fullmatch(r"(?:[A-Z]+_)?PROGRESS=(\d+(?:\.\d+)?)", line.strip())
                 if match:
