@@ -81,65 +81,68 @@ class WordEncoder:
 
     def _learn(self, words: list[str], before: str) -> dict[str, bytes]:
         """Ids of stretches without white space, each with ``before`` in front."""
-        letters: dict[str, list[tuple[str, str]]] = {}
-        other, out = [], {}
-        lead = "\n" if before == "\n" else ""
-        for w in words:
-            tail = w[-1] if w[-1] in _TAIL else ""
-            base = w[:-1] if tail else w
-            # A letter that becomes two in lower case may end in a mark, which joins what follows.
-            if base.isalpha() and len(base) <= CACHE_CHARS and len(base.lower()) == len(base):
-                if tail and (ids := self.cache.get(lead + base)):
-                    out[w] = ids + self.tails[tail]
-                    continue
-                letters.setdefault(base if self.kept or not base.isascii() else base.lower(), []).append((w, tail))
-            else:
-                other.append(w)
+        lead = "\n" if self.kept and before == "\n" else ""
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        # A letter that becomes two in lower case may end in a mark, which joins what follows.
+        tailed = [w for w in rest if w[-1] in _TAIL and w[:-1].isalpha() and len(w[-2].lower()) == 1]
+        out = dict(zip(plain, self._joined(plain, before)))
+        bases = list({w[:-1] for w in tailed if w[:-1] not in out and lead + w[:-1] not in self.cache})
+        out |= zip(bases, self._joined(bases, before))
+        cache, tails = self.cache, self.tails
+        out |= {w: (out.get(w[:-1]) or cache[lead + w[:-1]]) + tails[w[-1]] for w in tailed}
+        other = [w for w in rest if w not in out]
         out |= zip(other, self._singly([before + w for w in other]))
-        for held, ids in zip(letters.values(), self._joined(list(letters), before)):
-            for w, tail in held:
-                out[w] = ids + self.tails[tail] if tail else ids
         return out
 
-    def _plain(self, text: str) -> list[str] | None:
-        """The stretches, if all are set apart by one space or line feed; a line feed stays with the next one."""
-        words = text.split()
-        if not words or text.count(" ") + text.count("\n") != len(words) - 1 or sum(map(len, words)) + len(words) - 1 != len(text):
-            return None
-        return ("\n" + text.replace("\n", " \n")).split(" ") if self.kept else words
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """The stretches of a text, and whether all are set apart by one space or line feed.
+
+        If so and white space is kept, the line feed stays with the next stretch
+        and one is put before the first; else the white space belongs to the
+        stretch, and a space marks those in the cache.
+        """
+        spaced = text.replace("\n", " ")
+        if text and spaced.isprintable() and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
+            return (("\n" + text.replace("\n", " \n")).split(" ") if self.kept else spaced.split(" ")), True
+        if not self.kept:
+            return _DROPPED.findall(text), False
+        return [" " + w for w in ([text] if text and _UNUSUAL.search(text) else _KEPT.findall(text))], False
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
-        texts = [t or "" for t in texts]
-        plain = [self._plain(t) for t in texts]
-        # In other texts the white space belongs to the stretch; a mark keeps those apart in the cache.
-        held = [p if p is not None else [t] if self.kept and _UNUSUAL.search(t) else (_KEPT if self.kept else _DROPPED).findall(t) for t, p in zip(texts, plain)]
-        if self.kept:
-            held = [words if p is not None else [" " + w for w in words] for words, p in zip(held, plain)]
-        new: set[str] = set()
-        for words in held:
-            new.update(words)
         if len(self.cache) > CACHE_ENTRIES:
             self.old, self.cache = self.cache, {}
         known, old = self.cache, self.old
-        new.difference_update(known)
+        held, new = [], set()
+        for text in texts:
+            words, plain = self._cut(text or "")
+            found = list(map(known.get, words))
+            missing = [i for i, x in enumerate(found) if x is None]
+            new.update([words[i] for i in missing])
+            held.append((words, found, missing, plain))
         again = new.intersection(old)
         known.update((w, old[w]) for w in again)
         new -= again
         if self.kept:
             learnt = self._learn([w for w in new if w[0] not in "\n "], " ")
-            learnt |= {"\n" + w: x for w, x in self._learn([w[1:] for w in new if w[0] == "\n" and len(w) > 1], "\n").items()}
+            learnt |= {"\n" + w: x for w, x in self._learn([w[1:] for w in new if w[0] == "\n"], "\n").items()}
             raw = [w for w in new if w[0] == " "]
             learnt |= zip(raw, self._singly([w[1:] for w in raw]))
         else:
             learnt = self._learn(list(new), " ")
-        rare = {w: x for w, x in learnt.items() if len(w) > CACHE_CHARS}
         known.update(learnt)
-        out = [b"".join(map(known.__getitem__, words)) for words in held]
-        for w in rare:
-            del known[w]
-        # The line feed put before a plain text goes.
-        return [x[self.width :] if self.kept and p is not None else x for x, p in zip(out, plain)]
+        out = []
+        for words, found, missing, plain in held:
+            for i in missing:
+                found[i] = known[words[i]]
+            ids = b"".join(found)
+            # The line feed put before a plain text goes.
+            out.append(ids[self.width :] if self.kept and plain else ids)
+        for w in learnt:
+            if len(w) > CACHE_CHARS:
+                del known[w]
+        return out
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}

@@ -94,8 +94,11 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS):
     return raw, target
 
 
-def best_cut(weights, labels) -> float | None:
-    """Middle of the widest gap among the cuts with fewest wrong labels; None without both labels."""
+def best_cut(weights, labels, lean: float = 0.5) -> float | None:
+    """A point in the widest gap among the cuts with fewest wrong labels; None without both labels.
+
+    ``lean``: part of the way from the lower to the upper end of the gap.
+    """
     import numpy as np
 
     weights, labels = np.asarray(weights, "f8"), np.asarray(labels)
@@ -107,7 +110,7 @@ def best_cut(weights, labels) -> float | None:
     edges = np.concatenate([[weights[0] - 1], weights, [weights[-1] + 1]])
     gaps = np.where(wrong == wrong.min(), np.diff(edges), -1)
     at = int(gaps.argmax())
-    return float((edges[at] + edges[at + 1]) / 2)
+    return float(edges[at] + lean * (edges[at + 1] - edges[at]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, at_once: int = 10_000) -> float:
@@ -174,8 +177,9 @@ def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     with scratch.temporary(docs.sparkSession):
         weights, _ = scratch.write(keyed(marked).drop("text"), "weights")
         known = weights.where("label IS NOT NULL").select("log_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
-        # Weights grow with length; the middle is taken where long texts do not dwarf short ones.
-        cut = best_cut(np.arcsinh(known["log_weight"]), known["label"])
+        # Weights grow with length, so the cut is made where long texts do not dwarf short ones.  Labelled
+        # texts are part of the target model and lie higher than others like them: the cut leaves them more room.
+        cut = best_cut(np.arcsinh(known["log_weight"]), known["label"], 0.25)
         cut = None if cut is None else float(np.sinh(cut))
         least = None if cut is None else kth_largest(weights, "sample_key", weights.where(F.col("log_weight") >= cut).count())
     return keyed(docs).withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= least)
