@@ -50,3 +50,10 @@ def test_metadata_forms(spark):
     ).first()
     assert one.m == [0, 65536, 0, -65536, 0, 0, 0, 0, 1073741824] and one.bad is None and one.low == "177/250"
     assert one.s == "1.12 KiB" and one.n9 < one.n10 and one.c == '"\' =x"""' and one.p == "validation_wait"
+
+
+def test_natural_key_orders_numbers_of_any_length(spark):
+    texts = ["a5", "a10", "a007", "a100000000000000000000", "a99999999999999999999", "A6", "b", "a"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["t"] for r in frame.orderBy(labels.natural_key(F.col("t"))).collect()]
+    assert got == ["a", "a5", "A6", "a007", "a10", "a99999999999999999999", "a100000000000000000000", "b"]

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from framesleuth.operators import ledger, timeline, trials
@@ -99,3 +101,25 @@ def test_fingerprint_depends_on_order_and_not_on_blocks(spark):
     swapped = [("a", o, h) for (_, o, _), (_, _, h) in zip(rows, [rows[1], rows[0], *rows[2:]])]
     digest = lambda r: timeline.track_fingerprints(spark.createDataFrame(r, "track string, ordinal long, hash string"), ["track"], ["hash"], 4).first()
     assert digest(rows).packets == 40 and digest(rows).fingerprint == digest(rows).fingerprint != digest(swapped).fingerprint
+
+
+def test_components_of_a_long_path_are_finished(spark):
+    from framesleuth.operators import ledger
+
+    edges = spark.createDataFrame([(f"n{k:04}", f"n{k + 1:04}") for k in range(300)], "u string, v string")
+    roots = {r["u"]: r["root"] for r in ledger.components(edges).collect()}
+    assert set(roots.values()) == {"n0000"} and len(roots) == 300
+    with pytest.raises(RuntimeError):
+        ledger.components(edges, rounds=1)
+
+
+def test_every_row_changes_the_fingerprint(spark):
+    from framesleuth.operators import timeline
+
+    rows = [(0, k, f"h{k}") for k in range(1, 41)]
+
+    def print_of(held):
+        return timeline.track_fingerprints(spark.createDataFrame(held, "track int, ordinal long, hash string"), ["track"], ["hash"], 2).first()["fingerprint"]
+
+    whole = print_of(rows)
+    assert all(print_of([(t, o, h + "!" * (o == k)) for t, o, h in rows]) != whole for k in (1, 8, 9, 33, 40))
