@@ -77,8 +77,36 @@ def _ints(data: bytes, kind: str = "<u4"):
     return np.frombuffer(data, kind)
 
 
+def _squeeze(*arrays) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in arrays))
+
+
+def _unsqueeze(data: bytes):
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _squeeze_planes(values) -> bytes:
+    """Numbers of 32 bits, their first bytes, then their second ones and so on."""
+    import numpy as np
+
+    return _squeeze(np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4).T))
+
+
+def _unsqueeze_planes(data: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(_unsqueeze(data), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+LOT_SCHEMA = "lot long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, counts binary, places binary, kind string"
+
+
 def make_lots(docs: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
-    """Lots of ``docs (doc_id, held, text)``: distinct words with training counts, and each text as places among them."""
+    """Lots of ``docs (doc_id, held, text)``: a row with distinct words and training counts, and one with each text as places among them."""
 
     def task(batches):
         import numpy as np
@@ -96,12 +124,12 @@ def make_lots(docs: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
                 training = ~np.repeat(held, np.diff(rows))
                 counts = np.bincount(places[training], minlength=len(words))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lot]), pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([np.diff(rows)], pa.list_(pa.int32())),
-                    pa.array([words.astype("<u8").tobytes()]), pa.array([counts.astype("<u4").tobytes()]), pa.array([places.astype("<u4").tobytes()]),
-                ], ["lot", "doc_ids", "held", "sizes", "words", "counts", "places"])
+                    pa.array([lot, lot]), pa.array([None, some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([None, held.tolist()], pa.list_(pa.bool_())), pa.array([None, np.diff(rows)], pa.list_(pa.int32())),
+                    pa.array([words.astype("<u8").tobytes(), None], pa.binary()), pa.array([counts.astype("<u4").tobytes(), None], pa.binary()), pa.array([None, _squeeze_planes(places)], pa.binary()), pa.array(["words", "texts"]),
+                ], ["lot", "doc_ids", "held", "sizes", "words", "counts", "places", "kind"])
                 lot += 1
 
-    return docs.select("doc_id", "held", "text").mapInArrow(task, "lot long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, counts binary, places binary")
+    return docs.select("doc_id", "held", "text").mapInArrow(task, LOT_SCHEMA)
 
 
 def _word_bucket(words, buckets: int):
@@ -117,7 +145,7 @@ def count_words(lots: DataFrame, buckets: int) -> DataFrame:
     """The word table and the answers to the lots, by bucket.
 
     A row with a lot gives ids and counts of that lot's words in the bucket; the
-    row without one is the bucket's part of the table.
+    row without one is the bucket's part of the table, with the words' hashes.
     """
 
     def send(batches):
@@ -149,9 +177,10 @@ def count_words(lots: DataFrame, buckets: int) -> DataFrame:
         for lot, x in zip(rows["lot"], held):
             mine = places[at : at + len(x)]
             at += len(x)
-            out.append((lot, key[0], ids[mine].tobytes(), total[mine].astype("<u4").tobytes(), None, None, None))
+            # A lot's words are in the order of their hashes, and so are the ids.
+            out.append((lot, key[0], _squeeze(np.diff(ids[mine], prepend=np.uint32(0))), _squeeze(total[mine].astype("<u4")), None, None, None))
         seen = np.bincount(np.minimum(total, CUTOFF + 2).astype("i8"), minlength=CUTOFF + 3)[: CUTOFF + 2]
-        out.append((None, key[0], ids.tobytes(), total.astype("<u4").tobytes(), int((total > 0).sum()), int(total.sum()), seen.tolist()))
+        out.append((None, key[0], _squeeze(words), _squeeze(total.astype("<u4")), int((total > 0).sum()), int(total.sum()), seen.tolist()))
         return pd.DataFrame(out, columns=["lot", "bucket", "ids", "counts", "known", "tokens", "seen"]).astype({"lot": "Int64", "known": "Int64", "tokens": "Int64"})
 
     sent = lots.select("lot", "words", "counts").mapInArrow(send, "bucket long, lot long, words binary, counts binary")
@@ -167,14 +196,14 @@ class Lot:
         from framesleuth.llm.shingles import mix
 
         answers = answers.sort_values("bucket")  # buckets are ranges of the words' hashes, so this is the words' order
-        both = [np.concatenate([_ints(x) for x in answers[c]]) if len(answers) else np.zeros(0, "u4") for c in ("ids", "counts")]
+        both = [np.concatenate([f(_ints(_unsqueeze(x))) for x in answers[c]]) if len(answers) else np.zeros(0, "u4") for c, f in (("ids", np.cumsum), ("counts", np.asarray))]
         n = len(both[0])
         ids, self.counts = np.concatenate([both[0], [START, END]]).astype("u8"), np.concatenate([both[1], [ends, ends]]).astype("i8")
         sizes = np.asarray(row["sizes"]).astype("i8")
         self.sizes, self.doc_ids, self.held = sizes, row["doc_ids"], np.asarray(row["held"]).astype(bool)
         self.rows = np.repeat(np.arange(len(sizes)), sizes + 1)
         first = np.cumsum(sizes + 1) - sizes - 1
-        words = np.insert(_ints(row["places"]).astype("i8"), np.cumsum(sizes), n + 1)
+        words = np.insert(_unsqueeze_planes(row["places"]).astype("i8"), np.cumsum(sizes), n + 1)
         history = np.empty_like(words)
         history[1:], history[first] = words[:-1], n
         self.words = words
@@ -195,18 +224,6 @@ class Lot:
         return [(b, a, z) for b, (a, z) in enumerate(zip(self.edges[:-1], self.edges[1:])) if z > a]
 
 
-def _squeeze(*arrays) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in arrays))
-
-
-def _unsqueeze(data: bytes):
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def _pack(keys, training, counts, history_counts, split) -> bytes:
     """Pairs sorted by key, their training counts, and the counts of both words, in few bytes."""
     import numpy as np
@@ -371,14 +388,18 @@ def score_documents(docs: DataFrame, held: str, lot_bytes: int = LOT_BYTES) -> D
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(held), F.lit(False)).alias("held"), F.col("text").cast("string").alias("text"))
-    lots, lots_path = scratch.write(make_lots(rows, lot_bytes), "lots")
-    sums = lots.agg(F.sum(F.length("words") / 8).alias("words"), F.sum(F.length("places") / 4).alias("tokens"), F.sum(F.expr("size(filter(held, x -> NOT x))")).alias("ends")).first()
+    # The words are dropped before the texts are needed, so both kinds have a folder of their own.
+    lots_path = scratch.new_path(spark, "lots")
+    make_lots(rows, lot_bytes).write.partitionBy("kind").option("compression", "zstd").parquet(lots_path)
+    lots = spark.read.schema(LOT_SCHEMA).parquet(lots_path)
+    sums = lots.agg(F.sum(F.length("words") / 8).alias("words"), F.sum(F.expr("aggregate(sizes, 0L, (n, x) -> n + x)")).alias("tokens"), F.sum(F.expr("size(filter(held, x -> NOT x))")).alias("ends")).first()
     if sums["ends"] is None:
         return rows.sparkSession.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     word_buckets, buckets = max(8, -int(-sums["words"] // WORD_ENTRIES)), max(8, -int(-sums["tokens"] // PAIR_ENTRIES))
     ends = sums["ends"]
 
-    words, words_path = scratch.write(count_words(lots, word_buckets), "words")
+    words, words_path = scratch.write(count_words(lots.where("kind = 'words'"), word_buckets), "words")
+    scratch.drop(spark, f"{lots_path}/kind=words")
     scratch.release(spark)
     # A few numbers for each bucket reach the driver.
     table_rows = words.where("lot IS NULL").select("known", "tokens", "seen").collect()
@@ -391,7 +412,7 @@ def score_documents(docs: DataFrame, held: str, lot_bytes: int = LOT_BYTES) -> D
     share = 4 * buckets / max(1, tokens)
 
     answers = words.where("lot IS NOT NULL").select("lot", "bucket", "ids", "counts")
-    light = lots.select("lot", "doc_ids", "held", "sizes", "places")
+    light = lots.where("kind = 'texts'").select("lot", "doc_ids", "held", "sizes", "places")
     pairs, pairs_path = scratch.write(count_pairs(light, answers, buckets, ends, share), "pairs")
     scratch.release(spark)
     pair_seen = pairs.where("lot IS NULL").agg(*(F.sum(F.col("seen")[k]).alias(str(k)) for k in range(CUTOFF + 2))).first()
