@@ -23,7 +23,7 @@ _KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _UNUSUAL = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: Entries of each of the two generations of a worker's cache.  A full generation becomes the
 #: old one, from which words still in use move on.  Longer stretches are never kept.
-CACHE_ENTRIES = 480_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 _TAIL = ".,;:!?|"
 
@@ -156,6 +156,11 @@ def encoder(path: str, spaces_kept: bool, width: int) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Free the worker's encoders; a worker that turns to other work has no use for their caches."""
+    _ENCODERS.clear()
+
+
 def slices(batch, bytes_at_once: int = 4_000_000):
     """Cut an Arrow batch by the size of the texts in its last column."""
     import numpy as np
@@ -187,7 +192,7 @@ def with_scores(df: DataFrame, text: str, scores: dict[str, str], score) -> Data
         import pyarrow as pa
 
         for batch in batches:
-            for some in slices(batch, 2_000_000):
+            for some in slices(batch, 1_000_000):
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], *map(pa.array, score(some.column(some.num_columns - 1)))], names)
 
     kinds = [*(k for _, k in rows.dtypes[:-1]), *scores.values()]

@@ -18,7 +18,7 @@ SAMPLE_ROWS = 20_000
 def _bytes_classes():
     import numpy as np
 
-    kind = np.full(256, 4, "i8")  # symbols
+    kind = np.full(256, 4, "u1")  # symbols
     kind[ord("a") : ord("z") + 1] = 0
     kind[ord("A") : ord("Z") + 1] = 1
     kind[ord("0") : ord("9") + 1] = 2
@@ -45,7 +45,7 @@ def form_grams(column, buckets: int = BUCKETS, orders=ORDERS):
     where = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     if not len(words):
         return where, np.zeros(0, "i8")
-    symbols, digits = np.concatenate([[0], np.cumsum(kinds >= 4)]), np.concatenate([[0], np.cumsum(kinds == 2)])
+    symbols, digits = (np.concatenate([np.zeros(1, "i4"), np.cumsum(x, dtype="i4")]) for x in (kinds >= 4, kinds == 2))
     again, again2 = np.zeros(len(words), "i8"), np.zeros(len(words), "i8")
     again[1:] = (words[1:] == words[:-1]) & (where[1:] == where[:-1])
     again2[2:] = (words[2:] == words[:-2]) & (where[2:] == where[:-2])
@@ -80,7 +80,7 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS):
 
         raw, target = np.zeros(buckets, "i8"), np.zeros(buckets, "i8")
         for batch in batches:
-            for some in slices(batch, 2_000_000):
+            for some in slices(batch, 1_000_000):
                 where, found = form_grams(some.column(1), buckets)
                 raw += np.bincount(found, minlength=buckets)
                 good = some.column(0).fill_null(0).to_numpy(zero_copy_only=False) == 1

@@ -57,6 +57,9 @@ def word_hashes(column, letters: bool = False, prefixes: tuple[int, ...] = ()) -
     """
     import pyarrow as pa
 
+    from framesleuth.llm import encoding
+
+    encoding.forget()
     column = column.cast(pa.string())
     offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1].astype("i8")
     data = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
