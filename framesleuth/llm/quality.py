@@ -94,11 +94,8 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS):
     return raw, target
 
 
-def best_cut(weights, labels, lean: float = 0.5) -> float | None:
-    """A point in the widest gap among the cuts with fewest wrong labels; None without both labels.
-
-    ``lean``: part of the way from the lower to the upper end of the gap.
-    """
+def best_cut(weights, labels) -> float | None:
+    """Middle of the widest gap among the cuts with fewest wrong labels; None without both labels."""
     import numpy as np
 
     weights, labels = np.asarray(weights, "f8"), np.asarray(labels)
@@ -110,7 +107,7 @@ def best_cut(weights, labels, lean: float = 0.5) -> float | None:
     edges = np.concatenate([[weights[0] - 1], weights, [weights[-1] + 1]])
     gaps = np.where(wrong == wrong.min(), np.diff(edges), -1)
     at = int(gaps.argmax())
-    return float(edges[at] + lean * (edges[at + 1] - edges[at]))
+    return float((edges[at] + edges[at + 1]) / 2)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, at_once: int = 10_000) -> float:
@@ -142,14 +139,16 @@ def kth_largest(df: DataFrame, column: str, k: int, at_once: int = 10_000) -> fl
         above = df.where(value > high).count()
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
-    """All columns of ``docs`` with ``log_weight``, ``sample_key`` and ``kept``.
+def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, seed: int = 17, temperature: float = 0.25) -> DataFrame:
+    """All columns of ``docs`` with ``log_weight``, ``tempered_weight``, ``sample_key`` and ``kept``.
 
     Two generative models of hashed n-grams are counted: one of all texts, one of
     the texts labelled 1 among at most ``sample_rows`` labelled rows.  A text's
-    log weight is the log ratio of the models.  The sample's size k is the number
-    of texts beyond the cut that parts the labelled rows best; the k texts with
-    the largest log weight plus Gumbel noise are kept.  The noise depends on
+    log weight is the log ratio of the models, tempered by the square root of its
+    number of n-grams, so that the chance errors of long texts weigh as those of
+    short ones.  The sample's size k is the number of texts beyond the cut that
+    parts the labelled rows best; the k texts with the largest tempered weight
+    plus Gumbel noise times ``temperature`` are kept.  The noise depends on
     ``doc_id`` and ``seed`` alone, so runs agree and copies of a row stay together.
 
     A text without words, or null, has log weight 0.  Without labels of both
@@ -168,20 +167,20 @@ def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     def weigh(column):
         where, found = form_grams(column, buckets)
-        return [np.bincount(where, ratio[found], minlength=len(column)) if len(found) else np.zeros(len(column))]
+        weight = np.bincount(where, ratio[found], minlength=len(column)).astype("f8")
+        return [weight, weight / np.sqrt(np.maximum(np.bincount(where, minlength=len(column)), 1))]
 
     def keyed(df):
         uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        return with_scores(df, "text", {"log_weight": "double"}, weigh).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
+        return with_scores(df, "text", {"log_weight": "double", "tempered_weight": "double"}, weigh).withColumn("sample_key", F.col("tempered_weight") - temperature * F.log(-F.log(uniform)))
 
     with scratch.temporary(docs.sparkSession):
         weights, _ = scratch.write(keyed(marked).drop("text"), "weights")
-        known = weights.where("label IS NOT NULL").select("log_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
-        # Weights grow with length, so the cut is made where long texts do not dwarf short ones.  Labelled
-        # texts are part of the target model and lie higher than others like them: the cut leaves them more room.
-        cut = best_cut(np.arcsinh(known["log_weight"]), known["label"], 0.25)
+        known = weights.where("label IS NOT NULL").select("tempered_weight", "label").limit(4 * sample_rows).toPandas()  # repeated ids may add rows
+        # The cut is made where texts far below it do not draw it down.
+        cut = best_cut(np.arcsinh(known["tempered_weight"]), known["label"])
         cut = None if cut is None else float(np.sinh(cut))
-        least = None if cut is None else kth_largest(weights, "sample_key", weights.where(F.col("log_weight") >= cut).count())
+        least = None if cut is None else kth_largest(weights, "sample_key", weights.where(F.col("tempered_weight") >= cut).count())
     return keyed(docs).withColumn("kept", F.lit(True) if least is None else F.col("sample_key") >= least)
 
 

@@ -178,7 +178,7 @@ def test_quality_hostile(spark):
     got = {r["doc_id"]: r for r in quality.resample(both, labels).where("doc_id IS NULL OR doc_id > 900000").collect()}
     assert got[900_001]["log_weight"] == got[900_002]["log_weight"] == 0 and got[900_001]["kept"] and got[900_002]["kept"] and got[None]["kept"] and got[900_004]["kept"]
     assert not got[900_003]["kept"]  # one word sixty thousand times
-    assert sorted(quality.resample(both, labels).columns) == sorted({*docs.columns, "log_weight", "sample_key", "kept"})
+    assert sorted(quality.resample(both, labels).columns) == sorted({*docs.columns, "log_weight", "tempered_weight", "sample_key", "kept"})
     assert all(r["kept"] for r in quality.resample(docs, labels.limit(0)).collect())
     assert quality.resample(docs.limit(0), labels).count() == 0
 
