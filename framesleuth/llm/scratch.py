@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import threading
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -56,6 +57,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove shuffle files that no plan refers to any more.
+
+    Python's objects go first, then those of the JVM that they held; the cleaner
+    works beside, so it is given a moment.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
