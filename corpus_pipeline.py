@@ -18,6 +18,9 @@ from framesleuth.llm.registry import table
 from framesleuth.llm.toxicity import score_toxicity
 
 CAPACITY = 2048
+#: Similarity in a hundred from which word-shingle sets count as near copies here (op10 has its own), and
+#: bands for it: a pair at 0.80 shares no band of 6 coordinates with probability 3e-7.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 50, 6
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate group; of rows with equal id and text one stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    """The first document of each near-duplicate group at similarity 0.80; of rows with equal id and text one stays."""
+    gone = near_duplicates(docs, NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     return left.withColumn("row_hash", F.xxhash64(docs["text"])).dropDuplicates(["doc_id", "row_hash"]).select(*docs.columns)
 

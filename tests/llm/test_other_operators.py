@@ -245,3 +245,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns
         else:
             assert left == set(before) and docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_near_stage_takes_copies_from_80(spark):
+    random.seed(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(104)]  # 100 shingles
+        # Two copies with a few words changed or left out.
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words[:40], *("y" * (j + 1) for j in range(random.randrange(2, 7))), *words[46:]])), (3 * k + 2, " ".join([*words[:60], f"z{k}", *words[61 + k % 13 :]]))]
+    want, other = brute.near_documents(rows, 80)[0], brute.near_documents(rows)[0]
+    assert sum(i == c for i, c in want.items()) < sum(i == c for i, c in other.items())
+    got = corpus_pipeline.drop_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), LABELLED)
+    assert {r["doc_id"] for r in got.collect()} == {i for i, c in want.items() if i == c}
