@@ -49,7 +49,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token pieces in sequences of at most 2048, with their ids (16-bit, little-endian)."""
     import public_tokenizers
 
-    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY)
+    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY, encode_special_tokens=False)
     return with_digest(packed, ids_kept=True)
 
 

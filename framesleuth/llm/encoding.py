@@ -3,7 +3,8 @@
 A byte-pair tokenizer treats stretches between white space independently, so a
 text is cut there, each distinct stretch is encoded once by the tokenizers
 library, and the ids of the stretches are put together.  The cut never changes
-the ids: stretches end only where the tokenizer itself must start a new word.
+the ids: stretches end only where the tokenizer itself must start a new word,
+and texts that hold an added token can be given to the tokenizer whole.
 Words of letters only are encoded many at a time, joined by the space (or line
 feed) that precedes them anyway, and their ids are told apart by their edges.
 """
@@ -33,16 +34,20 @@ class WordEncoder:
 
     ``spaces_kept``: the tokenizer keeps white space, joined to the next word;
     else it drops white space and marks the end of each word.  ``width``: bytes
-    per id, 2 or 4.
+    per id, 2 or 4.  ``encode_special_tokens``: added tokens that stand in a
+    text are encoded as other text is.  Without it, which is the library's
+    default, they become their ids; texts that hold one go to the tokenizer
+    whole, as such tokens end words where the cut and the cache do not.
     """
 
-    def __init__(self, path: str, spaces_kept: bool, width: int):
+    def __init__(self, path: str, spaces_kept: bool, width: int, encode_special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.marks = [] if encode_special_tokens else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept, self.width, self.kind = spaces_kept, width, f"<u{width}"
         if self.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary do not fit into {width} bytes")
@@ -59,6 +64,14 @@ class WordEncoder:
 
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that hold added tokens."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._singly(texts)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _joined(self, words: list[str], before: str, at_once: int = 500) -> list[bytes]:
         """Ids of words of letters, each with ``before`` in front."""
         import numpy as np
@@ -111,12 +124,21 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
+        texts = [t or "" for t in texts]
+        marked = [k for k, t in enumerate(texts) if any(m in t for m in self.marks)] if self.marks else []
+        if not marked:
+            return self._encode(texts)
+        whole = set(marked)
+        rest, found = iter(self._encode([t for k, t in enumerate(texts) if k not in whole])), iter(self._whole([texts[k] for k in marked]))
+        return [next(found if k in whole else rest) for k in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
             self.old, self.cache = self.cache, {}
         known, old = self.cache, self.old
         held, new = [], set()
         for text in texts:
-            words, plain = self._cut(text or "")
+            words, plain = self._cut(text)
             found = list(map(known.get, words))
             missing = [i for i, x in enumerate(found) if x is None]
             new.update([words[i] for i in missing])
@@ -148,9 +170,9 @@ class WordEncoder:
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, spaces_kept: bool, width: int) -> WordEncoder:
+def encoder(path: str, spaces_kept: bool, width: int, encode_special_tokens: bool = True) -> WordEncoder:
     """The worker's encoder for a vocabulary file."""
-    key = (path, spaces_kept, width)
+    key = (path, spaces_kept, width, encode_special_tokens)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(*key)
     return _ENCODERS[key]

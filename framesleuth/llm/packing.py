@@ -16,12 +16,14 @@ GROUP_PIECES = 250_000
 ROUNDS = 6
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2, encode_special_tokens: bool = True) -> DataFrame:
     """Token pieces of at most ``capacity`` ids of every document.
 
     A null text counts as empty and gives one piece holding ``end_id``.  A
     longer document is cut into full pieces; only its first may be shorter.
-    ``ids`` holds little-endian unsigned integers of ``width`` bytes.
+    ``ids`` holds little-endian unsigned integers of ``width`` bytes.  Added
+    tokens in a text are plain text with ``encode_special_tokens``, else (as the
+    library does by default) they become their ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -30,7 +32,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, widt
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, tail = encoder(tokenizer, True, width), np.array([end_id], f"<u{width}").tobytes()
+        words, tail = encoder(tokenizer, True, width, encode_special_tokens), np.array([end_id], f"<u{width}").tobytes()
         next_key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in slices(batch):
@@ -173,13 +175,13 @@ def _pack(pieces: DataFrame, capacity: int, group_pieces: int, rounds: int) -> D
     return now.join(named, ["grp", "bin"]).select("piece_key", "sequence_id", "offset").unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2, encode_special_tokens: bool = True) -> DataFrame:
     """Pieces with their ids and places: doc_id, piece, start, length, ids, sequence_id, offset.
 
     Null texts count as empty; equal rows are packed each on its own; an empty
     table gives no rows; extra columns are left out.
     """
-    pieces, _ = scratch.write(cut_pieces(docs, tokenizer, end_id, capacity, width), "pieces")
+    pieces, _ = scratch.write(cut_pieces(docs, tokenizer, end_id, capacity, width, encode_special_tokens), "pieces")
     return pieces.join(pack(pieces.select("piece_key", "length"), capacity), "piece_key").drop("piece_key")
 
 
@@ -203,7 +205,7 @@ def with_digest(packed: DataFrame, width: int = 2, ids_kept: bool = False) -> Da
 
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Pack all documents, tokenized with the byte vocabulary, into sequences of 2048."""
+    """Pack all documents, tokenized with the byte vocabulary as the library does by default, into sequences of 2048."""
     import public_tokenizers
 
-    return with_digest(pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048))
+    return with_digest(pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048, encode_special_tokens=False))

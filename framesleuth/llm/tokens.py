@@ -12,12 +12,14 @@ from framesleuth.llm.registry import query, table
 FILE_SCHEMA = "part int, doc_id long, n_tokens long, start_in_part long, ids array<int>"
 
 
-def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int, encode_special_tokens: bool = True) -> DataFrame:
     """Token ids of every document in ascending ``doc_id`` order, one range of ids per task.
 
     A null text is encoded as an empty one and holds only ``end_id``.  Rows with
     the same id stay next to each other, ordered by a hash of their text; equal
-    rows are interchangeable.  Rows with a null id come first.
+    rows are interchangeable.  Rows with a null id come first.  Added tokens in a
+    text are plain text with ``encode_special_tokens``, else (as the library does
+    by default) they become their ids.
     """
     order = ["doc_id", "tie"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
@@ -28,7 +30,7 @@ def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0
-        words, tail = encoder(tokenizer, False, 4), np.array([end_id], "<u4").tobytes()
+        words, tail = encoder(tokenizer, False, 4, encode_special_tokens), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for some in slices(batch):
                 held = [x + tail for x in words.encode(some.column(2).to_pylist())]
@@ -43,7 +45,7 @@ def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(task, FILE_SCHEMA)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, stride: int = 1000, stripe_bytes: int = 16 << 20, encode_special_tokens: bool = True) -> None:
     """Write the ids as ORC.
 
     Each file holds one range of document ids.  A reader can take stripes in
@@ -52,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     an empty folder of the same schema.
     """
     (
-        encode_in_order(docs, tokenizer, end_id)
+        encode_in_order(docs, tokenizer, end_id, encode_special_tokens)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", stride).option("orc.stripe.size", stripe_bytes).option("compression", "zstd")
         .orc(path)
@@ -94,9 +96,9 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 @query("op4_token_orc")
 def op4_token_orc(spark: SparkSession, folder: str) -> DataFrame:
-    """Write all documents with the word vocabulary and read the files back."""
+    """Write all documents with the word vocabulary, as the library encodes by default, and read the files back."""
     import public_tokenizers
 
     path = scratch.new_path(spark, "token-orc")
-    write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 1, encode_special_tokens=False)
     return token_digests(spark, path)

@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import brute
+import corpus_pipeline
 from framesleuth.llm import katz, minhash, packing, scratch, tokens
 from framesleuth.llm.encoding import WordEncoder
 
@@ -93,6 +94,33 @@ def test_packing(spark, hostile):
     assert packing.pack_documents(hostile.limit(0), path, 0, capacity).count() == 0
 
 
+def test_encoder_equals_untouched_library():
+    random.seed(6)
+    parts = ["a", "It's", "été", " ", "\n", "\xa0", "x1", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "日本", "İ"]
+    held = ["".join(random.choice(parts) + random.choice(["", " ", "\n"]) for _ in range(random.randrange(12))) for _ in range(3000)] + [None, ""]
+    for name, kept, width in (("word_bpe_49k.json", False, 4), ("byte_bpe_50k.json", True, 2)):
+        mine, plain = WordEncoder(public_tokenizers.path(name), kept, width, encode_special_tokens=False), Tokenizer.from_file(public_tokenizers.path(name))
+        got = [x for k in range(0, len(held), 500) for x in mine.encode(held[k : k + 500])]
+        want = plain.encode_batch([t or "" for t in held], add_special_tokens=False)
+        assert [np.frombuffer(g, f"<u{width}").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_queries_encode_as_the_untouched_library(spark, tmp_path):
+    held = ["the end <|endoftext|> next", "plain text", "<|startoftext|>a<|endoftext|>b"]
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    start, want = 0, []
+    for i, text in enumerate(held):
+        ids = np.array([*word.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tokens.op4_token_orc(spark, str(tmp_path)).collect())) == want
+    crc = {i: zlib.crc32(np.array([*byte.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, text in enumerate(held)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.op9_best_fit_packing(spark, str(tmp_path)).collect()} == crc
+    assert {r["doc_id"]: r["ids_crc32"] for r in corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()} == crc
+
+
 def test_packing_groups_exchange(spark):
     random.seed(2)
     lengths = [random.choice([900, 1100, 700, 300, 1347, 2047, 2048, 5]) for _ in range(3000)]
