@@ -5,8 +5,9 @@ text is cut there, each distinct stretch is encoded once by the tokenizers
 library, and the ids of the stretches are put together.  The cut never changes
 the ids: stretches end only where the tokenizer itself must start a new word,
 and texts that hold an added token can be given to the tokenizer whole.
-Words of letters only are encoded many at a time, joined by the space (or line
-feed) that precedes them anyway, and their ids are told apart by their edges.
+Stretches are cut, told apart and put together with Arrow and numpy over all
+texts of a slice; only those never seen before reach the tokenizer, many as one
+text.
 """
 
 from __future__ import annotations
@@ -14,19 +15,25 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DROPPED = re.compile(r"[^ \n\t\r]+")
-_KEPT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space that only some engines take as such; texts holding it are encoded in one piece.
 _UNUSUAL = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-#: Entries of each of the two generations of a worker's cache.  A full generation becomes the
-#: old one, from which words still in use move on.  Longer stretches are never kept.
-CACHE_ENTRIES = 400_000
+#: Entries and bytes of a worker's cache.  When it is full, the half used last stays, without long stretches.
+CACHE_ENTRIES = 600_000
+CACHE_BYTES = 32_000_000
 CACHE_CHARS = 64
-_TAIL = ".,;:!?|"
+#: Rare signs; one that a vocabulary holds as one id can stand between words.
+_SIGNS = "\u00a4\u00a7\u00b6\u2020\u2021|"
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 13, 32]] = True
+#: Bytes that begin the UTF-8 form of unusual white space.
+_MAYBE_UNUSUAL = np.zeros(256, bool)
+_MAYBE_UNUSUAL[[0x0B, 0x0C, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class WordEncoder:
@@ -42,7 +49,6 @@ class WordEncoder:
 
     def __init__(self, path: str, spaces_kept: bool, width: int, encode_special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,120 +57,200 @@ class WordEncoder:
         self.kept, self.width, self.kind = spaces_kept, width, f"<u{width}"
         if self.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary do not fit into {width} bytes")
-        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.startswith("\u0120") if spaces_kept else token.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails = dict(zip(_TAIL, self._singly(list(_TAIL))))
-        self.feed = self._singly(["\n"])[0] if spaces_kept else b""
+        if spaces_kept:
+            self.lengths = np.zeros(self.tokenizer.get_vocab_size(), "i8")
+            for token, i in self.tokenizer.get_vocab().items():
+                self.lengths[i] = len(token)  # a letter for each byte
+        else:
+            signs = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in _SIGNS}
+            self.sign = next(x for x, ids in signs.items() if len(ids) == 1)
+            self.sign_id = signs[self.sign][0]
+        # Of each known stretch its place; ids of place k are flat[starts[k] : starts[k + 1]].
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts, self.used = np.zeros(0, self.kind), np.zeros(1, "i8"), np.zeros(0, "i8")
+        self.turn = self.size = 0
 
     def _singly(self, words: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that hold added tokens."""
-        self.tokenizer.encode_special_tokens = False
+        """Ids of texts that hold added tokens or unusual white space."""
+        self.tokenizer.encode_special_tokens = not self.marks
         try:
             return self._singly(texts)
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def _joined(self, words: list[str], before: str, at_once: int = 500) -> list[bytes]:
-        """Ids of words of letters, each with ``before`` in front."""
-        import numpy as np
+    def _learn(self, words: list[bytes], at_once: int = 500):
+        """Ids of stretches, one after the other, and how many each has.
 
-        out: list[bytes] = []
+        Many stretches go to the tokenizer as one text.  Where white space is
+        kept, each brings its own in front and its ids are told apart by the
+        bytes that they stand for; else a sign that is one id stands between.
+        What cannot be told apart is encoded singly.
+        """
         groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([before + before.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, self.kind)
-            if before == "\n" and self.kept:
-                starts = np.flatnonzero(ids == int.from_bytes(self.feed, "little"))
+        between = b"" if self.kept else f" {self.sign} ".encode()
+        ids, sizes = [], []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([between.join(g).decode() for g in groups], add_special_tokens=False)):
+            held = np.array(found.ids, self.kind)
+            if self.kept:
+                want = np.cumsum(np.fromiter(map(len, group), "i8", len(group)))
+                ends = np.cumsum(self.lengths[held])
+                cuts = np.searchsorted(ends, want)
+                whole = len(ends) and ends[-1] == want[-1] and (ends[cuts] == want).all()
+                n = np.diff(cuts, prepend=-1) if whole else None
             else:
-                starts = np.flatnonzero(self.edge[ids])
-                starts = starts if self.kept else np.concatenate([[0], starts[:-1] + 1])
-            if len(starts) != len(group):
-                out += self._singly([before + w for w in group])
-                continue
-            held, ends = ids.tobytes(), [*(starts[1:] * self.width).tolist(), ids.nbytes]
-            out += [held[a:b] for a, b in zip((starts * self.width).tolist(), ends)]
-        return out
-
-    def _learn(self, words: list[str], before: str) -> dict[str, bytes]:
-        """Ids of stretches without white space, each with ``before`` in front."""
-        lead = "\n" if self.kept and before == "\n" else ""
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
-        # A letter that becomes two in lower case may end in a mark, which joins what follows.
-        tailed = [w for w in rest if w[-1] in _TAIL and w[:-1].isalpha() and len(w[-2].lower()) == 1]
-        out = dict(zip(plain, self._joined(plain, before)))
-        bases = list({w[:-1] for w in tailed if w[:-1] not in out and lead + w[:-1] not in self.cache})
-        out |= zip(bases, self._joined(bases, before))
-        cache, tails = self.cache, self.tails
-        out |= {w: (out.get(w[:-1]) or cache[lead + w[:-1]]) + tails[w[-1]] for w in tailed}
-        other = [w for w in rest if w not in out]
-        out |= zip(other, self._singly([before + w for w in other]))
-        return out
-
-    def _cut(self, text: str) -> tuple[list[str], bool]:
-        """The stretches of a text, and whether all are set apart by one space or line feed.
-
-        If so and white space is kept, the line feed stays with the next stretch
-        and one is put before the first; else the white space belongs to the
-        stretch, and a space marks those in the cache.
+                parts = held == self.sign_id
+                whole = parts.sum() == len(group) - 1
+                n = np.diff(np.flatnonzero(parts), prepend=-1, append=len(held)) - 1 if whole else None
+                held = held[~parts]
+            if not whole:
+                one = self._singly([w.decode() for w in group])
+                held, n = np.frombuffer(b"".join(one), self.kind), np.fromiter(map(len, one), "i8", len(one)) // self.width
+            ids.append(held)
+            sizes.append(n)
+        return ids, sizes
+
+    def _cuts(self, data, offsets):
+        """Places of white space and where stretches start, for the bytes of several texts."""
+        white = _WHITE[data]
+        starts = white.copy() if self.kept else ~white
+        starts[1:] &= white[:-1] ^ self.kept
+        starts[offsets[:-1][np.diff(offsets) > 0]] = True
+        return white, starts
+
+    def _stretches(self, data, offsets):
+        """Stretches of several texts as an Arrow array of bytes, and the first one of each text."""
+        import pyarrow as pa
+
+        white, starts = self._cuts(data, offsets)
+        if self.kept:
+            begins = np.flatnonzero(starts)
+            edges = np.append(begins, len(data)).astype("i4")
+            found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+            return found, np.searchsorted(begins, offsets)
+        # White space is dropped: every second piece between the edges is a word.
+        begins = np.flatnonzero(starts & ~white)
+        ends = ~white
+        ends[:-1] &= white[1:]
+        ends[offsets[1:][np.diff(offsets) > 0] - 1] |= ~white[offsets[1:][np.diff(offsets) > 0] - 1]
+        edges = np.append(np.stack([begins, np.flatnonzero(ends) + 1], 1).ravel(), len(data)).astype("i4")
+        found = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        return found.take(pa.array(np.arange(0, 2 * len(begins), 2))), np.searchsorted(begins, offsets)
+
+    def _slots(self, words: list[bytes]):
+        """Places of the words' ids in the cache; words never seen are encoded first."""
+        self.turn += 1
+        slots = np.fromiter(map(self.known.get, words, repeat(-1)), "i8", len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new) and (len(self.known) + len(new) > CACHE_ENTRIES or self.size > CACHE_BYTES):
+            self._shrink()
+            slots = np.fromiter(map(self.known.get, words, repeat(-1)), "i8", len(words))
+            new = np.flatnonzero(slots < 0)
+        if len(new):
+            learnt = [words[k] for k in new.tolist()]
+            # Only stretches with white space in front and none behind can be put together.
+            alone = np.array([w[0] > 32 or w[-1] <= 32 for w in learnt]) if self.kept else np.zeros(len(learnt), bool)
+            new = np.concatenate([new[~alone], new[alone]])
+            joined, single = [learnt[k] for k in np.flatnonzero(~alone).tolist()], [learnt[k] for k in np.flatnonzero(alone).tolist()]
+            ids, sizes = self._learn(joined)
+            one = self._singly([w.decode() for w in single])
+            sizes = np.concatenate([*sizes, np.fromiter(map(len, one), "i8", len(one)) // self.width])
+            self.flat = np.concatenate([self.flat, *ids, np.frombuffer(b"".join(one), self.kind)])
+            slots[new] = np.arange(len(self.used), len(self.used) + len(new))
+            self.known.update(zip([*joined, *single], slots[new].tolist()))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), "i8")])
+            self.size += sum(map(len, learnt))
+        self.used[slots] = self.turn
+        return slots
+
+    def _shrink(self) -> None:
+        """Keep the words used last, half as many as the cache may hold at most, and no long ones."""
+        words = list(self.known)
+        old = np.fromiter(self.known.values(), "i8", len(words))
+        recent = np.argsort(-self.used[old], kind="stable")[: CACHE_ENTRIES // 2].tolist()
+        kept = [k for k in recent if len(words[k]) <= CACHE_CHARS]
+        slots, names = old[kept], [words[k] for k in kept]
+        sizes = self.starts[slots + 1] - self.starts[slots]
+        self.flat = self.flat[ragged(self.starts[slots], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.used = self.used[slots]
+        self.known = dict(zip(names, range(len(names))))
+        self.size = sum(map(len, names))
+
+    def encode_column(self, column):
+        """Ids of all rows of an Arrow text column, and the offsets of the rows in them; a null counts as empty.
+
+        The distinct stretches of a column are looked up or encoded once, and
+        the ids are put together by one gather.
         """
-        spaced = text.replace("\n", " ")
-        if text and spaced.isprintable() and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
-            return (("\n" + text.replace("\n", " \n")).split(" ") if self.kept else spaced.split(" ")), True
-        if not self.kept:
-            return _DROPPED.findall(text), False
-        return [" " + w for w in ([text] if text and _UNUSUAL.search(text) else _KEPT.findall(text))], False
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column.cast(pa.string()), "")
+        whole = self._whole_rows(column)
+        texts = pc.if_else(pa.array(whole), "", column) if whole.any() else column
+        offsets = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+        data = np.frombuffer(texts.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if len(data):
+            words, rows = self._stretches(data, offsets)
+            coded = words.dictionary_encode()
+            slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            starts, sizes = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+            ids, ends = self.flat[ragged(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])[rows]
+        else:
+            ids, ends = np.zeros(0, self.kind), np.zeros(len(offsets), "i8")
+        if not whole.any():
+            return ids, ends
+        at = np.flatnonzero(whole)
+        found = [np.frombuffer(x, self.kind) for x in self._whole(column.take(pa.array(at)).to_pylist())]
+        pieces, last = [], 0
+        sizes = np.diff(ends)
+        for k, more in zip(at.tolist(), found):
+            pieces += [ids[last : ends[k]], more]
+            last, sizes[k] = ends[k], len(more)
+        return np.concatenate([*pieces, ids[last:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _whole_rows(self, column):
+        """Rows that must go to the tokenizer in one piece: with added tokens, or white space that only some engines take as such."""
+        import pyarrow.compute as pc
+
+        whole = np.zeros(len(column), bool)
+        for mark in self.marks:
+            whole |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
+        if self.kept:
+            offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+            # Their bytes begin with one of these; only rows that hold one are searched.
+            if _MAYBE_UNUSUAL[data].any():
+                for k in np.unique(np.searchsorted(offsets - offsets[0], np.flatnonzero(_MAYBE_UNUSUAL[data]), "right") - 1).tolist():
+                    whole[k] |= bool(_UNUSUAL.search(column[k].as_py()))
+        return whole
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
-        texts = [t or "" for t in texts]
-        marked = [k for k, t in enumerate(texts) if any(m in t for m in self.marks)] if self.marks else []
-        if not marked:
-            return self._encode(texts)
-        whole = set(marked)
-        rest, found = iter(self._encode([t for k, t in enumerate(texts) if k not in whole])), iter(self._whole([texts[k] for k in marked]))
-        return [next(found if k in whole else rest) for k in range(len(texts))]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.old, self.cache = self.cache, {}
-        known, old = self.cache, self.old
-        held, new = [], set()
-        for text in texts:
-            words, plain = self._cut(text)
-            found = list(map(known.get, words))
-            missing = [i for i, x in enumerate(found) if x is None]
-            new.update([words[i] for i in missing])
-            held.append((words, found, missing, plain))
-        again = new.intersection(old)
-        known.update((w, old[w]) for w in again)
-        new -= again
-        if self.kept:
-            learnt = self._learn([w for w in new if w[0] not in "\n "], " ")
-            learnt |= {"\n" + w: x for w, x in self._learn([w[1:] for w in new if w[0] == "\n"], "\n").items()}
-            raw = [w for w in new if w[0] == " "]
-            learnt |= zip(raw, self._singly([w[1:] for w in raw]))
-        else:
-            learnt = self._learn(list(new), " ")
-        known.update(learnt)
-        out = []
-        for words, found, missing, plain in held:
-            for i in missing:
-                found[i] = known[words[i]]
-            ids = b"".join(found)
-            # The line feed put before a plain text goes.
-            out.append(ids[self.width :] if self.kept and plain else ids)
-        for w in learnt:
-            if len(w) > CACHE_CHARS:
-                del known[w]
-        return out
+        import pyarrow as pa
+
+        ids, ends = self.encode_column(pa.array(list(texts), pa.string()))
+        held, cuts = ids.tobytes(), (ends * self.width).tolist()
+        return [held[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def with_end(ids, ends, end_id: int):
+    """Ids and offsets with one more id after each row."""
+    n = np.arange(len(ends))
+    out = np.full(len(ids) + len(ends) - 1, end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(n[:-1], np.diff(ends))] = ids
+    return out, ends + n
+
+
+def ragged(starts, sizes):
+    """Places ``start, start + 1, ...`` of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -185,7 +271,6 @@ def forget() -> None:
 
 def slices(batch, bytes_at_once: int = 4_000_000):
     """Cut an Arrow batch by the size of the texts in its last column."""
-    import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:

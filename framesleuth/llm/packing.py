@@ -6,48 +6,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesleuth.llm import scratch
-from framesleuth.llm.encoding import encoder, slices
+from framesleuth.llm.encoding import encoder, slices, with_end
 from framesleuth.llm.registry import query, table
 
-PIECE_SCHEMA = "piece_key long, doc_id long, piece int, start long, length long, ids binary"
+PIECE_SCHEMA = "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "piece_key long, length long, grp long, bin long, offset long, fill long, bins long, bound long"
 #: Pieces in one group of the packing, at most about: a task holds two numbers for each.
 GROUP_PIECES = 250_000
 ROUNDS = 6
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2, encode_special_tokens: bool = True) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2, encode_special_tokens: bool = True, ids_kept: bool = True) -> DataFrame:
     """Token pieces of at most ``capacity`` ids of every document.
 
-    A null text counts as empty and gives one piece holding ``end_id``.  A
-    longer document is cut into full pieces; only its first may be shorter.
-    ``ids`` holds little-endian unsigned integers of ``width`` bytes.  Added
-    tokens in a text are plain text with ``encode_special_tokens``, else (as the
-    library does by default) they become their ids.
+    A null text counts as empty and gives one piece holding ``end_id``; so does
+    one with a null id, whose pieces keep the null.  A longer document is cut into
+    full pieces; only its first may be shorter.  ``ids_crc32`` is that of the
+    piece's ids as little-endian 32-bit integers; ``ids``, with ``ids_kept`` only,
+    holds them in ``width`` bytes each.  Added tokens in a text are plain text
+    with ``encode_special_tokens``, else (as the library does by default) they
+    become their ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = f"{PIECE_SCHEMA}, ids binary" if ids_kept else PIECE_SCHEMA
 
     def task(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, tail = encoder(tokenizer, True, width, encode_special_tokens), np.array([end_id], f"<u{width}").tobytes()
-        next_key = TaskContext.get().partitionId() << 40
+        words, next_key = encoder(tokenizer, True, width, encode_special_tokens), TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in slices(batch):
-                ids, out = some.column(0).to_pylist(), []
-                for doc_id, held in zip(ids, words.encode(some.column(1).to_pylist())):
-                    held += tail
-                    n = len(held) // width
-                    at, end, piece = 0, n % capacity or capacity, 0
-                    while at < n:
-                        out.append((next_key, doc_id, piece, at, end - at, held[at * width : end * width]))
-                        at, end, piece, next_key = end, end + capacity, piece + 1, next_key + 1
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["piece_key", "doc_id", "piece", "start", "length", "ids"])
-
-    return rows.mapInArrow(task, PIECE_SCHEMA)
+                ids, ends = with_end(*words.encode_column(some.column(1)), end_id)
+                sizes = np.diff(ends)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                # The first piece takes what full ones leave.
+                first = sizes - (pieces - 1) * capacity
+                start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[row])
+                edges = np.append(ends[row] + start, ends[-1])
+                wide = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                cuts = (4 * edges).tolist()
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:])]
+                columns = [pa.array(next_key + np.arange(len(row))), some.column(0).take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if ids_kept:
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((edges * width).astype("i4")), pa.py_buffer(ids.tobytes())]))
+                next_key += len(row)
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return rows.mapInArrow(task, schema)
 
 
 def lower_bound(counts, capacity: int, splits: int = 64) -> int:
@@ -175,32 +187,16 @@ def _pack(pieces: DataFrame, capacity: int, group_pieces: int, rounds: int) -> D
     return now.join(named, ["grp", "bin"]).select("piece_key", "sequence_id", "offset").unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2, encode_special_tokens: bool = True) -> DataFrame:
-    """Pieces with their ids and places: doc_id, piece, start, length, ids, sequence_id, offset.
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, width: int = 2, encode_special_tokens: bool = True, ids_kept: bool = True) -> DataFrame:
+    """Pieces and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with ``ids_kept``, ids.
 
-    Null texts count as empty; equal rows are packed each on its own; an empty
-    table gives no rows; extra columns are left out.
+    Null texts count as empty and null ids stay null; equal rows are packed each
+    on its own; an empty table gives no rows; extra columns are left out.  The
+    table of pieces is read by the result, so it stays in the shared folder.
     """
-    pieces, _ = scratch.write(cut_pieces(docs, tokenizer, end_id, capacity, width, encode_special_tokens), "pieces")
-    return pieces.join(pack(pieces.select("piece_key", "length"), capacity), "piece_key").drop("piece_key")
-
-
-def with_digest(packed: DataFrame, width: int = 2, ids_kept: bool = False) -> DataFrame:
-    """Replace ``ids`` by (or with ``ids_kept`` add) the crc32 of the ids as 32-bit integers."""
-    names = [n for n in packed.columns if n != "ids"] + ["ids"] * ids_kept
-
-    def task(batches):
-        import zlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(crc, pa.int64())], [*names, "ids_crc32"])
-
-    kinds = ", ".join(f"{n} {k}" for n, k in packed.select(*names).dtypes)
-    return packed.select(*names, F.col("ids").alias("digested")).mapInArrow(task, f"{kinds}, ids_crc32 bigint")
+    pieces, _ = scratch.write(cut_pieces(docs, tokenizer, end_id, capacity, width, encode_special_tokens, ids_kept), "pieces")
+    packed = pieces.join(pack(pieces.select("piece_key", "length"), capacity), "piece_key")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * ids_kept)
 
 
 @query("op9_best_fit_packing")
@@ -208,4 +204,4 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pack all documents, tokenized with the byte vocabulary as the library does by default, into sequences of 2048."""
     import public_tokenizers
 
-    return with_digest(pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048, encode_special_tokens=False))
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048, encode_special_tokens=False, ids_kept=False)

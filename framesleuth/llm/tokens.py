@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesleuth.llm import scratch
-from framesleuth.llm.encoding import encoder, slices
+from framesleuth.llm.encoding import encoder, slices, with_end
 from framesleuth.llm.registry import query, table
 
 FILE_SCHEMA = "part int, doc_id long, n_tokens long, start_in_part long, ids array<int>"
@@ -30,15 +30,13 @@ def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int, encode_special
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0
-        words, tail = encoder(tokenizer, False, 4, encode_special_tokens), np.array([end_id], "<u4").tobytes()
+        words = encoder(tokenizer, False, 4, encode_special_tokens)
         for batch in batches:
             for some in slices(batch):
-                held = [x + tail for x in words.encode(some.column(2).to_pylist())]
-                n = np.array([len(x) // 4 for x in held], "i8")
-                ends = np.cumsum(n)
+                ids, ends = with_end(*words.encode_column(some.column(2)), end_id)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part, "i4")), some.column(0), pa.array(n), pa.array(total + ends - n),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(np.frombuffer(b"".join(held), "i4"))),
+                    pa.array(np.full(len(ends) - 1, part, "i4")), some.column(0), pa.array(np.diff(ends)), pa.array(total + ends[:-1]),
+                    pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids.view("i4"))),
                 ], ["part", "doc_id", "n_tokens", "start_in_part", "ids"])
                 total += int(ends[-1])
 

@@ -237,7 +237,7 @@ def test_pipeline_stages(spark, tmp_path):
         elif name == "toxicity":
             assert all((i in left) == (labels[i]["toxic"] == 0) for i in before if i in labels and i in left or i in labels and labels[i]["toxic"] == 0)
         elif name == "near_duplicates":
-            want, _ = brute.near_documents(list(before.items()))
+            want, _ = brute.near_documents(list(before.items()), 80)
             assert left == {i for i, c in want.items() if i == c}
         elif name == "decontamination":
             assert left == set(before) - leaked
