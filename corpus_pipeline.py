@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framesleuth.llm import scratch
 from framesleuth.llm.decontaminate import decontaminate
 from framesleuth.llm.minhash import near_duplicates
-from framesleuth.llm.packing import pack_documents, with_digest
+from framesleuth.llm.packing import pack_documents
 from framesleuth.llm.quality import resample
 from framesleuth.llm.registry import table
 from framesleuth.llm.toxicity import score_toxicity
@@ -49,8 +49,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token pieces in sequences of at most 2048, with their ids (16-bit, little-endian)."""
     import public_tokenizers
 
-    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY, encode_special_tokens=False)
-    return with_digest(packed, ids_kept=True)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CAPACITY, encode_special_tokens=False)
 
 
 STAGES = [
