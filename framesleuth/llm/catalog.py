@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesleuth.llm import decontaminate, embed_dedup, html_text, katz, licenses, minhash, packing, quality, tokens, toxicity  # noqa: F401
+from framesleuth.llm import cross_tokens, decontaminate, embed_dedup, html_text, importance, katz, licenses, minhash, packing, personal, quality, tokens, toxicity  # noqa: F401
 from framesleuth.llm.registry import ORACLES, QUERIES
 
 

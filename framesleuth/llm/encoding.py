@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: White space that only some engines take as such; texts holding it are encoded in one piece.
 _UNUSUAL = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: Entries and bytes of a worker's cache.  When it is full, the half used last stays, without long stretches.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 CACHE_BYTES = 32_000_000
 CACHE_CHARS = 64
 #: Rare signs; one that a vocabulary holds as one id can stand between words.
@@ -36,15 +36,60 @@ _MAYBE_UNUSUAL = np.zeros(256, bool)
 _MAYBE_UNUSUAL[[0x0B, 0x0C, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-class WordEncoder:
-    """Encodes texts to bytes of little-endian unsigned ids.
+class _Engine:
+    """A tokenizer and the ids of the stretches it has seen: those of place k are flat[starts[k] : starts[k + 1]]."""
 
-    ``spaces_kept``: the tokenizer keeps white space, joined to the next word;
-    else it drops white space and marks the end of each word.  ``width``: bytes
-    per id, 2 or 4.  ``encode_special_tokens``: added tokens that stand in a
-    text are encoded as other text is.  Without it, which is the library's
-    default, they become their ids; texts that hold one go to the tokenizer
-    whole, as such tokens end words where the cut and the cache do not.
+    def __init__(self, width: int, size: int):
+        self.width, self.kind = width, f"<u{width}"
+        if size > 1 << 8 * width:
+            raise ValueError(f"ids of this vocabulary do not fit into {width} bytes")
+        self.flat, self.starts = np.zeros(0, self.kind), np.zeros(1, "i8")
+
+    def spelled(self, found, group):
+        """Ids of stretches encoded as one text, and how many each has by the bytes they stand for; None if these don't part them."""
+        want = np.cumsum(np.fromiter(map(len, group), "i8", len(group)))
+        ends = np.cumsum(self.lengths[found])
+        if not len(ends) or ends[-1] != want[-1]:
+            return None
+        cuts = np.searchsorted(ends, want)
+        return (found, np.diff(cuts, prepend=-1)) if (ends[cuts] == want).all() else None
+
+    def learn(self, words: list[bytes], at_once: int = 500):
+        """Ids of stretches, one after the other, and how many each has; many go to the tokenizer as one text."""
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        out = []
+        for group, found in zip(groups, self.grouped(groups)):
+            if found is None:
+                one = self.singly([w.decode() for w in group])
+                found = np.frombuffer(b"".join(one), self.kind), np.fromiter(map(len, one), "i8", len(one)) // self.width
+            out.append(found)
+        return [ids for ids, _ in out], [n for _, n in out]
+
+    def store(self, joined: list[bytes], single: list[bytes]) -> None:
+        """Add stretches at the next places."""
+        ids, sizes = self.learn(joined)
+        one = self.singly([w.decode() for w in single])
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, one), "i8", len(one)) // self.width])
+        self.flat = np.concatenate([self.flat, *ids, np.frombuffer(b"".join(one), self.kind)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def keep(self, slots) -> None:
+        sizes = self.starts[slots + 1] - self.starts[slots]
+        self.flat = self.flat[ragged(self.starts[slots], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def gather(self, slots, rows):
+        """Ids of the stretches at ``slots``, and offsets of the texts that begin at stretches ``rows``."""
+        starts, sizes = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        return self.flat[ragged(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])[rows]
+
+
+class BytePairs(_Engine):
+    """A vocabulary of the tokenizers library.
+
+    Where white space is kept, each letter of a token stands for a byte, and
+    stretches bring their own white space in front; else a sign that is one id
+    is put between them.
     """
 
     def __init__(self, path: str, spaces_kept: bool, width: int, encode_special_tokens: bool = True):
@@ -54,63 +99,106 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.marks = [] if encode_special_tokens else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept, self.width, self.kind = spaces_kept, width, f"<u{width}"
-        if self.tokenizer.get_vocab_size() > 1 << 8 * width:
-            raise ValueError(f"ids of this vocabulary do not fit into {width} bytes")
+        super().__init__(width, self.tokenizer.get_vocab_size())
+        self.kept = spaces_kept
         if spaces_kept:
             self.lengths = np.zeros(self.tokenizer.get_vocab_size(), "i8")
             for token, i in self.tokenizer.get_vocab().items():
-                self.lengths[i] = len(token)  # a letter for each byte
+                self.lengths[i] = len(token)
         else:
             signs = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in _SIGNS}
             self.sign = next(x for x, ids in signs.items() if len(ids) == 1)
             self.sign_id = signs[self.sign][0]
-        # Of each known stretch its place; ids of place k are flat[starts[k] : starts[k + 1]].
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(0, self.kind), np.zeros(1, "i8"), np.zeros(0, "i8")
-        self.turn = self.size = 0
 
-    def _singly(self, words: list[str]) -> list[bytes]:
+    def singly(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that hold added tokens or unusual white space."""
         self.tokenizer.encode_special_tokens = not self.marks
         try:
-            return self._singly(texts)
+            return self.singly(texts)
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def _learn(self, words: list[bytes], at_once: int = 500):
-        """Ids of stretches, one after the other, and how many each has.
-
-        Many stretches go to the tokenizer as one text.  Where white space is
-        kept, each brings its own in front and its ids are told apart by the
-        bytes that they stand for; else a sign that is one id stands between.
-        What cannot be told apart is encoded singly.
-        """
-        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+    def grouped(self, groups):
         between = b"" if self.kept else f" {self.sign} ".encode()
-        ids, sizes = [], []
         for group, found in zip(groups, self.tokenizer.encode_batch_fast([between.join(g).decode() for g in groups], add_special_tokens=False)):
             held = np.array(found.ids, self.kind)
             if self.kept:
-                want = np.cumsum(np.fromiter(map(len, group), "i8", len(group)))
-                ends = np.cumsum(self.lengths[held])
-                cuts = np.searchsorted(ends, want)
-                whole = len(ends) and ends[-1] == want[-1] and (ends[cuts] == want).all()
-                n = np.diff(cuts, prepend=-1) if whole else None
-            else:
-                parts = held == self.sign_id
-                whole = parts.sum() == len(group) - 1
-                n = np.diff(np.flatnonzero(parts), prepend=-1, append=len(held)) - 1 if whole else None
-                held = held[~parts]
-            if not whole:
-                one = self._singly([w.decode() for w in group])
-                held, n = np.frombuffer(b"".join(one), self.kind), np.fromiter(map(len, one), "i8", len(one)) // self.width
-            ids.append(held)
-            sizes.append(n)
-        return ids, sizes
+                yield self.spelled(held, group)
+                continue
+            parts = held == self.sign_id
+            yield (held[~parts], np.diff(np.flatnonzero(parts), prepend=-1, append=len(held)) - 1) if parts.sum() == len(group) - 1 else None
+
+    def spelling(self) -> list[bytes]:
+        """Bytes of each id."""
+        out = [b""] * self.tokenizer.get_vocab_size()
+        letters = byte_letters()
+        for token, i in self.tokenizer.get_vocab().items():
+            out[i] = bytes(letters.get(c, 0) for c in token)
+        return out
+
+
+class Pieces(_Engine):
+    """A byte-pair vocabulary of the sentencepiece library, whose pieces begin at white space; texts begin with a space."""
+
+    def __init__(self, path: str, width: int):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        super().__init__(width, self.model.vocab_size())
+        names = [self.model.id_to_piece(i).replace("\u2581", " ") for i in range(self.model.vocab_size())]
+        # White space that pieces can hold after other characters; texts with it are encoded whole.
+        self.marks = sorted({c for n in names for c in re.findall(r"\S(\s)", n)})
+        if " " in self.marks:
+            raise ValueError("a piece of this vocabulary runs over the start of a word")
+        self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.encode() for i, n in enumerate(names)]
+        self.lengths = np.fromiter(map(len, self.bytes), "i8", len(names))
+
+    def _after(self, texts: list[str]):
+        # The library puts a space before each text; a letter keeps it apart from white space that follows.
+        return self.model.encode(["a" + t for t in texts], num_threads=1)
+
+    def singly(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids[1:], self.kind).tobytes() for ids in self._after(words)]
+
+    whole = singly
+
+    def grouped(self, groups):
+        for group, ids in zip(groups, self._after([b"".join(g).decode() for g in groups])):
+            yield self.spelled(np.array(ids[1:], self.kind), group)
+
+    def spelling(self) -> list[bytes]:
+        return self.bytes
+
+
+def byte_letters() -> dict[str, int]:
+    """Letters that byte-level vocabularies write for bytes: printable ones stand for themselves, others come from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class WordEncoder:
+    """Encodes texts to little-endian unsigned ids.
+
+    ``spaces_kept``: the tokenizer keeps white space, joined to the next word;
+    else it drops white space and marks the end of each word.  ``width``: bytes
+    per id, 2 or 4.  ``encode_special_tokens``: added tokens that stand in a
+    text are encoded as other text is.  Without it, which is the library's
+    default, they become their ids; texts that hold one go to the tokenizer
+    whole, as such tokens end words where the cut and the cache do not.
+    ``also``: further engines that share the cut and the cache.
+    """
+
+    def __init__(self, path: str, spaces_kept: bool, width: int, encode_special_tokens: bool = True, also: tuple = ()):
+        self.engines = [BytePairs(path, spaces_kept, width, encode_special_tokens), *also]
+        self.marks, self.kept, self.width = [m for e in self.engines for m in e.marks], spaces_kept, width
+        # Of each known stretch its place in the engines, and of each place when it was last used.
+        self.known: dict[bytes, int] = {}
+        self.used = np.zeros(0, "i8")
+        self.turn = self.size = 0
 
     def _cuts(self, data, offsets):
         """Places of white space and where stretches start, for the bytes of several texts."""
@@ -154,13 +242,10 @@ class WordEncoder:
             alone = np.array([w[0] > 32 or w[-1] <= 32 for w in learnt]) if self.kept else np.zeros(len(learnt), bool)
             new = np.concatenate([new[~alone], new[alone]])
             joined, single = [learnt[k] for k in np.flatnonzero(~alone).tolist()], [learnt[k] for k in np.flatnonzero(alone).tolist()]
-            ids, sizes = self._learn(joined)
-            one = self._singly([w.decode() for w in single])
-            sizes = np.concatenate([*sizes, np.fromiter(map(len, one), "i8", len(one)) // self.width])
-            self.flat = np.concatenate([self.flat, *ids, np.frombuffer(b"".join(one), self.kind)])
+            for engine in self.engines:
+                engine.store(joined, single)
             slots[new] = np.arange(len(self.used), len(self.used) + len(new))
             self.known.update(zip([*joined, *single], slots[new].tolist()))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.used = np.concatenate([self.used, np.zeros(len(new), "i8")])
             self.size += sum(map(len, learnt))
         self.used[slots] = self.turn
@@ -173,15 +258,18 @@ class WordEncoder:
         recent = np.argsort(-self.used[old], kind="stable")[: CACHE_ENTRIES // 2].tolist()
         kept = [k for k in recent if len(words[k]) <= CACHE_CHARS]
         slots, names = old[kept], [words[k] for k in kept]
-        sizes = self.starts[slots + 1] - self.starts[slots]
-        self.flat = self.flat[ragged(self.starts[slots], sizes)]
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        for engine in self.engines:
+            engine.keep(slots)
         self.used = self.used[slots]
         self.known = dict(zip(names, range(len(names))))
         self.size = sum(map(len, names))
 
     def encode_column(self, column):
-        """Ids of all rows of an Arrow text column, and the offsets of the rows in them; a null counts as empty.
+        """Ids of all rows of an Arrow text column, and the offsets of the rows in them; a null counts as empty."""
+        return self.encode_columns(column)[0]
+
+    def encode_columns(self, column) -> list:
+        """Ids and offsets by each engine.
 
         The distinct stretches of a column are looked up or encoded once, and
         the ids are put together by one gather.
@@ -191,28 +279,25 @@ class WordEncoder:
 
         column = pc.fill_null(column.cast(pa.string()), "")
         whole = self._whole_rows(column)
-        texts = pc.if_else(pa.array(whole), "", column) if whole.any() else column
-        offsets = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
-        data = np.frombuffer(texts.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
+        offsets, data = text_bytes(pc.if_else(pa.array(whole), "", column) if whole.any() else column)
+        slots, rows = np.zeros(0, "i8"), np.zeros(len(offsets), "i8")
         if len(data):
             words, rows = self._stretches(data, offsets)
             coded = words.dictionary_encode()
             slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            starts, sizes = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
-            ids, ends = self.flat[ragged(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])[rows]
-        else:
-            ids, ends = np.zeros(0, self.kind), np.zeros(len(offsets), "i8")
-        if not whole.any():
-            return ids, ends
+        out = [engine.gather(slots, rows) for engine in self.engines]
         at = np.flatnonzero(whole)
-        found = [np.frombuffer(x, self.kind) for x in self._whole(column.take(pa.array(at)).to_pylist())]
-        pieces, last = [], 0
-        sizes = np.diff(ends)
-        for k, more in zip(at.tolist(), found):
-            pieces += [ids[last : ends[k]], more]
-            last, sizes[k] = ends[k], len(more)
-        return np.concatenate([*pieces, ids[last:]]), np.concatenate([[0], np.cumsum(sizes)])
+        if not len(at):
+            return out
+        texts = column.take(pa.array(at)).to_pylist()
+        for n, (engine, (ids, ends)) in enumerate(zip(self.engines, out)):
+            pieces, last, sizes = [], 0, np.diff(ends)
+            for k, found in zip(at.tolist(), engine.whole(texts)):
+                more = np.frombuffer(found, engine.kind)
+                pieces += [ids[last : ends[k]], more]
+                last, sizes[k] = ends[k], len(more)
+            out[n] = np.concatenate([*pieces, ids[last:]]), np.concatenate([[0], np.cumsum(sizes)])
+        return out
 
     def _whole_rows(self, column):
         """Rows that must go to the tokenizer in one piece: with added tokens, or white space that only some engines take as such."""
@@ -222,11 +307,10 @@ class WordEncoder:
         for mark in self.marks:
             whole |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
         if self.kept:
-            offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+            offsets, data = text_bytes(column)
             # Their bytes begin with one of these; only rows that hold one are searched.
             if _MAYBE_UNUSUAL[data].any():
-                for k in np.unique(np.searchsorted(offsets - offsets[0], np.flatnonzero(_MAYBE_UNUSUAL[data]), "right") - 1).tolist():
+                for k in np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_UNUSUAL[data]), "right") - 1).tolist():
                     whole[k] |= bool(_UNUSUAL.search(column[k].as_py()))
         return whole
 
@@ -239,6 +323,12 @@ class WordEncoder:
         return [held[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def text_bytes(column):
+    """Offsets of the rows of an Arrow text column without nulls, and their bytes."""
+    offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1].astype("i8")
+    return offsets - offsets[0], np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+
+
 def with_end(ids, ends, end_id: int):
     """Ids and offsets with one more id after each row."""
     n = np.arange(len(ends))

@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(catalog.queries(), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(catalog.queries(), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
 
 
 def test_components_of_a_long_path(spark):
