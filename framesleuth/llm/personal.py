@@ -304,7 +304,7 @@ def find_personal(docs: DataFrame, sample_spans: int = SAMPLE_SPANS, cut: float
     counts = {(r["kind"], r["votes"]): r["n"] for r in each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     truth = estimate(counts)
     sample = each.select("kind", "votes", "features", F.xxhash64("doc_id", "start", "kind", "features").alias("key")).orderBy("key", "kind", "votes").limit(sample_spans).toArrow()
-    places = np.array(sample.column("features").to_pylist(), "i8").reshape(sample.num_rows, -1)
+    places = np.array(sample.column("features").to_pylist() or np.zeros((0, 1)), "i8")
     weights = fit(places, np.array([truth[k, v] for k, v in zip(sample.column("kind").to_pylist(), sample.column("votes").to_pylist())]))
 
     def task(batches):
