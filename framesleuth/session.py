@@ -14,6 +14,8 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 CORRECTNESS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Timers and map state of the live operators need this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 SIZING = {
     "spark.sql.adaptive.enabled": "true",

@@ -1,268 +1,279 @@
-"""Live state machines for ``transformWithStateInPandas``.
-
-Each processor handles one key (a GPU, host or job) and keeps a few numbers of
-state.  The rows of a micro-batch arrive in any order, so they are put in time
-order before the policy sees them; the policies match the batch forms in
-``framesleuth.operators.telemetry``.
+"""Event-time replay for ``transformWithStateInPandas``, and the policies it drives.
+
+Rows of a key wait in state until the watermark has passed their time slot, so a
+policy sees each row once and in time order however files arrive; rows later
+than the watermark are dropped and counted by Spark before they reach it.  A
+policy is a function of one slot of ordered rows and the few numbers carried
+from the slot before.  Policies are written as the batch forms in
+``framesleuth.operators.telemetry`` are: a row that switches a state leaves a
+marker, and the state of a row is the last marker so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
 SECOND = 1_000_000
 FRESH_US = 15 * SECOND
 HEARTBEAT_US = 90 * SECOND
+#: Stands for "never" among carried times.
+NEVER = -(1 << 62)
+
+
+class Policy(NamedTuple):
+    """A live operator: its output columns, what it carries between slots, and one step.
+
+    ``step(rows, carried)`` gets the rows of one slot in order of ``at_us`` and
+    ``order``, and returns the output columns, without keys, and what to carry.
+    """
+
+    output: str
+    carries: str
+    start: tuple
+    step: Callable
+    order: tuple[str, ...] = ()
+
 
+def _pack(rows: pd.DataFrame) -> bytes:
+    import pyarrow as pa
 
-def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="mergesort")
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-class _Single(StatefulProcessor):
-    """Keeps one named tuple of state values per key."""
+def _unpack(parts: list[bytes]) -> pd.DataFrame:
+    import pyarrow as pa
 
-    schema = ""
+    return pd.concat([pa.ipc.open_stream(p).read_all().to_pandas() for p in parts], ignore_index=True)
+
+
+class Replay(StatefulProcessor):
+    """Releases a key's rows slot by slot, in event-time order, to a policy.
+
+    State holds the packed rows of every slot not yet passed by the watermark
+    and what the policy carries.  A frame of input is split by slot and appended;
+    no frame of a whole key is built, and a slot is the most that is sorted.
+    """
+
+    def __init__(self, policy: Policy, keys: tuple[str, ...], slot_us: int):
+        self.policy, self.keys, self.slot_us = policy, keys, slot_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", self.schema)
+        self.waiting = handle.getMapState("waiting", "slot long", "parts array<binary>")
+        self.carried = handle.getValueState("carried", self.policy.carries)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            slots = frame["at_us"].to_numpy() // self.slot_us
+            for slot in np.unique(slots).tolist():
+                held = list(self.waiting.getValue((slot,))[0]) if self.waiting.containsKey((slot,)) else []
+                if not held:
+                    self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
+                self.waiting.updateValue((slot,), ([*held, _pack(frame[slots == slot].drop(columns=list(self.keys)))],))
+        return iter(())
 
-    def load(self):
-        return self.kept.get() if self.kept.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for slot in sorted(s for (s,) in self.waiting.keys() if (s + 1) * self.slot_us <= upto):
+            rows = _unpack(list(self.waiting.getValue((slot,))[0])).sort_values(["at_us", *self.policy.order], kind="mergesort", ignore_index=True)
+            self.waiting.removeKey((slot,))
+            out, carry = self.policy.step(rows, tuple(self.carried.get()) if self.carried.exists() else self.policy.start)
+            self.carried.update(carry)
+            if len(next(iter(out.values()))):
+                yield pd.DataFrame(dict(zip(self.keys, key)) | out)
 
     def close(self) -> None:
         pass
 
 
-class GpuYield(_Single):
-    """Input key, at_us, usable, external; output key, at_us, state, pause."""
+def last_known(values, marked, before):
+    """Value at the last marked row so far, this one included; ``before`` where none is."""
+    at = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+    return np.where(at >= 0, np.asarray(values)[at], before)
 
-    schema = "busy_since long, last_busy long, yielding boolean"
-    output = "track long, at_us long, state string, pause boolean"
 
-    def __init__(self, sustained_us: int = 5 * SECOND, cooldown_us: int = 60 * SECOND):
-        self.sustained_us, self.cooldown_us = sustained_us, cooldown_us
+def one_before(values, before):
+    """Value of the row before; ``before`` for the first."""
+    return np.concatenate([[before], values[:-1]])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since, last, held = self.load() or (None, None, False)
-        out = []
-        for row in _in_order(rows, "at_us").itertuples():
-            at = int(row.at_us)
-            if not row.usable:
-                state = "unavailable"
-            elif row.external:
-                since, last = at if since is None else since, at
-                held = bool(held) or at - since >= self.sustained_us
-                state = "yielding" if held else "busy"
-            else:
-                since = None
-                held = bool(held) and at - last < self.cooldown_us
-                state = "cooldown" if held else "available"
-            out.append((key[0], at, state, state in ("yielding", "cooldown")))
-        self.kept.update((since, last, bool(held)))
-        yield pd.DataFrame(out, columns=["track", "at_us", "state", "pause"])
-
-
-class CpuYield(_Single):
-    """Input key, at_us, sane, busy, quiet; output key, at_us, state."""
-
-    schema = "last long, busy_since long, quiet_since long, paused boolean"
-    output = "track long, at_us long, state string"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = (None, None, None, False)
-        last, busy_since, quiet_since, paused = self.load() or fresh
-        out = []
-        for row in _in_order(rows, "at_us").itertuples():
-            at = int(row.at_us)
-            if not row.sane:
-                last, busy_since, quiet_since, paused = fresh
-                out.append((key[0], at, "unavailable"))
-                continue
-            if last is not None and not 0 <= at - last <= FRESH_US:
-                last, busy_since, quiet_since, paused = fresh
-            last = at
-            busy_since = (busy_since if busy_since is not None else at) if row.busy else None
-            quiet_since = (quiet_since if quiet_since is not None else at) if row.quiet else None
-            if row.busy and at - busy_since >= 10 * SECOND:
-                paused = True
-            if row.quiet and at - quiet_since >= 60 * SECOND:
-                paused = False
-            out.append((key[0], at, "yielding" if paused else "busy" if row.busy else "available"))
-        self.kept.update((last, busy_since, quiet_since, bool(paused)))
-        yield pd.DataFrame(out, columns=["track", "at_us", "state"])
-
-
-class SustainedGate(_Single):
-    """Input key, at_us, healthy; output key, at_us, open."""
-
-    schema = "last long, since long, bad_at long"
-    output = "track long, at_us long, open boolean"
-
-    def __init__(self, hold_us: int = 30 * SECOND, gap_us: int = 10 * SECOND, cooldown_us: int = 60 * SECOND):
-        self.hold_us, self.gap_us, self.cooldown_us = hold_us, gap_us, cooldown_us
+def _flags(rows: pd.DataFrame, *names: str):
+    return [rows[n].to_numpy(dtype=bool) for n in names]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, since, bad = self.load() or (None, None, None)
-        out = []
-        for row in _in_order(rows, "at_us").itertuples():
-            at = int(row.at_us)
-            if row.healthy:
-                if since is None or not 0 <= at - last <= self.gap_us:
-                    since = at
-            else:
-                since, bad = None, at
-            last = at
-            opened = since is not None and at - since >= self.hold_us and (bad is None or at - bad >= self.cooldown_us)
-            out.append((key[0], at, bool(opened)))
-        self.kept.update((last, since, bad))
-        yield pd.DataFrame(out, columns=["track", "at_us", "open"])
-
-
-class StageSeconds(_Single):
-    """Time charged to the previous heartbeat's category; output key, category, us.
-
-    Emits the increments of each micro-batch; summing them gives the totals.
+
+def gpu_yield(sustained_us: int = 5 * SECOND, cooldown_us: int = 60 * SECOND) -> Policy:
+    """Rows ``usable, external`` to ``at_us, state, pause``."""
+
+    def step(rows, carried):
+        was_busy, busy_at, since, pausing = carried
+        at, (usable, external) = rows["at_us"].to_numpy(), _flags(rows, "usable", "external")
+        busy = usable & external
+        was = last_known(busy, usable, was_busy)
+        begins = busy & ~one_before(was, was_busy).astype(bool)
+        last_busy, since = last_known(at, busy, busy_at), last_known(at, begins, since)
+        on, off = busy & (at - since >= sustained_us), usable & ~busy & (at - last_busy >= cooldown_us)
+        held = last_known(on, on | off, pausing).astype(bool)
+        state = np.select([~usable, busy & held, busy, held], ["unavailable", "yielding", "busy", "cooldown"], "available")
+        out = {"at_us": at, "state": state, "pause": np.isin(state, ["yielding", "cooldown"])}
+        return out, (bool(was[-1]), int(last_busy[-1]), int(since[-1]), bool(held[-1]))
+
+    return Policy("at_us long, state string, pause boolean", "was_busy boolean, busy_at long, since long, pausing boolean", (False, NEVER, NEVER, False), step, ("ordinal",))
+
+
+def cpu_yield(busy_us: int = 10 * SECOND, quiet_us: int = 60 * SECOND, fresh_us: int = FRESH_US) -> Policy:
+    """Rows ``sane, busy, quiet`` to ``at_us, state``."""
+
+    def step(rows, carried):
+        before_at, before_ok, before_busy, before_quiet, busy_from, quiet_from, pausing = carried
+        at, (ok, busy, quiet) = rows["at_us"].to_numpy(), _flags(rows, "sane", "busy", "quiet")
+        gap = at - one_before(at, before_at)
+        afresh = ok & ~(one_before(ok, before_ok).astype(bool) & (gap >= 0) & (gap <= fresh_us))
+        froms = []
+        for flag, before, start in ((busy, before_busy, busy_from), (quiet, before_quiet, quiet_from)):
+            froms.append(last_known(at, flag & (afresh | ~one_before(flag, before).astype(bool)), start))
+        on, off = busy & (at - froms[0] >= busy_us), quiet & (at - froms[1] >= quiet_us)
+        held = last_known(on, on | off | afresh, pausing).astype(bool)
+        state = np.select([~ok, held, busy], ["unavailable", "yielding", "busy"], "available")
+        return {"at_us": at, "state": state}, (int(at[-1]), bool(ok[-1]), bool(busy[-1]), bool(quiet[-1]), int(froms[0][-1]), int(froms[1][-1]), bool(held[-1]))
+
+    carries = "before_at long, before_ok boolean, before_busy boolean, before_quiet boolean, busy_from long, quiet_from long, pausing boolean"
+    return Policy("at_us long, state string", carries, (NEVER, False, False, False, NEVER, NEVER, False), step, ("ordinal",))
+
+
+def sustained_gate(hold_us: int = 30 * SECOND, gap_us: int = 10 * SECOND, cooldown_us: int = 60 * SECOND) -> Policy:
+    """Rows ``healthy`` to ``at_us, open``."""
+
+    def step(rows, carried):
+        before_at, before_ok, since, bad_at = carried
+        at, (ok,) = rows["at_us"].to_numpy(), _flags(rows, "healthy")
+        gap = at - one_before(at, before_at)
+        begins = ok & ~(one_before(ok, before_ok).astype(bool) & (gap >= 0) & (gap <= gap_us))
+        since, bad = last_known(at, begins, since), last_known(at, ~ok, bad_at)
+        opened = ok & (at - since >= hold_us) & (at - bad >= cooldown_us)
+        return {"at_us": at, "open": opened}, (int(at[-1]), bool(ok[-1]), int(since[-1]), int(bad[-1]))
+
+    return Policy("at_us long, open boolean", "before_at long, before_ok boolean, since long, bad_at long", (NEVER, False, NEVER, NEVER), step, ("ordinal",))
+
+
+def stage_seconds() -> Policy:
+    """Rows ``category``; each interval is charged to the category it began in.
+
+    Output ``at_us, category, us`` has one row for each interval, at its end.
     """
 
-    schema = "at_us long, category string"
-    output = "track long, category string, us long, intervals long"
+    def step(rows, carried):
+        before_at, before = carried
+        at, category = rows["at_us"].to_numpy(), rows["category"].to_numpy(object)
+        begun, kind = one_before(at, before_at), one_before(category, before)
+        known = begun != NEVER
+        return {"at_us": at[known], "category": kind[known], "us": (at - begun)[known]}, (int(at[-1]), str(category[-1]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.load()
-        spent: dict = {}
-        for row in _in_order(rows, "at_us").itertuples():
-            if before is not None:
-                us, n = spent.get(before[1], (0, 0))
-                spent[before[1]] = (us + max(0, int(row.at_us) - before[0]), n + 1)
-            before = (int(row.at_us), row.category)
-        self.kept.update(before)
-        yield pd.DataFrame([(key[0], c, us, n) for c, (us, n) in spent.items()], columns=["track", "category", "us", "intervals"])
+    return Policy("at_us long, category string, us long", "before_at long, before string", (NEVER, ""), step, ("ordinal",))
 
 
-class Throughput(StatefulProcessor):
-    """Last eight rates of single and paired work per family; emits the gain."""
+def throughput(kept: int = 8, least: int = 3) -> Policy:
+    """Rows ``work, elapsed, overlap``; numbers of rates held and the gain of paired work, once a slot."""
 
-    output = "family long, paired long, single long, gain double"
+    def step(rows, carried):
+        work, elapsed, overlap = (rows[n].to_numpy("f8") for n in ("work", "elapsed", "overlap"))
+        usable = (work > 0) & (elapsed >= 2) & (overlap <= 1) & ((overlap <= 0) | (overlap >= 0.8))
+        rates = np.divide(work, elapsed, out=np.zeros(len(work)), where=elapsed > 0)
+        paired, single = (np.concatenate([list(held), rates[usable & kind]])[-kept:] for held, kind in zip(carried, (overlap >= 0.8, overlap <= 0)))
+        gain = 2 * np.median(paired) / np.median(single) if min(len(paired), len(single)) >= least else None
+        out = {"at_us": [int(rows["at_us"].iloc[-1])], "paired": [len(paired)], "single": [len(single)], "gain": pd.Series([gain], dtype="float64")}
+        return out, (paired.tolist(), single.tolist())
 
-    def init(self, handle) -> None:
-        self.paired, self.single = handle.getListState("paired", "rate double"), handle.getListState("single", "rate double")
+    return Policy("at_us long, paired long, single long, gain double", "paired array<double>, single array<double>", ([], []), step, ("ordinal",))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lists = {True: [r[0] for r in self.paired.get()] if self.paired.exists() else [], False: [r[0] for r in self.single.get()] if self.single.exists() else []}
-        for row in _in_order(rows, "ordinal").itertuples():
-            if row.work > 0 and row.elapsed >= 2 and (row.overlap <= 0 or 0.8 <= row.overlap <= 1):
-                kind = row.overlap >= 0.8
-                lists[kind] = (lists[kind] + [float(row.work) / float(row.elapsed)])[-8:]
-        for state, kind in ((self.paired, True), (self.single, False)):
-            if lists[kind]:
-                state.put([(r,) for r in lists[kind]])
-        enough = min(len(lists[True]), len(lists[False])) >= 3
-        gain = 2 * pd.Series(lists[True]).median() / pd.Series(lists[False]).median() if enough else None
-        yield pd.DataFrame({"family": [key[0]], "paired": [len(lists[True])], "single": [len(lists[False])], "gain": pd.Series([gain], dtype="float64")})
 
-    def close(self) -> None:
-        pass
+def activity() -> Policy:
+    """Rows ``ordinal, value``; those above everything before them and above zero."""
 
+    def step(rows, carried):
+        value = rows["value"].to_numpy()
+        top = np.maximum.accumulate(np.concatenate([[carried[0]], value]))
+        new = value > top[:-1]
+        return {"at_us": rows["at_us"].to_numpy()[new], "ordinal": rows["ordinal"].to_numpy()[new], "value": value[new]}, (int(top[-1]),)
 
-class Activity(_Single):
-    """Counter rows that exceed everything seen before for (key, counter)."""
+    return Policy("at_us long, ordinal long, value long", "top long", (0,), step, ("ordinal",))
 
-    schema = "top long"
-    output = "track long, counter string, ordinal long, value long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        top = (self.load() or (0,))[0]
-        out = []
-        for row in _in_order(rows, "ordinal").itertuples():
-            if row.value > top:
-                top = int(row.value)
-                out.append((key[0], key[1], int(row.ordinal), top))
-        self.kept.update((top,))
-        yield pd.DataFrame(out, columns=["track", "counter", "ordinal", "value"])
+#: A progress line, with the name of its stage or without: fixed form.
+_PROGRESS = re.compile(r"^[ \t]*(?:[A-Z]+_)?PROGRESS=([0-9]+(?:\.[0-9]+)?)[ \t]*$", re.MULTILINE)
 
 
-class ProgressLines(_Single):
-    """Joins text chunks split anywhere into lines; emits forward movement.
+def progress() -> Policy:
+    """Rows ``ordinal, chunk`` of a log cut anywhere; per progress line its percent and its advance.
 
-    At most 4096 characters of an unfinished line are kept.
+    The chunks of a slot are one text; what follows its last line feed is carried
+    whole to the next slot.
     """
 
-    schema = "pending string, last double"
-    output = "job long, percent double, increment double"
+    def step(rows, carried):
+        rest, top = carried
+        whole, feed, rest = (rest + "".join(rows["chunk"])).rpartition("\n")
+        percent = np.minimum(100.0, np.array([float(p) for p in _PROGRESS.findall(whole.replace("\r\n", "\n").removesuffix("\r"))], "f8"))
+        tops = np.maximum.accumulate(np.concatenate([[top], percent]))
+        at = np.full(len(percent), int(rows["at_us"].iloc[-1]))
+        return {"at_us": at, "percent": percent, "increment": np.diff(tops)}, (rest, float(tops[-1]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        import re
-
-        pending, last = self.load() or ("", 0.0)
-        out = []
-        for row in _in_order(rows, "ordinal").itertuples():
-            *lines, rest = re.split(r"\r?\n", pending + row.chunk)
-            pending = rest
-            for line in lines:
-                match = re.fullmatch(r"(?:[A-Z]+_)?PROGRESS=(\d+(?:\.\d+)?)", line.strip())
-                if match:
-                    percent = min(100.0, float(match[1]))
-                    out.append((key[0], percent, max(0.0, percent - last)))
-                    last = max(last, percent)
-        self.kept.update((pending, last))
-        yield pd.DataFrame(out, columns=["job", "percent", "increment"])
-
-
-class Heartbeats(_Single):
-    """Echoes each job's newest state and, by event-time timer, ``stale`` once a
-    running job has been silent for the limit."""
-
-    schema = "updated_us long, state string"
-    output = "job long, updated_us long, state string"
+    return Policy("at_us long, percent double, increment double", "rest string, top double", ("", 0.0), step, ("ordinal",))
 
-    def __init__(self, limit_us: int = HEARTBEAT_US):
-        self.limit_us = limit_us
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = _in_order(rows, "updated_us").iloc[-1]
-        kept = self.load()
-        if kept is None or kept[0] <= int(newest.updated_us):
-            kept = (int(newest.updated_us), str(newest.state))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if kept[1] == "running":
-                self.handle.registerTimer((kept[0] + self.limit_us) // 1000)
-            self.kept.update(kept)
-        yield pd.DataFrame([(key[0], *kept)], columns=["job", "updated_us", "state"])
+def confirmations(ttl_us: int = 600 * SECOND) -> Policy:
+    """Rows ``ordinal, action``; a confirm is accepted while its preview holds, and uses it up."""
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = self.load()
-        if kept is not None and kept[1] == "running":
-            self.kept.update((kept[0], "stale"))
-            yield pd.DataFrame([(key[0], kept[0], "stale")], columns=["job", "updated_us", "state"])
+    def step(rows, carried):
+        at, ordinal, action = rows["at_us"].to_numpy(), rows["ordinal"].to_numpy(), rows["action"].to_numpy(object)
+        shown, confirm = action == "preview", action == "confirm"
+        # A confirm leaves "no preview" for what follows it.
+        held = last_known(np.where(shown, at, NEVER), shown | confirm, carried[0])
+        age = at - one_before(held, carried[0])
+        return {"at_us": at[confirm], "ordinal": ordinal[confirm], "accepted": (age < ttl_us)[confirm]}, (int(held[-1]),)
 
+    return Policy("at_us long, ordinal long, accepted boolean", "shown long", (NEVER,), step, ("ordinal",))
 
-class Confirmations(StatefulProcessor):
-    """Previews that expire by state TTL: a confirm succeeds only while its
-    preview is still held, and uses it up."""
 
-    output = "token long, ordinal long, accepted boolean"
+class Heartbeats(StatefulProcessor):
+    """Newest state of each job, and ``stale`` once a running job was silent for the limit of event time.
 
-    def __init__(self, ttl_ms: int = 600_000):
-        self.ttl_ms = ttl_ms
+    Older beats than the newest one change nothing.
+    """
+
+    output = "job long, updated_us long, state string"
+
+    def __init__(self, limit_us: int = HEARTBEAT_US):
+        self.limit_us = limit_us
 
     def init(self, handle) -> None:
-        self.held = handle.getValueState("held", "ordinal long", self.ttl_ms)
+        self.handle, self.kept = handle, handle.getValueState("kept", "updated_us long, state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in _in_order(rows, "ordinal").itertuples():
-            if row.action == "preview":
-                self.held.update((int(row.ordinal),))
-            elif row.action == "confirm":
-                out.append((key[0], int(row.ordinal), self.held.exists()))
-                self.held.clear()
-        yield pd.DataFrame(out, columns=["token", "ordinal", "accepted"])
+        newest = tuple(self.kept.get()) if self.kept.exists() else (NEVER, "")
+        for frame in rows:
+            row = frame.loc[frame["at_us"].idxmax()]
+            newest = max(newest, (int(row["at_us"]), str(row["state"])))
+        self.kept.update(newest)
+        if newest[1] == "running":
+            self.handle.registerTimer((newest[0] + self.limit_us) // 1000)
+        yield pd.DataFrame([(key[0], *newest)], columns=["job", "updated_us", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        updated, state = self.kept.get()
+        # Timers of beats that newer ones followed have nothing to say.
+        if state == "running" and (updated + self.limit_us) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.kept.update((updated, "stale"))
+            yield pd.DataFrame([(key[0], updated, "stale")], columns=["job", "updated_us", "state"])
 
     def close(self) -> None:
         pass
