@@ -50,10 +50,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     ``percent``, and the largest similarity.  ``row_key`` is a hash of id and
     text, so repeated rows are one, and rows with a null id are found too.
 
-    Words are lower-case runs of letters and digits.  A window that similar
-    shares a shingle with the item, so a window is put wherever a document
-    shares one, aligned with it and moved inside the document.  Its fingerprint
-    meets items within the radius by blocks; the similarity is then exact.
+    Words are lower-case runs of letters and digits.  Every window that holds a
+    shingle of an item of its size is fingerprinted, at every start, wherever the
+    shingle lies in the item; a window without any has similarity 0.  (A document
+    shorter than the item is one window.)  Fingerprints meet those of items within
+    the radius by blocks; the similarity is then exact.
     Items with fewer than five words are one shingle; null and empty texts, and
     items without words or id, match nothing; empty tables give no rows.
     """
@@ -63,7 +64,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 
 def _find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     items, _ = scratch.write(_items(benchmark), "items")
-    parts = items.select("n", "k", F.posexplode("shingles").alias("at", "h")).distinct()
+    parts = items.select("n", "k", F.explode("shingles").alias("h")).distinct()
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five numbers
     if parts.count() <= BROADCAST_SHINGLES:
         parts = F.broadcast(parts)
@@ -72,8 +73,10 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFram
     hits = None
     for k in sizes:
         every = worded.select("row_key", "length", F.posexplode(F.expr(_shingles("words", str(k)))).alias("pos", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n")))
-        found = every.join(parts.where(F.col("k") == k).drop("k"), "h").select("row_key", F.lit(k).alias("k"), "n", start.alias("start"))
+        # All windows that hold the shingle; those of one row are made in one task, which also drops repeats.
+        first, last = F.least(F.col("pos") + k - F.col("n"), F.col("length") - F.col("n")), F.least(F.col("pos"), F.col("length") - F.col("n"))
+        starts = F.explode(F.sequence(F.greatest(F.lit(0), first), F.greatest(F.lit(0), last))).alias("start")
+        found = every.join(parts.where(F.col("k") == k).drop("k"), "h").select("row_key", F.lit(k).alias("k"), "n", starts)
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "row_key long, doc_id long, item_id long, n_windows long, similarity double")
@@ -115,7 +118,8 @@ WITH worded AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\
      items AS (SELECT item_id, words, len(words) AS n, least(len(words), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE len(words) > 0),
      item_shingles AS (SELECT item_id, n, k, spot, array_to_string(words[spot + 1 : spot + k], ' ') AS h FROM (SELECT *, unnest(range(n - k + 1)) AS spot FROM items)),
      doc_shingles AS (SELECT doc_id, len(words) AS length, k, pos, array_to_string(words[pos + 1 : pos + k], ' ') AS h FROM (SELECT d.*, s.k, unnest(range(greatest(0, len(words) - s.k + 1))) AS pos FROM worded d, (SELECT DISTINCT k FROM items) s)),
-     windows AS (SELECT DISTINCT doc_id, n, d.k, greatest(0, least(pos - spot, length - n)) AS start FROM doc_shingles d JOIN item_shingles i ON d.h = i.h AND d.k = i.k),
+     touched AS (SELECT DISTINCT doc_id, length, n, d.k, pos FROM doc_shingles d JOIN item_shingles i ON d.h = i.h AND d.k = i.k),
+     windows AS (SELECT DISTINCT doc_id, n, k, unnest(range(greatest(0, least(pos + k - n, length - n)), greatest(0, least(pos, length - n)) + 1)) AS start FROM touched),
      cut AS (SELECT w.*, words[start + 1 : start + n] AS inside FROM windows w JOIN worded USING (doc_id)),
      inside AS (SELECT doc_id, n, k, start, h, count(*) AS c FROM (SELECT doc_id, n, k, start, array_to_string(inside[p + 1 : p + k], ' ') AS h FROM (SELECT *, unnest(range(greatest(0, len(inside) - k + 1))) AS p FROM cut)) GROUP BY ALL),
      weighed AS (SELECT item_id, n, k, h, count(*) AS c FROM item_shingles GROUP BY ALL),

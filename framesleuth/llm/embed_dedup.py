@@ -136,8 +136,11 @@ def _near_vectors(vectors: DataFrame, cosine: float, sample_rows: int) -> DataFr
     held = held.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("one", F.xxhash64("embedding")).withColumn("two", F.xxhash64(F.lit(7), "embedding"))
     held, _ = scratch.write(held, "vectors")
     same = ["label", "one", "two"]
-    classes, _ = scratch.write(held.where("good").groupBy(*same).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    mine = held.where("good").join(classes, same).where("vec_id = class_id").dropDuplicates(["class_id"])
+    # Classes are named by a hash of what their vectors share, so an id on several vectors does no harm.
+    key = F.xxhash64("label", "one", "two").alias("class_id")
+    classes = held.where("good").groupBy(*same).agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    classes, _ = scratch.write(classes.select("*", key), "classes")
+    mine = held.where("good").join(classes, same).where("vec_id = least_id").dropDuplicates(["class_id"])
     mine = mine.select("class_id", "copies", "label", F.size("embedding").alias("dim"), "embedding")
 
     sizes = [r["dim"] for r in mine.select("dim").distinct().collect()]  # lengths that occur
@@ -202,7 +205,9 @@ def _near_vectors(vectors: DataFrame, cosine: float, sample_rows: int) -> DataFr
     links = parts.groupBy("class_id").agg(F.sum("links").alias("links"))
     tied = components(parts.select(F.col("class_id").alias("a"), F.col("tie").alias("b")))
     named = classes.join(links, "class_id", "left").join(tied, classes["class_id"] == tied["node"], "left")
-    named, _ = scratch.write(named.select(*same, F.coalesce("links", "copies").alias("links"), F.coalesce("component", "class_id").alias("component")), "named")
+    named, _ = scratch.write(named.select(*same, "least_id", F.coalesce("links", "copies").alias("links"), F.coalesce("component", "class_id").alias("group_key")), "named")
+    least = named.groupBy("group_key").agg(F.min("least_id").alias("component"))
+    named = named.drop("least_id").join(least, "group_key").drop("group_key")
     out = held.withColumn("key", F.when(F.col("good"), F.col("label"))).join(named.withColumnRenamed("label", "key"), ["key", "one", "two"], "left")
     out = out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -50,8 +50,8 @@ class Circulant:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set and one key for each band."""
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Per document: set size, a 128-bit digest of the set and one key for each band; ``row_key`` is a hash of id and text."""
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
     def task(batches):
         import numpy as np
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         number = mix(np.arange(1, bands + 1, dtype="u8") << np.uint64(20))
         for batch in batches:
             for some in slices(batch, 2_000_000):
-                sets = shingle_sets(some.column(1), width)
+                sets = shingle_sets(some.column(2), width)
                 keys = np.zeros((len(sets), bands), "u8")
                 for i, held in enumerate(sets):
                     if len(held):
@@ -73,11 +73,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 one = np.array([x.sum(dtype="u8") for x in sets], "u8")
                 two = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype="u8") for x in sets], "u8")
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one.view("i8")), pa.array(two.view("i8")),
+                    some.column(0), some.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(one.view("i8")), pa.array(two.view("i8")),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, "i4")), pa.array(keys.ravel().view("i8"))),
-                ], ["doc_id", "n_shingles", "one", "two", "bands"])
+                ], ["doc_id", "row_key", "n_shingles", "one", "two", "bands"])
 
-    return held.mapInArrow(task, "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    return held.mapInArrow(task, "doc_id long, row_key long, n_shingles long, one long, two long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -172,14 +172,18 @@ def _across(open_rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of at least ``percent`` in a hundred.
 
-    Per row of ``(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
+    Per row of ``(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``, and
+    ``row_key`` (a hash of id and text) and ``group_key``, which differs between
+    groups even where one id stands on rows of both; null for rows linked with
+    nothing.
     Equal sets become one class first.  Classes that share a band are
     candidates: a bucket's most connected class is compared with all others (in
     tiny buckets all are compared), links are closed to components, and classes
     of a bucket still in different components are compared in blocks.  Every
     candidate pair is thus either compared on whole sets or already connected.
     Documents without words, null texts and null ids are linked with nothing
-    and kept; repeated rows are linked as equal sets; an empty table gives no rows.
+    and kept; repeated rows are linked as equal sets; rows of one id with
+    different texts are documents of their own; an empty table gives no rows.
     """
     with scratch.temporary(docs.sparkSession):
         return scratch.keep(_near_duplicates(docs, percent, width, bands, rows), "groups")
@@ -190,8 +194,10 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
     sketch, _ = scratch.write(sketches(held, width=width, bands=bands, rows=rows), "sketch")
     digest = ["n_shingles", "one", "two"]
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes, _ = scratch.write(some.groupBy(*digest).agg(F.min("doc_id").alias("class_id")), "classes")
-    banded = sketch.join(classes.select("class_id", *digest), (sketch["doc_id"] == classes["class_id"]) & (sketch["one"] == classes["one"]) & (sketch["two"] == classes["two"])).select("class_id", sketch["n_shingles"].alias("n"), "bands")
+    # Row keys stand for documents from here on, so an id on several texts does no harm.
+    classes, _ = scratch.write(some.groupBy(*digest).agg(F.min("row_key").alias("class_id"), F.min("doc_id").alias("least_id")), "classes")
+    texts = held.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    banded = sketch.join(classes.select("class_id", *digest), (sketch["row_key"] == classes["class_id"]) & (sketch["one"] == classes["one"]) & (sketch["two"] == classes["two"])).select("class_id", sketch["n_shingles"].alias("n"), "bands")
     rows_of = banded.dropDuplicates(["class_id"]).select(F.col("class_id").alias("doc_id"), "n", F.explode("bands").alias("key"))
     sizes = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets, _ = scratch.write(rows_of.join(sizes, "key"), "buckets")
@@ -205,7 +211,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
     tiny = buckets.where(F.col("size") <= TINY)
     other = tiny.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"))
     pairs, _ = scratch.write(starry.unionByName(tiny.join(other, "key").where("doc_id > b").where(alike).select(*pair)).distinct(), "pairs")
-    links, _ = scratch.write(_confirmed(pairs, held, percent, width), "links")
+    links, _ = scratch.write(_confirmed(pairs, texts, percent, width), "links")
     joined, _ = scratch.write(components(links), "components")
 
     rest = buckets.where(F.col("size") > TINY).join(centres.select("key", F.col("b").alias("centre")), "key").where("doc_id <> centre")
@@ -213,17 +219,20 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
     rest, _ = scratch.write(rest, "rest")
     open_keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_rows, _ = scratch.write(rest.join(open_keys, "key"), "open")
-    sets, _ = scratch.write(sets_of(held.join(open_rows.select("doc_id").distinct(), "doc_id"), width).dropDuplicates(["doc_id"]), "sets")
+    sets, _ = scratch.write(sets_of(texts.join(open_rows.select("doc_id").distinct(), "doc_id"), width).dropDuplicates(["doc_id"]), "sets")
     more, _ = scratch.write(_across(open_rows.join(sets, "doc_id"), percent), "links")
     final, _ = scratch.write(components(links.unionByName(more)), "components")
 
-    named = classes.join(final, classes["class_id"] == final["node"], "left").select(*digest, "class_id", F.coalesce("component", "class_id").alias("component"))
+    named = classes.join(final, classes["class_id"] == final["node"], "left").select(*digest, "least_id", F.coalesce("component", "class_id").alias("group_key"))
     named, _ = scratch.write(named, "named")
-    out = sketch.join(named, digest, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    least = named.groupBy("group_key").agg(F.min("least_id").alias("component"))
+    named, _ = scratch.write(named.drop("least_id").join(least, "group_key"), "named")
+    linked = F.col("doc_id").isNotNull()
+    out = sketch.join(named, digest, "left").select("doc_id", "n_shingles", F.when(linked, F.coalesce("component", "doc_id")).alias("component_id"), "row_key", F.when(linked, F.col("group_key")).alias("group_key"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 @query("op10_circulant_minhash")
 def op10_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents at similarity 0.85."""
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

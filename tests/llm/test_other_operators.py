@@ -1,5 +1,6 @@
 """Vectors, pages, licences, labels, benchmark passages and the pipeline."""
 
+import collections
 import math
 import random
 import re
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from framesleuth.llm import catalog, components, decontaminate, embed_dedup, html_text, licenses, quality, toxicity
+from framesleuth.llm import catalog, components, decontaminate, embed_dedup, html_text, licenses, minhash, quality, toxicity
 from oracle_check import compare, connect
 
 FOLDER, LABELLED, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -137,13 +138,50 @@ def test_leaks_hostile(spark):
     docs = spark.createDataFrame([(i, t, 1, "k", "r", "c", "t", 0, "l", 1) for i, t in rows], "doc_id long, text string, " + CLASH)
     items = spark.createDataFrame([(1, item), (2, "Alpha beta"), (3, None), (None, "x"), (4, "...")], "item_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["item_id"], r["n_windows"], r["similarity"] == 1) for r in decontaminate.find_leaks(docs, items).collect()))
-    assert [g for g in got if g[0] != 2] == [(0, 1, 1, True), (1, 1, 1, True), (7, 2, 1, True), (8, 2, 1, True), (9, 1, 1, True)]
+    assert [g for g in got if g[0] != 2] == [(0, 1, 1, True), (1, 1, 3, True), (7, 2, 1, True), (8, 2, 1, True), (9, 1, 2, True)]
     kept = decontaminate.decontaminate(docs, items)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [(1, "x"), *([(2, near)] if not any(g[0] == 2 for g in got) else []), (3, rows[2][1])]
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_moved_blocks_are_found(spark):
+    """Windows count at every start, wherever in the item their shingles stand: against all windows."""
+    one, two, other = (" ".join(f"{c}{k}" for k in range(30)) for c in "pqz")
+    texts = [f"{other} {two} {one} {other}", f"{other} {one} {two} {other}", f"{two} {one}", other, f"{one} {other} {two} {one} {two}"]
+    item = f"{one} {two}".split()
+
+    def similarity(window):
+        a, b = (collections.Counter(tuple(w[k : k + 5]) for k in range(max(0, len(w) - 4))) for w in (window, item))
+        return (a & b).total() / max(1, (a | b).total())
+
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        found = [s for k in range(max(1, len(w) - len(item) + 1)) if (s := similarity(w[k : k + len(item)])) >= 0.8]
+        if found:
+            want[i] = (len(found), max(found))
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"], r["similarity"]) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert want[0][0] > 1 and want[1][0] > 10 and got == {i: (n, pytest.approx(s)) for i, (n, s) in want.items()}
+
+
+def test_one_id_on_different_rows(spark):
+    """Groups of different texts or vectors do not mix where they share an id, and none is lost."""
+    a, b = ([f"{c}{k}" for k in range(40)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[:-1])), (1, " ".join(a)), (None, " ".join(a))]
+    docs = spark.createDataFrame([(i, t, 1, "k", "r", "c", "t", 0, "l", 1) for i, t in rows], "doc_id long, text string, " + CLASH)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    left = corpus_pipeline.drop_duplicates(spark, docs, "")
+    assert left.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"][0]) for r in left.collect()) == [(0, "a"), (1, "a"), (1, "b")]
+
+    x, y = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.3, 0.0]
+    vectors = [(1, x, 0), (1, y, 0), (2, [1.0, 0.05, 0.0, 0.2], 0), (3, [0.05, 1.0, 0.3, 0.0], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_windows_within_the_radius_are_met():
     """Two fingerprints at most the radius apart share a block within its own radius."""
     random.seed(5)
