@@ -23,21 +23,33 @@ CAPACITY = 2048
 NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 50, 6
 
 
+def _rowed(docs: DataFrame) -> DataFrame:
+    """Id and text, and the rest of each row in a struct, where an operator's columns cannot take its columns' place."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest_of_row"))
+
+
+def _unrowed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest_of_row")[c].alias(c) for c in docs.columns))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
-    return resample(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return _unrowed(resample(_rowed(docs), table(spark, sf_dir, "labels")).where("kept"), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).where(~F.coalesce("toxic", F.lit(False))).select(*docs.columns)
+    return _unrowed(score_toxicity(_rowed(docs), table(spark, sf_dir, "labels")).where(~F.coalesce("toxic", F.lit(False))), docs)
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group at similarity 0.80; of rows with equal id and text one stays."""
-    gone = near_duplicates(docs, NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    return left.withColumn("row_hash", F.xxhash64(docs["text"])).dropDuplicates(["doc_id", "row_hash"]).select(*docs.columns)
+    found = near_duplicates(docs, NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS).select("doc_id", F.col("row_key").alias("near_key"), "group_key")
+    first = found.where("group_key IS NOT NULL").groupBy("group_key").agg(F.min(F.struct("doc_id", "near_key"))["near_key"].alias("first_key"))
+    gone = found.join(first, "group_key").where("near_key <> first_key").select("near_key").distinct()
+    rows = _rowed(docs).withColumn("own_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return _unrowed(rows.join(gone, rows["own_key"] == gone["near_key"], "left_anti").dropDuplicates(["own_key"]), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
