@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -71,6 +72,14 @@ PAGES = {
     "null": (None, ""),
     "empty": ("", ""),
     "text": ("no <3 markup > here", "no <3 markup > here"),
+    "wrapper": ("<div class='layout with-sidebar'><nav>n</nav><article><p>A</p></article><div class='sidebar'>s</div></div>", "A"),
+    "wrapper of comments": ("<div class='post-comments-enabled'><article><p>A</p></article></div>", "A"),
+    "form around the page": ("<body><form id='aspnetForm'><input type=hidden><article><p>A</p></article></form></body>", "A"),
+    "names inside": ("<article><h2 id='related-work'>R</h2><p id='menu-of-the-day'>M</p><blockquote class='notice'>Q</blockquote><section class='related-work'>S</section><div class='ad'>x</div><div class='post-comments'>c</div></article>", "R\nM\nQ\nS"),
+    "comments beside main": ("<main><p>M</p></main><div class='comments'><article>C</article></div>", "M"),
+    "comments after": ("<article>A</article><section class='comments'><article>C</article></section>", "A"),
+    "open quote": ("<article><p title=\"x>text</p><p>more</p></article>", "text\nmore"),
+    "quoted end": ("<article><p title=\"a > b\">text</p></article>", "text"),
     "hidden": ("<main><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><table><tr><td>a<td>b</table></main>", "a\nb"),
 }
 
@@ -82,6 +91,19 @@ def test_page_blocks(name):
     assert "\n".join(t for inside, t in blocks if inside or not any(i for i, _ in blocks)) == want
 
 
+@pytest.mark.parametrize("text", ["<a " + " ".join(f'x{k}="y"' for k in range(30)) + ' "', "<a " * 50_000, '<a b="' * 50_000, "<div>" * 50_000 + "</div>" * 50_000, "<p><b>" * 30_000, "<a \"'=" * 40_000, "<!--" * 50_000, "<script>" * 50_000, "<b>" * 100_000 + "<p>" * 1000, "<" * 200_000])
+def test_broken_pages_cost_linear_time(text):
+    start = time.time()
+    html_text.page_blocks(text)
+    assert time.time() - start < 10
+
+
+def test_repeated_and_very_long_pages(spark):
+    page = "<article>" + "<p>" + "word " * 200_000 + "</p>" + "<p>end</p></article>"
+    got = html_text.main_text(spark.createDataFrame([(1, "https://h.example/a", page), (1, "https://h.example/a", page), (None, None, page)], "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["word " * 199_999 + "word\nend"] * 3
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     random.seed(3)
     for _ in range(300):
