@@ -13,26 +13,49 @@ from pyspark.sql import functions as F
 from framesleuth.llm import scratch
 from framesleuth.llm.registry import query, table
 
-#: Public short notices by SPDX id, the usual wording of each.
-TEMPLATES = (
+#: Public notices by SPDX id, the usual wording of each: one-line notices, first lines of file headers
+#: and of licence texts (as they are usually wrapped).  Fixed values.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "Use of this source code is governed by a BSD-style 2-Clause license."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style 3-Clause license."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT license."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: The notices, and the tag line of each id.
+TEMPLATES = (*NOTICES, *((i, f"SPDX-License-Identifier: {i}") for i in sorted({i for i, _ in NOTICES} - {"LicenseRef-All-Rights-Reserved"})))
 #: Base names of licence files, without their endings.
 FILE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 THRESHOLD = 0.85
 #: Copies of each directory's row, to which the files of a directory are dealt.
 SALTS = 32
 _SPLIT = r"[^\\p{L}\\p{N}]+"
-#: Stands for the unit itself among its words.
-_UNIT = "\x01"
+#: Terms that stand for a unit itself, and for one near enough to be compared.
+_UNIT, _NEAR = "\x01", "\x02"
 
 
 def _words(text: str) -> str:
@@ -40,20 +63,25 @@ def _words(text: str) -> str:
 
 
 def _units(files: DataFrame) -> DataFrame:
-    """Lines of every file, or the whole text of a licence file."""
+    """Lines of every file, and the whole text of a licence file as unit -1; ``row`` tells rows of one path apart."""
     name = F.regexp_extract(F.lower("path"), r"([^/.]+)(\.[^/]*)?$", 1)
     whole = F.coalesce(name.isin(*FILE_NAMES), F.lit(False))
-    return files.where("text IS NOT NULL").select("path", F.posexplode(F.when(whole, F.array("text")).otherwise(F.split("text", "\n"))).alias("unit", "line"))
+    lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("unit"), line.alias("line")))
+    units = F.when(whole, F.concat(F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("line"))), lines)).otherwise(lines)
+    return files.where("text IS NOT NULL").select("path", F.xxhash64("text").alias("row"), F.explode(units).alias("u")).select("path", "row", "u.*")
 
 
 def find_notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Best template of each unit of ``files (path, text)``: ``path, unit, license, similarity``.
 
-    A unit is a line, or the whole text of a licence file.  Weights are counts
-    times ``ln((1 + N) / (1 + df)) + 1``, with N the units that have words and
-    df those that hold the word, over all files; words of no template weigh as
-    if in no unit.  Only units whose other words leave the threshold in reach
-    are compared, which loses none.  Ties go to the first id.
+    A unit is a line, or the whole text of a licence file (unit -1).  Weights
+    are counts times ``ln((1 + N) / (1 + df)) + 1``, with N the units that have
+    words and df those that hold the word, over all files; words of no template
+    weigh as if in no unit.  Only units whose other words leave the threshold in
+    reach are compared, which loses none.  Ties go to the first id.
+
+    Texts are read once and never shuffled: one pass counts the known words of
+    all units and picks the few units to compare.
     """
     with scratch.temporary(files.sparkSession):
         return scratch.keep(_find_notices(files, templates, threshold), "notices")
@@ -61,39 +89,39 @@ def find_notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
 def _find_notices(files: DataFrame, templates, threshold: float) -> DataFrame:
     spark = files.sparkSession
-    given = spark.createDataFrame(list(templates), "license string, notice string").select("license", F.expr(_words("notice")).alias("words"))
-    terms = given.select("license", F.explode("words").alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("c"))
+    given = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, notice string").select("template", "license", F.expr(_words("notice")).alias("words"))
+    terms = given.select("template", "license", F.explode("words").alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("c"))
     known = sorted(r["term"] for r in terms.select("term").distinct().collect())  # bounded by the templates
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in [*known, _UNIT]], "term string"))
-
-    units = _units(files).select("path", "unit", F.expr(f"split(lower(line), '{_SPLIT}')").alias("words"))
-    # The split leaves empty strings only at the ends.
-    number = F.expr("size(words) - CAST(words[0] = '' AS INT) - CAST(size(words) > 1 AND words[size(words) - 1] = '' AS INT)")
-    words = units.select("path", "unit", number.alias("length"), F.explode(F.concat("words", F.array(F.lit(_UNIT)))).alias("term")).where("length > 0")
-    # Nearly all words end at this join, before anything is shuffled.
-    found, _ = scratch.write(words.join(wanted, "term").groupBy("path", "unit", "length", "term").agg(F.count(F.lit(1)).alias("n")), "hits")
-    seen = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}  # one row for each known word
-    number, hits = seen.pop(_UNIT, 0), found.where(F.col("term") != _UNIT)
-    reach = threshold * threshold / (1 - threshold * threshold)
-    # No weight exceeds that of other words, so these counts bound the cosine.
-    near = hits.groupBy("path", "unit").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), (F.first("length") - F.sum("n")).alias("others")).where(F.col("squares") >= reach * F.col("others"))
-    near, _ = scratch.write(near.select("path", "unit"), "near")
-    lines = _units(files.join(near.select("path").distinct(), "path")).join(near, ["path", "unit"]).select("path", "unit", F.explode(F.expr(_words("line"))).alias("word"))
-    other = lines.join(wanted, lines["word"] == wanted["term"], "left_anti").groupBy("path", "unit", "word").agg(F.count(F.lit(1)).alias("n")).groupBy("path", "unit").agg(F.sum(F.col("n") * F.col("n")).alias("rest"))
-    kept, _ = scratch.write(hits.join(near, ["path", "unit"]).join(other, ["path", "unit"], "left").select("path", "unit", "term", "n", F.coalesce("rest", F.lit(0)).alias("rest")), "units")
-
-    weight = spark.createDataFrame([(t, math.log((1 + number) / (1 + seen.get(t, 0))) + 1) for t in known] or [("", 0.0)], "term string, idf double")
+    in_known = "IN (" + ", ".join("'" + t.replace("'", "''") + "'" for t in known or [_UNIT]) + ")"
+
+    units = _units(files).withColumn("words", F.expr(_words("line"))).where("size(words) > 0")
+    units = units.withColumn("hits", F.expr(f"array_sort(filter(words, w -> w {in_known}))"))
+    # No weight exceeds that of other words, so counts bound the cosine: a run of c equal words adds c squared.
+    squares = F.expr("aggregate(hits, struct('' AS w, 0L AS c, 0L AS s), (a, w) -> IF(w = a.w, struct(w, a.c + 1, a.s + 2 * a.c + 1), struct(w, 1L, a.s + 1)), a -> a.s)")
+    near = squares >= threshold * threshold / (1 - threshold * threshold) * (F.size("words") - F.size("hits"))
+    none = lambda kind: F.lit(None).cast(kind)
+    told = lambda term, path, row, unit, line: F.struct(term.alias("term"), path.alias("path"), row.alias("row"), unit.alias("unit"), line.alias("line"))
+    term_only = lambda term: told(term, none("string"), none("long"), none("int"), none("string"))
+    marks = F.transform(F.array_distinct("hits"), term_only)
+    marks = F.concat(F.array(term_only(F.lit(_UNIT))), marks, F.when(near, F.array(told(F.lit(_NEAR), F.col("path"), F.col("row"), F.col("unit"), F.col("line")))).otherwise(F.array().cast("array<struct<term:string,path:string,row:bigint,unit:int,line:string>>")))
+    # A task sends one row for each known word, and the units near a template.
+    seen, _ = scratch.write(units.select(F.explode(marks).alias("m")).select("m.*").groupBy("term", "path", "row", "unit", "line").agg(F.count(F.lit(1)).alias("n")), "seen")
+    df = {r["term"]: r["n"] for r in seen.where(F.col("term") != _NEAR).select("term", "n").collect()}  # one row for each known word
+    number = df.pop(_UNIT, 0)
+
+    weight = spark.createDataFrame([(t, math.log((1 + number) / (1 + df.get(t, 0))) + 1) for t in known] or [("", 0.0)], "term string, idf double")
     unknown = math.log(1 + number) + 1
     weighed = terms.join(F.broadcast(weight), "term")
-    norms = weighed.groupBy("license").agg(F.sqrt(F.sum(F.pow(F.col("c") * F.col("idf"), 2))).alias("norm"))
-    vectors = weighed.join(F.broadcast(norms), "license").select("license", "term", (F.col("c") * F.col("idf") / F.col("norm")).alias("part"))
-
-    counts = kept.join(F.broadcast(weight), "term")
-    lengths = counts.groupBy("path", "unit").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2)) + F.max("rest") * unknown**2).alias("length"))
-    dots = counts.join(F.broadcast(vectors), "term").groupBy("path", "unit", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("length"), 6)
-    scored = dots.join(lengths, ["path", "unit"]).withColumn("similarity", cosine).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("path", "unit").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("b"))
+    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("c") * F.col("idf"), 2))).alias("norm"))
+    vectors = weighed.join(F.broadcast(norms), "template").select("template", "license", "term", (F.col("c") * F.col("idf") / F.col("norm")).alias("part"))
+
+    key = ["path", "row", "unit"]
+    words = seen.where(F.col("term") == _NEAR).select(*key, F.explode(F.expr(_words("line"))).alias("term"))
+    counts, _ = scratch.write(words.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(weight), "term", "left"), "counts")
+    lengths = counts.groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(unknown)), 2))).alias("length"))
+    dots = counts.join(F.broadcast(vectors), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"))
+    scored = dots.join(lengths, key).withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("similarity") >= threshold)
+    best = scored.groupBy(*key).agg(F.min(F.struct(-F.col("similarity"), "license")).alias("b"))
     return best.select("path", "unit", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("similarity"))
 
 
@@ -158,8 +186,8 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH templates AS (SELECT unnest([TEMPLATES], recursive := true)),
-     tw AS (SELECT license, unnest(regexp_extract_all(lower(notice), '[\p{L}\p{N}]+')) AS term FROM templates),
-     tc AS (SELECT license, term, count(*) AS c FROM tw GROUP BY ALL),
+     tw AS (SELECT license, notice, unnest(regexp_extract_all(lower(notice), '[\p{L}\p{N}]+')) AS term FROM templates),
+     tc AS (SELECT license, notice, term, count(*) AS c FROM tw GROUP BY ALL),
      files AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM documents),
      lines AS (SELECT doc_id, unit, words FROM (SELECT doc_id, unit, regexp_extract_all(lower(line), '[\p{L}\p{N}]+') AS words FROM files) WHERE len(words) > 0),
      n AS (SELECT count(*) AS n FROM lines),
@@ -168,9 +196,9 @@ WITH templates AS (SELECT unnest([TEMPLATES], recursive := true)),
      df AS (SELECT w AS term, count(*) AS df FROM wc WHERE w IN (SELECT term FROM known) GROUP BY w),
      idf AS (SELECT term, ln((1 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM known LEFT JOIN df USING (term), n),
      lens AS (SELECT doc_id, unit, sqrt(sum(pow(c * coalesce(idf, ln(1.0 + n) + 1), 2))) AS length FROM wc LEFT JOIN idf ON w = term, n GROUP BY ALL),
-     tn AS (SELECT license, sqrt(sum(pow(c * idf, 2))) AS norm FROM tc JOIN idf USING (term) GROUP BY license),
-     dots AS (SELECT doc_id, unit, license, sum(wc.c * idf * tc.c * idf) AS dot FROM wc JOIN idf ON w = term JOIN tc USING (term) GROUP BY ALL),
-     scored AS (SELECT doc_id, unit, license, round(dot / length / norm, 6) AS similarity FROM dots JOIN lens USING (doc_id, unit) JOIN tn USING (license)),
+     tn AS (SELECT license, notice, sqrt(sum(pow(c * idf, 2))) AS norm FROM tc JOIN idf USING (term) GROUP BY license, notice),
+     dots AS (SELECT doc_id, unit, license, notice, sum(wc.c * idf * tc.c * idf) AS dot FROM wc JOIN idf ON w = term JOIN tc USING (term) GROUP BY ALL),
+     scored AS (SELECT doc_id, unit, license, round(dot / length / norm, 6) AS similarity FROM dots JOIN lens USING (doc_id, unit) JOIN tn USING (license, notice)),
      own AS (SELECT doc_id, license, similarity FROM scored WHERE similarity >= 0.85 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, unit, license) = 1),
      placed AS (SELECT d.doc_id, coalesce(source, '-') AS s, coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, license, similarity FROM documents d LEFT JOIN own USING (doc_id)),
      by_dir AS (SELECT dir, arg_min(license, doc_id) AS given FROM placed WHERE license IS NOT NULL GROUP BY dir),

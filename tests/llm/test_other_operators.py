@@ -153,6 +153,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame.limit(0)).count() == 0
 
 
+def test_notices_of_other_wordings_and_equal_paths(spark):
+    rows = [
+        ("a.py", "x\n# SPDX-License-Identifier: MIT\n"), ("b.c", "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software"),
+        ("c.py", "Released under the MIT License."), ("c.py", "five words are here now"), ("d", "GNU General Public License, version 2."), ("e/LICENSE", "The MIT License (MIT)\n\nCopyright 2020\n\nmore text of the licence file that says other things than this"),
+        ("f", '# Licensed under the Apache License, Version 2.0 (the "License");'), ("g", "This program is free software: you can redistribute it and/or modify\nit under"), ("h", "nothing here"), ("i", "the " * 50_000 + " ".join(f"w{k}" for k in range(30_000))),
+    ]
+    got = {r["path"]: r["own_license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a.py": "MIT", "b.c": "MIT", "c.py": "MIT", "d": "GPL-2.0", "e/LICENSE": "MIT", "f": "Apache-2.0", "g": "GPL-3.0", "h": None, "i": None}
+
+
 def test_leaks_hostile(spark):
     item = "The quick brown fox jumps over the lazy dog and runs far away from here today"
     near = item.replace("away", "off")
