@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesleuth.functions.checks import holds
+from framesleuth.session import materialise
 
 # Acceptance profiles (points) and selection limits.
 PROFILES = {"strict": (95, 90), "balanced": (94, 90), "space-saver": (90, 90)}
@@ -67,6 +68,75 @@ def pool_scores(scores: DataFrame, keys: Sequence[str], mean_floor: Column, p5_f
     )
 
 
+#: Widths of the bins that narrow real scores down, coarse to fine.
+SCORE_BINS = (1e-2, 1e-6, 1e-10)
+_EXACT = "decimal(28,10)"
+
+
+def pool_real_scores(scores: DataFrame, keys: Sequence[str], mean_floor: str, p5_floor: float, expected: DataFrame | None = None) -> DataFrame:
+    """Mean and exact nearest-rank 5th percentile of floating-point frame scores.
+
+    ``frames, invalid, score_sum, mean, p5, complete, passed`` per group.  A null,
+    NaN or infinite score, a listing of another length than ``expected`` (keys,
+    ``expected_frames``) and an empty one are incomplete: they have no mean or
+    percentile and never pass.  Sums are taken in decimals of ten places, so they
+    do not depend on the order of rows.  The rank is found in bins that keep the
+    order of scores, each a ten-thousandth of the one before; only rows of the
+    bin that holds the rank go on, so no group is sorted whole.
+    """
+    keys = list(keys)
+    exact = F.col("score").cast("double").try_cast(_EXACT)
+    real = F.col("score").cast("double")
+    good = real.isNotNull() & ~F.isnan(real) & (F.abs(real) < float("inf")) & exact.isNotNull()
+    rows = scores.select(*keys, F.when(good, real).alias("score"), F.when(good, exact).alias("_exact"))
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("score").isNull()).alias("invalid"), F.sum("_exact").alias("score_sum"))
+    totals = materialise(totals, "score-totals")
+    place = totals.select(*keys, F.greatest(F.lit(1), F.call_function("div", F.col("frames") + 19, F.lit(20))).alias("_rank"), F.lit(0).cast("long").alias("_before"))
+    left = rows.where("score IS NOT NULL").select(*keys, "score")
+    for width in SCORE_BINS:
+        binned = left.withColumn("_bin", F.floor(F.col("score") / width))
+        upto = Window.partitionBy(*keys).orderBy("_bin")
+        counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+        reached = counts.join(place, keys).where(F.col("_before") + F.col("_upto") >= F.col("_rank"))
+        chosen = reached.groupBy(*keys).agg(F.min("_bin").alias("_bin"), F.max("_rank").alias("_rank"), F.min(F.col("_before") + F.col("_upto") - F.col("_n")).alias("_before"))
+        place = materialise(chosen, "score-bins")
+        left = materialise(binned.join(place.select(*keys, "_bin"), [*keys, "_bin"]).select(*keys, "score"), "score-rows")
+        place = place.drop("_bin")
+    upto = Window.partitionBy(*keys).orderBy("score")
+    last = left.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto)).join(place, keys)
+    p5 = last.where(F.col("_before") + F.col("_upto") >= F.col("_rank")).groupBy(*keys).agg(F.min("score").alias("p5"))
+    pooled = totals.join(p5, keys, "left")
+    if expected is None:
+        complete = F.col("invalid") == 0
+    else:
+        pooled = expected.join(pooled, keys, "left")
+        complete = (F.col("frames") == F.col("expected_frames")) & (F.col("invalid") == 0)
+    complete = holds(complete & (F.col("frames") > 0))
+    passed = holds(complete & (F.col("score_sum") >= F.lit(mean_floor).cast(_EXACT) * F.col("frames")) & (F.col("p5") >= p5_floor))
+    shown = lambda value: F.when(complete, value)
+    return pooled.select(
+        *keys, F.coalesce("frames", F.lit(0)).cast("long").alias("frames"), F.coalesce("invalid", F.lit(0)).cast("long").alias("invalid"), shown(F.col("score_sum")).alias("score_sum"),
+        shown(F.col("score_sum").cast("double") / F.col("frames")).alias("mean"), shown(F.col("p5")).alias("p5"), complete.alias("complete"), passed.alias("passed"),
+    )
+
+
+def real_scorer_parity(left: DataFrame, right: DataFrame, keys: Sequence[str], mean_floor: str, p5_floor: float, tolerance: float = 0.0001) -> DataFrame:
+    """Two scorers agree when both score every frame, no frame differs by more than
+    ``tolerance`` and both reach the same verdict.  Frame numbers are unique inside a group."""
+    keys = list(keys)
+    a = left.select(*keys, "frame_no", F.col("score").alias("a"))
+    b = right.select(*keys, "frame_no", F.col("score").alias("b"))
+    gaps = a.join(b, [*keys, "frame_no"], "full_outer").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unpaired"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_difference")
+    )
+    verdict = lambda df, side: pool_real_scores(df, keys, mean_floor, p5_floor).select(*keys, F.col("passed").alias(f"{side}_passed"), F.col("complete").alias(f"{side}_complete"))
+    joined = gaps.join(verdict(left, "left"), keys, "left").join(verdict(right, "right"), keys, "left")
+    whole = F.col("left_complete") & F.col("right_complete") & (F.col("unpaired") == 0)
+    same = whole & (F.col("max_difference") <= tolerance) & (F.col("left_passed") == F.col("right_passed"))
+    flag = lambda c: holds(F.col(c))
+    return joined.select(*keys, "frames", "unpaired", F.when(holds(whole), F.col("max_difference")).alias("max_difference"), flag("left_passed").alias("left_passed"), flag("right_passed").alias("right_passed"), holds(same).alias("passed"))
+
+
 def scorer_parity(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: int, mean_floor: Column, p5_floor: Column) -> DataFrame:
     """Two scorers agree when no frame differs by more than ``tolerance`` and both
     reach the same verdict.  Frame numbers are unique inside a group."""

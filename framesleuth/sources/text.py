@@ -16,6 +16,7 @@ from framesleuth.functions.checks import holds
 from framesleuth.functions.names import MEDIA_EXTENSIONS, extension, file_name
 from framesleuth.operators import ordered
 from framesleuth.session import materialise
+from framesleuth.sources import json_arrays
 
 MISSING = ("N/A", "")
 
@@ -300,13 +301,44 @@ def frame_file_status(lines: DataFrame) -> DataFrame:
 
 
 def scene_records(spark: SparkSession, path: str) -> DataFrame:
-    """Scene list of metadata documents: position and sequence index."""
-    schema = "SceneInfo array<struct<SequenceFrameIndex:long>>, _bad string"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").json(path)
-    named = rows.select(F.col("_metadata.file_path").alias("file"), "SceneInfo", "_bad")
-    return named.select("file", F.posexplode_outer("SceneInfo").alias("position", "scene"), F.when(F.col("SceneInfo").isNull(), "missing scene list").alias("reason")).select(
-        "file", (F.col("position") + 1).cast("long").alias("ordinal"), F.col("scene.SequenceFrameIndex").alias("frame_index"), "reason"
-    )
+    """Scene list of metadata documents of any layout and size: position and sequence index.
+
+    A file without the list has one row with a reason; so has one whose list is broken.
+    """
+    pieces = materialise(json_arrays.array_pieces(spark, path, "SceneInfo"), "scenes")
+    scenes = json_arrays.records_of(pieces).select("file", "ordinal", F.from_json("record", "SequenceFrameIndex long")["SequenceFrameIndex"].alias("frame_index"), F.lit(None).cast("string").alias("reason"))
+    status = json_arrays.array_status(pieces, "SceneInfo").where("reason IS NOT NULL")
+    missing = status.select("file", F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("frame_index"), F.when(F.col("reason") == "invalid header", "missing scene list").otherwise(F.col("reason")).alias("reason"))
+    return scenes.unionByName(missing)
+
+
+def frame_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records ``file, ordinal, record`` of ``{"frames": [...]}`` files in any layout, and ``file, records, reason`` of each file.
+
+    Repeated keys keep every value as a list; that parse is the only Python step
+    and works on single records.  Records that cannot be parsed have a null ``record``.
+    """
+    pieces = materialise(json_arrays.array_pieces(spark, path, "frames"), "frames")
+    records = json_arrays.records_of(pieces).select("file", F.col("ordinal").alias("line_no"), "record").mapInPandas(_repeated_keys, "file string, line_no long, record string")
+    return records.withColumnRenamed("line_no", "ordinal"), json_arrays.array_status(pieces, "frames")
+
+
+def score_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, frame_no, score`` of score files in any layout; a frame without a score has a null one.
+
+    Files that are not one whole list of frames have a single null score, so they never pass.
+    """
+    pieces = materialise(json_arrays.array_pieces(spark, path, "frames"), "scores")
+    score = F.from_json("record", "metrics struct<vmaf:double>", {"mode": "PERMISSIVE"})["metrics"]["vmaf"]
+    status = json_arrays.array_status(pieces, "frames").where("reason IS NOT NULL")
+    whole = json_arrays.records_of(pieces).join(status, "file", "left_anti").select("file", F.col("ordinal").alias("frame_no"), score.alias("score"))
+    return whole.unionByName(status.select("file", F.lit(1).cast("long").alias("frame_no"), F.lit(None).cast("double").alias("score")))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of files with one JSON document a line; lines that are none become NULL rows marked ``malformed``."""
+    rows = spark.read.schema(f"{schema}, _malformed string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").json(path)
+    return rows.withColumn("malformed", F.col("_malformed").isNotNull()).drop("_malformed")
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
