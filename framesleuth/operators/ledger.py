@@ -333,35 +333,37 @@ def uncovered_directories(untracked: DataFrame, linked: DataFrame) -> DataFrame:
     return untracked.join(covered.select("directory").distinct(), "directory", "left_anti")
 
 
-def owned_processes(processes: DataFrame, table: DataFrame, owner: int, namespace: str) -> DataFrame:
+def owned_processes(processes: DataFrame, table: DataFrame, owner: int, namespace: str, keys: Sequence[str] = ()) -> DataFrame:
     """Does each process descend from the owner?  ``owned`` is NULL when unknown.
 
     ``processes``: pid, namespace, start_ticks; ``table``: the process table with
-    pid, parent, start_ticks.  Parent links are doubled every round, so a chain
-    of n needs log2(n) joins and a cycle ends after log2(table size).
+    pid, parent, start_ticks.  ``keys`` name columns of both that tell tables apart
+    (a host, a time).  Parent links are doubled every round, so a chain of n needs
+    log2(n) joins and a cycle ends after log2(table size).
     """
+    keys = list(keys)
     # A link back to the process itself leads nowhere, so it ends the chain.
     onward = lambda link: F.when(link == F.col("pid"), 0).otherwise(link)
-    current = materialise(table.select("pid", onward(F.col("parent")).alias("jump"), (F.col("pid") == owner).alias("hit"), F.lit(False).alias("lost")), "jumps")
+    current = materialise(table.select(*keys, "pid", onward(F.col("parent")).alias("jump"), (F.col("pid") == owner).alias("hit"), F.lit(False).alias("lost")), "jumps")
     n = max(2, current.count())
     for _ in range(math.ceil(math.log2(n)) + 1):
-        ahead = current.select(F.col("pid").alias("jump"), F.col("jump").alias("_next"), F.col("hit").alias("_hit"), F.col("lost").alias("_lost"), F.lit(True).alias("_known"))
+        ahead = current.select(*keys, F.col("pid").alias("jump"), F.col("jump").alias("_next"), F.col("hit").alias("_hit"), F.col("lost").alias("_lost"), F.lit(True).alias("_known"))
         open_link = ~F.col("hit") & ~F.col("lost") & (F.col("jump") != 0)
         # Settled rows carry a NULL key, so they neither match nor pile up on one.
-        moved = current.withColumn("jump", F.when(open_link, F.col("jump"))).join(ahead, "jump", "left")
+        moved = current.withColumn("jump", F.when(open_link, F.col("jump"))).join(ahead, [*keys, "jump"], "left")
         live = F.col("jump").isNotNull()
         # A link to the owner itself counts even if the owner's record is gone.
         found = F.col("hit") | holds(F.col("jump") == owner) | F.coalesce("_hit", F.lit(False))
         current = materialise(
             moved.select(
-                "pid", onward(F.when(live & F.col("_known").isNotNull(), F.col("_next")).otherwise(0)).alias("jump"), found.alias("hit"),
+                *keys, "pid", onward(F.when(live & F.col("_known").isNotNull(), F.col("_next")).otherwise(0)).alias("jump"), found.alias("hit"),
                 (~found & (F.col("lost") | (live & F.col("_known").isNull()) | F.coalesce("_lost", F.lit(False)))).alias("lost"),
             ), "jumps",
         )
         if current.where(~F.col("hit") & ~F.col("lost") & (F.col("jump") != 0)).isEmpty():
             break
-    chains = current.select("pid", "hit", "lost").join(table.select("pid", F.col("start_ticks").alias("_ticks")), "pid")
-    rows = processes.join(chains, "pid", "left")
+    chains = current.select(*keys, "pid", "hit", "lost").join(table.select(*keys, "pid", F.col("start_ticks").alias("_ticks")), [*keys, "pid"])
+    rows = processes.join(chains, [*keys, "pid"], "left")
     owned = (
         F.when(F.col("namespace").isNull(), None).when(F.col("namespace") != namespace, False)
         .when(F.col("hit").isNull() | ~F.col("_ticks").eqNullSafe(F.col("start_ticks")), None).when(F.col("hit"), True).when(F.col("lost"), None).otherwise(False)

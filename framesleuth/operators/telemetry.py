@@ -111,6 +111,59 @@ def allocated_cpu(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("percent", percent).drop("before")
 
 
+def latest_before(points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark: str, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+    """``points`` with ``mark``: the latest time of ``marks`` at or before ``at``; null before the first.
+
+    Both are merged into one order and the last mark so far is carried, so a key
+    of any size is spread over many tasks and no pairs are made.
+    """
+    keys = list(keys)
+    held = F.struct(*(F.col(f"`{c}`") for c in points.columns))
+    both = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), held.alias("_row"))
+    both = both.unionByName(marks.select(*keys, F.col(mark).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(dict(both.dtypes)["_row"]).alias("_row")).distinct())
+    placed = ordered.arrange(both, keys, ["_at", "_kind", F.xxhash64("_row")])
+    merged = ordered.scan(placed, keys, ordered.PLACE, block_rows, _mark=ordered.last_known(F.when(F.col("_kind") == 0, F.col("_at"))))
+    return merged.where("_kind = 1").select("_row.*", F.col("_mark").alias(mark))
+
+
+def gpu_evidence(samples: DataFrame, snapshots: DataFrame, processes: DataFrame, keys: Sequence[str], fresh_us: int = FRESH_US, busy_percent: float = 3.0, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+    """What a yielding policy may know at each sample: ``usable``, ``external``, ``names`` and ``reason``.
+
+    ``samples``: keys, ``at_us``, ``wanted`` (ids of the GPUs in use).  ``snapshots``:
+    keys, ``updated_us``, ``complete``, ``gpus`` (ids seen).  ``processes``: keys,
+    ``updated_us``, ``gpu``, ``name``, ``owned`` and the percentages ``sm``, ``enc``,
+    ``dec`` (null if not told).  A sample is judged by the latest snapshot.  It is
+    unusable when that is missing, incomplete or older than ``fresh_us``, when no
+    GPU is wanted or one was not seen, when the owner of a process on a wanted
+    GPU is unknown, or when a foreign one there tells no usage.  A foreign
+    process at ``busy_percent`` or more of any engine makes it external.
+    """
+    keys = list(keys)
+    used = F.greatest("sm", "enc", "dec")  # ignores nulls
+    sane = used.isNotNull() & (used <= 100) & (F.least("sm", "enc", "dec") >= 0)
+    foreign = holds(~F.col("owned"))
+    busy = foreign & holds(used >= busy_percent)
+    # One row for each GPU of a snapshot, however many processes it runs.
+    load = processes.groupBy(*keys, "updated_us", "gpu").agg(
+        F.max(F.col("owned").isNull()).alias("unknown"), F.max(foreign & ~holds(sane)).alias("untold"), F.max(busy).alias("busy"), F.collect_set(F.when(busy, F.col("name"))).alias("names")
+    )
+    rows = latest_before(samples.withColumn("_sample", F.monotonically_increasing_id()), snapshots, keys, "at_us", "updated_us", block_rows)
+    rows = materialise(rows.join(snapshots.select(*keys, "updated_us", "complete", "gpus"), [*keys, "updated_us"], "left"), "gpu-samples")
+    per_gpu = rows.select(*keys, "updated_us", "_sample", F.explode("wanted").alias("gpu")).distinct().join(load, [*keys, "updated_us", "gpu"])
+    flag = lambda c: F.max(c).alias(c)
+    told = per_gpu.groupBy("_sample").agg(flag("unknown"), flag("untold"), flag("busy"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    age = F.col("at_us") - F.col("updated_us")
+    reason = first_failure([
+        (F.col("updated_us").isNotNull(), "no snapshot"), (F.col("complete"), "snapshot is incomplete"), ((age >= 0) & (age <= fresh_us), "snapshot is stale"),
+        ((F.size("wanted") > 0) & (F.size(F.array_except("wanted", "gpus")) == 0), "a wanted GPU was not seen"),
+        (~F.coalesce("unknown", F.lit(False)), "owner of a process is unknown"), (~F.coalesce("untold", F.lit(False)), "usage of a process is unknown"),
+    ])
+    out = rows.join(told, "_sample", "left").withColumn("reason", reason).withColumn("usable", F.col("reason").isNull())
+    external = F.col("usable") & F.coalesce("busy", F.lit(False))
+    names = F.when(external, F.array_join(F.array_sort("names"), ", "))
+    return out.select(*[c for c in samples.columns], "updated_us", "usable", external.alias("external"), names.alias("names"), "reason")
+
+
 def gpu_yield(samples: DataFrame, keys: Sequence[str], sustained_us: int = 5 * SECOND, cooldown_us: int = 60 * SECOND, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """State of each sample: unavailable, busy, yielding, cooldown or available.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesleuth.plans import comparison, evidence, ledgers, libraries, live, scores, selection, telemetries, timelines  # noqa: F401
+from framesleuth.plans import comparison, evidence, gpu, ledgers, libraries, live, scores, selection, telemetries, timelines  # noqa: F401
 from framesleuth.plans.registry import ORACLES, QUERIES
 
 

@@ -118,6 +118,20 @@ def process_table(lines: DataFrame) -> DataFrame:
     )
 
 
+def gpu_ids(lines: DataFrame) -> DataFrame:
+    """``file, gpu, gpu_id`` of listings with lines ``index, id``."""
+    cell = lambda k: F.trim(F.get(F.split("line", ",", 2), F.lit(k)))
+    return lines.select("file", cell(0).try_cast("int").alias("gpu"), cell(1).alias("gpu_id")).where("gpu IS NOT NULL AND gpu_id <> ''")
+
+
+def process_verdict(lines: DataFrame) -> DataFrame:
+    """``file, reason`` of every process listing: one without a header line cannot be read."""
+    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w != "")
+    header = (F.get(words, F.lit(0)) == "#") & (F.get(words, F.lit(1)) == "gpu") & F.array_contains(words, "pid")
+    found = lines.groupBy("file").agg(F.max(holds(header)).alias("headed"))
+    return found.select("file", F.when(~F.col("headed"), "missing header").alias("reason"))
+
+
 # Counters of the cache listing that make up evictable memory.
 CACHE_KEYS = ("size", "c_min", "mru_evictable_data", "mru_evictable_metadata", "mfu_evictable_data", "mfu_evictable_metadata", "arc_need_free")
 
