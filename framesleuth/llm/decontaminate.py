@@ -20,8 +20,6 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Shingles of the benchmark up to which they are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
-#: Rows with a shingle of the benchmark up to which their keys are broadcast, so that other texts stay where they are.
-BROADCAST_ROWS = 1_000_000
 
 _WORDS = r"transform(filter(split(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> ''), w -> xxhash64(w))"
 
@@ -84,9 +82,7 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFram
         return docs.sparkSession.createDataFrame([], "row_key long, doc_id long, item_id long, n_windows long, similarity double")
     hits, _ = scratch.write(hits.distinct(), "hits")
 
-    keys, _ = scratch.write(hits.select("row_key").distinct(), "keys")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = scratch.few(hits.select("row_key").distinct(), "keys")
     texts = keyed.join(keys, "row_key").dropDuplicates(["row_key"]).select("row_key", "doc_id", F.expr(_WORDS).alias("words"))
     texts, _ = scratch.write(texts, "texts")
     cut = hits.join(texts, "row_key").select("row_key", "doc_id", "k", "n", "start", F.expr("slice(words, start + 1, n)").alias("words"))
@@ -113,9 +109,7 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFram
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage."""
-    leaks, _ = scratch.write(find_leaks(docs, benchmark, percent).select("row_key").distinct(), "leaks")
-    if leaks.count() <= BROADCAST_ROWS:
-        leaks = F.broadcast(leaks)
+    leaks = scratch.few(find_leaks(docs, benchmark, percent).select("row_key").distinct(), "leaks")
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     return docs.join(leaks, key == leaks["row_key"], "left_anti")
 

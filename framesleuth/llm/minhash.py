@@ -101,7 +101,7 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = scratch.few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets, _ = scratch.write(sets_of(texts.join(wanted, "doc_id"), width), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
@@ -219,7 +219,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
     rest, _ = scratch.write(rest, "rest")
     open_keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_rows, _ = scratch.write(rest.join(open_keys, "key"), "open")
-    sets, _ = scratch.write(sets_of(texts.join(open_rows.select("doc_id").distinct(), "doc_id"), width).dropDuplicates(["doc_id"]), "sets")
+    sets, _ = scratch.write(sets_of(texts.join(scratch.few(open_rows.select("doc_id").distinct(), "wanted"), "doc_id"), width).dropDuplicates(["doc_id"]), "sets")
     more, _ = scratch.write(_across(open_rows.join(sets, "doc_id"), percent), "links")
     final, _ = scratch.write(components(links.unionByName(more)), "components")
 

@@ -9,6 +9,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framesleuth.session import shared_dir
 
@@ -49,6 +50,16 @@ def write(df: DataFrame, label: str, scope: list[str] | None = None) -> tuple[Da
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Keys up to which ``few`` has a table broadcast.
+FEW = 1_000_000
+
+
+def few(keys: DataFrame, label: str) -> DataFrame:
+    """Write a table of keys; up to ``FEW`` of them are broadcast when joined, more are shuffled."""
+    keys, _ = write(keys, label)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more."""
     for path in paths:
