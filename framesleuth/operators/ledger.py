@@ -395,9 +395,12 @@ def time_report(records: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Dat
     """Stage time shares per job, refused where the records cannot be combined.
 
     ``records``: job, record, started, finished (ms), schema, seconds
-    map<category, ms>.  Refused when a record is incomplete, older than schema 3,
-    overlaps the previous one, or measures more than its window plus 2 s.
+    map<category, ms> and, for records still running, ``updated``, which stands
+    for the end they do not have.  Refused when a record is incomplete, older than
+    schema 3, overlaps the previous one, or measures more than its window plus 2 s.
     """
+    if "updated" in records.columns:
+        records = records.withColumn("finished", F.coalesce("finished", "updated")).drop("updated")
     spent = F.aggregate(F.map_values("seconds"), F.lit(0).cast("long"), lambda acc, x: acc + x)
     shaped = records.withColumn("_spent", spent)
     placed = ordered.number_rows(shaped.withColumn("_s", F.coalesce("started", F.lit(0))), ["job"], ["_s", "record"])
@@ -464,6 +467,33 @@ def latest_report(reports: DataFrame, reviews: DataFrame) -> DataFrame:
     return rows.select("directory", "name", "finished", approved.alias("approved"), state.alias("state"), (~approved & F.col("status").contains("awaiting")).alias("awaiting_playback"))
 
 
+#: States of a status file without a report, and what they say: fixed values.
+STATUS_STATES = {"validated-copy-awaiting-playback": "verified-awaiting-playback", "stopped-original-retained": "failed", "full-output-rejected-insufficient-savings": "skipped"}
+
+
+def latest_outcome(reports: DataFrame, reviews: DataFrame, statuses: DataFrame) -> DataFrame:
+    """As ``latest_report``, with the file's time where a report has no ``finished`` and
+    the status file where a directory has no report.
+
+    ``reports`` has ``mtime`` too; ``statuses``: directory, state, action, reason, error.
+    A status of completed trials is ``skipped`` if it keeps the original, else ``completed``.
+    """
+    dated = reports.withColumn("finished", F.coalesce("finished", "mtime")).drop("mtime")
+    found = latest_report(dated, reviews).withColumn("detail", F.lit(None).cast("string"))
+    state = F.when(F.col("state") == "trials-completed", F.when(holds(F.col("action") == "keep_original"), "skipped").otherwise("completed"))
+    for name, meaning in STATUS_STATES.items():
+        state = state.when(F.col("state") == name, meaning)
+    stopped = F.col("state").isin("stopped-original-retained", "full-output-rejected-insufficient-savings")
+    detail = F.when(F.col("state") == "trials-completed", F.col("reason")).when(stopped, F.coalesce("error", "state"))
+    rest = statuses.join(dated.where("finished IS NOT NULL").select("directory").distinct(), "directory", "left_anti")
+    none = F.lit(None)
+    rest = rest.select(
+        "directory", none.cast("string").alias("name"), none.cast("long").alias("finished"), F.lit(False).alias("approved"), state.alias("state"),
+        (state == "verified-awaiting-playback").alias("awaiting_playback"), detail.alias("detail"),
+    )
+    return found.unionByName(rest.where("state IS NOT NULL"))
+
+
 # Orders and pages ----------------------------------------------------------
 
 def waiting_order(jobs: DataFrame, order: str = "added") -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from framesleuth.operators import timeline
+from framesleuth.operators import ordered, timeline
 from framesleuth.plans.registry import plain, query
 from framesleuth.plans.tables import ATTEMPT_SQL, FILE_SQL, attempts, file_packets, table
 from framesleuth.session import shared_dir
@@ -251,6 +251,28 @@ def split_tracks(spark, folder):
     return plain(back.groupBy("track").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes")))
 
 
+@query(
+    "activity_export",
+    f"""WITH {ATTEMPT_SQL}, r AS (SELECT id, '"' || source || '","' || CASE id % 3 WHEN 0 THEN 'Successful replacement' WHEN 1 THEN 'Error / interrupted' ELSE 'Queued / running' END || '","' || CASE id % 3 WHEN 0 THEN 'replaced' WHEN 1 THEN 'failed' ELSE 'running' END || '","'
+      || CASE WHEN id % 4 = 0 THEN 'Not recorded' ELSE strftime(make_timestamp(1704067200000000 + id * 61000000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END || '","' || replace(reason, '"', '""') || '","' || coalesce(CAST(size AS VARCHAR), '') || '","' || id * 7 || '","' || CASE WHEN id % 3 = 0 THEN CAST(id * 3 AS VARCHAR) ELSE '' END || '","' || id || '","1.2"' AS value,
+      CASE WHEN id % 4 = 0 THEN 0 ELSE 1704067200000000 + id * 61000000 END AS ended FROM att)
+    SELECT CAST(row_number() OVER (ORDER BY ended DESC, CAST(id AS VARCHAR)) AS BIGINT) + 1 AS line_no, value FROM r
+    UNION ALL SELECT 1, '"File","Activity","State","Outcome date (UTC)","Reason","Original bytes","Output bytes","Confirmed replacement reduction bytes","Request ID","App version"'""",
+)
+def activity_export(spark, folder):
+    """The report as written, with its place in the order of the part files; read back by its CRLF line ends."""
+    a, i = attempts(spark, folder), F.col("id")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (i % 3 + 1).cast("int"))
+    rows = a.select(
+        "source", pick("replaced", "errors", "active").alias("category"), pick("replaced", "failed", "running").alias("state"), F.when(i % 4 == 0, 0).otherwise(1704067200000000 + i * 61000000).cast("long").alias("ended_us"),
+        "reason", F.col("size").alias("source_bytes"), (i * 7).alias("output_bytes"), (i * 3).alias("saved_bytes"), "id", F.lit("1.2").alias("app_version"),
+    )
+    path = _fresh(spark, "activity")
+    sinks.write_activity(rows, path)
+    back = spark.read.option("lineSep", "\r\n").text(path).select(F.lit("report").alias("file"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    return plain(ordered.number_rows(back, ["file"], ["part", "block", "row"], "line_no").select("line_no", "value"))
+
+
 @query(
     "csv_export",
     f"""WITH {ATTEMPT_SQL} SELECT '"' || CASE WHEN id % 5 = 0 THEN '''=SUM(' || id || ')' ELSE source END || '","' || replace(reason || ' "q"', '"', '""') || '","' || coalesce(CAST(size AS VARCHAR), '') || '"' AS value FROM att""",

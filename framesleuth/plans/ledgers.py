@@ -277,8 +277,8 @@ def choice_report(spark, folder):
     return plain(rows.withColumn("name", option_name(F.col("codec"), F.col("encoder"), settings)), "report", "trial", "selected", "outcome", "savings_bp", "encode_ms", "name")
 
 
-_RECORDS = f"""{PACKET_SQL}, rec AS (SELECT track AS job, ordinal AS record, pts // 1000 AS started, pts // 1000 + CASE WHEN event_id % 307 = 0 THEN 864000000 ELSE 30000 END AS finished, CASE WHEN event_id % 401 = 0 THEN 2 ELSE 3 END AS schema,
-    level % 20000 AS enc, 1000 + event_id % 7 AS val, CASE WHEN event_id % 211 = 0 THEN 40000 ELSE 5 END AS wait FROM packet WHERE event_id % 3 = 0),
+_RECORDS = f"""{PACKET_SQL}, rec AS (SELECT track AS job, ordinal AS record, pts // 1000 AS started, pts // 1000 + CASE WHEN event_id % 307 = 0 THEN 864000000 WHEN dur IS NULL THEN 30000 ELSE least(30000, dur // 1000) END AS finished, CASE WHEN event_id % 401 = 0 THEN 2 ELSE 3 END AS schema,
+    level % 20000 AS enc, 1000 + event_id % 7 AS val, CASE WHEN event_id % 211 = 0 THEN 40000 ELSE 5 END AS wait FROM packet),
   o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY started, record) AS n, lag(finished) OVER (PARTITION BY job ORDER BY started, record) AS prev FROM rec),
   v AS (SELECT job, count(*) AS records, CAST(sum(enc + val + wait) AS BIGINT) AS total, min(CASE WHEN coalesce(started < prev, false) OR schema < 3 THEN n * 2 WHEN enc + val + wait > finished - started + 2000 THEN n * 2 + 1 END) AS bad FROM o GROUP BY job),
   s AS (SELECT job, bucket, CAST(sum(ms) AS BIGINT) AS ms FROM (SELECT job, 'encoding' AS bucket, enc AS ms FROM rec UNION ALL SELECT job, 'validation', val FROM rec UNION ALL SELECT job, 'waiting', wait FROM rec) GROUP BY 1, 2)"""
@@ -290,13 +290,15 @@ _RECORDS = f"""{PACKET_SQL}, rec AS (SELECT track AS job, ordinal AS record, pts
     UNION ALL SELECT job, records, '', -1, -1, CASE WHEN bad % 2 = 0 THEN 'records are incomplete or overlap' ELSE 'recorded times exceed their window' END FROM v WHERE bad IS NOT NULL""",
 )
 def stage_time_report(spark, folder):
-    p = packets(spark, folder).where(F.col("event_id") % 3 == 0)
+    """The last record of a job is still running: it has no end, only its last update."""
+    p = packets(spark, folder)
     start, e = F.expr("pts div 1000"), F.col("event_id")
+    length = F.when(e % 307 == 0, 864000000).when(F.col("dur").isNull(), 30000).otherwise(F.least(F.lit(30000), F.expr("dur div 1000")))
     seconds = F.create_map(
         F.lit("encoding"), F.col("level") % 20000, F.lit("metadata"), 1000 + e % 7, F.lit("validation_wait"), F.when(e % 211 == 0, 40000).otherwise(5).cast("long")
     )
     records = p.select(
-        F.col("track").alias("job"), F.col("ordinal").alias("record"), start.alias("started"), (start + F.when(e % 307 == 0, 864000000).otherwise(30000)).alias("finished"),
+        F.col("track").alias("job"), F.col("ordinal").alias("record"), start.alias("started"), F.when(F.col("dur").isNotNull(), start + length).alias("finished"), (start + length).alias("updated"),
         F.when(e % 401 == 0, 2).otherwise(3).alias("schema"), seconds.alias("seconds"),
     )
     return plain(op.time_report(records))
@@ -333,6 +335,31 @@ def throughput_gain(spark, folder):
     return plain(gains.withColumn("gain_milli", F.floor(F.col("gain") * 1000).cast("long")), "family", "paired", "single", "gain_milli", "mode")
 
 
+@query(
+    "latest_outcome",
+    """WITH o AS (SELECT o_custkey AS directory, 'revalidation-' || o_orderkey AS name, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE epoch_us(o_orderdate) END AS finished, epoch_us(o_orderdate) + 5 AS mtime, CASE o_orderkey % 3 WHEN 0 THEN 'verified-awaiting-playback' WHEN 1 THEN 'verified' ELSE 'failed' END AS status FROM orders),
+    r AS (SELECT directory, name, coalesce(finished, mtime) AS finished, status FROM o WHERE directory % 5 <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY finished DESC, name DESC) AS rn FROM r), a AS (SELECT directory, max(name) AS v FROM r GROUP BY 1),
+    j AS (SELECT n.*, coalesce(directory % 2 = 0 AND v = name AND status LIKE 'verified%', false) AS approved FROM n JOIN a USING (directory) WHERE rn = 1),
+    c AS (SELECT c_custkey AS directory, c_custkey % 6 AS k FROM customer WHERE c_custkey NOT IN (SELECT directory FROM r))
+    SELECT directory, name, finished, approved, CASE WHEN approved THEN 'playback-approved' WHEN status LIKE 'verified%' THEN 'verified' ELSE status END AS state, NOT approved AND status LIKE '%awaiting%' AS awaiting_playback, '' AS detail FROM j
+    UNION ALL SELECT directory, '', -1, false, CASE k WHEN 0 THEN 'skipped' WHEN 1 THEN 'completed' WHEN 2 THEN 'verified-awaiting-playback' WHEN 3 THEN 'failed' ELSE 'skipped' END, k = 2,
+      CASE k WHEN 0 THEN 'why ' || directory WHEN 1 THEN 'why ' || directory WHEN 3 THEN 'broke' WHEN 4 THEN 'full-output-rejected-insufficient-savings' ELSE '' END FROM c WHERE k < 5""",
+)
+def latest_outcome(spark, folder):
+    o = table(spark, folder, "orders")
+    status = F.when(F.col("o_orderkey") % 3 == 0, "verified-awaiting-playback").when(F.col("o_orderkey") % 3 == 1, "verified").otherwise("failed")
+    at = micros(F.col("o_orderdate"))
+    r = o.where(F.col("o_custkey") % 5 != 0).select(F.col("o_custkey").alias("directory"), F.concat(F.lit("revalidation-"), F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 4 != 0, at).alias("finished"), (at + 5).alias("mtime"), status.alias("status"))
+    reviews = r.groupBy("directory").agg(F.max("name").alias("validation_report")).withColumn("approved", F.col("directory") % 2 == 0)
+    k = F.col("c_custkey") % 6
+    state = F.when(k < 2, "trials-completed").when(k == 2, "validated-copy-awaiting-playback").when(k == 3, "stopped-original-retained").when(k == 4, "full-output-rejected-insufficient-savings").otherwise("running")
+    statuses = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("directory"), state.alias("state"), F.when(k == 0, "keep_original").alias("action"), F.concat(F.lit("why "), F.col("c_custkey").cast("string")).alias("reason"), F.when(k == 3, "broke").alias("error"),
+    )
+    return plain(op.latest_outcome(r, reviews, statuses))
+
+
 @query(
     "latest_report",
     """WITH r AS (SELECT o_custkey AS directory, 'revalidation-' || o_orderkey AS name, epoch_us(o_orderdate) AS finished, CASE o_orderkey % 3 WHEN 0 THEN 'verified-awaiting-playback' WHEN 1 THEN 'verified' ELSE 'failed' END AS status FROM orders),

@@ -24,6 +24,36 @@ def write_report(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
     rows.select(cells.alias("value")).write.text(path)
 
 
+#: Header of the activity report and words for each outcome: fixed values.
+ACTIVITY_COLUMNS = ("File", "Activity", "State", "Outcome date (UTC)", "Reason", "Original bytes", "Output bytes", "Confirmed replacement reduction bytes", "Request ID", "App version")
+ACTIVITY_LABELS = {
+    "replaced": "Successful replacement", "copies": "Validated copy \u2014 original retained", "benefit": "Unchanged \u2014 size or quality checks not met", "errors": "Error / interrupted",
+    "cancelled": "Cancelled", "attention": "Needs attention", "other": "Kept / inspected / tested", "active": "Queued / running",
+}
+
+
+def activity_lines(rows: DataFrame) -> DataFrame:
+    """``place, value``: the ten columns of the activity report, header first, newest outcome first.
+
+    ``rows``: source, category, state, ended_us (0 if unknown), reason, source_bytes,
+    output_bytes, saved_bytes, id, app_version.  The reduction is shown for
+    replaced files only.
+    """
+    label = F.coalesce(*[F.when(F.col("category") == k, v) for k, v in ACTIVITY_LABELS.items()])
+    date = F.when(F.col("ended_us") > 0, F.date_format(F.timestamp_micros("ended_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise("Not recorded")
+    saved = F.when(F.col("state") == "replaced", F.col("saved_bytes"))
+    cells = [F.col("source"), label, F.col("state"), date, F.col("reason"), F.col("source_bytes"), F.col("output_bytes"), saved, F.col("id"), F.col("app_version")]
+    body = rows.select(F.struct(F.lit(1).alias("part"), (-F.coalesce("ended_us", F.lit(0))).alias("ended"), F.col("id").cast("string").alias("id")).alias("place"), F.concat_ws(",", *map(csv_cell, cells)).alias("value"))
+    head = rows.sparkSession.range(1).select(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("ended"), F.lit("").alias("id")).alias("place"), F.concat_ws(",", *(csv_cell(F.lit(c)) for c in ACTIVITY_COLUMNS)).alias("value"))
+    return head.unionByName(body)
+
+
+def write_activity(rows: DataFrame, path: str) -> None:
+    """Activity report as CSV with CRLF line ends; parts follow the order of the report, the header in the first."""
+    lines = activity_lines(rows)
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("value").write.option("lineSep", "\r\n").text(path)
+
+
 def timestamp_lines(frames: DataFrame, keys: Sequence[str], include_end: bool = False) -> DataFrame:
     """Presentation times in milliseconds with nine decimals, in order.
 
