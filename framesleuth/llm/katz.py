@@ -24,8 +24,9 @@ WORD_ENTRIES, PAIR_ENTRIES = 500_000, 1_500_000
 CUTOFF = 5
 #: Part of a count that every history keeps for words not seen after it, and the words for unknown ones.
 SPARE = 0.1
-RANK_BITS = 20
 START, END, FIRST = 0, 1, 2
+#: Ids have 32 bits, so that a pair is one number.
+MOST_WORDS = (1 << 32) - FIRST
 
 
 def discounts(counts, cutoff: int = CUTOFF) -> list[float]:
@@ -138,14 +139,15 @@ def _word_bucket(words, buckets: int):
     return ((words >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype("i8")
 
 
-WORD_SCHEMA = "lot long, bucket long, ids binary, counts binary, known long, tokens long, seen array<long>"
+WORD_SCHEMA = "lot long, bucket long, ids binary, counts binary, known long, tokens long, seen array<long>, size long"
 
 
 def count_words(lots: DataFrame, buckets: int) -> DataFrame:
     """The word table and the answers to the lots, by bucket.
 
-    A row with a lot gives ids and counts of that lot's words in the bucket; the
-    row without one is the bucket's part of the table, with the words' hashes.
+    A row with a lot gives ranks in the bucket and counts of that lot's words;
+    the row without one is the bucket's part of the table, with the words' hashes
+    and their number.  A word's id is its rank behind all earlier buckets.
     """
 
     def send(batches):
@@ -169,19 +171,17 @@ def count_words(lots: DataFrame, buckets: int) -> DataFrame:
         rows = rows.sort_values("lot")
         held = [_ints(x, "<u8") for x in rows["words"]]
         words, places = np.unique(np.concatenate(held), return_inverse=True)
-        if len(words) >> RANK_BITS or (key[0] + 1) << RANK_BITS >= 1 << 32:
-            raise ValueError("the vocabulary is too large for 32-bit ids")
         total = np.bincount(places, weights=np.concatenate([_ints(x) for x in rows["counts"]]), minlength=len(words)).astype("u8")
-        ids = (np.arange(len(words)) + (key[0] << RANK_BITS) + FIRST).astype("<u4")
+        ids = np.arange(len(words)).astype("<u4")
         out, at = [], 0
         for lot, x in zip(rows["lot"], held):
             mine = places[at : at + len(x)]
             at += len(x)
             # A lot's words are in the order of their hashes, and so are the ids.
-            out.append((lot, key[0], _squeeze(np.diff(ids[mine], prepend=np.uint32(0))), _squeeze(total[mine].astype("<u4")), None, None, None))
+            out.append((lot, key[0], _squeeze(np.diff(ids[mine], prepend=np.uint32(0))), _squeeze(total[mine].astype("<u4")), None, None, None, None))
         seen = np.bincount(np.minimum(total, CUTOFF + 2).astype("i8"), minlength=CUTOFF + 3)[: CUTOFF + 2]
-        out.append((None, key[0], _squeeze(words), _squeeze(total.astype("<u4")), int((total > 0).sum()), int(total.sum()), seen.tolist()))
-        return pd.DataFrame(out, columns=["lot", "bucket", "ids", "counts", "known", "tokens", "seen"]).astype({"lot": "Int64", "known": "Int64", "tokens": "Int64"})
+        out.append((None, key[0], _squeeze(words), _squeeze(total.astype("<u4")), int((total > 0).sum()), int(total.sum()), seen.tolist(), len(words)))
+        return pd.DataFrame(out, columns=["lot", "bucket", "ids", "counts", "known", "tokens", "seen", "size"]).astype({"lot": "Int64", "known": "Int64", "tokens": "Int64", "size": "Int64"})
 
     sent = lots.select("lot", "words", "counts").mapInArrow(send, "bucket long, lot long, words binary, counts binary")
     return sent.groupBy("bucket").applyInPandas(count, WORD_SCHEMA)
@@ -190,13 +190,15 @@ def count_words(lots: DataFrame, buckets: int) -> DataFrame:
 class Lot:
     """A lot with the ids and counts of its words, and its distinct pairs in bucket order."""
 
-    def __init__(self, row, answers, ends: int, buckets: int, share: float):
+    def __init__(self, row, answers, ends: int, buckets: int, share: float, before):
         import numpy as np
 
         from framesleuth.llm.shingles import mix
 
         answers = answers.sort_values("bucket")  # buckets are ranges of the words' hashes, so this is the words' order
-        both = [np.concatenate([f(_ints(_unsqueeze(x))) for x in answers[c]]) if len(answers) else np.zeros(0, "u4") for c, f in (("ids", np.cumsum), ("counts", np.asarray))]
+        ranks = [np.cumsum(_ints(_unsqueeze(x))).astype("i8") + before[b] for b, x in zip(answers["bucket"].astype("i8"), answers["ids"])]
+        counts = [_ints(_unsqueeze(x)) for x in answers["counts"]]
+        both = [np.concatenate(x) if len(answers) else np.zeros(0, "u4") for x in (ranks, counts)]
         n = len(both[0])
         ids, self.counts = np.concatenate([both[0], [START, END]]).astype("u8"), np.concatenate([both[1], [ends, ends]]).astype("i8")
         sizes = np.asarray(row["sizes"]).astype("i8")
@@ -243,7 +245,7 @@ def _unpack(data: bytes):
 PAIR_SCHEMA = "lot long, bucket long, found binary, asked binary, part binary, seen array<long>"
 
 
-def count_pairs(lots: DataFrame, words: DataFrame, buckets: int, ends: int, share: float) -> DataFrame:
+def count_pairs(lots: DataFrame, words: DataFrame, buckets: int, ends: int, share: float, before) -> DataFrame:
     """The pair table and the answers to the lots, by bucket, as for words."""
 
     def send(key, rows, answers):
@@ -251,7 +253,7 @@ def count_pairs(lots: DataFrame, words: DataFrame, buckets: int, ends: int, shar
 
         if not len(rows):
             return pd.DataFrame({"bucket": [], "lot": [], "pairs": []})
-        lot = Lot(rows.iloc[0], answers, ends, buckets, share)
+        lot = Lot(rows.iloc[0], answers, ends, buckets, share, before)
         word, history, split = lot.counts[lot.word][lot.order], lot.counts[lot.history][lot.order], lot.split[lot.order]
         training = lot.training[lot.order]
         out = [(b, key[0], _pack(lot.keys[a:z], training[a:z], word[a:z], history[a:z], split[a:z])) for b, a, z in lot.cuts()]
@@ -327,7 +329,7 @@ def _asked(pairs: DataFrame) -> DataFrame:
     return pairs.where("asked IS NOT NULL").select("lot", "asked").mapInPandas(task, "lot long, history long").distinct()
 
 
-def _scored(lots: DataFrame, words: DataFrame, pairs: DataFrame, weights: DataFrame, model: Model, buckets: int, share: float) -> DataFrame:
+def _scored(lots: DataFrame, words: DataFrame, pairs: DataFrame, weights: DataFrame, model: Model, buckets: int, share: float, before) -> DataFrame:
     """Scores of every document, lot by lot."""
     none = F.lit(None)
     sides = [
@@ -343,7 +345,7 @@ def _scored(lots: DataFrame, words: DataFrame, pairs: DataFrame, weights: DataFr
 
         if not len(rows):
             return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")})
-        lot = Lot(rows.iloc[0], answers[answers["ids"].notna()], model.ends, buckets, share)
+        lot = Lot(rows.iloc[0], answers[answers["ids"].notna()], model.ends, buckets, share, before)
         found = answers[answers["found"].notna()].sort_values("bucket")["found"]
         counts = np.empty(len(lot.order), "i8")
         counts[lot.order] = np.concatenate([_ints(_unsqueeze(x)) for x in found])
@@ -386,6 +388,8 @@ def score_documents(docs: DataFrame, held: str, lot_bytes: int = LOT_BYTES) -> D
     trains.  Repeated rows are scored and counted each; an empty table gives no
     rows; without training rows every word has probability one.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(held), F.lit(False)).alias("held"), F.col("text").cast("string").alias("text"))
     # The words are dropped before the texts are needed, so both kinds have a folder of their own.
@@ -402,7 +406,14 @@ def score_documents(docs: DataFrame, held: str, lot_bytes: int = LOT_BYTES) -> D
     scratch.drop(spark, f"{lots_path}/kind=words")
     scratch.release(spark)
     # A few numbers for each bucket reach the driver.
-    table_rows = words.where("lot IS NULL").select("known", "tokens", "seen").collect()
+    table_rows = words.where("lot IS NULL").select("bucket", "size", "known", "tokens", "seen").collect()
+    before = np.full(word_buckets, FIRST, "i8")
+    held_words = np.zeros(word_buckets, "i8")
+    for r in table_rows:
+        held_words[r["bucket"]] = r["size"]
+    before[1:] += np.cumsum(held_words)[:-1]
+    if held_words.sum() > MOST_WORDS:
+        raise ValueError("more distinct words than 32-bit ids")
     seen = [sum(r["seen"][k] for r in table_rows) for k in range(CUTOFF + 2)]
     if 0 < ends < len(seen):
         seen[ends] += 1
@@ -413,14 +424,14 @@ def score_documents(docs: DataFrame, held: str, lot_bytes: int = LOT_BYTES) -> D
 
     answers = words.where("lot IS NOT NULL").select("lot", "bucket", "ids", "counts")
     light = lots.where("kind = 'texts'").select("lot", "doc_ids", "held", "sizes", "places")
-    pairs, pairs_path = scratch.write(count_pairs(light, answers, buckets, ends, share), "pairs")
+    pairs, pairs_path = scratch.write(count_pairs(light, answers, buckets, ends, share, before), "pairs")
     scratch.release(spark)
     pair_seen = pairs.where("lot IS NULL").agg(*(F.sum(F.col("seen")[k]).alias(str(k)) for k in range(CUTOFF + 2))).first()
     model = Model(tokens, ends, known, factors, kept / (tokens + SPARE), discounts([x or 0 for x in pair_seen]))
     weights, weights_path = scratch.write(back_off_weights(pairs, model), "weights")
     given = _asked(pairs).join(weights, "history").groupBy("lot").agg(F.collect_list(F.struct("history", "weight")).alias("h"))  # one lot's histories
     given = given.select("lot", F.col("h.history").alias("histories"), F.col("h.weight").alias("weights"))
-    scores, _ = scratch.write(_scored(light, answers, pairs, given, model, buckets, share), "scores")
+    scores, _ = scratch.write(_scored(light, answers, pairs, given, model, buckets, share, before), "scores")
     scratch.drop(spark, lots_path, words_path, pairs_path, weights_path)
     return scores.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
