@@ -18,6 +18,7 @@ PHASE_PREFIXES = (
     )),
     ("metadata", ("reading media metadata:", "inspecting legacy color")),
 )
+# Beginnings of encoder stages, and what fixed words of a reason mean.
 ENCODER_PREFIXES = (
     "hevc_nvenc-", "av1_nvenc-", "hevc_amf-", "av1_amf-", "hevc_qsv-", "av1_qsv-", "libx265-", "libsvtav1-", "libaom-av1-",
 )
@@ -30,6 +31,7 @@ NO_BENEFIT_REASON = (
 )
 NO_BENEFIT_CODES = ("already_efficient_for_settings", "full_output_insufficient_savings")
 
+# Messages of structural checks and their plain wording.
 STRUCTURAL_MESSAGES = {
     "Requires exactly one moving video track (cover pictures are separate)": "source_video_layout",
     "HDR finalizer requires one moving video track": "source_video_layout",
@@ -137,13 +139,15 @@ def natural_key(text: Column) -> Column:
     """Sort key that orders digit runs of any length by value, case folded.
 
     A run is written as its length without leading zeros, in four digits, and
-    then those digits; a run of 10,000 digits or more has no key.
+    then those digits.  Longer runs write the length in ten digits after a colon,
+    which sorts after every digit.
     """
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def key(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+(?=.)", "")
-        length = F.when(F.length(digits) < 10_000, F.lpad(F.length(digits).cast("string"), 4, "0"))
+        count = F.length(digits).cast("string")
+        length = F.when(F.length(digits) < 10_000, F.lpad(count, 4, "0")).otherwise(F.concat(F.lit(":"), F.lpad(count, 10, "0")))
         return F.when(run.rlike(r"^\d"), F.concat(length, digits)).otherwise(run)
 
     return F.array_join(F.transform(runs, key), "", None)

@@ -10,6 +10,7 @@ RELEASE_TOKENS = (
     r"480[pi]|576[pi]|720p|1080[pi]|2160p|4320p|WEB[ -]?DL|WEBRip|Blu[ -]?Ray|BDRip|HDTV|REMUX|x26[45]|H[ .]?26[45]|HEVC|AV1|AMZN|DDP"
 )
 RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{n}" for n in range(1, 10)), *(f"LPT{n}" for n in range(1, 10)))
+# Where a title ends, how episodes are written, and endings of media and companion files.
 BOUNDARY = r"(?is)^(.*?)(?:^|[\s\[(-])(?:" + RELEASE_TOKENS + r")(?=$|[\s\].)-])"
 EPISODE = r"(?i)\bS\d{1,3}E\d{1,3}(?:E\d{1,3})*\b"
 MEDIA_EXTENSIONS = (

@@ -297,18 +297,23 @@ GENERATED_MEDIA = (
     ".mkv", ".mp4", ".mov", ".avi", ".hevc", ".h265", ".h264", ".av1", ".obu", ".ivf", ".yuv", ".y4m", ".rgb", ".raw", ".pcm", ".wav", ".bin", ".ac3",
     ".aac", ".m4v", ".rpu", ".mka", ".thd", ".truehd", ".eac3", ".dts", ".flac",
 )
-GENERATED_NAMES = (
-    r"\.framehash$|(-frames\.jsonl|-frames\.json|-all-packets\.txt|-preset-packets\.txt|-vmaf\.json|-dts-source-packets\.json|-dts-output-packets\.json"
-    r"|-dts-source-frame-sizes\.json|-rpu\.json|\.hdr-index\.sqlite)$|-stream-\d+\.txt$"
-    r"|^(rpu\.json|timestamps\.txt|source-rpu-packets\.xml|render-0-progress\.txt|render-1-progress\.txt)$"
-)
+# Whole names and endings of other generated files, and numbered stream lists.
+GENERATED_FILES = ("rpu.json", "timestamps.txt", "source-rpu-packets.xml", "render-0-progress.txt", "render-1-progress.txt")
+GENERATED_ENDINGS = (
+    ".framehash", "-frames.jsonl", "-frames.json", "-all-packets.txt", "-preset-packets.txt", "-vmaf.json", "-dts-source-packets.json", "-dts-output-packets.json",
+    "-dts-source-frame-sizes.json", "-rpu.json", ".hdr-index.sqlite",
+)
+NUMBERED_LIST = r"-stream-\d+\.txt$"
 
 
 def disposable(path: Column) -> Column:
     """Name marks a generated file (report only; nothing is deleted)."""
     name = file_name(path)
     layered = (name == "metadata.json") & folder_of(path).endswith("-layers")
-    return extension(path).isin(*GENERATED_MEDIA) | name.rlike(GENERATED_NAMES) | layered
+    ended = F.lit(False)
+    for ending in GENERATED_ENDINGS:
+        ended = ended | name.endswith(ending)
+    return extension(path).isin(*GENERATED_MEDIA) | name.isin(*GENERATED_FILES) | ended | name.rlike(NUMBERED_LIST) | layered
 
 
 def cleanup_reason(path: Column, primary: Column, samples: bool = False, root: Column | None = None) -> Column:

@@ -18,6 +18,7 @@ from framesleuth.operators import ordered
 from framesleuth.session import materialise
 from framesleuth.sources import json_arrays
 
+# Spellings of "not available".
 MISSING = ("N/A", "")
 
 
@@ -153,6 +154,7 @@ def cache_memory(lines: DataFrame) -> DataFrame:
     )
 
 
+# Forms of progress lines.
 BAR = r"([^\r\n]+?)\s+\[[= ]+\]\s*([\d.]+)%\s*\| elapsed (\d+)s \| ETA (\d+)s"
 OVERALL = r"PROGRESS=(\d+(?:\.\d+)?)"
 
@@ -180,6 +182,7 @@ def latest_progress(lines: DataFrame) -> DataFrame:
     return last.select("file", "overall", "b.label", "b.percent", "b.elapsed", "b.eta")
 
 
+# Forms of lines that decoders and their wrapper write.
 FATAL = r"(?i)out of memory|cannot allocate memory|permission denied|input/output error|no space left|device.*failed"
 DECODER_LINE = r"^\[([A-Za-z0-9_]+) @ 0x[0-9a-fA-F]+\] (.+)$"
 REPEATED = r"^Last message repeated ([1-9][0-9]*) times$"
@@ -232,6 +235,7 @@ def crc_diagnostics(lines: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.count_if("_crc").alias("mismatches"), F.min_by("_text", F.when(odd, F.col("line_no"))).alias("unexplained"))
 
 
+# The last line of a trace, and its first.
 ERROR_LINE = r"^(?:[A-Za-z_]\w*\.)*(?:RuntimeError|ValueError|OSError|PermissionError|FileNotFoundError|TimeoutError|ProcessingTimeout): (.+)$"
 TRACE_MARK = "Traceback (most recent call last):"
 
