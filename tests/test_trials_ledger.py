@@ -123,3 +123,38 @@ def test_every_row_changes_the_fingerprint(spark):
 
     whole = print_of(rows)
     assert all(print_of([(t, o, h + "!" * (o == k)) for t, o, h in rows]) != whole for k in (1, 8, 9, 33, 40))
+
+
+def test_real_scores_equal_sorting(spark):
+    import math
+    import random
+
+    rng = random.Random(9)
+    rows, want = [], {}
+    for g in range(30):
+        n = rng.choice([1, 2, 19, 20, 21, 40, 333])
+        values = [rng.choice([rng.uniform(80, 99), 95.123456, rng.uniform(95.12345, 95.12346), -3.5, 1e9]) for _ in range(n)]
+        if g % 7 == 1:
+            values[rng.randrange(n)] = rng.choice([float("nan"), float("inf"), float("-inf"), None])
+        rows += [(g, v) for v in values]
+        whole = all(v is not None and math.isfinite(v) for v in values) and g % 9 != 0
+        p5 = sorted(values)[max(0, math.ceil(0.05 * n) - 1)] if whole else None
+        want[g] = (n, p5, whole, whole and math.fsum(values) / n >= 90 and p5 >= 80)
+    scores = spark.createDataFrame(rows, "g long, score double")
+    expected = spark.createDataFrame([(g, w[0] + (g % 9 == 0)) for g, w in want.items()] + [(99, 3)], "g long, expected_frames long")
+    got = {r.g: (r.frames, r.p5, r.complete, r.passed) for r in trials.pool_real_scores(scores, ["g"], "90", 80.0, expected).collect()}
+    assert got == {**want, 99: (0, None, False, False)}
+    assert trials.pool_real_scores(scores.limit(0), ["g"], "90", 80.0).count() == 0
+
+
+def test_latest_before_spreads_over_blocks(spark):
+    import random
+
+    from framesleuth.operators import telemetry
+
+    rng = random.Random(4)
+    points = [(k % 3, rng.randrange(1000), f"p{k}") for k in range(300)]
+    marks = [(k, t) for k in range(2) for t in rng.sample(range(50, 1000), 40)]
+    got = telemetry.latest_before(spark.createDataFrame(points, "k long, at long, name string"), spark.createDataFrame(marks, "k long, seen long"), ["k"], "at", "seen", block_rows=9)
+    want = {(k, at, n): max((t for g, t in marks if g == k and t <= at), default=None) for k, at, n in points}
+    assert {(r.k, r.at, r.name): r.seen for r in got.collect()} == want
