@@ -11,6 +11,7 @@ from framesleuth.functions.checks import holds
 from framesleuth.functions.rational import TOLERANCE_US, differs
 from framesleuth.operators import ordered
 from framesleuth.operators.compare import zip_rows
+from framesleuth.session import materialise
 
 MAX_STARTUP_LEAD_US = 100_000
 SEEK_SPREAD_US = 2_000_000
@@ -343,18 +344,81 @@ def within_ttl(rows: DataFrame, updated: str, now: Column, ttl: int) -> DataFram
     return rows.where((F.col(updated) <= now) & (now - F.col(updated) <= ttl))
 
 
-def counter_rates(samples: DataFrame, keys: Sequence[str], keep: int = 20) -> DataFrame:
+def _walk(rows, at, counter, least_us: int):
+    """Readings of one block taken after ``(at, counter)``: place, and rate since the one before (None for the first of all)."""
+    taken = []
+    for k, now, used in zip(range(len(rows)), rows["at_us"].tolist(), rows["counter"].tolist()):
+        if used != used or used is None:
+            continue
+        if at is None:
+            taken.append((k, None))
+        elif now - at < least_us or used < counter:
+            continue
+        else:
+            taken.append((k, (used - counter) * 1e6 / (now - at)))
+        at, counter = now, used
+    return taken, at, counter
+
+
+def taken_rates(samples: DataFrame, keys: Sequence[str], least_us: int = 1_000_000, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+    """``keys, ordinal, rate``: readings that count, each compared with the last that counted.
+
+    The first reading counts; then each that is at least ``least_us`` after the last
+    one and not below it.  Which readings count depends on those before, so a group
+    is walked in blocks: each block begins where the block before ended in the last
+    round, and rounds go on until no block's end moves.  The first block is right
+    after one round and every further one after at most one more; walks from
+    different beginnings soon meet, so a few rounds do for groups of any size.
+    ``samples``: keys, ordinal, at_us (not falling), counter.
+    """
+    keys = list(keys)
+    key_types = ", ".join(f"{k} {dict(samples.dtypes)[k]}" for k in keys)
+    rows = samples.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), F.col("at_us").cast("long").alias("at_us"), F.col("counter").cast("double").alias("counter"))
+    rows = materialise(rows.withColumn("_block", F.expr(f"(ordinal - 1) div {block_rows}")), "readings")
+    blocks = rows.select(*keys, "_block").distinct()
+
+    def end(held):
+        import pandas as pd
+
+        held = held.sort_values("ordinal", ignore_index=True)
+        at, counter = held["from_at"].iloc[0], held["from_counter"].iloc[0]
+        _, at, counter = _walk(held, None if pd.isna(at) else int(at), None if pd.isna(counter) else float(counter), least_us)
+        out = held[[*keys, "_block"]].iloc[:1].copy()
+        out["end_at"], out["end_counter"] = pd.array([at], "Int64"), pd.array([counter], "Float64")
+        return out
+
+    def rates(held):
+        import pandas as pd
+
+        held = held.sort_values("ordinal", ignore_index=True)
+        at, counter = held["from_at"].iloc[0], held["from_counter"].iloc[0]
+        taken, _, _ = _walk(held, None if pd.isna(at) else int(at), None if pd.isna(counter) else float(counter), least_us)
+        out = held.iloc[[k for k, r in taken if r is not None]][[*keys, "ordinal"]].copy()
+        out["rate"] = [r for _, r in taken if r is not None]
+        return out
+
+    after = Window.partitionBy(*keys).orderBy("_block")
+    begins = materialise(blocks.withColumns({"from_at": F.lit(None).cast("long"), "from_counter": F.lit(None).cast("double")}), "begins")
+    while True:
+        ends = rows.join(begins, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(end, f"{key_types}, _block long, end_at long, end_counter double")
+        # One row for each block.
+        found = materialise(ends.select(*keys, "_block", F.lag("end_at").over(after).alias("from_at"), F.lag("end_counter").over(after).alias("from_counter")), "begins")
+        same = found.join(begins.withColumnsRenamed({"from_at": "_at", "from_counter": "_counter"}), [*keys, "_block"])
+        moved = not same.where(~(F.col("from_at").eqNullSafe(F.col("_at")) & F.col("from_counter").eqNullSafe(F.col("_counter")))).isEmpty()
+        begins = found
+        if not moved:
+            break
+    return rows.join(begins, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(rates, f"{key_types}, ordinal long, rate double")
+
+
+def counter_rates(samples: DataFrame, keys: Sequence[str], keep: int = 20, least_us: int = 1_000_000, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Rate between counter readings; last ``keep`` rates, latest and peak, per key.
 
-    Rates are counter units per second.  A reading below one before it is
-    ignored, and the next is compared with the last that was not.
+    Rates are counter units per second.  A reading within ``least_us`` of the last
+    one that counted, or below it, is ignored.
     """
-    rows = ordered.scan(samples, keys, highest=ordered.running_max(F.col("counter"), inclusive=False))
-    rows = rows.withColumn("taken", F.coalesce(F.col("counter") >= F.col("highest"), F.col("counter").isNotNull()))
-    rows = ordered.scan(rows, keys, before=ordered.last_known(F.when(F.col("taken"), F.struct("at_us", "counter")), inclusive=False))
-    spent, gained = F.col("at_us") - F.col("before.at_us"), F.col("counter") - F.col("before.counter")
-    rated = rows.where(F.col("taken") & (spent > 0)).withColumn("rate", gained * F.lit(1e6) / spent)
-    kept = keep_latest(rated, keys, [F.desc("ordinal")], keep)
+    keys = list(keys)
+    kept = keep_latest(taken_rates(samples, keys, least_us, block_rows), keys, [F.desc("ordinal")], keep)
     return kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rates"), F.max_by("rate", "ordinal").alias("latest_rate"), F.max("rate").alias("peak_rate")
     )

@@ -275,6 +275,26 @@ def counter_rate(spark, folder):
     return plain(rated.withColumn("target", timeline.allocation_target(F.lit(8), F.col("rates"), F.col("peak_rate"))))
 
 
+@query(
+    "counter_rate_dense",
+    f"""WITH RECURSIVE {PACKET_SQL}, c AS (SELECT track, ordinal, (pts - 1704067200000000) // 36000 AS at_us, CAST(sum(level) OVER (PARTITION BY track ORDER BY ordinal) * 1000 - CASE WHEN ordinal % 7 = 0 THEN 9000000 ELSE 0 END AS BIGINT) AS counter FROM packet),
+    w AS (SELECT track, ordinal, at_us, counter, CAST(NULL AS DOUBLE) AS rate FROM c WHERE ordinal = 1
+      UNION ALL SELECT n.track, n.ordinal, n.at_us, n.counter, n.rate FROM (SELECT c.track, c.ordinal, c.at_us, c.counter, (c.counter - w.counter) * 1e6::DOUBLE / (c.at_us - w.at_us) AS rate, row_number() OVER (PARTITION BY c.track ORDER BY c.ordinal) AS rn
+        FROM w JOIN c ON c.track = w.track AND c.ordinal > w.ordinal AND c.at_us - w.at_us >= 1000000 AND c.counter >= w.counter) n WHERE rn = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ordinal DESC) AS rn FROM w WHERE rate IS NOT NULL)
+    SELECT track, count(*) AS rates, CAST(floor(arg_max(rate, ordinal)) AS BIGINT) AS latest_rate, CAST(floor(max(rate)) AS BIGINT) AS peak_rate FROM r WHERE rn <= 20 GROUP BY track""",
+)
+def counter_rate_dense(spark, folder):
+    """Readings often less than a second apart, every seventh of which falls back."""
+    from framesleuth.operators import ordered
+
+    p = ordered.scan(packets(spark, folder), KEYS, total=ordered.running_sum(F.col("level")))
+    counter = F.col("total") * 1000 - F.when(F.col("ordinal") % 7 == 0, 9000000).otherwise(0)
+    rated = timeline.counter_rates(p.select("track", "ordinal", F.expr("(pts - 1704067200000000) div 36000").alias("at_us"), counter.alias("counter")), KEYS)
+    whole = lambda c: F.floor(c).cast("long").alias(c)
+    return plain(rated.select("track", "rates", whole("latest_rate"), whole("peak_rate")))
+
+
 @query(
     "retention",
     """WITH k AS (SELECT user_id, max(epoch_us(ts)) AS u FROM events GROUP BY user_id ORDER BY u DESC, user_id LIMIT 16),

@@ -158,3 +158,23 @@ def test_latest_before_spreads_over_blocks(spark):
     got = telemetry.latest_before(spark.createDataFrame(points, "k long, at long, name string"), spark.createDataFrame(marks, "k long, seen long"), ["k"], "at", "seen", block_rows=9)
     want = {(k, at, n): max((t for g, t in marks if g == k and t <= at), default=None) for k, at, n in points}
     assert {(r.k, r.at, r.name): r.seen for r in got.collect()} == want
+
+
+def test_readings_that_count_do_not_depend_on_blocks(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for g in range(4):
+        at = counter = 0
+        last = None
+        for k in range(1, 400):
+            at += rng.choice([0, 200_000, 300_000, 900_000, 1_500_000])
+            counter += rng.randrange(9) - 2
+            rows.append((g, k, at, counter))
+            if last is None or at - last[0] >= 1_000_000 and counter >= last[1]:
+                if last is not None:
+                    want.add((g, k, (counter - last[1]) * 1e6 / (at - last[0])))
+                last = (at, counter)
+    frame = spark.createDataFrame(rows, "g long, ordinal long, at_us long, counter long")
+    for block_rows in (13, 1000):
+        assert {tuple(r) for r in timeline.taken_rates(frame, ["g"], block_rows=block_rows).collect()} == want
+    assert timeline.taken_rates(frame.limit(0), ["g"]).count() == 0
