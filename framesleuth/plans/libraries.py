@@ -284,13 +284,13 @@ def align_seek(spark, folder):
 
 @query(
     "window_check",
-    f"""WITH {PACKET_SQL}, f AS (SELECT track, pts - 1704067200000000 AS p, CASE WHEN event_id % 997 = 0 THEN 0 ELSE dur END AS dur FROM packet WHERE dur IS NOT NULL)
-    SELECT track, count(*) AS packets, max(p + dur) - least(0, min(p)) AS span_us, CASE WHEN count(*) FILTER (WHERE dur <= 0) > 0 THEN 'incomplete sample timing' WHEN max(p + dur) - least(0, min(p)) > 2 * 1290000000000 THEN 'exceeds bounded sampling window' ELSE '' END AS reason FROM f GROUP BY track""",
+    f"""WITH {PACKET_SQL}, f AS (SELECT track, pts - 1704067200000000 AS p, CASE WHEN event_id % 997 = 0 THEN 0 WHEN dur IS NULL AND track % 3 <> 0 THEN 40000 ELSE dur END AS dur FROM packet)
+    SELECT track, count(*) AS packets, max(p + dur) - least(0, min(p)) AS span_us, CASE WHEN count(*) FILTER (WHERE dur <= 0 OR dur IS NULL) > 0 THEN 'incomplete sample timing' WHEN max(p + dur) - least(0, min(p)) > 2 * 1290000000000 THEN 'exceeds bounded sampling window' ELSE '' END AS reason FROM f GROUP BY track""",
 )
 def window_check(spark, folder):
-    p = packets(spark, folder).where(F.col("dur").isNotNull()).select(
-        "track", (F.col("pts") - 1704067200000000).alias("pts"), F.when(F.col("event_id") % 997 == 0, 0).otherwise(F.col("dur")).alias("dur")
-    )
+    """A third of the tracks end in a packet of unknown length."""
+    length = F.when(F.col("event_id") % 997 == 0, 0).when(F.col("dur").isNull() & (F.col("track") % 3 != 0), 40000).otherwise(F.col("dur"))
+    p = packets(spark, folder).select("track", (F.col("pts") - 1704067200000000).alias("pts"), length.alias("dur"))
     return plain(op.window_check(p, ["track"], F.lit(1290000000000)))
 
 
