@@ -54,8 +54,8 @@ THRESHOLD = 0.85
 #: Copies of each directory's row, to which the files of a directory are dealt.
 SALTS = 32
 _SPLIT = r"[^\\p{L}\\p{N}]+"
-#: Terms that stand for a unit itself, and for one near enough to be compared.
-_UNIT, _NEAR = "\x01", "\x02"
+#: Stands for a unit itself among its words.
+_UNIT = "\x01"
 
 
 def _words(text: str) -> str:
@@ -80,8 +80,8 @@ def find_notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     weigh as if in no unit.  Only units whose other words leave the threshold in
     reach are compared, which loses none.  Ties go to the first id.
 
-    Texts are read once and never shuffled: one pass counts the known words of
-    all units and picks the few units to compare.
+    Texts are read twice and never shuffled: one pass counts the units of each
+    known word, the other picks the few units whose known words weigh enough.
     """
     with scratch.temporary(files.sparkSession):
         return scratch.keep(_find_notices(files, templates, threshold), "notices")
@@ -96,17 +96,9 @@ def _find_notices(files: DataFrame, templates, threshold: float) -> DataFrame:
 
     units = _units(files).withColumn("words", F.expr(_words("line"))).where("size(words) > 0")
     units = units.withColumn("hits", F.expr(f"array_sort(filter(words, w -> w {in_known}))"))
-    # No weight exceeds that of other words, so counts bound the cosine: a run of c equal words adds c squared.
-    squares = F.expr("aggregate(hits, struct('' AS w, 0L AS c, 0L AS s), (a, w) -> IF(w = a.w, struct(w, a.c + 1, a.s + 2 * a.c + 1), struct(w, 1L, a.s + 1)), a -> a.s)")
-    near = squares >= threshold * threshold / (1 - threshold * threshold) * (F.size("words") - F.size("hits"))
-    none = lambda kind: F.lit(None).cast(kind)
-    told = lambda term, path, row, unit, line: F.struct(term.alias("term"), path.alias("path"), row.alias("row"), unit.alias("unit"), line.alias("line"))
-    term_only = lambda term: told(term, none("string"), none("long"), none("int"), none("string"))
-    marks = F.transform(F.array_distinct("hits"), term_only)
-    marks = F.concat(F.array(term_only(F.lit(_UNIT))), marks, F.when(near, F.array(told(F.lit(_NEAR), F.col("path"), F.col("row"), F.col("unit"), F.col("line")))).otherwise(F.array().cast("array<struct<term:string,path:string,row:bigint,unit:int,line:string>>")))
-    # A task sends one row for each known word, and the units near a template.
-    seen, _ = scratch.write(units.select(F.explode(marks).alias("m")).select("m.*").groupBy("term", "path", "row", "unit", "line").agg(F.count(F.lit(1)).alias("n")), "seen")
-    df = {r["term"]: r["n"] for r in seen.where(F.col("term") != _NEAR).select("term", "n").collect()}  # one row for each known word
+    marks = F.concat(F.array(F.lit(_UNIT)), F.array_distinct("hits"))
+    # One row for each known word, from every task and in the end.
+    df = {r["term"]: r["n"] for r in units.select(F.explode(marks).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     number = df.pop(_UNIT, 0)
 
     weight = spark.createDataFrame([(t, math.log((1 + number) / (1 + df.get(t, 0))) + 1) for t in known] or [("", 0.0)], "term string, idf double")
@@ -115,8 +107,13 @@ def _find_notices(files: DataFrame, templates, threshold: float) -> DataFrame:
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("c") * F.col("idf"), 2))).alias("norm"))
     vectors = weighed.join(F.broadcast(norms), "template").select("template", "license", "term", (F.col("c") * F.col("idf") / F.col("norm")).alias("part"))
 
+    # The weight of the known words bounds the cosine: a run of c equal words adds c squared times theirs.  Frequent words come first.
+    squares = " ".join(f"WHEN '{t}' THEN {repr((math.log((1 + number) / (1 + df.get(t, 0))) + 1) ** 2)}D" for t in sorted(known, key=lambda t: (-df.get(t, 0), t))) or "WHEN '' THEN 0D"
+    held = F.expr(f"aggregate(hits, struct('' AS w, 0L AS c, 0D AS s, 0D AS i), (a, w) -> CASE WHEN w = a.w THEN struct(w AS w, a.c + 1 AS c, a.s + (2 * a.c + 1) * a.i AS s, a.i AS i) ELSE struct(w AS w, 1L AS c, a.s + (CASE w {squares} ELSE 0D END) AS s, (CASE w {squares} ELSE 0D END) AS i) END, a -> a.s)")
+    near = held * (1 + 1e-9) >= threshold * threshold / (1 - threshold * threshold) * unknown * unknown * (F.size("words") - F.size("hits"))
     key = ["path", "row", "unit"]
-    words = seen.where(F.col("term") == _NEAR).select(*key, F.explode(F.expr(_words("line"))).alias("term"))
+    seen, _ = scratch.write(units.where((F.size("hits") > 0) & near).select(*key, "words"), "near")
+    words = seen.dropDuplicates(key).select(*key, F.explode("words").alias("term"))
     counts, _ = scratch.write(words.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(weight), "term", "left"), "counts")
     lengths = counts.groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(unknown)), 2))).alias("length"))
     dots = counts.join(F.broadcast(vectors), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"))
