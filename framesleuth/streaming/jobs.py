@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +24,22 @@ from framesleuth.streaming import processors as live
 
 WATERMARK = "15 seconds"  # freshness limit of the telemetry policies
 SLOT_US = 5 * live.SECOND
+BUCKETS = 32  # of keys in the state of a policy: slots of a bucket should hold some thousand rows
 
 
-def replay(rows: DataFrame, keys: tuple[str, ...], policy: live.Policy, delay: str = WATERMARK, slot_us: int = SLOT_US) -> DataFrame:
-    """Output of a policy over a stream with ``ts``, ``at_us`` and the ``keys``; the keys come first."""
+def replay(rows: DataFrame, keys: tuple[str, ...], policy: live.Policy, delay: str = WATERMARK, slot_us: int = SLOT_US, buckets: int = BUCKETS) -> DataFrame:
+    """Output of a policy over a stream with ``ts``, ``at_us`` and the ``keys``; the keys come first.
+
+    Keys are handled in ``buckets``; those with nulls (numbers or texts) have one for each set of null keys.
+    """
     kinds = dict(rows.dtypes)
     output = ", ".join([*(f"{k} {kinds[k]}" for k in keys), policy.output])
-    return rows.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(live.Replay(policy, keys, slot_us), output, "Append", "EventTime")
+    nulls = reduce(add, (F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)))
+    bucket = F.when(nulls > 0, -nulls).otherwise(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    # Columns of numbers with nulls would reach the processor as doubles; the bucket tells which keys are null.
+    filled = {k: F.coalesce(F.col(k), F.lit("0").cast(kinds[k])) for k in keys}
+    marked = rows.withWatermark("ts", delay).withColumn("_bucket", bucket).withColumns(filled)
+    return marked.groupBy("_bucket").transformWithStateInPandas(live.Replay(policy, keys, slot_us), output, "Append", "EventTime")
 
 
 def gpu_yield(samples: DataFrame, delay: str = WATERMARK, slot_us: int = SLOT_US) -> DataFrame:

@@ -159,3 +159,40 @@ def test_upsert_keeps_the_newest_row_and_few_files(spark, tmp_path):
     # A batch that died before its manifest leaves the version before it in place.
     spark.createDataFrame([(1, 10**6, "torn")], schema).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "state" / "data" / "batch=4"))
     assert {r.track: (r.at_us, r.note) for r in sink.read(batch.schema).collect()} == want
+
+
+def test_a_step_over_many_groups_equals_each_alone():
+    rng = random.Random(8)
+    names = ["_group", "ordinal", "at_us", "category", "value", "action", "usable", "external", "work", "elapsed", "overlap", "chunk"]
+    rows = pd.DataFrame([(rng.randrange(6), i, i * SECOND, rng.choice("abc"), rng.randrange(90), rng.choice(["preview", "confirm"]), rng.random() < 0.9, rng.random() < 0.7, 100.0 + i, 2.0, rng.choice([0.0, 0.9]), f"PROGRESS={i % 90}\nPROG") for i in range(300)], columns=names)
+    for make in (processors.gpu_yield, processors.stage_seconds, processors.activity, processors.confirmations, processors.throughput, processors.progress):
+        policy, alone, together = make(), [], []
+        for part in (rows[:150], rows[150:]):
+            some = part.sort_values(["_group", "ordinal"], ignore_index=True)
+            start = tuple(processors._column([s] * 6) for s in policy.start) if part is rows or part["ordinal"].iloc[0] == 0 else carried
+            out, carried = policy.step(some, tuple(processors._column(c) for c in start))
+            places = out.pop("_row")
+            together.append(pd.DataFrame(out).assign(g=some["_group"].to_numpy()[places]))
+        for g in range(6):
+            held = policy.start
+            for part in (rows[:150], rows[150:]):
+                out, held = policy.step(part[part["_group"] == g].drop(columns="_group").reset_index(drop=True), held)
+                out.pop("_row")
+                alone.append(pd.DataFrame(out).assign(g=g))
+        order = ["g", "at_us"]
+        got, want = (pd.concat(x).sort_values(order, kind="mergesort", ignore_index=True) for x in (together, alone))
+        pd.testing.assert_frame_equal(got, want)
+
+
+def test_keys_share_a_bucket_and_null_keys_have_their_own(spark, tmp_path):
+    schema, path = "track long, counter string, ordinal long, value long", str(tmp_path / "in")
+    big = (1 << 53) + 1
+    rows = [(key, name, k, 10 * k, k) for key in (big, big + 1, None) for name in ("a", None) for k in range(1, 30)]
+    feed(spark, path, rows[::2], schema)
+    stream = feed(spark, path, rows[1::2], schema)
+    live = jobs.replay(stream, ("track", "counter"), processors.activity(), "60 seconds", SECOND, buckets=1)
+    feed(spark, path, [(7, "z", 0, 1, 500)], schema)
+    got = {}
+    for r in jobs.drained(live, "t-shared").rows.collect():
+        got.setdefault((r.track, r.counter), []).append(r.value)
+    assert {k: sorted(v) for k, v in got.items()} == {(key, name): [10 * k for k in range(1, 30)] for key in (big, big + 1, None) for name in ("a", None)}
