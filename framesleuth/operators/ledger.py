@@ -69,14 +69,15 @@ def outcome_time(attempts: DataFrame) -> Column:
     return F.coalesce(*known, F.lit(0))
 
 
-def latest_attempts(attempts: DataFrame) -> DataFrame:
+def latest_attempts(attempts: DataFrame, ended: Column | None = None) -> DataFrame:
     """Newest attempt of each video; a published path is the same video as the
-    source it came from.  Newest = created, then outcome time, then id."""
+    source it came from.  Newest = created, then ``ended`` (the outcome time), then id."""
+    ended = outcome_time(attempts) if ended is None else ended
     keyed = attempts.withColumn("_key", history_key(F.coalesce(F.nullif("source", F.lit("")), F.col("id").cast("string"))))
     links = keyed.where(F.col("published_path").isNotNull()).select(F.col("_key").alias("u"), history_key(F.col("published_path")).alias("v"))
     roots = components(links).withColumnRenamed("u", "_key")
     grouped = keyed.join(roots, "_key", "left").withColumn("video", F.coalesce("root", "_key")).drop("root", "_key")
-    order = F.struct(F.coalesce("created_us", F.lit(0)), outcome_time(attempts), F.col("id").cast("string"))
+    order = F.struct(F.coalesce("created_us", F.lit(0)), ended, F.col("id").cast("string"))
     fields = [c for c in grouped.columns if c != "video"]
     best = grouped.groupBy("video").agg(F.count(F.lit(1)).alias("attempts"), F.max_by(F.struct(*fields), order).alias("_a"))
     return best.select("video", "attempts", *[F.col(f"_a.{c}").alias(c) for c in fields])
@@ -87,15 +88,15 @@ def with_category(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("category", category).withColumn("report_group", report_group(F.col("category")))
 
 
-def outcome_counts(attempts: DataFrame) -> DataFrame:
+def outcome_counts(attempts: DataFrame, ended: Column | None = None) -> DataFrame:
     """Videos per outcome, from the latest attempt that was not superseded."""
-    latest = latest_attempts(attempts.where(~F.coalesce("superseded", F.lit(False))))
+    latest = latest_attempts(attempts.where(~F.coalesce("superseded", F.lit(False))), ended)
     return with_category(latest).groupBy("category").agg(F.count(F.lit(1)).alias("videos"))
 
 
-def report_rows(attempts: DataFrame, scope: str = "latest", category: str = "all", text: str = "") -> DataFrame:
+def report_rows(attempts: DataFrame, scope: str = "latest", category: str = "all", text: str = "", ended: Column | None = None) -> DataFrame:
     """Activity report rows filtered by outcome (or report group) and source text."""
-    rows = attempts if scope == "attempts" else latest_attempts(attempts.where(~F.coalesce("superseded", F.lit(False))))
+    rows = attempts if scope == "attempts" else latest_attempts(attempts.where(~F.coalesce("superseded", F.lit(False))), ended)
     rows = with_category(rows)
     if category != "all":
         field = "report_group" if category in ("converted", "kept", "problems", "active") else "category"
@@ -103,7 +104,7 @@ def report_rows(attempts: DataFrame, scope: str = "latest", category: str = "all
     return rows.where(F.lower(F.coalesce("source", F.lit(""))).contains(text.lower()))
 
 
-def result_view(attempts: DataFrame, archived: DataFrame, *, show_archived: bool = False, batch: str = "", group: str = "all", text: str = "") -> DataFrame:
+def result_view(attempts: DataFrame, archived: DataFrame, *, show_archived: bool = False, batch: str = "", group: str = "all", text: str = "", ended: Column | None = None) -> DataFrame:
     """Latest results as the history view shows them.
 
     Archived rows are hidden unless active; ``batch`` is a batch id or
@@ -117,7 +118,7 @@ def result_view(attempts: DataFrame, archived: DataFrame, *, show_archived: bool
     rows = rows.withColumn("batch_key", F.coalesce(F.nullif(F.col("batch").cast("string"), F.lit("")), F.concat(F.lit("folder:"), folder)))
     if batch:
         rows = rows.where(F.col("batch_key") == batch)
-    latest = latest_attempts(rows).withColumn("result_group", result_group(F.col("state")))
+    latest = latest_attempts(rows, ended).withColumn("result_group", result_group(F.col("state")))
     latest = latest.where(F.lower(F.coalesce("source", F.lit(""))).contains(text.lower()))
     if group == "replaceable":
         return latest.where((F.col("state") == "awaiting-playback") & (F.col("mode") == "encode") & F.coalesce("publication_authorized", F.lit(True)))
