@@ -345,7 +345,7 @@ def within_ttl(rows: DataFrame, updated: str, now: Column, ttl: int) -> DataFram
 
 
 def _walk(rows, at, counter, least_us: int):
-    """Readings of one block taken after ``(at, counter)``: place, and rate since the one before (None for the first of all)."""
+    """Readings of one block taken after ``(at, counter)``: place, and rate since the one before (None for the first of all and at equal times)."""
     taken = []
     for k, now, used in zip(range(len(rows)), rows["at_us"].tolist(), rows["counter"].tolist()):
         if used != used or used is None:
@@ -355,7 +355,7 @@ def _walk(rows, at, counter, least_us: int):
         elif now - at < least_us or used < counter:
             continue
         else:
-            taken.append((k, (used - counter) * 1e6 / (now - at)))
+            taken.append((k, (used - counter) * 1e6 / (now - at) if now > at else None))
         at, counter = now, used
     return taken, at, counter
 
@@ -364,7 +364,7 @@ def taken_rates(samples: DataFrame, keys: Sequence[str], least_us: int = 1_000_0
     """``keys, ordinal, rate``: readings that count, each compared with the last that counted.
 
     The first reading counts; then each that is at least ``least_us`` after the last
-    one and not below it.  Which readings count depends on those before, so a group
+    one and not below it; with 0, one at the same time counts without a rate.  Which readings count depends on those before, so a group
     is walked in blocks: each block begins where the block before ended in the last
     round, and rounds go on until no block's end moves.  The first block is right
     after one round and every further one after at most one more; walks from
