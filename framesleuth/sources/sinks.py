@@ -54,24 +54,25 @@ def write_activity(rows: DataFrame, path: str) -> None:
     lines.repartitionByRange("place").sortWithinPartitions("place").select("value").write.option("lineSep", "\r\n").text(path)
 
 
-def timestamp_lines(frames: DataFrame, keys: Sequence[str], include_end: bool = False) -> DataFrame:
+def timestamp_lines(frames: DataFrame, keys: Sequence[str], include_end: bool = False, repeats: bool = False) -> DataFrame:
     """Presentation times in milliseconds with nine decimals, in order.
 
     Microseconds are exact, so the text is built from integers.  Groups whose
-    times do not strictly increase are reported through ``reason`` instead.
+    times do not strictly increase (with ``repeats``: fall) are reported through
+    ``reason`` instead.
     With ``include_end`` the last frame adds its end as one more boundary.
     """
     rows = ordered.scan(frames, keys, before=ordered.lag(F.col("pts")), after=ordered.lead(F.struct("pts")))
-    bad = F.col("pts").isNull() | (F.col("before") >= F.col("pts"))
+    bad = F.col("pts").isNull() | (F.col("before") > F.col("pts")) | (~F.lit(repeats) & (F.col("before") == F.col("pts")))
     end = F.when(F.col("after").isNull() & F.lit(include_end) & (F.col("dur") > 0), F.col("pts") + F.col("dur"))
     points = rows.select(*keys, "ordinal", F.when(bad, "timestamps must increase").alias("reason"), F.explode(F.array_compact(F.array("pts", end))).alias("at"))
     text = F.format_string("%d.%03d000000", F.call_function("div", F.col("at"), F.lit(1000)), F.col("at") % 1000)
     return points.select(*keys, "ordinal", "at", text.alias("value"), "reason")
 
 
-def write_timestamps(frames: DataFrame, keys: Sequence[str], path: str, include_end: bool = False) -> None:
+def write_timestamps(frames: DataFrame, keys: Sequence[str], path: str, include_end: bool = False, repeats: bool = False) -> None:
     """Timestamp text under one folder per group, lines in order inside each part;
     part numbers follow the order as well."""
-    lines = timestamp_lines(frames, keys, include_end).where(F.col("reason").isNull())
+    lines = timestamp_lines(frames, keys, include_end, repeats).where(F.col("reason").isNull())
     ordered_lines = lines.repartitionByRange(*keys, "at").sortWithinPartitions(*keys, "at")
     ordered_lines.select(*keys, "value").write.partitionBy(*keys).text(path)
