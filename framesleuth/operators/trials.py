@@ -33,12 +33,28 @@ def pool_scores(scores: DataFrame, keys: Sequence[str], mean_floor: Column, p5_f
 
     Scores are first counted per distinct value.  A coarse histogram finds the
     bin that holds the rank, and only that bin's values are ordered, so no group
-    is ever collected or sorted whole.  ``weight`` (optional column) counts equal
-    frames; ``expected`` (keys, ``expected_frames``) makes short evidence fail.
+    is ever collected or sorted whole.  Scores with a ``weight``, the number of
+    equal frames, are counted already: a group has few rows, and they are ranked
+    where they are (see ``_pool_counted``).  ``expected`` (keys,
+    ``expected_frames``) makes short evidence fail.
     """
     keys = list(keys)
-    weight = F.col("weight") if "weight" in scores.columns else F.lit(1)
-    counts = scores.groupBy(*keys, "score").agg(F.sum(weight).alias("n"))
+    pooled = _pool_counted(scores, keys) if "weight" in scores.columns else _pool_frames(scores, keys, bin_width)
+    if expected is not None:
+        pooled = expected.join(pooled, keys, "left")
+        complete = (F.col("frames") == F.col("expected_frames")) & (F.col("invalid") == 0)
+    else:
+        complete = F.col("invalid") == 0
+    passed = complete & (F.col("score_sum") >= mean_floor * F.col("frames")) & (F.col("p5") >= p5_floor)
+    return pooled.select(
+        *keys, F.coalesce("frames", F.lit(0)).alias("frames"), "score_sum", F.call_function("div", F.col("score_sum"), F.col("frames")).alias("mean"),
+        "p5", holds(complete).alias("complete"), holds(passed).alias("passed"),
+    )
+
+
+def _pool_frames(scores: DataFrame, keys: list[str], bin_width: int) -> DataFrame:
+    """``p5, frames, score_sum, invalid`` of each group, from any number of rows."""
+    counts = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
     binned = counts.withColumn("_bin", F.floor(F.col("score") / bin_width))
     bins = binned.groupBy(*keys, "_bin").agg(
         F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("score")).alias("_sum"), F.sum(F.when(F.col("score").isNull(), F.col("n")).otherwise(0)).alias("_bad")
@@ -53,19 +69,26 @@ def pool_scores(scores: DataFrame, keys: Sequence[str], mean_floor: Column, p5_f
     inside = binned.select(*keys, F.col("_bin").alias("_b"), "score", "n").join(target, keys).where(F.col("_b").eqNullSafe(F.col("_bin")))
     running = F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
     reached = inside.withColumn("_cum", F.col("_before") + running).where(F.col("_cum") >= F.col("_rank"))
-    pooled = reached.groupBy(*keys).agg(
+    return reached.groupBy(*keys).agg(
         F.min("score").alias("p5"), F.max("frames").alias("frames"), F.max("score_sum").alias("score_sum"), F.max("invalid").alias("invalid")
     )
-    if expected is not None:
-        pooled = expected.join(pooled, keys, "left")
-        complete = (F.col("frames") == F.col("expected_frames")) & (F.col("invalid") == 0)
-    else:
-        complete = F.col("invalid") == 0
-    passed = complete & (F.col("score_sum") >= mean_floor * F.col("frames")) & (F.col("p5") >= p5_floor)
-    return pooled.select(
-        *keys, F.coalesce("frames", F.lit(0)).alias("frames"), "score_sum", F.call_function("div", F.col("score_sum"), F.col("frames")).alias("mean"),
-        "p5", holds(complete).alias("complete"), holds(passed).alias("passed"),
-    )
+
+
+def _pool_counted(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from counted scores: one order of a group's values, and no row is joined back.
+
+    Rows that are placed by some of the keys already are not moved.
+    """
+    order = Window.partitionBy(*keys).orderBy("score")
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = scores.withColumns({"_cum": F.sum("weight").over(upto), "frames": F.sum("weight").over(whole)})
+    reached = F.col("_cum") >= F.greatest(F.lit(1), F.call_function("div", F.col("frames") + 19, F.lit(20)))
+    # NULL scores come first and may hold the rank.
+    first = F.min(F.when(reached, F.struct("_cum", "score")))
+    pooled = ranked.groupBy(*keys).agg(
+        first.alias("_first"), F.max("frames").alias("frames"), F.sum(F.col("weight") * F.col("score")).alias("score_sum"), F.sum(F.when(F.col("score").isNull(), F.col("weight")).otherwise(0)).alias("invalid")
+    )
+    return pooled.where("_first IS NOT NULL").select(*keys, F.col("_first.score").alias("p5"), "frames", "score_sum", "invalid")
 
 
 #: Widths of the bins that narrow real scores down, coarse to fine.

@@ -178,3 +178,27 @@ def test_readings_that_count_do_not_depend_on_blocks(spark):
     for block_rows in (13, 1000):
         assert {tuple(r) for r in timeline.taken_rates(frame, ["g"], block_rows=block_rows).collect()} == want
     assert timeline.taken_rates(frame.limit(0), ["g"]).count() == 0
+
+
+def test_counted_scores_pool_as_their_frames_do(spark):
+    rows = [(g, 9000 + (g * 37 + i * 101) % 800 if i % 50 or g != 3 else None, 1 + (i * g) % 4) for g in range(1, 5) for i in range(100)]
+    counted = spark.createDataFrame(rows, "g long, score long, weight long")
+    frames = counted.select("g", "score", F.explode(F.sequence(F.lit(1), F.col("weight")))).select("g", "score")
+    pool = lambda df: sorted(tuple(r) for r in trials.pool_scores(df, ["g"], F.lit(9000), F.lit(8000)).collect())
+    assert pool(counted) == pool(frames) and len(pool(counted)) == 4
+
+
+def test_scores_of_a_null_rank_have_no_percentile(spark):
+    counted = spark.createDataFrame([(1, None, 3), (1, 9000, 5), (2, 9100, 40), (2, None, 1)], "g long, score long, weight long")
+    got = {r.g: (r.p5, r.frames, r.complete) for r in trials.pool_scores(counted, ["g"], F.lit(1), F.lit(1)).collect()}
+    assert got == {1: (None, 8, False), 2: (9100, 41, False)}
+
+
+def test_placed_scores_are_pooled_without_a_shuffle(spark):
+    from framesleuth.session import materialise_placed
+
+    rows = [(r, k, 9000 + i, 1 + i % 3) for r in range(20) for k in range(3) for i in range(30)]
+    placed = materialise_placed(spark.createDataFrame(rows, "report long, k long, score long, weight long"), "placed-scores", 4, "report")
+    pooled = trials.pool_scores(placed, ["report", "k"], F.lit(9000), F.lit(8000))
+    assert pooled.count() == 60
+    assert "Exchange" not in pooled._jdf.queryExecution().executedPlan().toString()
