@@ -328,3 +328,21 @@ def test_near_stage_takes_copies_from_80(spark):
     assert sum(i == c for i, c in want.items()) < sum(i == c for i, c in other.items())
     got = corpus_pipeline.drop_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), LABELLED)
     assert {r["doc_id"] for r in got.collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_copies_of_a_notice_are_compared_once(spark, monkeypatch):
+    rows_of, write = {}, licenses.scratch.write
+
+    def counted(df, label, *rest):
+        out = write(df, label, *rest)
+        rows_of[label] = out[0].count()
+        return out
+
+    monkeypatch.setattr(licenses.scratch, "write", counted)
+    seen = []
+    for copies in (1, 40):
+        frame = spark.createDataFrame([(f"d/{i}.py", "code()\nReleased under the MIT License.\n# All rights reserved.") for i in range(copies)], "path string, text string")
+        got = [tuple(r) for r in licenses.find_notices(frame).select("unit", "license").collect()]
+        assert sorted(got) == sorted([(1, "MIT"), (2, "LicenseRef-All-Rights-Reserved")] * copies)
+        seen.append(rows_of["counts"])
+    assert seen[0] == seen[1]
