@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -344,71 +346,91 @@ def within_ttl(rows: DataFrame, updated: str, now: Column, ttl: int) -> DataFram
     return rows.where((F.col(updated) <= now) & (now - F.col(updated) <= ttl))
 
 
-def _walk(rows, at, counter, least_us: int):
-    """Readings of one block taken after ``(at, counter)``: place, and rate since the one before (None for the first of all and at equal times)."""
-    taken = []
-    for k, now, used in zip(range(len(rows)), rows["at_us"].tolist(), rows["counter"].tolist()):
-        if used != used or used is None:
-            continue
-        if at is None:
-            taken.append((k, None))
-        elif now - at < least_us or used < counter:
-            continue
-        else:
-            taken.append((k, (used - counter) * 1e6 / (now - at) if now > at else None))
-        at, counter = now, used
-    return taken, at, counter
+def _walked(n_keys: int, least_us: int, ends: bool):
+    """Task over readings in order of ``keys, _block, ordinal``, each with the reading its block begins after.
+
+    ``ends``: the last reading that counts of every block; else the rates.
+    """
+
+    def task(batches):
+        import pyarrow as pa
+
+        block, at, counter = None, None, None
+        fields = None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            if fields is None:
+                kept = [batch.schema.field(k) for k in range(n_keys)]
+                last = [("_block", pa.int64()), ("end_at", pa.int64()), ("end_counter", pa.float64())] if ends else [("ordinal", pa.int64()), ("rate", pa.float64())]
+                fields = pa.schema([*kept, *(pa.field(*f) for f in last)])
+            out = []
+            for mine, ordinal, now, used, from_at, from_counter in zip(zip(*columns[: n_keys + 1]), *columns[n_keys + 1 :]):
+                if mine != block:
+                    if ends and block is not None:
+                        out.append((*block, at, counter))
+                    block, at, counter = mine, from_at, from_counter
+                if now is None or used is None or used != used:
+                    continue
+                if at is not None:
+                    if now - at < least_us or used < counter:
+                        continue
+                    if now > at and not ends:
+                        out.append((*mine[:-1], ordinal, (used - counter) * 1e6 / (now - at)))
+                at, counter = now, used
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+        if ends and block is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*block, at, counter), fields)], schema=fields)
+
+    return task
 
 
 def taken_rates(samples: DataFrame, keys: Sequence[str], least_us: int = 1_000_000, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """``keys, ordinal, rate``: readings that count, each compared with the last that counted.
 
     The first reading counts; then each that is at least ``least_us`` after the last
-    one and not below it; with 0, one at the same time counts without a rate.  Which readings count depends on those before, so a group
-    is walked in blocks: each block begins where the block before ended in the last
+    one and not below it; with 0, one at the same time counts without a rate.  Readings
+    without a time or counter are ignored.  Which readings count depends on those before, so a group
+    of more than ``block_rows`` readings is walked in blocks: each block begins where the block before ended in the last
     round, and rounds go on until no block's end moves.  The first block is right
     after one round and every further one after at most one more; walks from
     different beginnings soon meet, so a few rounds do for groups of any size.
+    A task walks many blocks, one after the other.
     ``samples``: keys, ordinal, at_us (not falling), counter.
     """
     keys = list(keys)
     key_types = ", ".join(f"{k} {dict(samples.dtypes)[k]}" for k in keys)
-    rows = samples.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), F.col("at_us").cast("long").alias("at_us"), F.col("counter").cast("double").alias("counter"))
-    rows = materialise(rows.withColumn("_block", F.expr(f"(ordinal - 1) div {block_rows}")), "readings")
-    blocks = rows.select(*keys, "_block").distinct()
-
-    def end(held):
-        import pandas as pd
-
-        held = held.sort_values("ordinal", ignore_index=True)
-        at, counter = held["from_at"].iloc[0], held["from_counter"].iloc[0]
-        _, at, counter = _walk(held, None if pd.isna(at) else int(at), None if pd.isna(counter) else float(counter), least_us)
-        out = held[[*keys, "_block"]].iloc[:1].copy()
-        out["end_at"], out["end_counter"] = pd.array([at], "Int64"), pd.array([counter], "Float64")
-        return out
-
-    def rates(held):
-        import pandas as pd
-
-        held = held.sort_values("ordinal", ignore_index=True)
-        at, counter = held["from_at"].iloc[0], held["from_counter"].iloc[0]
-        taken, _, _ = _walk(held, None if pd.isna(at) else int(at), None if pd.isna(counter) else float(counter), least_us)
-        out = held.iloc[[k for k, r in taken if r is not None]][[*keys, "ordinal"]].copy()
-        out["rate"] = [r for _, r in taken if r is not None]
-        return out
-
+    rows = samples.select(*keys, F.expr(f"(ordinal - 1) div {block_rows}").alias("_block"), F.col("ordinal").cast("long").alias("ordinal"), F.col("at_us").cast("long").alias("at_us"), F.col("counter").cast("double").alias("counter"))
+    rows = materialise(rows, "readings")
+
+    def joined(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+        """By keys that may be null; columns of the left side, then other ones of the right."""
+        right = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
+        met = reduce(and_, (F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names))
+        return left.join(right, met, how).drop(*(f"_r_{n}" for n in names))
+
+    def walk(held: DataFrame, ends: bool) -> DataFrame:
+        order = [*keys, "_block", "ordinal"]
+        placed = held.select(*order, "at_us", "counter", "from_at", "from_counter").repartition(*keys, "_block").sortWithinPartitions(*order)
+        return placed.mapInArrow(_walked(len(keys), least_us, ends), f"{key_types}, _block long, end_at long, end_counter double" if ends else f"{key_types}, ordinal long, rate double")
+
+    fresh = {"from_at": F.lit(None).cast("long"), "from_counter": F.lit(None).cast("double")}
+    parted = rows.where("_block > 0").select(*keys).distinct()  # groups of several blocks
+    if parted.isEmpty():
+        return walk(rows.withColumns(fresh), False)
+    long = materialise(joined(rows, parted, keys, "left_semi"), "readings")
     after = Window.partitionBy(*keys).orderBy("_block")
-    begins = materialise(blocks.withColumns({"from_at": F.lit(None).cast("long"), "from_counter": F.lit(None).cast("double")}), "begins")
+    begins = materialise(long.select(*keys, "_block").distinct().withColumns(fresh), "begins")
     while True:
-        ends = rows.join(begins, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(end, f"{key_types}, _block long, end_at long, end_counter double")
+        ends = walk(joined(long, begins, [*keys, "_block"], "inner"), True)
         # One row for each block.
         found = materialise(ends.select(*keys, "_block", F.lag("end_at").over(after).alias("from_at"), F.lag("end_counter").over(after).alias("from_counter")), "begins")
-        same = found.join(begins.withColumnsRenamed({"from_at": "_at", "from_counter": "_counter"}), [*keys, "_block"])
+        same = joined(found, begins.withColumnsRenamed({"from_at": "_at", "from_counter": "_counter"}), [*keys, "_block"], "inner")
         moved = not same.where(~(F.col("from_at").eqNullSafe(F.col("_at")) & F.col("from_counter").eqNullSafe(F.col("_counter")))).isEmpty()
         begins = found
         if not moved:
             break
-    return rows.join(begins, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(rates, f"{key_types}, ordinal long, rate double")
+    return walk(joined(rows, begins, [*keys, "_block"], "left"), False)
 
 
 def counter_rates(samples: DataFrame, keys: Sequence[str], keep: int = 20, least_us: int = 1_000_000, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
