@@ -129,9 +129,12 @@ def picture_signature() -> Column:
 def canonical_tags(tags: Column) -> Column:
     """Tags with lower-cased names; NULL when two spellings disagree."""
     entries = F.transform(F.map_entries(F.coalesce(tags, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    distinct = F.array_distinct(entries)
-    names = F.array_distinct(F.transform(distinct, lambda e: e["key"]))
-    return F.when(F.size(names) == F.size(distinct), F.map_from_entries(F.array_sort(distinct)))
+
+    def whole(distinct: Column) -> Column:
+        names = F.array_distinct(F.transform(distinct, lambda e: e["key"]))
+        return F.when(F.size(names) == F.size(distinct), F.map_from_entries(F.array_sort(distinct)))
+
+    return let(F.array_distinct(entries), whole)
 
 
 def tags_text(tags: Column) -> Column:
@@ -186,11 +189,13 @@ def _top_level(schema: str) -> list[str]:
 
 def display_matrix(text: Column) -> Column:
     """Nine integer coefficients of a three-line matrix dump; NULL if malformed."""
-    lines = F.split(F.btrim(text, F.lit(" \t\r\n")), r"\r?\n")
-    cells = F.flatten(F.transform(lines, lambda row: F.split(F.trim(F.regexp_extract(row, r"^[^:]*:(.*)$", 1)), r"\s+")))
-    numbers = F.transform(cells, lambda c: c.try_cast("int"))
-    three = F.forall(lines, lambda row: row.rlike(r"^[^:]*:\s*-?\d+\s+-?\d+\s+-?\d+\s*$"))
-    return F.when((F.size(lines) == 3) & three & F.forall(numbers, lambda n: n.isNotNull()), numbers)
+    def read(lines: Column) -> Column:
+        cells = F.flatten(F.transform(lines, lambda row: F.split(F.trim(F.regexp_extract(row, r"^[^:]*:(.*)$", 1)), r"\s+")))
+        three = F.forall(lines, lambda row: row.rlike(r"^[^:]*:\s*-?\d+\s+-?\d+\s+-?\d+\s*$"))
+        whole = lambda numbers: F.when(F.forall(numbers, lambda n: n.isNotNull()), numbers)
+        return F.when((F.size(lines) == 3) & three, let(F.transform(cells, lambda c: c.try_cast("int")), whole))
+
+    return let(F.split(F.btrim(text, F.lit(" \t\r\n")), r"\r?\n"), read)
 
 
 def family_key(options: Column, seconds: Column, video: Column) -> Column:

@@ -239,7 +239,7 @@ def stream_changes(pairs: DataFrame, codec: str, frames: Column | None = None, v
     checks += [(~primary | same(c), c) for c in VIDEO_KEYS]
     checks.append((~primary | (b("codec") == codec), "codec"))
     aspect = lambda p: effective_pixel_aspect(F.col(f"{p}_sar"), F.col(f"{p}_dar"), F.col(f"{p}_width"), F.col(f"{p}_height"))
-    checks.append((~primary | ratios_equal(aspect("a"), aspect("b")), "sar"))
+    checks.append((~primary | ratios_equal(F.col("_a_aspect"), F.col("_b_aspect")), "sar"))
     if variable_timing:
         rate = a("frame_rate").rlike(r"^[1-9]\d*(/[1-9]\d*)?$") & b("frame_rate").rlike(r"^[1-9]\d*(/[1-9]\d*)?$")
     else:
@@ -249,13 +249,15 @@ def stream_changes(pairs: DataFrame, codec: str, frames: Column | None = None, v
     undeclared = F.col("a_matrix").isNull() & F.col("b_matrix").isNull()
     checks.append((~primary | undeclared | (matrix("a") == matrix("b")), "display_matrix"))
     checks += [(primary | same(c), c) for c in COPIED_KEYS]
-    before, after = meta.canonical_tags(a("tags")), meta.canonical_tags(b("tags"))
+    before, after = F.col("_a_tags"), F.col("_b_tags")
     checks.append((before.isNotNull() & after.isNotNull(), "conflicting tags"))
     for tag in TAGS:
         left, right = F.element_at(before, F.lit(tag)), F.element_at(after, F.lit(tag))
         checks.append((meta.equivalent_language(left, right) if tag == "language" else left.eqNullSafe(right), f"tag {tag}"))
-    changed = failed_names(checks)
-    return pairs.withColumn("changed", changed).withColumn("status", F.when(F.size("changed") == 0, "pass").otherwise("fail"))
+    # Columns of their own are worked out once a row, however many checks use them.
+    shared = {f"_{p}_aspect": F.when(F.coalesce(primary, F.lit(True)), aspect(p)) for p in ("a", "b")} | {f"_{p}_tags": meta.canonical_tags(F.col(f"{p}_tags")) for p in ("a", "b")}
+    rows = pairs.withColumns(shared).withColumn("changed", failed_names(checks)).drop(*shared)
+    return rows.withColumn("status", F.when(F.size("changed") == 0, "pass").otherwise("fail"))
 
 
 def chapter_changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
