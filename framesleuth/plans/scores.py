@@ -70,7 +70,9 @@ def _documents(spark, folder, label, array, record, cut=None):
     path = _fresh(spark, label)
     # Lines of a file are joined by line feeds only where its layout has them.
     joined = p.select("track", "ordinal", text_.alias("value"))
-    joined.repartition(8, "track").sortWithinPartitions("track", "ordinal").select("track", "value").write.partitionBy("track").option("lineSep", " ").text(path)
+    # A file is written by one task, which is given no other file once files are long.
+    tasks = max(8, p.count() // 50_000)  # from the footers
+    joined.repartitionByRange(tasks, "track").sortWithinPartitions("track", "ordinal").select("track", "value").write.partitionBy("track").option("lineSep", " ").text(path)
     return path
 
 

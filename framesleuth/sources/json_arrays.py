@@ -58,18 +58,21 @@ def array_pieces(spark: SparkSession, path: str, array: str | None, block_rows:
     quotes = F.length(F.regexp_replace(F.regexp_replace("text", r"(?s)\\.", ""), '[^"]', ""))
     rows = ordered.scan(_pieces(spark, path).withColumn("quotes", quotes), ["file"], "ordinal", block_rows, quoted=ordered.running_sum(F.col("quotes"), inclusive=False))
     inside = F.coalesce("quoted", F.lit(0)) % 2 == 1
-    rows = rows.withColumn("inside", inside).withColumn("outside", _without_strings(F.col("text"), F.col("inside"))).withColumn("change", _depth_change(F.col("outside"))).drop("quotes", "quoted")
-    rows = ordered.scan(materialise(rows, "json-pieces"), ["file"], "ordinal", block_rows, above=ordered.running_sum(F.col("change"), inclusive=False))
-    depth = F.coalesce("above", F.lit(0))
     opening = _NAMED if array is not None else _UNNAMED
-    head = F.regexp_extract("text", opening, 0)
+    rows = rows.withColumn("inside", inside).withColumn("outside", _without_strings(F.col("text"), F.col("inside"))).select(
+        "file", "ordinal", "text", "inside", _depth_change(F.col("outside")).alias("change"), F.col("outside").endswith(_BRACE).alias("closes"),
+        # Few pieces hold an opening; the longer search is for those alone.
+        F.when(F.col("text").rlike(r"\[\s*\{"), F.regexp_extract("text", opening, 0)).otherwise("").alias("head"),
+    )
+    rows = ordered.scan(materialise(rows, "json-pieces"), ["file"], "ordinal", block_rows, above=ordered.running_sum(F.col("change"), inclusive=False))
+    depth, head = F.coalesce("above", F.lit(0)), F.col("head")
     follows = ~F.col("inside") & (depth == level) & F.col("text").rlike(r"(?s)^[\s,]*\{")
-    opens = ~F.col("inside") & ~follows & (depth <= level) & (head != "") & (depth + _depth_change(_without_strings(head, F.lit(False))) == level)
+    opens = (head != "") & ~F.col("inside") & ~follows & (depth <= level) & (depth + _depth_change(_without_strings(head, F.lit(False))) == level)
     rows = rows.select(
         "file", "ordinal", depth.alias("above"), (depth + F.col("change")).alias("depth"), (follows | opens).alias("begins"),
         F.when(follows, F.regexp_extract("text", r"(?s)^([\s,]*)", 1)).when(opens, head).otherwise("").alias("lead"),
         F.when(follows, F.regexp_replace("text", r"(?s)^[\s,]*", "")).when(opens, F.col("text").substr(F.length(head) + 1, F.length("text"))).otherwise(F.col("text")).alias("body"),
-        F.when(opens, F.regexp_extract("text", opening, 1) if array is not None else F.lit("")).alias("opened"), F.col("outside").endswith(_BRACE).alias("closes"),
+        F.when(opens, F.regexp_extract("text", opening, 1) if array is not None else F.lit("")).alias("opened"), "closes",
     )
     rows = ordered.scan(materialise(rows, "json-pieces"), ["file"], "ordinal", block_rows, record=ordered.running_sum(F.col("begins").cast("int")), name=ordered.last_known(F.col("opened")))
     mine = F.col("name") == F.lit(array if array is not None else "")

@@ -21,3 +21,16 @@ def test_streams_of_one_small_file_are_compared_in_many_tasks(spark, tmp_path):
     changed = libraries.stream_changes(spark, str(tmp_path))
     assert changed.rdd.getNumPartitions() == 3
     assert changed.where("changed LIKE '%channels%'").count() == sum(k % 67 == 0 and k % 2 == 1 for k in range(50_000))
+
+
+def test_written_files_are_dealt_to_as_many_tasks_as_there_are_rows(spark, tmp_path, monkeypatch):
+    from framesleuth.plans import scores
+
+    rows = spark.range(600_000).select((F.col("id") % 40).alias("track"), (F.col("id") / 40).cast("long").alias("ordinal"), F.when(F.col("id") < 599_960, 1).alias("dur"))
+    monkeypatch.setattr(scores, "file_packets", lambda *_: rows)
+    monkeypatch.setattr(scores, "_fresh", lambda *_: str(tmp_path / "out"))
+    path = scores._documents(spark, "", "x", "frames", F.lit("{}"))
+    written = [f.name for f in (tmp_path / "out").glob("track=*/*.txt")]
+    # One file a track; no task wrote more than a few of the forty (eight tasks wrote five or more each).
+    assert path and len(written) == 40
+    assert max(written.count(n) for n in written) <= 4 and len({n[:10] for n in written}) > 8
