@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from framesleuth.functions.checks import holds
 from framesleuth.functions.labels import phase_category
 from framesleuth.operators.telemetry import external_cpu
-from framesleuth.session import prepare, shared_dir
+from framesleuth.session import prepare, shared_dir, twin
 from framesleuth.streaming import processors as live
 
 WATERMARK = "15 seconds"  # freshness limit of the telemetry policies
@@ -42,6 +42,15 @@ def replay(rows: DataFrame, keys: tuple[str, ...], policy: live.Policy, delay: s
     return marked.groupBy("_bucket").transformWithStateInPandas(live.Replay(policy, keys, slot_us), output, "Append", "EventTime")
 
 
+def state_session(spark: SparkSession, buckets: int = BUCKETS) -> SparkSession:
+    """Session to open the streams of ``replay`` in: it deals state to ``buckets`` partitions at most, as no more hold rows.
+
+    Every batch opens a store and a Python worker for each partition, also for those without rows.
+    """
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    return twin(spark, **{"spark.sql.shuffle.partitions": str(parts)})
+
+
 def gpu_yield(samples: DataFrame, delay: str = WATERMARK, slot_us: int = SLOT_US) -> DataFrame:
     """``track, ts, at_us, ordinal, usable, external`` stream to yield states."""
     rows = samples.select("track", "ts", "at_us", "ordinal", holds(F.col("usable")).alias("usable"), holds(F.col("external")).alias("external"))
@@ -120,9 +129,9 @@ def run_once(rows: DataFrame, path: str, checkpoint: str) -> int:
     return sum(s.get("numRowsDroppedByWatermark", 0) for p in job.recentProgress for s in p["stateOperators"])
 
 
-def drained(rows: DataFrame, label: str) -> Drained:
-    """Run a job over all available input; what it wrote, and how many rows came late."""
-    spark = rows.sparkSession
+def drained(rows: DataFrame, label: str, spark: SparkSession | None = None) -> Drained:
+    """Run a job over all available input; what it wrote, read in the given session or the job's own, and how many rows came late."""
+    spark = spark or rows.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/framesleuth/{label}-{uuid.uuid4().hex}"
     late = run_once(rows, f"{base}/rows", f"{base}/checkpoint")
     return Drained(spark.read.schema(rows.schema).parquet(f"{base}/rows"), late)

@@ -196,3 +196,25 @@ def test_keys_share_a_bucket_and_null_keys_have_their_own(spark, tmp_path):
     for r in jobs.drained(live, "t-shared").rows.collect():
         got.setdefault((r.track, r.counter), []).append(r.value)
     assert {k: sorted(v) for k, v in got.items()} == {(key, name): [10 * k for k in range(1, 30)] for key in (big, big + 1, None) for name in ("a", None)}
+
+
+def test_state_of_policies_is_dealt_to_no_more_partitions_than_buckets(spark, monkeypatch):
+    from framesleuth.plans import live as plans
+
+    seen, run = [], jobs.run_once
+
+    def watched(rows, path, checkpoint):
+        own = rows.sparkSession.conf
+        seen.append((own.get("spark.sql.shuffle.partitions"), own.get("spark.sql.session.timeZone"), own.get("spark.sql.caseSensitive")))
+        return run(rows, path, checkpoint)
+
+    monkeypatch.setattr(jobs, "run_once", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        got = plans.confirmations_live(spark, "/root/testdata/sf0.001")
+        assert seen == [(str(jobs.BUCKETS), "UTC", "true")]
+        assert got.sparkSession is spark and spark.conf.get("spark.sql.shuffle.partitions") == "200" and got.count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.caseSensitive")
