@@ -117,6 +117,16 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert sum(shared) == best[-1][-1] and all(x in rest for x, s in zip(a, shared) if s)
 
 
+def test_pages_with_an_article_are_compared_too(spark):
+    rows = [
+        (1, "https://h.example/a/1", "<div>Top</div><article><p>One</p><p>Two</p><p>Own</p></article>"), (2, "https://h.example/a/2", "<article><p>One</p><p>Two</p><p>Other</p></article>"),
+        # The print version of page 4 has no article; what is in the article there is text.
+        (3, "https://p.example/x/print", "<div>Top</div><p>Story</p><p>goes on</p><div>Printed today</div>"), (4, "https://p.example/x/read", "<div>Top</div><article><p>Story</p><p>goes on</p></article>"), (5, "https://q.example/", "<article>Alone</article>"),
+    ]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("One\nTwo\nOwn", 2), 2: ("One\nTwo\nOther", 2), 3: ("Story\ngoes on\nPrinted today", 2), 4: ("Story\ngoes on", 2), 5: ("Alone", 0)}
+
+
 def test_main_text_differences(spark):
     def page(k):
         return f"<body><div>Top line</div><p>Story {k} first</p><p>Story {k} second</p><div>Bottom line</div></body>"
